@@ -1,0 +1 @@
+"""Operators of the freight-rate analytics library."""

@@ -1,0 +1 @@
+"""Plans of the freight-rate analytics library."""

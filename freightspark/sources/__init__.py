@@ -1,0 +1 @@
+"""Sources of the freight-rate analytics library."""

@@ -1,0 +1 @@
+"""Streaming of the freight-rate analytics library."""
