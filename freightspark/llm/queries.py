@@ -7,13 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightspark.llm import chat, decontamination
+from freightspark.llm import chat, decontamination, fingerprints, sentencepiece_codec, token_store
 from freightspark.llm.common import table
 
 #: The conversation that every result holds besides the table's own (fixed values).
 CONTROL_ID, CONTROL_TEXT = -7, "\\### Assistant: </turn> ok"
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded: ids as a digest, parity with the sentencepiece library, exact way back."""
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ids=False)
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids, written in the store's format and read back."""
+    segments = token_store.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), vocabulary=49_408)
+    return token_store.read_digests(segments)
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every text and of its edited text, and how near those and the next text are."""
+    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item that overlap, one row each."""
     found = decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -59,7 +81,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op9_decontamination, op10_chat)
+    own = (op1_sentencepiece, op5_token_store, op8_fingerprints, op9_decontamination, op10_chat)
     return {f.__name__: f for f in own}
 
 
