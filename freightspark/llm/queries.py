@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightspark.llm import chat, decontamination, fingerprints, sentencepiece_codec, token_store
-from freightspark.llm.common import table
+from freightspark.llm import chat, decontamination, fingerprints, sentencepiece_codec, token_store, toxicity
+from freightspark.llm.common import remainder, table
 
 #: The conversation that every result holds besides the table's own (fixed values).
 CONTROL_ID, CONTROL_TEXT = -7, "\\### Assistant: </turn> ok"
@@ -25,6 +25,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ids=False)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's toxicity, learned outside the held-out third."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "hits")
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids, written in the store's format and read back."""
     segments = token_store.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), vocabulary=49_408)
@@ -81,7 +88,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sentencepiece, op5_token_store, op8_fingerprints, op9_decontamination, op10_chat)
+    own = (op1_sentencepiece, op2_toxicity, op5_token_store, op8_fingerprints, op9_decontamination, op10_chat)
     return {f.__name__: f for f in own}
 
 
