@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightspark.llm import chat, decontamination, fingerprints, sentencepiece_codec, token_store, toxicity
+from freightspark.llm import chat, decontamination, fingerprints, pii, sentencepiece_codec, token_store, toxicity
 from freightspark.llm.common import remainder, table
 
 #: The conversation that every result holds besides the table's own (fixed values).
@@ -38,6 +38,12 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(segments)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text: base spans as counts and a digest, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.fit(docs))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every text and of its edited text, and how near those and the next text are."""
     return fingerprints.with_edits(table(spark, sf_dir, "documents"))
@@ -88,7 +94,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sentencepiece, op2_toxicity, op5_token_store, op8_fingerprints, op9_decontamination, op10_chat)
+    own = (op1_sentencepiece, op2_toxicity, op5_token_store, op6_pii, op8_fingerprints, op9_decontamination, op10_chat)
     return {f.__name__: f for f in own}
 
 

@@ -31,7 +31,7 @@ from freightspark.llm.common import blocks, remainder
 SAMPLE_PER_CLASS = 6000
 #: Terms of the lexicon at most, candidates looked at in the sample, and code points of a stem.
 MAX_TERMS, MAX_CANDIDATES, STEMS = 256, 20_000, range(4, 9)
-MIN_LIFT, MIN_PLACES = 3.0, 5
+MIN_LIFT, MIN_PLACES = 4.0, 5
 THRESHOLD = 0.7
 #: Pull of the fitted intercept and slope to -3 and 1. Without it a sample that hits separate wholly would
 #: put the threshold beyond a single plain hit.
