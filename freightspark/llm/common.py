@@ -62,13 +62,18 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans of `data`, equal for equal bytes wherever they stand: prefix sums of a polynomial."""
-    up, down = _power_tables(len(data))
-    sums = np.concatenate((np.zeros(1, U64), np.cumsum((data.astype(U64) + U64(1)) * down[: len(data)])))
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs values[start:end], equal for equal runs wherever they stand: prefix sums of a polynomial."""
+    up, down = _power_tables(len(values))
+    sums = np.concatenate((np.zeros(1, U64), np.cumsum(values * down[: len(values)])))
     return mix((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same for byte spans."""
+    return run_hashes(data.astype(U64) + U64(1), starts, ends)
+
+
 #: A-Z to a-z; ASCII punctuation and control characters to a space. Other bytes (letters beyond ASCII) stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightspark.llm import chat, decontamination, fingerprints, pii, sentencepiece_codec, token_store, toxicity
+from freightspark.llm import chat, decontamination, fingerprints, line_dedup, pii, sentencepiece_codec, token_store, toxicity
 from freightspark.llm.common import remainder, table
 
 #: The conversation that every result holds besides the table's own (fixed values).
@@ -44,6 +44,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(docs, pii.fit(docs))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without its repeated chunks, and the code-point spans that went."""
+    return line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), spans=True)
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every text and of its edited text, and how near those and the next text are."""
     return fingerprints.with_edits(table(spark, sf_dir, "documents"))
@@ -94,7 +99,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sentencepiece, op2_toxicity, op5_token_store, op6_pii, op8_fingerprints, op9_decontamination, op10_chat)
+    own = (op1_sentencepiece, op2_toxicity, op5_token_store, op6_pii, op7_line_dedup, op8_fingerprints, op9_decontamination, op10_chat)
     return {f.__name__: f for f in own}
 
 
