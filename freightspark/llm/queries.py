@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightspark.llm import chat, decontamination, fingerprints, line_dedup, lm_scoring, pii, sentencepiece_codec, token_store, toxicity
+from freightspark.llm import chat, decontamination, fingerprints, line_dedup, lm_scoring, near_dedup, pii, sentencepiece_codec, token_store, toxicity
 from freightspark.llm.common import remainder, table
 
 #: The conversation that every result holds besides the table's own (fixed values).
@@ -38,6 +38,12 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near copies and its number of links."""
+    found = near_dedup.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("node").alias("doc_id"), "class_id", "n_links")
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids, written in the store's format and read back."""
     segments = token_store.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), vocabulary=49_408)
@@ -105,7 +111,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sentencepiece, op2_toxicity, op3_lm_scoring, op5_token_store, op6_pii, op7_line_dedup, op8_fingerprints, op9_decontamination, op10_chat)
+    own = (op1_sentencepiece, op2_toxicity, op3_lm_scoring, op4_near_dedup, op5_token_store, op6_pii, op7_line_dedup, op8_fingerprints, op9_decontamination, op10_chat)
     return {f.__name__: f for f in own}
 
 
