@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freightspark.functions.shared import cut
-from freightspark.llm.common import U64, blocks, mix, run_hashes, span_hashes
+from freightspark.llm.common import BLOCK_BYTES, U64, blocks, mix, run_hashes, span_hashes
 
 MIN_UNITS, MAX_UNITS, MIN_WORDS, ONE_IN = 2, 16, 10, 2
 #: Units on each side of a chunk that are compared with those around the first one.
@@ -106,7 +106,7 @@ def _binary(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in blocks(batches):
+    for batch in blocks(batches, limit=BLOCK_BYTES):
         units = Units(_binary(batch))
         own = [units.chunks(i) for i in range(batch.num_rows)]
         doc = np.repeat(np.arange(batch.num_rows), [len(c) for c in own])
@@ -120,7 +120,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _instance_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The listed chunks of each text: their bytes and what surrounds them."""
-    for batch in blocks(batches):
+    for batch in blocks(batches, limit=BLOCK_BYTES):
         units, rows = Units(_binary(batch)), []
         for i, (doc_id, tag, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "places")), strict=True)):
             end = dict(units.chunks(i))
@@ -139,14 +139,16 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(id, tag, at, upto): unit ranges to remove; id and tag name the document (see _keyed)."""
     keyed = _keyed(docs)
     chunks = cut(keyed.mapInArrow(_chunk_rows, "h long, id long, tag long, at int"), "chunks")
-    often = chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written, so that both sides of the join are plain shuffles and a very common chunk's rows can be split
+    often = cut(chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "chunk-hashes")
     lists = cut(chunks.join(often, "h").groupBy("id", "tag").agg(F.sort_array(F.collect_set("at")).alias("places")), "chunk-places")
     found = keyed.join(_to_docs(lists), ["id", "tag"])
     found = cut(found.mapInArrow(_instance_rows, "id long, tag long, at int, upto int, chunk binary, before array<long>, after array<long>"), "chunk-bytes")
     # equal bytes, not only equal hashes: the first of each chunk, then all others beside it
     key = F.xxhash64("chunk")
     first = found.groupBy(key.alias("k"), "chunk").agg(F.count("*").alias("n"), F.min(F.struct("id", "tag", "at", "before", "after")).alias("first")).where("n > 1")
-    others = found.withColumn("k", key).join(first.select("k", "chunk", "first"), ["k", "chunk"]).where("struct(id, tag, at) > struct(first.id, first.tag, first.at)")
+    first = cut(first.select("k", "chunk", "first"), "chunk-firsts")
+    others = found.withColumn("k", key).join(first, ["k", "chunk"]).where("struct(id, tag, at) > struct(first.id, first.tag, first.at)")
 
     def alike(a: str) -> Column:
         """How many units, from the chunk outwards, equal those around the first."""
@@ -166,7 +168,7 @@ def remove_repeats(docs: DataFrame, spans: bool = False) -> DataFrame:
     schema = docs.schema if not spans else docs.select("*", F.expr("cast(null as array<struct<start: int, end: int>>) as removed")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=BLOCK_BYTES):
             texts, gone = batch.column("text").to_pylist(), [[] for _ in range(batch.num_rows)]
             lists = batch.column("_ranges").to_pylist()
             touched = [i for i, r in enumerate(lists) if r]
