@@ -37,7 +37,7 @@ END_ID = 1
 #: Ids and documents of a segment at most, but a longer document stands alone.
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 20, 1 << 14
 #: Distinct words whose ids a worker keeps (about 200 bytes each).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 NULL_ID = -(1 << 63)
 
 
@@ -114,11 +114,13 @@ class WordEncoder:
     """Ids of whole texts under a tokenizer whose pieces never cross white space; each distinct word is encoded once.
 
     Cutting at ASCII white space first is exact for such a tokenizer: its normaliser and splitter treat white
-    space as a boundary that they drop. Ids of plain ASCII words, with or without a final full stop or comma,
-    come from the model alone; all other words go through the whole tokenizer.
+    space as a boundary that they drop. Ids of words of Latin letters, with or without a final full stop or comma,
+    come from the model alone, over the byte characters that the tokenizer gives each letter; all other words go
+    through the whole tokenizer.
     """
 
-    PLAIN = re.compile(rb"([A-Za-z]+)([.,]?)")
+    #: Letters that normalisation leaves alone but for their case (U+0130 is not among them).
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([.,]?)")
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
@@ -126,20 +128,24 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if width == 2 else "I"
         self.known: dict[bytes, bytes] = {}
-        self.tail = {b"": [], **{x: self.tokenizer.encode(x.decode(), add_special_tokens=False).ids for x in (b".", b",")}}
+        self.tail = {"": [], **{x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in ".,"}}
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        letters = {c for c in map(chr, range(65, 0x180)) if self.PLAIN.fullmatch(c)}
+        self.bytes = {ord(c): "".join(part for part, _ in split(c)) for c in {x.lower() for x in letters}}
 
     def _learn(self, words: list[bytes]) -> None:
         rest, piece, known, code = [], self.tokenizer.model.tokenize, self.known, self.code
         for w in words:
-            if m := self.PLAIN.fullmatch(w):
-                known[w] = array(code, [t.id for t in piece(m[1].lower().decode())] + self.tail[m[2]]).tobytes()
+            if m := self.PLAIN.fullmatch(text := w.decode("utf-8", "surrogatepass")):
+                known[w] = array(code, [t.id for t in piece(m[1].lower().translate(self.bytes))] + self.tail[m[2]]).tobytes()
             else:
-                rest.append(w)
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in rest], add_special_tokens=False), strict=True):
+                rest.append((w, text))
+        for (w, _), e in zip(rest, self.tokenizer.encode_batch_fast([text for _, text in rest], add_special_tokens=False), strict=True):
             known[w] = array(code, e.ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        # the tokenizer folds case; doing so first saves words, but could make one of its special tokens of a text
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         distinct = set().union(*split)
         fresh = [w for w in distinct if w not in self.known]
         if fresh and len(self.known) + len(fresh) > CACHE_WORDS:
@@ -207,7 +213,8 @@ def with_starts(segments: DataFrame) -> DataFrame:
     """Adds first: ids of all segments before. One row per shard goes through one task; a shard is a partition of the writer."""
     shards = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = shards.select("shard", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
-    return segments.join(before, "shard").withColumn("first", F.col("earlier") + F.col("base"))
+    # one small row per partition of the writer
+    return segments.join(F.broadcast(before), "shard").withColumn("first", F.col("earlier") + F.col("base"))
 
 
 def segment_documents(doc_ids: bytes, ids: bytes, bounds: bytes, width: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
