@@ -27,6 +27,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Count and checksum of the edges: equal before and after a round once the components are stars."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
     """Label every vertex that has an edge with the least vertex of its component: (node, component).
 
@@ -35,14 +40,13 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> Da
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     loops = e.where("u = v").select("u").distinct()
-    e = cut(e.where("u != v").distinct(), "cc")
-    state = None
+    e = cut(e.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    state = _state(e)
     for _ in range(MAX_ROUNDS):
         e = cut(_small_star(_large_star(e)), "cc")
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (now.n, now.s) == state:
+        before, state = state, _state(e)
+        if before == state:
             break
-        state = (now.n, now.s)
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     star = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
