@@ -5,8 +5,13 @@ words, weighed by term frequency and a tempered inverse document frequency. BAND
 drawn per node; nodes that agree in all samples of a band share a bucket. Within a bucket nobody is paired with
 everybody: each member is paired with one representative, pairs are verified by weighted Jaccard similarity on
 the texts, and linked nodes become classes. Buckets whose members are still in several classes go through
-further rounds, with HUBS other representatives each, until a round links less
-than a thousandth of the pairs it tries; what is left then are texts at the very threshold. Work per round is linear in the members.
+further rounds, with HUBS other representatives each, while these link many of the pairs they try. Work per round is
+linear in the members.
+
+What is left then is compared in full: each bucket that still has several classes is split by the rarest shingles
+of its members, and all pairs of a part that are in different classes and not tried yet are verified. The split loses
+no pair: two texts are similar enough only if they share one of the shingles that precede, from the rarest on, the
+last `similarity` of their weight. So in the end no bucket has a pair of similar texts in different classes.
 
 Document frequencies are counted over all documents in 2**SKETCH_BITS hashed counters. Their error is a fixed
 share of the number of documents (shingles of a text / counters), at every size; two texts always weigh the same
@@ -36,12 +41,16 @@ BANDS, ROWS = 12, 4
 SKETCH_BITS = 18
 #: How much rarity weighs: a shingle weighs 1 + TEMPER * ln(N / df) / ln(N + 1), from 1 to 1 + TEMPER, times its count.
 TEMPER = 0.5
-#: Node keys that may be broadcast (8 bytes each); beyond, they are joined by a shuffle. Rounds at most.
+#: Node keys that may be broadcast (8 bytes each); beyond, they are joined by a shuffle. Rounds with representatives at most.
 KEY_BOUND, MAX_ROUNDS = 1_000_000, 12
 #: Representatives of a bucket in each round after the first, which has the least node.
 HUBS = 8
-#: Rounds end when a round links less than this share of its pairs.
-YIELD = 0.001
+#: When a round links less than this share of its pairs, the rest is compared in full.
+YIELD = 0.1
+#: Members of a block in the full comparison, and pairs verified at once (or as many as there are texts, if that is more).
+BLOCK, PAIR_BOUND = 512, 100_000
+#: Bounds are taken wider by this share, since sums of weights are rounded.
+SLACK = 1e-6
 
 
 def _counted(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,6 +195,71 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, similarit
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def leading(texts: list[str], weights: np.ndarray, similarity: float, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, shingle, weight of the text, weight from the shingle on) of the rarest shingles: without one in common two texts are less similar.
+
+    The order is the same for all texts. A shingle leads while it and those after it hold `similarity` of the text's weight.
+    """
+    s, n, counts = _counted(texts, width)
+    w = weights[_bucket(s, int(len(weights)).bit_length() - 1)].astype(np.float64)
+    doc = np.repeat(np.arange(len(texts)), counts)
+    order = np.lexsort((s, -w, doc))
+    own = (w * n)[order]
+    total = np.bincount(doc, own, minlength=len(texts))[doc]
+    before, full = np.cumsum(own) - own, counts > 0
+    before -= np.repeat(before[(np.cumsum(counts) - counts)[full]], counts[full])
+    lead = total - before >= similarity * total * (1 - SLACK)
+    return doc[lead], s[order][lead], total[lead], (total - before)[lead]
+
+
+def _leading(texts: DataFrame, weights: np.ndarray, similarity: float, width: int) -> DataFrame:
+    """(node, shingle, total, rest) of the leading shingles of each text."""
+    known = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            at, shingles, total, rest = leading(batch.column("text").to_pylist(), known.value, similarity, width)
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at)), pa.array(shingles.view(np.int64)), pa.array(total), pa.array(rest)], names=["node", "shingle", "total", "rest"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingle long, total double, rest double")
+
+
+def _left_over(now: DataFrame, mixed: DataFrame, texts: DataFrame, weights: np.ndarray, similarity: float, width: int) -> DataFrame:
+    """(u, v): every pair of members of a bucket that are in different classes and may be similar enough.
+
+    now: (key, rep, label); mixed: the keys of buckets with several classes. A part is a bucket and a leading shingle;
+    its members are dealt to blocks, and each pair of blocks is a group of its own.
+    """
+    own = cut(now.join(mixed, "key"), "mixed")
+    lead = _leading(texts.join(own.select(F.col("rep").alias("node")).distinct(), "node", "left_semi"), weights, similarity, width)
+    rows = lead.join(own, lead.node == own.rep).select(F.xxhash64("key", "shingle").alias("part"), "rep", "label", "total", "rest")
+    rows = cut(rows, "parts")
+    size = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a != b")
+    rows = rows.join(size.select("part", F.ceil(F.col("n") / BLOCK).cast("int").alias("n")), "part")
+    every, mine = F.explode(F.sequence(F.lit(0), F.col("n") - 1)), F.pmod(F.xxhash64("rep"), F.col("n").cast("long")).cast("int")
+    left = rows.select("part", mine.alias("i"), every.alias("j"), F.col("rep").alias("u"), F.col("label").alias("lu"), F.col("total").alias("tu"), F.col("rest").alias("ru"))
+    right = rows.select("part", every.alias("i"), mine.alias("j"), F.col("rep").alias("v"), F.col("label").alias("lv"), F.col("total").alias("tv"), F.col("rest").alias("rv"))
+    # all that two texts share lies from their first common shingle on, and later ones have less after them
+    near = F.least("ru", "rv") >= similarity / (1 + similarity) * (1 - SLACK) * (F.col("tu") + F.col("tv"))
+    return left.join(right, ["part", "i", "j"]).where((F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & near).select("u", "v").distinct()
+
+
+def _labelled(member: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(key, rep, label): the class of each member so far."""
+    if labels is None:
+        return member.withColumn("label", F.col("rep"))
+    return member.join(labels, member.rep == labels.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The pairs whose ends are in different classes so far."""
+    if labels is None:
+        return pairs
+    for e in ("u", "v"):
+        pairs = pairs.join(labels.select(F.col("node").alias(e), F.col("component").alias(f"c{e}")), e, "left")
+    return pairs.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+
+
 def _relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     """(node, component) after new links: components of the old classes that they join, not of all links again."""
     if labels is None:
@@ -219,11 +293,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
     texts = cut(texts.groupBy("node").agg(F.min("text").alias("text")), "candidate-texts")
     links = tried = labels = None
     for turn in range(MAX_ROUNDS):
-        if labels is None:
-            orders, now = [F.col("rep")], member.withColumn("label", F.col("rep"))
-        else:
-            orders = [F.xxhash64(F.lit(turn), F.lit(h), "key", "rep") for h in range(HUBS)]
-            now = member.join(labels, member.rep == labels.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
+        now = _labelled(member, labels)
+        orders = [F.col("rep")] if labels is None else [F.xxhash64(F.lit(turn), F.lit(h), "key", "rep") for h in range(HUBS)]
         hubs = F.array_distinct(F.array(*[F.min_by(F.struct("rep", "label"), o) for o in orders])).alias("hubs")
         chosen = now.groupBy("key").agg(hubs, F.min("label").alias("a"), F.max("label").alias("b")).where("a != b")
         pairs = now.join(chosen.select("key", "hubs"), "key").select("rep", "label", F.explode("hubs").alias("hub")).where("label != hub.label")
@@ -241,6 +312,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
             labels = cut(_relabelled(labels, found), "classes")
         if turn and n_found < YIELD * n_pairs:
             break
+    now = _labelled(member, labels)
+    mixed = cut(now.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key"), "mixed-keys")
+    if not mixed.isEmpty():
+        rest = _left_over(now, mixed, texts, weights, similarity, width)
+        rest = cut(rest if tried is None else rest.join(tried, ["u", "v"], "left_anti"), "rest")
+        n_parts = -(-rest.count() // max(PAIR_BOUND, texts.count()))
+        for k in range(n_parts):
+            # what the parts before have linked is not compared again
+            part = _apart(rest.where(F.pmod(F.xxhash64("u", "v"), F.lit(n_parts)) == k), labels)
+            found = cut(_verified(part, texts, weights, similarity, width), "links")
+            if not found.isEmpty():
+                links = found if links is None else links.union(found)
+                labels = cut(_relabelled(labels, found), "classes")
     by_rep = exact.select("digest", "rep")
     if labels is not None:
         ends = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))

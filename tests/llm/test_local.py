@@ -1,5 +1,6 @@
 """Operators against brute force, round trips and held-out accuracy, without Spark."""
 
+import itertools
 import random
 import re
 import zlib
@@ -214,3 +215,21 @@ def test_units_are_the_text_and_chunks_resist_shifts():
 
 def test_crc_fold():
     assert zlib.crc32(b"12") % 3 == zlib.crc32(str(12).encode()) % 3
+
+
+def test_leading_shingles_meet():
+    """Pairs at any similarity from the threshold on share a leading shingle, whatever the weights."""
+    r, texts = random.Random(21), []
+    for k in range(40):
+        words = [f"w{r.randrange(400)}" for _ in range(r.randint(5, 80))] * (1 + k % 2)
+        texts += [" ".join(words), " ".join(w if r.random() > 0.03 else "x" for w in words)]
+    weights = np.random.default_rng(3).uniform(1, 1.5, 1 << 10).astype(np.float32)
+    lead = near_dedup.leading(texts, weights, 0.8, 5)
+    sets = [dict(zip(lead[1][lead[0] == i].tolist(), lead[3][lead[0] == i].tolist(), strict=True)) for i in range(len(texts))]
+    total = dict(zip(lead[0].tolist(), lead[2].tolist(), strict=True))
+    pairs = list(itertools.combinations(range(len(texts)), 2))
+    same = near_dedup.weighted_jaccard([texts[a] for a, _ in pairs], [texts[b] for _, b in pairs], weights) >= 0.8
+    assert 5 < same.sum() < 60 and all(sets[a].keys() & sets[b].keys() for (a, b), s in zip(pairs, same, strict=True) if s)
+    most = lambda a, b: max(min(sets[a][x], sets[b][x]) for x in sets[a].keys() & sets[b].keys())
+    assert all(most(a, b) >= 0.8 / 1.8 * (1 - 1e-6) * (total[a] + total[b]) for (a, b), s in zip(pairs, same, strict=True) if s)
+    assert sum(map(len, sets)) < 0.5 * len(near_dedup._counted(texts, 5)[0])

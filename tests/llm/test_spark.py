@@ -137,6 +137,26 @@ def test_near_dedup_equals_brute_force(spark, odd, none):
     assert near_dedup.classes(none).count() == 0 and near_dedup.keep_one(none).count() == 0
 
 
+def test_near_dedup_compares_a_large_bucket_in_full(spark):
+    """Many families of two that share one long passage: one band puts most of them into one bucket."""
+    passage = prose(31, 90)
+    rows = []
+    for i in range(150):
+        text = f"{passage} {prose(600 + i, 40)}"
+        rows += [(2 * i, text), (2 * i + 1, text + " " + prose(900 + i, 4))]
+    docs = frame(spark, rows)
+    weights = near_dedup.rarity(docs)
+    key = {r.node: r.bands[0] for r in near_dedup.signatures(docs, weights, bands=1, rows=1).collect()}
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if key[a] == key[b]]
+    same = near_dedup.weighted_jaccard([rows[a][1] for a, _ in pairs], [rows[b][1] for _, b in pairs], weights) >= near_dedup.SIMILARITY
+    want = {i: i for i, _ in rows} | {b: a for (a, b), s in zip(pairs, same, strict=True) if s}
+    assert len(pairs) > 5000 and 60 < same.sum() <= 150
+    for block in (512, 16):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(near_dedup, "BLOCK", block)
+            assert {r.node: r.class_id for r in near_dedup.classes(docs, bands=1, rows=1).collect()} == want
+
+
 def test_decontamination(spark, odd, none):
     items = [(k, prose(200 + k, 20 + k)) for k in range(12)] + [(50, "too short"), (51, None)]
     r, rows = random.Random(12), []
