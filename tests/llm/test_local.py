@@ -217,6 +217,16 @@ def test_crc_fold():
     assert zlib.crc32(b"12") % 3 == zlib.crc32(str(12).encode()) % 3
 
 
+def test_masks_hold_every_allowed_pattern():
+    from freightspark.llm.decontamination import MASKS, MATCHES, MIN_TOKENS, WINDOW
+
+    for n in range(MIN_TOKENS, WINDOW + 1):
+        equal = -(-n * MATCHES // WINDOW)
+        for gone in itertools.combinations(range(n), n - equal):
+            kept = set(range(n)) - set(gone)
+            assert any({at + k for k in mask} <= kept for mask in MASKS for at in range(n - mask[-1])), (n, gone)
+
+
 def test_leading_shingles_meet():
     """Pairs at any similarity from the threshold on share a leading shingle, whatever the weights."""
     r, texts = random.Random(21), []

@@ -157,6 +157,16 @@ def test_near_dedup_compares_a_large_bucket_in_full(spark):
             assert {r.node: r.class_id for r in near_dedup.classes(docs, bands=1, rows=1).collect()} == want
 
 
+def test_decontamination_finds_each_fourth_token_replaced(spark):
+    words = [f"tok{k}" for k in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(f"short{k}" for k in range(8)))], "item_id long, text string")
+    leak = " ".join("zz" if k % 4 == 3 else w for k, w in enumerate(words))
+    short = " ".join("zz" if k == 3 else f"short{k}" for k in range(8))
+    docs = frame(spark, [(1, f"{prose(1, 30)} {leak} {prose(2, 30)}"), (2, f"{prose(3, 30)} {short} {prose(4, 30)}"), (3, prose(5, 60))])
+    assert {(r.doc_id, r.item_id) for r in decontamination.overlaps(docs, bench).collect()} == {(1, 1), (2, 2)}
+    assert [r.doc_id for r in decontamination.without_overlaps(docs, bench).collect()] == [3]
+
+
 def test_decontamination(spark, odd, none):
     items = [(k, prose(200 + k, 20 + k)) for k in range(12)] + [(50, "too short"), (51, None)]
     r, rows = random.Random(12), []
