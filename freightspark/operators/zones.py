@@ -162,16 +162,20 @@ def cut_partitions(log: DataFrame, label: DataFrame, k: DataFrame) -> DataFrame:
 
 
 def k_range(label: DataFrame, most: int = 20) -> DataFrame:
-    """(slice, k) from the number of components (at least 2) to the least of `most` and points - 1."""
+    """(slice, k) from the number of components (at least 2) to the least of `most` and points - 1.
+
+    Where that range is empty, k is the number of components, or 2 if that is more and there are two points.
+    """
     s = label.groupBy("slice").agg(F.countDistinct("component").alias("m"), F.count("*").alias("n"))
-    s = s.select("slice", F.greatest(F.lit(2), F.col("m")).cast("int").alias("low"), F.least(F.lit(most), F.col("n") - 1).cast("int").alias("high")).where("low <= high")
-    return s.select("slice", F.explode(F.sequence("low", "high")).alias("k"))
+    s = s.select("slice", F.greatest(F.lit(2), F.col("m")).cast("int").alias("low"), F.least(F.lit(most), F.col("n") - 1).cast("int").alias("high"), F.greatest("m", F.least("n", F.lit(2))).cast("int").alias("only"))
+    ks = F.when(F.col("low") <= F.col("high"), F.sequence("low", F.greatest("low", "high"))).otherwise(F.array("only"))
+    return s.select("slice", F.explode(ks).alias("k"))
 
 
 def partition_quality(points: DataFrame, assigned: DataFrame) -> DataFrame:
     """Silhouette, Calinski-Harabasz and Davies-Bouldin of each (slice, k), and size diagnostics.
 
-    Distances of a point to a cluster need every pair of a slice once per K; the pairs are aggregated as they are made.
+    The first three are null where every point is a cluster. Distances of a point to a cluster need every pair of a slice once per K; the pairs are aggregated as they are made.
     """
     p = assigned.join(points.select("slice", "id", "x", "y"), ["slice", "id"])
     other = p.select("slice", "k", F.col("cluster_id").alias("oc"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("id").alias("oid"))
@@ -180,8 +184,8 @@ def partition_quality(points: DataFrame, assigned: DataFrame) -> DataFrame:
     own = F.max(F.when(F.col("oc") == F.col("cluster_id"), F.col("d")))
     near = F.min(F.when(F.col("oc") != F.col("cluster_id"), F.col("d")))
     s = mean.groupBy("slice", "k", "id").agg(own.alias("a"), near.alias("b"))
-    s = s.select("slice", "k", F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
-    silhouette = s.groupBy("slice", "k").agg(F.avg("s").alias("silhouette"))
+    s = s.select("slice", "k", F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"), "a")
+    silhouette = s.groupBy("slice", "k").agg(F.when(F.count("a") > 0, F.avg("s")).alias("silhouette"))
     centre = p.groupBy("slice", "k", "cluster_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count("*").alias("n"))
     whole = p.groupBy("slice", "k").agg(F.avg("x").alias("gx"), F.avg("y").alias("gy"), F.count("*").alias("points"))
     r2 = F.pow(F.col("x") - F.col("mx"), 2) + F.pow(F.col("y") - F.col("my"), 2)
@@ -189,7 +193,7 @@ def partition_quality(points: DataFrame, assigned: DataFrame) -> DataFrame:
     c = centre.join(inside, ["slice", "k", "cluster_id"]).join(whole, ["slice", "k"])
     b2 = F.col("n") * (F.pow(F.col("mx") - F.col("gx"), 2) + F.pow(F.col("my") - F.col("gy"), 2))
     sums = c.groupBy("slice", "k").agg(
-        (F.sum(b2) / (F.count("*") - 1) / (F.sum("w") / (F.first("points") - F.count("*")))).alias("calinski_harabasz"),
+        (F.sum(b2) / (F.count("*") - 1) / (F.sum("w") / F.nullif(F.first("points") - F.count("*"), F.lit(0)))).alias("calinski_harabasz"),
         F.max("p95").alias("p95_radius_m"),
         F.sum((F.col("n") <= 2).cast("long")).alias("tiny_clusters"),
         F.avg((F.col("n") <= 2).cast("double")).alias("tiny_share"),
@@ -200,7 +204,8 @@ def partition_quality(points: DataFrame, assigned: DataFrame) -> DataFrame:
     gap = F.sqrt(F.pow(F.col("mx") - F.col("ox"), 2) + F.pow(F.col("my") - F.col("oy"), 2))
     worst = c.join(o, ["slice", "k"]).where("cluster_id != oc").groupBy("slice", "k", "cluster_id").agg(F.max((F.col("spread") + F.col("os")) / gap).alias("r"))
     db = worst.groupBy("slice", "k").agg(F.avg("r").alias("davies_bouldin"))
-    return sums.join(silhouette, ["slice", "k"], "left").join(db, ["slice", "k"], "left")
+    out = sums.join(silhouette, ["slice", "k"], "left").join(db, ["slice", "k"], "left")
+    return out.withColumn("davies_bouldin", F.when(F.col("calinski_harabasz").isNotNull(), F.col("davies_bouldin")))
 
 
 def select_k(quality: DataFrame, measure: str = "silhouette", tolerance: float = 0.02) -> DataFrame:

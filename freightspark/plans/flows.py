@@ -117,7 +117,7 @@ def run(obs: DataFrame, coords: DataFrame, mode: str = "bear_cost", k: int | Non
     return own, table, points
 
 
-def compare(obs: DataFrame, coords: DataFrame, k: int = 5) -> DataFrame:
+def compare(obs: DataFrame, coords: DataFrame, k: int | None = None) -> DataFrame:
     """All five modes on one graph: clusters, assigned points and trips of each region and mode. No winner is named."""
     points = cut(graph_points(region_points(obs, coords)), "points")
     edges, _ = spatial_graph(points)

@@ -348,7 +348,7 @@ add("c11_bear_cost_zones", _zones("bear_cost"), _bear_sql("weighted_rub_per_km",
 add("c12_bear_volume_zones", _zones("bear_volume"), _bear_sql("trip_count", "avg(trip_count)", "avg(trip_count)", "trip_count > 0"), "delta", RECURSIVE)
 add("c13_threshold_sensitivity", _sensitivity)
 add("c8_c9_c10_partition_modes", _partitions)
-add("p3_compare", lambda s, d: flows.compare(src.observations(s, d), src.coordinates(s, d), 5))
+add("p3_compare", lambda s, d: flows.compare(src.observations(s, d), src.coordinates(s, d)))
 
 
 def _summaries(s: SparkSession, d: str) -> DataFrame:

@@ -172,3 +172,15 @@ def test_leakage_guard(spark):
     with pytest.raises(ValueError):
         evaluation.leakage_guard(df, ["actual_price"])
     evaluation.leakage_guard(df, ["pulse_price"])
+
+
+def test_partitions_of_many_components_and_of_two_points(spark):
+    from freightspark.plans import flows
+
+    rows = [("many", f"p{i:02}{e}", 1000.0 * i + 10 * (e == "b"), 7.0 * (i % 5)) for i in range(21) for e in "ab"]
+    rows += [("two", "q0", 0.0, 0.0), ("two", "q1", 5.0, 0.0)]
+    points = spark.createDataFrame(rows, "slice string, id string, x double, y double")
+    edges = spark.createDataFrame([("many", f"p{i:02}a", f"p{i:02}b", 10.0) for i in range(21)] + [("two", "q0", "q1", 5.0)], "slice string, a string, b string, distance double")
+    got = flows.partition_modes(points, edges, ("geography",)).collect()
+    assert len(got) == 44 and min(r.cluster_id for r in got) == 0
+    assert {(s, len({r.cluster_id for r in got if r.slice == s})) for s in ("many", "two")} == {("many", 21), ("two", 2)}
