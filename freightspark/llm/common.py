@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +18,57 @@ U64 = np.uint64
 BLOCK_BYTES = 1 << 20
 
 
+#: Rows of a batch that Spark hands to Python, where the session has its default of 10 000: texts make rows long.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+Batches = Iterator[pa.RecordBatch]
+#: What a worker keeps between tasks: one object, that of the operator at work.
+_kept: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, build: Callable[[], Any]) -> Any:
+    """The object that `build` makes, once in a worker as long as no other operator works there."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def enter(key: Hashable) -> None:
+    """What other operators keep in this worker goes."""
+    if key not in _kept:
+        _kept.clear()
+
+
+def leave() -> None:
+    """Hands freed memory back to the system: workers are used again, and an executor's memory counts them all."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Batches], Batches], key: Hashable = None) -> Callable[[Batches], Batches]:
+    """The function of a mapInArrow, in a worker that keeps nothing of other operators and no freed memory afterwards."""
+
+    @functools.wraps(run)
+    def inner(batches: Batches) -> Batches:
+        enter(key)
+        try:
+            yield from run(batches)
+        finally:
+            leave()
+
+    return inner
+
+
 def remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`: the fold of a document. A null id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -56,10 +106,14 @@ _powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n + 1:
-        size = 1 << (n + 1).bit_length()
-        _powers[:] = [np.concatenate(([U64(1)], np.cumprod(np.full(size, x, U64)))) for x in (_BASE, _BASE_INVERSE)]
-    return _powers
+    """Powers 0 to n at least; those for a usual block are kept, those for a longer text are not."""
+    if _powers and len(_powers[0]) > n:
+        return _powers
+    size = 1 << (n + 1).bit_length()
+    made = [np.concatenate(([U64(1)], np.cumprod(np.full(size, x, U64)))) for x in (_BASE, _BASE_INVERSE)]
+    if size <= 2 * BLOCK_BYTES:
+        _powers[:] = made
+    return made
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

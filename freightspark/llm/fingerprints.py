@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freightspark.llm.common import U64, blocks, shingle_hashes
+from freightspark.llm.common import U64, blocks, lean, shingle_hashes
 
 WIDTH, K = 5, 64
 #: Documents in one range of ids: the unit that is sorted and dealt to a task.
@@ -85,7 +85,7 @@ def fingerprint(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
             own = sketches([t or "" for t in batch.column("text").to_pylist()], k, width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([to_text(s) for s in own]), pa.array([distinct_count(s, k) for s in own])], names=["doc_id", "fingerprint", "distinct_shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string, distinct_shingles double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, fingerprint string, distinct_shingles double")
 
 
 def merge_fingerprints(parts: DataFrame, by: list[str], k: int = K) -> DataFrame:
@@ -168,7 +168,7 @@ def with_edits(docs: DataFrame, k: int = K, width: int = WIDTH, range_docs: int
 
     if not starts:
         starts = [0]
-    dealt = docs.select("doc_id", "text").mapInArrow(_deal(starts), "r int, after boolean, id long, text string")
+    dealt = docs.select("doc_id", "text").mapInArrow(lean(_deal(starts)), "r int, after boolean, id long, text string")
     sorted_ = dealt.repartition(max(1, len(starts)), "r").sortWithinPartitions("r", "after", F.col("id").desc(), "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_contained double, distinct_shingles double"
-    return sorted_.mapInArrow(run, schema)
+    return sorted_.mapInArrow(lean(run), schema)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freightspark.functions.shared import cut
-from freightspark.llm.common import BLOCK_BYTES, U64, blocks, mix, run_hashes, span_hashes
+from freightspark.llm.common import BLOCK_BYTES, U64, blocks, lean, mix, run_hashes, span_hashes
 
 MIN_UNITS, MAX_UNITS, MIN_WORDS, ONE_IN = 2, 16, 10, 2
 #: Units on each side of a chunk that are compared with those around the first one.
@@ -138,12 +138,12 @@ def _to_docs(lists: DataFrame) -> DataFrame:
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(id, tag, at, upto): unit ranges to remove; id and tag name the document (see _keyed)."""
     keyed = _keyed(docs)
-    chunks = cut(keyed.mapInArrow(_chunk_rows, "h long, id long, tag long, at int"), "chunks")
+    chunks = cut(keyed.mapInArrow(lean(_chunk_rows), "h long, id long, tag long, at int"), "chunks")
     # written, so that both sides of the join are plain shuffles and a very common chunk's rows can be split
     often = cut(chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "chunk-hashes")
     lists = cut(chunks.join(often, "h").groupBy("id", "tag").agg(F.sort_array(F.collect_set("at")).alias("places")), "chunk-places")
     found = keyed.join(_to_docs(lists), ["id", "tag"])
-    found = cut(found.mapInArrow(_instance_rows, "id long, tag long, at int, upto int, chunk binary, before array<long>, after array<long>"), "chunk-bytes")
+    found = cut(found.mapInArrow(lean(_instance_rows), "id long, tag long, at int, upto int, chunk binary, before array<long>, after array<long>"), "chunk-bytes")
     # equal bytes, not only equal hashes: the first of each chunk, then all others beside it
     key = F.xxhash64("chunk")
     first = found.groupBy(key.alias("k"), "chunk").agg(F.count("*").alias("n"), F.min(F.struct("id", "tag", "at", "before", "after")).alias("first")).where("n > 1")
@@ -194,4 +194,4 @@ def remove_repeats(docs: DataFrame, spans: bool = False) -> DataFrame:
                 out["removed"] = pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)

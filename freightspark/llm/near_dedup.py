@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from freightspark.functions.components import connected_components
 from freightspark.functions.shared import cut
-from freightspark.llm.common import U64, blocks, mix, shingle_hashes
+from freightspark.llm.common import U64, blocks, lean, mix, shingle_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 misses all bands with probability (1 - 0.8**4)**12 = 0.2 %.
@@ -81,7 +81,7 @@ def rarity(docs: DataFrame, width: int = WIDTH, bits: int = SKETCH_BITS, temper:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["at", "n"])
 
-    got = docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select("text").mapInArrow(lean(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     at, n = got.column("at").to_numpy(), got.column("n").to_numpy()
     n_docs = max(1, int(n[at == -1].sum()))
     df = np.ones(1 << bits)
@@ -163,7 +163,7 @@ def signatures(docs: DataFrame, weights: np.ndarray, width: int = WIDTH, bands:
             packed = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(digests, pa.binary()), packed], names=["node", "digest", "bands"])
 
-    return docs.select(_node().alias("node"), "text").mapInArrow(run, "node long, digest binary, bands array<long>")
+    return docs.select(_node().alias("node"), "text").mapInArrow(lean(run), "node long, digest binary, bands array<long>")
 
 
 def weighted_jaccard(a: list[str], b: list[str], weights: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -192,7 +192,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, similarit
             yield batch.select(["u", "v"]).filter(pa.array(same >= similarity))
 
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "a", "b").mapInArrow(lean(run), "u long, v long")
 
 
 def leading(texts: list[str], weights: np.ndarray, similarity: float, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -221,7 +221,7 @@ def _leading(texts: DataFrame, weights: np.ndarray, similarity: float, width: in
             at, shingles, total, rest = leading(batch.column("text").to_pylist(), known.value, similarity, width)
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at)), pa.array(shingles.view(np.int64)), pa.array(total), pa.array(rest)], names=["node", "shingle", "total", "rest"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, shingle long, total double, rest double")
+    return texts.select("node", "text").mapInArrow(lean(run), "node long, shingle long, total double, rest double")
 
 
 def _left_over(now: DataFrame, mixed: DataFrame, texts: DataFrame, weights: np.ndarray, similarity: float, width: int) -> DataFrame:

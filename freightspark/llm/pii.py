@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freightspark.llm.common import blocks
+from freightspark.llm.common import blocks, lean
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -326,7 +326,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, n_windows: int = TRAIN_
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.list_(pa.int8()), pa.bool_()), strict=True)], names=["at", "part", "tags", "has"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").rlike("[0-9@]"))
-    found = sample.mapInArrow(cut_out, "at long, part string, tags array<byte>, has boolean").distinct()
+    found = sample.mapInArrow(lean(cut_out), "at long, part string, tags array<byte>, has boolean").distinct()
     rows = [r for has, n in ((True, n_windows), (False, n_windows // 2)) for r in found.where(F.col("has") == has).orderBy("at", "part").limit(n).collect()]
     return train([(r.part, np.array(r.tags, np.int8)) for r in rows]) if rows else None
 
@@ -413,4 +413,4 @@ def detect(docs: DataFrame, net: Network | None) -> DataFrame:
             kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from freightspark.functions.shared import cut
-from freightspark.llm.common import blocks
+from freightspark.llm.common import blocks, kept, lean
 
 END_ID = 1
 #: Ids and documents of a segment at most, but a longer document stands alone.
@@ -156,13 +156,8 @@ class WordEncoder:
         return [b"".join([known[w] for w in s]) for s in split]
 
 
-_encoders: dict[tuple[str, int], WordEncoder] = {}
-
-
 def encoder(path: str, width: int) -> WordEncoder:
-    if (path, width) not in _encoders:
-        _encoders[path, width] = WordEncoder(path, width)
-    return _encoders[path, width]
+    return kept(("words", path, width), lambda: WordEncoder(path, width))
 
 
 STORE = "shard int, segment int, base long, n_docs int, n_ids long, width int, doc_ids binary, ids binary, bounds binary"
@@ -206,7 +201,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: int, end_id: int = END_
     width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(ordered.mapInArrow(_writer(path, width, end_id), STORE), name)
+    return cut(ordered.mapInArrow(lean(_writer(path, width, end_id), ("words", path, width)), STORE), name)
 
 
 def with_starts(segments: DataFrame) -> DataFrame:
@@ -234,4 +229,4 @@ def read_digests(segments: DataFrame) -> DataFrame:
                 out = [(d, row["first"] + a, len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, a, x in segment_documents(row["doc_ids"], row["ids"], row["bounds"], row["width"])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return with_starts(segments).select("first", "width", "doc_ids", "ids", "bounds").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return with_starts(segments).select("first", "width", "doc_ids", "ids", "bounds").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freightspark.functions.shared import cut
-from freightspark.llm.common import blocks, remainder
+from freightspark.llm.common import blocks, lean, remainder
 
 SAMPLE_PER_CLASS = 6000
 #: Terms of the lexicon at most, candidates looked at in the sample, and code points of a stem.
@@ -236,7 +236,7 @@ def _text_counts(rows: DataFrame, known: frozenset | None) -> DataFrame:
         if count:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in count]), pa.array([x[1] for x in count]), pa.array(list(count.values()), pa.int64())], names=["term", "stem", "n"])
 
-    return rows.select("text").mapInArrow(run, "term string, stem boolean, n long").groupBy("term", "stem").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(lean(run), "term string, stem boolean, n long").groupBy("term", "stem").agg(F.sum("n").alias("n"))
 
 
 def _places(rows: DataFrame, known: frozenset) -> DataFrame:
@@ -254,7 +254,7 @@ def _places(rows: DataFrame, known: frozenset) -> DataFrame:
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*seen, strict=True)], names=["term", "stem", "toxic", "place"])
 
-    rows = rows.select("text", F.col("toxic").cast("int")).mapInArrow(run, "term string, stem boolean, toxic long, place string")
+    rows = rows.select("text", F.col("toxic").cast("int")).mapInArrow(lean(run), "term string, stem boolean, toxic long, place string")
     return rows.distinct().groupBy("term", "stem", "toxic").agg(F.count("*").alias("n"))
 
 
@@ -299,21 +299,21 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, per_cl
     if not n_clean or not n_toxic:
         return model
     model.terms = _lexicon(sample, n_toxic, n_clean)
-    terms = model.terms
+    known_terms = docs.sparkSession.sparkContext.broadcast(Matcher(model.terms))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms)
+        matcher = known_terms.value
         for batch in blocks(batches):
             own = hits([t or "" for t in batch.column("text").to_pylist()], matcher)
             packed = [[x for h in o for x in h] for o in own]
             yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(packed, pa.list_(pa.int32()))], names=["toxic", "own"])
 
-    rows = [(r.toxic, list(zip(r.own[::3], r.own[1::3], r.own[2::3], strict=True))) for r in sample.select("text", "toxic").mapInArrow(found, "toxic int, own array<int>").where("size(own) > 0").collect()]
+    rows = [(r.toxic, list(zip(r.own[::3], r.own[1::3], r.own[2::3], strict=True))) for r in sample.select("text", "toxic").mapInArrow(lean(found), "toxic int, own array<int>").where("size(own) > 0").collect()]
     by_edit = Counter((toxic, t, e) for toxic, own in rows for t, e, _ in set(own) if e)
     for t, e in {x[1:] for x in by_edit}:
         b = by_edit[0, t, e]
         measured = np.log((by_edit[1, t, e] + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))
-        own = terms[t].weight * 0.5**e
+        own = model.terms[t].weight * 0.5**e
         model.misspelt[t, e] = float(own if not b else np.clip(measured, 0, own))
     by_use = Counter((toxic, c) for toxic, own in rows for c in {h[2] for h in own if not h[1]})
     for c, prior in PRIOR.items():
@@ -340,23 +340,25 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, per_cl
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Adds score (double), hits (int) to doc_id: one row per document."""
+    known = docs.sparkSession.sparkContext.broadcast((Matcher(model.terms), model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.terms)
+        matcher, model = known.value
         for batch in blocks(batches):
             own = hits([t or "" for t in batch.column("text").to_pylist()], matcher)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([model.score(o) for o in own], pa.float64()), pa.array([len(o) for o in own], pa.int32())], names=["doc_id", "score", "hits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, hits int")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, score double, hits int")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold, all columns kept."""
+    known = docs.sparkSession.sparkContext.broadcast((Matcher(model.terms), model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.terms)
+        matcher, model = known.value
         for batch in blocks(batches):
             own = hits([t or "" for t in batch.column("text").to_pylist()], matcher)
             yield batch.filter(pa.array([model.score(o) < threshold for o in own]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
