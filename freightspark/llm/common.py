@@ -42,8 +42,16 @@ def kept(key: Hashable, build: Callable[[], Any]) -> Any:
     return _kept[key]
 
 
+@functools.cache
+def _few_arenas() -> None:
+    """glibc gives each thread an arena that hardly shrinks; two do for a worker. -8 is M_ARENA_MAX."""
+    if tune := getattr(ctypes.CDLL(None), "mallopt", None):
+        tune(-8, 2)
+
+
 def enter(key: Hashable) -> None:
     """What other operators keep in this worker goes."""
+    _few_arenas()
     if key not in _kept:
         _kept.clear()
 
@@ -79,6 +87,14 @@ def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores after it while a column has that name (Spark doesn't tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of one hold about `limit` bytes; a longer single text stands alone."""
     for batch in batches:
@@ -102,6 +118,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_LENGTH = U64(0xD6E8FEB86659FD93)
 _powers: list[np.ndarray] = []
 
 
@@ -120,12 +137,26 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     """64-bit hashes of the runs values[start:end], equal for equal runs wherever they stand: prefix sums of a polynomial."""
     up, down = _power_tables(len(values))
     sums = np.concatenate((np.zeros(1, U64), np.cumsum(values * down[: len(values)])))
-    return mix((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    return mix((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(U64) * _LENGTH)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The same for byte spans."""
-    return run_hashes(data.astype(U64) + U64(1), starts, ends)
+    """The same for byte spans that ascend and don't overlap, a block at a time, so that a long text takes no arrays of its length."""
+    sizes = ends - starts
+    total = np.cumsum(sizes)
+    out = np.zeros(len(starts), U64)
+    at = 0
+    while at < len(starts):
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BLOCK_BYTES // 4, side="right")))
+        n = sizes[at:upto]
+        first = np.cumsum(n) - n
+        inside = np.arange(int(n.sum())) - np.repeat(first, n)
+        values = (data[np.repeat(starts[at:upto], n) + inside].astype(U64) + U64(1)) * _power_tables(int(n.max()))[1][inside]
+        full = n > 0
+        if full.any():
+            out[at:upto][full] = np.add.reduceat(values, first[full])
+        at = upto
+    return mix(out + sizes.astype(U64) * _LENGTH)
 
 
 #: A-Z to a-z; ASCII punctuation and control characters to a space. Other bytes (letters beyond ASCII) stay.

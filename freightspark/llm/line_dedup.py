@@ -1,15 +1,18 @@
 """Line dedup: content-defined chunks of lines; chunks that stand elsewhere as well are removed, but for the first.
 
-A text is cut into line units: at line breaks and, because running text has lines of any length, after sentence
-ends and before capitalised words. A rolling hash over the hashes of two units chooses chunk boundaries, so that
-a passage has the same inner chunks wherever it is inserted; a chunk has at least two units and MIN_WORDS words.
-Chunks are counted by hash over the whole corpus. Those that repeat are read again from the texts and compared
-as bytes; all but the first (least doc_id, then place) go, together with the units on either side that equal, by
-hash, the units around the first: so a passage's ends, which chunks of other boundaries hide, go too.
+Units are lines. A line of more than LONG_WORDS words is cut further, after sentence ends and after words whose hash
+is divisible by WORD_IN, so that a passage within it has the same units whatever stands around it. A rolling hash over
+the hashes of two units chooses chunk boundaries: a passage has the same inner chunks wherever it is inserted. A chunk
+has MIN_UNITS to MAX_UNITS units and at least MIN_WORDS words. Chunks are counted by hash over the whole corpus; those
+that repeat are read again from the texts and compared as bytes, and all but the first (least doc_id, then place) go.
+
+A passage's ends lie in chunks that reach beyond it, so in fewer than MAX_UNITS units on either side of its whole
+chunks. These units are compared with those around the first one, as bytes too, and go as far as they are equal.
 
 Defined cases: a null text is an empty text and stays null; a text that has nothing but repeated chunks becomes
 empty; wholly equal rows (doc_id and text) count as one document and are cleaned alike; a null doc_id comes
-first; empty tables give empty results. All columns are kept; n_chars, where it exists, is counted anew.
+first; very long texts are read whole; empty tables give empty results. All columns are kept, whatever their names;
+n_chars, where it exists, is counted anew.
 """
 
 from __future__ import annotations
@@ -22,44 +25,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freightspark.functions.shared import cut
-from freightspark.llm.common import BLOCK_BYTES, U64, blocks, lean, mix, run_hashes, span_hashes
+from freightspark.llm.common import U64, blocks, lean, mix, run_hashes, span_hashes, unused
 
-MIN_UNITS, MAX_UNITS, MIN_WORDS, ONE_IN = 2, 16, 10, 2
-#: Units on each side of a chunk that are compared with those around the first one.
-EDGE = 12
-#: Documents whose lists may be broadcast (some 100 bytes each); beyond, they are joined by a shuffle.
-LIST_BOUND = 250_000
+LONG_WORDS, WORD_IN = 24, 4
+MIN_UNITS, MAX_UNITS, MIN_WORDS, ONE_IN = 2, 12, 10, 2
+#: Bytes of lists of places that may be broadcast; beyond, they are joined by a shuffle.
+LIST_BYTES = 32 << 20
+BLOCK = 1 << 19
 NULL_ID = -(1 << 63)
 
 
+def _divided(line: np.ndarray, n_lines: int, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word of each unit, and which lines are long. line: of each word; after: whether a long line is cut after the word."""
+    sizes = np.bincount(line, minlength=n_lines)
+    long = sizes > LONG_WORDS
+    start = np.ones(len(line), bool)
+    start[1:] = (line[1:] != line[:-1]) | (after[:-1] & long[line[1:]])
+    return np.flatnonzero(start), long
+
+
 class Units:
-    """Line units of a batch of texts, and their chunks."""
+    """Units of a batch of texts, and their chunks."""
 
     def __init__(self, texts: list[bytes]):
         self.texts = texts
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        sizes = np.array([len(t) + 1 for t in texts])
-        self.base = np.cumsum(sizes) - sizes
-        before, after = np.concatenate(([10], data[:-1])), np.concatenate((data[1:], [10]))
-        space = (data == 32) | ((data >= 9) & (data <= 13))
-        before_space = np.concatenate(([True], space[:-1]))
-        capital = ((data >= 65) & (data <= 90)) | ((data == 0xC3) & (after >= 0x80) & (after <= 0x9E) & (after != 0x97))
-        ended = np.isin(np.concatenate(([10, 10], data[:-2])), (33, 46, 63)) & (before == 32)
-        cut_here = ((before == 10) & (data != 10)) | (before_space & ~space & (capital | ended))
-        cut_here[self.base] = True
-        starts = np.flatnonzero(cut_here)
-        ends = np.concatenate((starts[1:], [len(data)]))
-        last = np.maximum.accumulate(np.where(space, -1, np.arange(len(data))))
-        filled = np.maximum(last[ends - 1] + 1, starts)
-        self.hashes = span_hashes(data, starts, filled)
-        word = np.concatenate(([0], np.cumsum(before_space & ~space)))
-        self.words = word[ends] - word[starts]
-        doc = np.searchsorted(self.base, starts, side="right") - 1
-        self.first = np.searchsorted(starts, self.base)
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        base = np.cumsum(sizes) - sizes
+        space = np.concatenate(([True], (data == 32) | ((data >= 9) & (data <= 13))))
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        starts, ends = edge[::2], edge[1::2]
+        words = span_hashes(data, starts, ends)
+        breaks = np.flatnonzero(data == 10)
+        ended = np.isin(data[ends - 1], (33, 46, 63))
+        first, _ = _divided(np.searchsorted(breaks, starts), len(breaks), ended | (words % U64(WORD_IN) == 0))
+        last = np.append(first, len(starts))[1:]
+        self.words = last - first
+        self.hashes = run_hashes(words, first, last)
+        doc = np.searchsorted(base, starts[first], side="right") - 1
         self.count = np.bincount(doc, minlength=len(texts))
-        self.starts = starts - self.base[doc]
-        self.ends = np.minimum(ends - self.base[doc], sizes[doc] - 1)
-        rolling = mix(self.hashes * U64(0x9E3779B97F4A7C15) + np.concatenate((np.zeros(1, U64), self.hashes[:-1])))
+        self.first = np.cumsum(self.count) - self.count
+        self.starts, self.ends = starts[first] - base[doc], ends[last - 1] - base[doc]
+        rolling = mix(self.hashes * U64(0x9E3779B97F4A7C15) + np.concatenate((np.zeros(1, U64), self.hashes))[: len(self.hashes)])
         self.candidate = rolling % U64(ONE_IN) == 0
 
     def chunks(self, i: int) -> list[tuple[int, int]]:
@@ -77,16 +84,16 @@ class Units:
         return out
 
     def bytes_of(self, i: int, u: int, v: int) -> bytes:
-        """Units u to v of text i, without what follows the last word."""
+        """Units u to v of text i."""
         a = int(self.first[i])
-        return self.texts[i][int(self.starts[a + u]) : int(self.ends[a + v - 1])].rstrip()
+        return self.texts[i][int(self.starts[a + u]) : int(self.ends[a + v - 1])]
 
-    def around(self, i: int, u: int, v: int) -> tuple[list[int], list[int]]:
-        """Hashes of the units before (nearest first) and after."""
-        a = int(self.first[i])
-        b = a + int(self.count[i])
-        left = self.hashes[max(a, a + u - EDGE) : a + u][::-1]
-        return left.view(np.int64).tolist(), self.hashes[a + v : min(b, a + v + EDGE)].view(np.int64).tolist()
+    def before(self, i: int, u: int) -> list[bytes]:
+        """The units before unit u, nearest first."""
+        return [self.bytes_of(i, k, k + 1) for k in range(u - 1, max(-1, u - MAX_UNITS), -1)]
+
+    def after(self, i: int, v: int) -> list[bytes]:
+        return [self.bytes_of(i, k, k + 1) for k in range(v, min(int(self.count[i]), v + MAX_UNITS - 1))]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -106,7 +113,7 @@ def _binary(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in blocks(batches, limit=BLOCK_BYTES):
+    for batch in blocks(batches, limit=BLOCK):
         units = Units(_binary(batch))
         own = [units.chunks(i) for i in range(batch.num_rows)]
         doc = np.repeat(np.arange(batch.num_rows), [len(c) for c in own])
@@ -119,20 +126,27 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _instance_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The listed chunks of each text: their bytes and what surrounds them."""
-    for batch in blocks(batches, limit=BLOCK_BYTES):
+    """The listed chunks of each text: their bytes, and the units around those that are the first of their hash or end a run of listed chunks."""
+    for batch in blocks(batches, limit=BLOCK):
         units, rows = Units(_binary(batch)), []
         for i, (doc_id, tag, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "places")), strict=True)):
             end = dict(units.chunks(i))
-            for u in places:
-                rows.append((doc_id, tag, u, end[u], units.bytes_of(i, u, end[u]), *units.around(i, u, end[u])))
+            listed = {p["at"] for p in places}
+            ends = {end[u] for u in listed}
+            for p in places:
+                u, v = p["at"], end[p["at"]]
+                before = units.before(i, u) if p["first"] or u not in ends else []
+                after = units.after(i, v) if p["first"] or v not in listed else []
+                rows.append((doc_id, tag, u, v, units.bytes_of(i, u, v), before, after))
         if rows:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "tag", "at", "upto", "chunk", "before", "after"])
 
 
-def _to_docs(lists: DataFrame) -> DataFrame:
-    return F.broadcast(lists) if lists.count() <= LIST_BOUND else lists
+def _to_docs(lists: DataFrame, column: str) -> DataFrame:
+    """Broadcast if the lists are small: 64 bytes a row and 16 an element are more than they take."""
+    size = lists.agg(F.coalesce(F.sum(F.lit(64) + 16 * F.size(column)), F.lit(0))).first()[0]
+    return F.broadcast(lists) if size <= LIST_BYTES else lists
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -140,19 +154,23 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     chunks = cut(keyed.mapInArrow(lean(_chunk_rows), "h long, id long, tag long, at int"), "chunks")
     # written, so that both sides of the join are plain shuffles and a very common chunk's rows can be split
-    often = cut(chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "chunk-hashes")
-    lists = cut(chunks.join(often, "h").groupBy("id", "tag").agg(F.sort_array(F.collect_set("at")).alias("places")), "chunk-places")
-    found = keyed.join(_to_docs(lists), ["id", "tag"])
-    found = cut(found.mapInArrow(lean(_instance_rows), "id long, tag long, at int, upto int, chunk binary, before array<long>, after array<long>"), "chunk-bytes")
+    here = F.struct("id", "tag", "at")
+    often = cut(chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(here).alias("one")).where("n > 1").select("h", "one"), "chunk-hashes")
+    places = F.sort_array(F.collect_set(F.struct("at", (here == F.col("one")).alias("first"))))
+    lists = cut(chunks.join(often, "h").groupBy("id", "tag").agg(places.alias("places")), "chunk-places")
+    found = keyed.join(_to_docs(lists, "places"), ["id", "tag"])
+    found = cut(found.mapInArrow(lean(_instance_rows), "id long, tag long, at int, upto int, chunk binary, before array<binary>, after array<binary>"), "chunk-bytes")
     # equal bytes, not only equal hashes: the first of each chunk, then all others beside it
     key = F.xxhash64("chunk")
-    first = found.groupBy(key.alias("k"), "chunk").agg(F.count("*").alias("n"), F.min(F.struct("id", "tag", "at", "before", "after")).alias("first")).where("n > 1")
-    first = cut(first.select("k", "chunk", "first"), "chunk-firsts")
-    others = found.withColumn("k", key).join(first, ["k", "chunk"]).where("struct(id, tag, at) > struct(first.id, first.tag, first.at)")
+    first = found.groupBy(key.alias("k"), "chunk").agg(F.count("*").alias("n"), F.min(here).alias("one")).where("n > 1").select("k", "chunk", "one")
+    first = cut(first, "chunk-firsts")
+    edges = found.select(here.alias("one"), F.col("before").alias("first_before"), F.col("after").alias("first_after"))
+    first = cut(first.join(edges, "one"), "chunk-edges")
+    others = found.withColumn("k", key).join(first, ["k", "chunk"]).where("struct(id, tag, at) > one")
 
     def alike(a: str) -> Column:
         """How many units, from the chunk outwards, equal those around the first."""
-        same = F.zip_with(a, f"first.{a}", lambda x, y: F.coalesce(x == y, F.lit(False)))
+        same = F.zip_with(a, f"first_{a}", lambda x, y: F.coalesce(x == y, F.lit(False)))
         wrong = F.array_position(same, F.lit(False)).cast("int")
         return F.when(wrong > 0, wrong - 1).otherwise(F.size(same))
 
@@ -160,30 +178,38 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, spans: bool = False) -> DataFrame:
-    """The documents without their repeated chunks. With `spans` also removed: an array of the removed (start, end) in code points."""
-    ranges = repeated_chunks(docs).distinct().groupBy("id", "tag").agg(F.collect_list(F.struct("at", "upto")).alias("_ranges"))
-    ranges = cut(ranges.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "_ranges"), "chunk-ranges")
+    """The documents without their repeated chunks. With `spans` also `removed` (with underscores after it where docs
+    has that column): an array of the removed (start, end) in code points.
+    """
+    ranges = repeated_chunks(docs).distinct().groupBy("id", "tag").agg(F.collect_list(F.struct("at", "upto")).alias("ranges"))
     names = docs.columns
-    joined = docs.withColumns({"_id": _id(), "_tag": _tag()}).join(_to_docs(ranges), ["_id", "_tag"], "left").select(*names, "_ranges")
-    schema = docs.schema if not spans else docs.select("*", F.expr("cast(null as array<struct<start: int, end: int>>) as removed")).schema
+    own_id, own_tag, own_ranges, removed = (unused(n, names) for n in ("id", "tag", "ranges", "removed"))
+    ranges = cut(ranges.select(F.col("id").alias(own_id), F.col("tag").alias(own_tag), F.col("ranges").alias(own_ranges)), "chunk-ranges")
+    joined = docs.withColumns({own_id: _id(), own_tag: _tag()}).join(_to_docs(ranges, own_ranges), [own_id, own_tag], "left").select(*names, own_ranges)
+    schema = docs.schema if not spans else docs.select("*", F.expr("cast(null as array<struct<start: int, end: int>>)").alias(removed)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, limit=BLOCK_BYTES):
+        for batch in blocks(batches, limit=BLOCK):
             texts, gone = batch.column("text").to_pylist(), [[] for _ in range(batch.num_rows)]
-            lists = batch.column("_ranges").to_pylist()
+            lists = batch.column(own_ranges).to_pylist()
             touched = [i for i, r in enumerate(lists) if r]
             units = Units([texts[i].encode("utf-8", "surrogatepass") for i in touched]) if touched else None
             for j, i in enumerate(touched):
                 a, data, kept, at, done = int(units.first[j]), units.texts[j], [], 0, 0
                 for r in sorted((r["at"], r["upto"]) for r in lists[i]):
-                    s, e = int(units.starts[a + r[0]]), int(units.ends[a + r[1] - 1])
+                    s = int(units.starts[a + r[0]])
+                    # what follows up to the next unit goes with the range
+                    e = int(units.starts[a + r[1]]) if r[1] < units.count[j] else len(data)
                     if e <= at:
                         continue
                     s = max(s, at)
                     kept.append(data[at:s])
                     start = done + len(data[at:s].decode("utf-8", "surrogatepass"))
                     done = start + len(data[s:e].decode("utf-8", "surrogatepass"))
-                    gone[i].append({"start": start, "end": done})
+                    if gone[i] and gone[i][-1]["end"] == start:
+                        gone[i][-1]["end"] = done
+                    else:
+                        gone[i].append({"start": start, "end": done})
                     at = e
                 texts[i] = b"".join([*kept, data[at:]]).decode("utf-8", "surrogatepass")
             out = {n: batch.column(n) for n in names}
@@ -191,7 +217,7 @@ def remove_repeats(docs: DataFrame, spans: bool = False) -> DataFrame:
             if "n_chars" in out and touched:
                 out["n_chars"] = pa.array([len(texts[i]) if lists[i] else n for i, n in enumerate(out["n_chars"].to_pylist())], out["n_chars"].type)
             if spans:
-                out["removed"] = pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                out[removed] = pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return joined.mapInArrow(lean(run), schema)

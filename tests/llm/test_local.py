@@ -136,20 +136,116 @@ def test_quotation_counts_less():
     assert plain > 0.7 > quoted > none
 
 
-def test_tree_is_a_distribution_and_learns():
+def plain_tree(texts, how, sparse):
+    """log10 of any text under context-tree weighting, by recursion over dictionaries."""
+    from collections import Counter, defaultdict
+    from functools import cache
+    from math import log, log10
+
+    depth, seen = lm_scoring.DEPTH, defaultdict(Counter)
+
+    def steps(text):
+        data = b"\n" * depth + b" ".join(lm_scoring.words_of(text)) + b"\n"
+        for i in range(depth, len(data)):
+            yield [data[i - d : i] for d in range(depth + 1)], data[i]
+
+    total = 0
+    for t in texts:
+        for contexts, byte in steps(t):
+            total += 1
+            for c in contexts:
+                seen[c][byte] += 1
+    least = max(2, total**0.5 / sparse)
+    known = {c for c, n in seen.items() if not c or n.total() >= least}
+    kids = defaultdict(list)
+    for c in known:
+        if c:
+            kids[c[1:]].append(c)
+
+    def path(byte):
+        a, n = how.start[byte], how.count[byte]
+        return list(zip(how.number[a : a + n].tolist(), how.outcome[a : a + n].tolist(), strict=True))
+
+    @cache
+    def counts(c, j):
+        out = [0, 0]
+        for byte, n in seen[c].items():
+            for k, bit in path(byte):
+                if k == j:
+                    out[bit] += n
+        return tuple(out)
+
+    def kt(z, o):
+        return sum(log((i + 0.5) / (i + 1)) for i in range(z)) + sum(log((i + 0.5) / (z + i + 1)) for i in range(o))
+
+    def rare(c, j):
+        z, o = counts(c, j)
+        for k in kids[c]:
+            z, o = z - counts(k, j)[0], o - counts(k, j)[1]
+        return z, o
+
+    @cache
+    def weighted(c, j):
+        own = kt(*counts(c, j))
+        if len(c) == depth:
+            return own
+        split = kt(*rare(c, j)) + sum(weighted(k, j) for k in kids[c])
+        return np.logaddexp(own, split) - log(2)
+
+    def one(c, j):
+        mixed, rest = 0.0, 1.0
+        for d in range(len(c) + 1):
+            at = c[len(c) - d :]
+            z, o = counts(at, j)
+            estimate = (o + 0.5) / (z + o + 1)
+            share = 1.0 if d == depth else np.exp(kt(z, o) - log(2) - weighted(at, j))
+            leaf = mixed + rest * estimate
+            if d < depth and sum(rare(at, j)):
+                x, y = rare(at, j)
+                leaf = mixed + rest * share * estimate + rest * (1 - share) * (y + 0.5) / (x + y + 1)
+            mixed, rest = mixed + rest * share * estimate, rest * (1 - share)
+        return leaf
+
+    @cache
+    def p(c, byte):
+        """Of a byte that the context has seen, or of any in the empty context."""
+        out = 1.0
+        for j, bit in path(byte):
+            x = one(c, j) if sum(counts(c, j)) else 0.5
+            out *= x if bit else 1 - x
+        return out
+
+    def log_p(c, byte):
+        if c in known and (not c or seen[c][byte]):
+            return log10(p(c, byte))
+        escape = 0.0
+        if c in known:
+            left, there = 1 - sum(p(c, b) for b in seen[c]), 1 - sum(10 ** log_p(c[1:], b) if not seen[c[1:]][b] else p(c[1:], b) for b in seen[c])
+            escape = log10(left) - log10(there)
+        return escape + log_p(c[1:], byte)
+
+    return lambda text: sum(log_p(contexts[-1], byte) for contexts, byte in steps(text)), log_p, known
+
+
+def test_table_gives_what_plain_context_tree_weighting_gives():
     r = random.Random(8)
-    texts = [[r.choice([b"abra", b"cadabra", b"hocus"]) for _ in range(30)] for _ in range(40)]
-    data, at, _ = lm_scoring._byte_stream(texts, 3)
-    rows = {}
-    for d in range(4):
-        for i in at:
-            c = sum(int(data[i - k]) << (8 * (k - 1)) for k in range(1, d + 1))
-            rows[d, c, int(data[i])] = rows.get((d, c, int(data[i])), 0) + 1
-    keys = np.array(list(rows), np.int64)
-    tree = lm_scoring.build_tree(keys[:, 0], keys[:, 1], keys[:, 2], np.array(list(rows.values())), 3)
-    p = 10.0 ** tree.logp.astype(float)
-    assert np.allclose(p[:, :-1].sum(1) + p[:, -1] * (256 - (p.shape[1] - 1)), 1, atol=1e-4)
-    assert tree.log10(data, at).mean() * -np.log2(10) < 1.2
+    texts = [" ".join(r.choice(["abra", "cadabra", "hocus", "ab", "ba"]) for _ in range(r.randrange(30))) for _ in range(40)]
+    rows = [np.unique(c, return_counts=True) for c, _ in lm_scoring.streams([lm_scoring.words_of(t) for t in texts])]
+    codes, inverse = np.unique(np.concatenate([c for c, _ in rows]), return_inverse=True)
+    n = np.bincount(inverse, np.concatenate([n for _, n in rows])).astype(np.int64)
+    how = lm_scoring.Decisions.of(np.bincount(codes & 255, n, minlength=256))
+    for sparse in (400, 8):
+        levels = lm_scoring.tree(codes, n, how, max(2.0, n.sum() ** 0.5 / sparse), range(lm_scoring.DEPTH + 1))
+        for above, level in zip([None, *levels], levels, strict=False):
+            level.mix(above)
+        table = lm_scoring.Table(*lm_scoring.entries(levels, None, how))
+        brute, log_p, known = plain_tree(texts, how, sparse)
+        for text in [*texts[:6], "", "abracab hoc xyz", "ÿ" * 9]:
+            words = [lm_scoring.words_of(text)]
+            assert lm_scoring.text_scores(table, words)[0] == pytest.approx(brute(text), rel=1e-5)
+            assert sum(lm_scoring.text_scores(table, words, k, 3)[0] for k in range(3)) == pytest.approx(brute(text), rel=1e-5)
+        for c in sorted(known, key=lambda c: (-len(c), c))[::25]:
+            assert sum(10 ** log_p(c, b) for b in range(256)) == pytest.approx(1, abs=1e-4)
 
 
 def test_lgamma():
@@ -208,7 +304,9 @@ def test_units_are_the_text_and_chunks_resist_shifts():
     u = line_dedup.Units(texts)
     for i, t in enumerate(texts):
         a, b = int(u.first[i]), int(u.first[i] + u.count[i])
-        assert b"".join(t[int(u.starts[k]) : int(u.ends[k])] for k in range(a, b)) == t
+        assert b" ".join(t[int(u.starts[k]) : int(u.ends[k])] for k in range(a, b)).split() == t.split()
+    lines = line_dedup.Units([b"a short line.\n\n  another one. here\nend"])
+    assert [lines.bytes_of(0, k, k + 1) for k in range(int(lines.count[0]))] == [b"a short line.", b"another one. here", b"end"]
     chunks = [{u.bytes_of(i, *c) for c in u.chunks(i)} for i in range(2)]
     assert sum(map(len, chunks[0] & chunks[1])) > 0.6 * len(passage)
 
