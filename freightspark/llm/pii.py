@@ -1,16 +1,20 @@
 """Personal data: exact base patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
-Every kind of span holds a digit or an at sign, so the network reads windows around those and nowhere else; this
-leaves nothing out. Windows of a long stretch overlap; each is decoded on its own, and each character takes the
-label of the window in which it stands farthest from an edge. Spans read from the joined labels are added if
-they touch no base span, are sure enough and fit their kind (digits, Luhn sum, parts of an address).
-
-Training is numpy on the driver: windows from a bounded sample of documents (SAMPLE_DOCS, least hash of doc_id),
-labelled by the base patterns; some labelled spans are rewritten in ways that the patterns miss ("name (at)
-host", "10[.]0[.]0[.]1", "(555) 010-0199", dotted card numbers) and keep their labels.
+The network reads overlapping windows of the stretches around triggers: digits, at signs, and the word "at" before
+something that can be a host. A span that it adds must have the shape of its kind (`fits`), and every such shape holds
+a trigger, so what is not read could not be added; a test embeds every rewritten form in plain letters. A stretch is
+reconciled as a whole: each character's emissions are averaged over its windows, less at a window's edges, and one
+Viterbi path goes through the stretch. Spans on the path are added if they touch no base span and are sure enough.
+
+Training is numpy on the driver: windows from a bounded sample of documents (SAMPLE_DOCS, least hash of doc_id).
+Labels are the base spans, numbers grouped like a card's whose check digit is wrong (a mistyped number is personal
+data still), and secrets, values of 16 characters and more that are assigned to a token, key or password. Labelled
+spans are rewritten besides in ways that the patterns miss ("name (at) host dot org", "10[.]0[.]0[.]1",
+"(555) 010-0199", dotted card numbers). Secrets have columns of their own; `spans` has the four kinds.
 
 Defined cases: null and empty texts have no spans; offsets are code points, ends exclusive; repeated rows give
-repeated rows; a sample without windows gives no network and base spans only. Only doc_id and text are read.
+repeated rows; very long texts are read whole, a long stretch in many windows; a sample without windows gives no
+network and base spans only. Only doc_id and text are read, so other columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,12 +31,15 @@ from pyspark.sql import functions as F
 
 from freightspark.llm.common import blocks, lean
 
-KINDS = ("email", "ip", "card", "phone")
-EMAIL, IP, CARD, PHONE = range(4)
+#: The first four have base patterns.
+KINDS = ("email", "ip", "card", "phone", "secret")
+EMAIL, IP, CARD, PHONE, SECRET = range(5)
+BASE_KINDS = 4
 SAMPLE_DOCS, TRAIN_WINDOWS = 4000, 3000
-#: Code points of a window, its step in a long stretch, and what is read on each side of a digit or at sign.
-WINDOW, STEP, MARGIN = 96, 64, 24
-EMBED, HIDDEN, STEPS, BATCH, SURE = 12, 16, 600, 48, 0.9
+#: Code points of a window, its step in a long stretch, and what is read on each side of a trigger.
+WINDOW, STEP, MARGIN = 96, 64, 40
+#: SURE: least geometric mean of the probabilities of an added span's labels.
+EMBED, HIDDEN, STEPS, BATCH, SURE = 12, 16, 600, 48, 0.8
 #: Rewritten copies of a labelled span.
 REWRITES = 2
 
@@ -42,7 +49,12 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+(?<=[0-9])")
-_TRIGGER = re.compile(r"[0-9@]+")
+#: Between the parts of a host, written out or in brackets.
+_DOT = r"(?:[\[(]?\.[\])]?|\W{1,2}dot\W{1,2})"
+_TRIGGER = re.compile(r"[0-9@]+|(?<=\W)at\W{1,2}[a-z0-9-]+" + _DOT + "[a-z0-9]", re.I)
+_SHAPE = re.compile(r"[a-z0-9._%+-]+(?:\s?@\s?|\W{1,2}at\W{1,2})[a-z0-9-]+(?:" + _DOT + "[a-z0-9-]+)+", re.I)
+_GROUPS = re.compile(r"(?<![0-9])(?:[0-9]{4}[ .-]?){3}[0-9]{4,7}(?![0-9])")
+_SECRET = re.compile(r"(?:token|secret|password|passwd|key)\W{1,4}([a-z0-9+/_-]{16,})", re.I)
 _DIGIT = re.compile(r"[0-9]")
 
 Span = tuple[int, int, int]
@@ -86,22 +98,33 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the windows that hold every digit and at sign with its margin."""
-    out = []
-    spots = [(max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)) for m in _TRIGGER.finditer(text)]
+def labelled_spans(text: str) -> list[Span]:
+    """What the network learns from: the base spans, card-like numbers whatever their check digit, and assigned secrets."""
+    out = base_spans(text)
+    for kind, found in ((CARD, ((m.start(), m.end()) for m in _GROUPS.finditer(text))), (SECRET, (m.span(1) for m in _SECRET.finditer(text)))):
+        out += [(kind, a, b) for a, b in found if all(e <= a or s >= b for _, s, e in out)]
+    return out
+
+
+def stretches(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the parts that the network reads: triggers with their margins, those that touch made one."""
     merged: list[list[int]] = []
-    for a, b in spots:
+    for m in _TRIGGER.finditer(text):
+        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
         if merged and a <= merged[-1][1]:
             merged[-1][1] = max(b, merged[-1][1])
         else:
             merged.append([a, b])
-    for a, b in merged:
-        while b - a > WINDOW:
-            out.append((a, a + WINDOW))
-            a += STEP
-        out.append((a, b))
-    return out
+    return [(a, b) for a, b in merged]
+
+
+def windows(a: int, b: int) -> list[tuple[int, int]]:
+    """Overlapping windows of a stretch."""
+    out = []
+    while b - a > WINDOW:
+        out.append((a, a + WINDOW))
+        a += STEP
+    return [*out, (a, b)]
 
 
 _CLASSES = 100
@@ -204,10 +227,12 @@ class Network:
         z = _logsumexp(alpha[:, -1], 1)
         return z, np.exp(np.clip(alpha + beta - z[:, None, None], -60, 0)), alpha, beta
 
-    def decode(self, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best labels (Viterbi), and the marginal probability of each label."""
-        mask = np.arange(x.shape[1]) < lengths[:, None]
-        e, *_ = self.emissions(x, mask)
+    def emit(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return self.emissions(x, np.arange(x.shape[1]) < lengths[:, None])[0]
+
+    def best(self, e: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best labels (Viterbi) of padded emissions, and the marginal probability of each label."""
+        mask = np.arange(e.shape[1]) < lengths[:, None]
         _, marginal, *_ = self.chain(e, mask)
         trans, length, n = self.w["trans"], e.shape[1], len(e)
         score, back = e[:, 0], np.zeros(e.shape, np.int8)
@@ -292,14 +317,16 @@ def rewritten(kind: int, span: str, r: np.random.Generator) -> str:
         return span.replace(".", str(r.choice(["[.]", "(.)", " . "])))
     if kind == CARD:
         return str(r.choice([".", "  ", "/", " - "])).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if kind == SECRET:
+        return span[: r.integers(16, len(span) + 1)]
     tail = digits[-10:]
     return str(r.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "({}){}.{}"])).format(tail[:3], tail[3:6], tail[6:])
 
 
 def examples_of(text: str, seed: int) -> Iterator[tuple[str, list[int], bool]]:
     """(window, tags, has a span): windows as they stand, and those with a rewritten span."""
-    r, spans = np.random.default_rng(seed), base_spans(text)
-    for a, b in windows(text):
+    r, spans = np.random.default_rng(seed), labelled_spans(text)
+    for a, b in (w for s in stretches(text) for w in windows(*s)):
         own = [s for s in spans if s[1] < b and s[2] > a]
         yield text[a:b], tags_of(own, a, b).tolist(), bool(own)
         whole = [s for s in own if s[1] >= a and s[2] <= b]
@@ -311,7 +338,7 @@ def examples_of(text: str, seed: int) -> Iterator[tuple[str, list[int], bool]]:
                 yield part, tags_of([(kind, s - a, s - a + len(new))], 0, len(part)).tolist(), True
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, n_windows: int = TRAIN_WINDOWS) -> Network | None:
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, n_windows: int = TRAIN_WINDOWS, steps: int = STEPS) -> Network | None:
     """Train on windows of a bounded sample: at most `n_windows` with and half as many without a span."""
     ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
 
@@ -325,10 +352,10 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, n_windows: int = TRAIN_
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.list_(pa.int8()), pa.bool_()), strict=True)], names=["at", "part", "tags", "has"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").rlike("[0-9@]"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     found = sample.mapInArrow(lean(cut_out), "at long, part string, tags array<byte>, has boolean").distinct()
     rows = [r for has, n in ((True, n_windows), (False, n_windows // 2)) for r in found.where(F.col("has") == has).orderBy("at", "part").limit(n).collect()]
-    return train([(r.part, np.array(r.tags, np.int8)) for r in rows]) if rows else None
+    return train([(r.part, np.array(r.tags, np.int8)) for r in rows], steps) if rows else None
 
 
 def hash_of(part: str, seed: int) -> int:
@@ -339,61 +366,67 @@ def fits(kind: int, s: str) -> bool:
     """A span that the network adds has what its kind must have."""
     digits = _digits(s)
     if kind == EMAIL:
-        return bool(re.search(r"[A-Za-z0-9]\W{0,2}(?:@|\bat\b)\W{0,2}[A-Za-z0-9]", s, re.I)) and bool(re.search(r"\.|\bdot\b", s, re.I))
+        return bool(_SHAPE.fullmatch(s))
     if kind == IP:
         parts = re.findall("[0-9]+", s)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == CARD:
-        return 13 <= len(digits) <= 19 and luhn(digits)
+        return 13 <= len(digits) <= 19
+    if kind == SECRET:
+        return len(s) >= 16 and not re.search(r"\s", s) and 0 < len(digits) < len(s)
     return 8 <= len(digits) <= 15
 
 
-def joined_spans(text: str, places: list[tuple[int, int]], labels: list[np.ndarray], sure: list[np.ndarray]) -> list[tuple[int, int, int, float]]:
-    """One text's decoded windows made one: (kind, start, end, least probability)."""
-    out = []
-    label: dict[int, tuple[int, int, float]] = {}
-    for (a, b), y, p in zip(places, labels, sure, strict=True):
-        for k in range(b - a):
-            depth = min(k if a else WINDOW, b - a - 1 - k if b < len(text) else WINDOW)
-            if a + k not in label or label[a + k][0] < depth:
-                label[a + k] = (depth, int(y[k]), float(p[k]))
-    start, kind, least, before = None, -1, 1.0, None
-    for at in sorted(label):
-        _, t, p = label[at]
-        own = (t - 1) // 2 if t else -1
-        if start is not None and (own != kind or t % 2 == 1 or before != at - 1):
-            out.append((kind, start, before + 1, least))
-            start = None
-        if t and start is None:
-            start, kind, least = at, own, p
-        elif t:
-            least = min(least, p)
-        before = at
-    if start is not None:
-        out.append((kind, start, before + 1, least))
-    return out
+def spans_of(y: np.ndarray, p: np.ndarray, start: int) -> Iterator[tuple[int, int, int, float]]:
+    """(kind, start, end, geometric mean of the probabilities) of the spans on a path."""
+    begins = np.flatnonzero((y > 0) & ((y % 2 == 1) | np.concatenate(([True], (y[:-1] + 1) // 2 != (y[1:] + 1) // 2))))
+    inside = np.concatenate(((y > 0), [False]))
+    for a in begins.tolist():
+        b = a + 1
+        while inside[b] and y[b] == 2 + (int(y[a]) - 1) // 2 * 2:
+            b += 1
+        yield (int(y[a]) - 1) // 2, start + a, start + b, float(np.exp(np.log(np.maximum(p[a:b], 1e-9)).mean()))
+
+
+def _batches(sizes: list[int], cells: int = 256 * WINDOW) -> Iterator[list[int]]:
+    """Numbers of things of like size, as many as fill about `cells` when padded."""
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    own: list[int] = []
+    for i in order:
+        if own and (len(own) + 1) * sizes[i] > cells:
+            yield own
+            own = []
+        own.append(i)
+    if own:
+        yield own
 
 
 def find(texts: list[str], net: Network | None) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and added spans of each text."""
     base = [base_spans(t) for t in texts]
     added: list[list[Span]] = [[] for _ in texts]
-    places = [(i, a, b) for i, t in enumerate(texts) for a, b in windows(t)] if net else []
-    labels: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
-    by_length = sorted(places, key=lambda p: p[2] - p[1])
-    for k in range(0, len(by_length), 256):
-        part = by_length[k : k + 256]
-        x, lengths = padded([texts[i][a:b] for i, a, b in part])
-        y, p = net.decode(x, lengths)
-        labels.update((place, (y[j, :n], p[j, :n])) for j, (place, n) in enumerate(zip(part, lengths.tolist(), strict=True)))
-    own: dict[int, list[tuple[int, int, int]]] = {}
-    for place in places:
-        own.setdefault(place[0], []).append(place)
-    for i, mine in own.items():
-        text = texts[i]
-        for kind, a, b, p in joined_spans(text, [m[1:] for m in mine], [labels[m][0] for m in mine], [labels[m][1] for m in mine]):
-            if p >= SURE and all(e <= a or s >= b for _, s, e in base[i]) and fits(kind, text[a:b]):
-                added[i].append((kind, a, b))
+    read = [(i, a, b) for i, t in enumerate(texts) for a, b in stretches(t)] if net else []
+    total = [np.zeros((b - a, TAGS), np.float32) for _, a, b in read]
+    share = [np.zeros((b - a, 1), np.float32) for _, a, b in read]
+    parts = [(k, a, b) for k, (_, s, e) in enumerate(read) for a, b in windows(s, e)]
+    for own in _batches([b - a for _, a, b in parts]):
+        x, lengths = padded([texts[read[parts[j][0]][0]][parts[j][1] : parts[j][2]] for j in own])
+        for j, n, e in zip(own, lengths.tolist(), net.emit(x, lengths), strict=True):
+            k, a, _ = parts[j]
+            at = slice(a - read[k][1], a - read[k][1] + n)
+            weight = (1 + np.minimum(np.arange(n), np.arange(n)[::-1]))[:, None].astype(np.float32)
+            total[k][at] += weight * e[:n]
+            share[k][at] += weight
+    for own in _batches([len(t) for t in total]):
+        lengths = np.array([len(total[k]) for k in own])
+        e = np.zeros((len(own), int(lengths.max()), TAGS), np.float32)
+        for j, k in enumerate(own):
+            e[j, : lengths[j]] = total[k] / share[k]
+        for k, n, y, p in zip(own, lengths.tolist(), *net.best(e, lengths), strict=True):
+            i, start, _ = read[k]
+            for kind, a, b, sure in spans_of(y[:n], p[:n], start):
+                if sure >= SURE and all(e <= a or s >= b for _, s, e in base[i]) and fits(kind, texts[i][a:b]):
+                    added[i].append((kind, a, b))
     return list(zip(base, added, strict=True))
 
 
@@ -401,16 +434,25 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
+_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long, secrets string, n_spans long"
+
+
 def detect(docs: DataFrame, net: Network | None) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone of base spans, base_sha256, spans, n_added) of every document."""
+    """(doc_id, n_email, n_ip, n_card, n_phone of base spans, base_sha256, spans, n_added, n_secret, secrets, n_spans) of every document.
+
+    n_added: spans of the four kinds that the network adds; n_spans: all spans, secrets too.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=1 << 18):
             rows = []
-            for doc_id, (base, added) in zip(batch.column("doc_id").to_pylist(), find([t or "" for t in batch.column("text").to_pylist()], net), strict=True):
-                counts = [sum(s[0] == k for s in base) for k in range(len(KINDS))]
-                rows.append((doc_id, *counts, hashlib.sha256(written(base).encode()).hexdigest(), written(base + added), len(added)))
-            kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
-
-    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+            for doc_id, (base, added) in zip(batch.column("doc_id").to_pylist(), find([t or "" for t in batch.column("text").to_pylist()], known.value), strict=True):
+                counts = [sum(s[0] == k for s in base) for k in range(BASE_KINDS)]
+                personal, secrets = [s for s in added if s[0] != SECRET], [s for s in added if s[0] == SECRET]
+                digest = hashlib.sha256(written(base).encode()).hexdigest()
+                rows.append((doc_id, *counts, digest, written(base + personal), len(personal), len(secrets), written(secrets), len(base) + len(added)))
+            kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()] * 2 + [pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _FOUND.split(", ")])
+
+    return docs.select("doc_id", "text").mapInArrow(lean(run), _FOUND)

@@ -75,12 +75,22 @@ def test_base_spans():
     assert pii.base_spans("4111 1111 1111 1111") == [(pii.CARD, 0, 19)]
 
 
-def test_windows_hold_every_trigger():
-    r = random.Random(2)
-    for _ in range(300):
-        t = "".join(r.choice("aaaaaaaaaaaaaa 1@") for _ in range(r.randint(0, 500)))
-        inside = {i for a, b in pii.windows(t) for i in range(a, b)}
-        assert all(i in inside for i, c in enumerate(t) if c in "1@")
+def test_every_rewritten_form_is_read_whole():
+    """In plain letters, without a digit or at sign about: each rewritten form lies in one stretch, and fits its kind."""
+    spans = [(pii.EMAIL, "ann.lee@mail.example.com"), (pii.EMAIL, "bo@host.org"), (pii.IP, "10.20.30.40"), (pii.CARD, "4111111111111111"), (pii.PHONE, "+1 (555) 010-0199"), (pii.SECRET, "ab" + "c" * 30 + "9" * 8)]
+    g = np.random.default_rng(6)
+    for kind, span in spans * 40:
+        new = pii.rewritten(kind, span, g)
+        if kind == pii.SECRET and not any(c.isdigit() for c in new):
+            continue
+        text = "plain letters only " * 6 + new + " and more plain letters" * 6
+        at = text.index(new)
+        assert any(a <= at and at + len(new) <= b for a, b in pii.stretches(text)), new
+        assert pii.fits(kind, new), new
+    for t in ["".join(random.Random(i).choice("ab@19. ") for _ in range(300)) for i in range(40)]:
+        inside = {i for s in pii.stretches(t) for a, b in pii.windows(*s) for i in range(a, b)}
+        assert all(j in inside for i, c in enumerate(t) if c in "19@" for j in range(max(0, i - pii.MARGIN), min(len(t), i + pii.MARGIN)))
+    assert pii.stretches("look at home. The dot at the end, at most.") == []
 
 
 def test_network_learns_labelled_spans():
@@ -95,11 +105,38 @@ def test_network_learns_labelled_spans():
     examples = [(p, np.array(y, np.int8)) for i, t in enumerate(texts[:400]) for p, y, _ in pii.examples_of(t, i)]
     net = pii.train(examples, steps=150)
     x, lengths = pii.padded(texts[400:])
-    y, _ = net.decode(x, lengths)
+    y, _ = net.best(net.emit(x, lengths), lengths)
     right = sum((y[i, : len(t)] == pii.tags_of(pii.base_spans(t), 0, len(t))).all() for i, t in enumerate(texts[400:]))
     assert right >= 85
 
 
+def test_viterbi_and_marginals_equal_enumeration():
+    g = np.random.default_rng(3)
+    net = pii.Network.fresh()
+    net.w["trans"] = g.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)
+    e, lengths = g.standard_normal((3, 4, pii.TAGS)).astype(np.float32), np.array([4, 2, 1])
+    y, p = net.best(e, lengths)
+    for i, n in enumerate(lengths.tolist()):
+        paths = np.array(list(itertools.product(range(pii.TAGS), repeat=n)))
+        score = sum(e[i, t, paths[:, t]] for t in range(n)) + sum(net.w["trans"][paths[:, t - 1], paths[:, t]] for t in range(1, n))
+        assert y[i, :n].tolist() == paths[score.argmax()].tolist()
+        w = np.exp(score - score.max())
+        assert np.allclose(p[i, :n], [w[paths[:, t] == y[i, t]].sum() / w.sum() for t in range(n)], atol=1e-4)
+
+
+def test_long_stretch_is_one_path():
+    """A stretch of many windows: the joined emissions of overlapping windows are averages, and spans across windows stay whole."""
+    net = pii.Network.fresh()
+    for name in ("trans", "out"):
+        net.w[name][:] = 0
+    net.w["out_b"][:] = -5
+    net.w["out_b"][2 + 2 * pii.CARD] = 5
+    assert pii.find(["1" * 1000], net)[0][1] == []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pii, "fits", lambda kind, s: True)
+        assert pii.find(["1" * 1000], net)[0][1] == [(pii.CARD, 0, 1000)]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -90,6 +90,37 @@ def test_pii(spark, odd, none):
     assert pii.fit(odd) is None and pii.detect(none, None).count() == 0
 
 
+def test_pii_network_adds_held_out_spans(spark):
+    """Trained on documents with patterned spans; planted, rewritten and mistyped ones in other documents are found."""
+    g, r = np.random.default_rng(9), random.Random(9)
+
+    def span(kind):
+        if kind == pii.EMAIL:
+            return f"{prose(r.random(), 1).lower()}.{r.randint(10, 99)}@mail{r.randint(1, 9)}.example.com"
+        if kind == pii.IP:
+            return ".".join(str(r.randint(1, 255)) for _ in range(4))
+        if kind == pii.CARD:
+            return "".join(str(r.randint(0, 9)) for _ in range(16))
+        return f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}" if kind == pii.PHONE else "".join(r.choice("0123456789abcdef") for _ in range(40))
+
+    def text(i, planted):
+        kind = i % 5
+        own = span(kind)
+        shown = pii.rewritten(kind, own, g) if planted and kind in (pii.EMAIL, pii.IP, pii.PHONE) else own
+        head = prose(5000 + i, 25) + (' token = "' if kind == pii.SECRET else " ")
+        return head + shown + ('" ' if kind == pii.SECRET else " ") + prose(7000 + i, 25), (kind, len(head), len(head) + len(shown))
+
+    net = pii.fit(frame(spark, [(i, text(i, False)[0]) for i in range(400)]), steps=400)
+    planted = {i: text(i, True) for i in range(1000, 1200)}
+    clean = [(i, prose(i, 60) + " version 2.0, at home 1999. See dot 7") for i in range(2000, 2050)]
+    rows = {x.doc_id: x for x in pii.detect(frame(spark, [*((i, t) for i, (t, _) in planted.items()), *clean]), net).collect()}
+    found = {i: {*rows[i].spans.split(","), *rows[i].secrets.split(",")} for i in planted}
+    hit = [f"{pii.KINDS[k]}:{a}:{b}" in found[i] for i, (_, (k, a, b)) in planted.items()]
+    assert sum(hit) >= 0.9 * len(hit)
+    assert sum(rows[i].n_added > 0 for i in planted) > 60 and sum(x.n_spans for i, x in rows.items() if i >= 2000) <= 2
+    assert sum(x.n_spans for i, x in rows.items() if i < 2000) - sum(hit) <= 20
+
+
 def test_line_dedup(spark, odd, none):
     passage = prose(7, 80)
     rows = [(10, f"{prose(8, 30)} {passage} {prose(9, 30)}"), (11, f"{prose(10, 30)} {passage}"), (12, prose(11, 60))]
