@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freightspark.functions.shared import cut
+from freightspark.llm.common import unused
 
 #: Positions that count in each mask (fixed values). Wherever the substitutions stand that MATCHES of WINDOW allow, also
 #: in items of MIN_TOKENS to WINDOW tokens, one of these stays whole inside the window; a test goes through all cases.
@@ -84,6 +85,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, matche
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents that overlap with no item, all columns kept."""
-    found = cut(overlaps(docs, benchmark, **how).select(F.col("key").alias("_key")).distinct(), "leaks")
+    key = unused("key", docs.columns)
+    found = cut(overlaps(docs, benchmark, **how).select(F.col("key").alias(key)).distinct(), "leaks")
     found = F.broadcast(found) if found.count() <= KEY_BOUND else found
-    return docs.withColumn("_key", _key(docs)).join(found, "_key", "left_anti").drop("_key")
+    return docs.withColumn(key, _key(docs)).join(found, key, "left_anti").drop(key)

@@ -7,7 +7,8 @@ fingerprint is the ascending hashes in hexadecimal, 16 digits each.
 
 Defined cases: a null text is an empty text; a text without words has the empty fingerprint, which resembles
 only itself (1.0) and is contained in everything; equal texts have equal fingerprints; rows with equal doc_id
-are ordered by their text; a null doc_id comes last; an empty table gives an empty result.
+are ordered by their text; a null doc_id comes last; very long texts are read whole; an empty table gives an empty
+result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from freightspark.llm.common import U64, blocks, lean, shingle_hashes
 
 WIDTH, K = 5, 64
-#: Documents in one range of ids: the unit that is sorted and dealt to a task.
-RANGE_DOCS = 4096
+#: Bytes of text in a range of ids, which is a task, where that makes more ranges than spark.sql.shuffle.partitions;
+#: texts count in units of so many bytes.
+RANGE_BYTES, UNIT_BYTES = 64 << 20, 4096
 NULL_ID = -(1 << 63)
 
 
@@ -98,15 +100,17 @@ def merge_fingerprints(parts: DataFrame, by: list[str], k: int = K) -> DataFrame
     return hashes.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("h")), "").alias("fingerprint"))
 
 
-def _bounds(docs: DataFrame, range_docs: int) -> list[int]:
-    """Descending ids that start the ranges; each is an id of the table. As many as the table has `range_docs` documents."""
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"))
-    n, top = ids.agg(F.count("*"), F.max("id")).first()
-    if not n:
+def _bounds(docs: DataFrame, range_bytes: int) -> list[int]:
+    """Descending ids that start the ranges; each is an id of the table. 8 bytes on the driver for each range_bytes of text."""
+    units = (F.coalesce(F.octet_length("text"), F.lit(0)) / UNIT_BYTES).cast("int") + 1
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), units.alias("n"))
+    n, top = ids.agg(F.sum("n"), F.max("id")).first()
+    if n is None:
         return []
-    m = -(-n // range_docs)
+    m = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * UNIT_BYTES // range_bytes))
     probs = [j / m for j in range(1, m)]
-    cuts = ids.agg(F.percentile_approx("id", probs, 10 * m + 1000)).first()[0] if probs else []
+    weighed = ids.select(F.explode(F.array_repeat("id", F.col("n"))).alias("id"))
+    cuts = weighed.agg(F.percentile_approx("id", probs, 10 * m + 1000)).first()[0] if probs else []
     return sorted({top, *cuts}, reverse=True)
 
 
@@ -130,7 +134,7 @@ def _deal(starts: list[int]):
     return run
 
 
-def with_edits(docs: DataFrame, k: int = K, width: int = WIDTH, range_docs: int = RANGE_DOCS) -> DataFrame:
+def with_edits(docs: DataFrame, k: int = K, width: int = WIDTH, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Fingerprints of every text, of its edited text and of the next one (descending doc_id; the first follows the last).
 
     The edited text's last floor(n / 2) code points are the first as many of the next text. Texts cross the
@@ -138,7 +142,7 @@ def with_edits(docs: DataFrame, k: int = K, width: int = WIDTH, range_docs: int
     is dealt to that range as well. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next, edited_contained, distinct_shingles.
     """
-    starts = _bounds(docs, range_docs)
+    starts = _bounds(docs, range_bytes)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_contained", "distinct_shingles"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
 
@@ -169,6 +173,7 @@ def with_edits(docs: DataFrame, k: int = K, width: int = WIDTH, range_docs: int
     if not starts:
         starts = [0]
     dealt = docs.select("doc_id", "text").mapInArrow(lean(_deal(starts)), "r int, after boolean, id long, text string")
-    sorted_ = dealt.repartition(max(1, len(starts)), "r").sortWithinPartitions("r", "after", F.col("id").desc(), "text")
+    # a range is a partition: none has two while another has none
+    sorted_ = dealt.repartitionById(max(1, len(starts)), F.col("r")).sortWithinPartitions("r", "after", F.col("id").desc(), "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_contained double, distinct_shingles double"
     return sorted_.mapInArrow(lean(run), schema)

@@ -13,13 +13,17 @@ of its members, and all pairs of a part that are in different classes and not tr
 no pair: two texts are similar enough only if they share one of the shingles that precede, from the rarest on, the
 last `similarity` of their weight. So in the end no bucket has a pair of similar texts in different classes.
 
-Document frequencies are counted over all documents in 2**SKETCH_BITS hashed counters. Their error is a fixed
-share of the number of documents (shingles of a text / counters), at every size; two texts always weigh the same
-shingle alike, and a small corpus has exact counts.
+Inverse document frequency is measured from one in COMMON documents on: a rarer shingle weighs 1 + TEMPER, one that
+all documents have weighs 1, and in between the weight falls with the logarithm of the frequency. Without tempering
+the changed words of a text that thousands of others copy would outweigh all that they share. Frequencies come from
+lossy counting over all documents: they are short by at most one in COUNTED documents, at every size, and there are at
+most COMMON shingles for each shingle of a mean document. Two texts always weigh a shingle alike.
 
 Defined cases: null and empty texts, and texts without words, are one class; texts of fewer than five words have
 one shingle, all their words; rows with equal doc_id are one document and share a class; a null doc_id takes part
-under a hash of its text; an empty table gives an empty result. The kept document of a class has its least doc_id.
+under a hash of its text; very long texts are sampled and compared whole; an empty table
+gives an empty result. The kept document of a class has its least doc_id; equal sample values take the least shingle.
+Columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -33,14 +37,15 @@ from pyspark.sql import functions as F
 
 from freightspark.functions.components import connected_components
 from freightspark.functions.shared import cut
-from freightspark.llm.common import U64, blocks, lean, mix, shingle_hashes
+from freightspark.llm.common import U64, blocks, lean, mix, shingle_hashes, unused
 
 WIDTH, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 misses all bands with probability (1 - 0.8**4)**12 = 0.2 %.
 BANDS, ROWS = 12, 4
-SKETCH_BITS = 18
-#: How much rarity weighs: a shingle weighs 1 + TEMPER * ln(N / df) / ln(N + 1), from 1 to 1 + TEMPER, times its count.
-TEMPER = 0.5
+#: How much rarity weighs, the share of documents (one in so many) from which a shingle is common, and that by which counts may be short.
+TEMPER, COMMON, COUNTED = 0.5, 128, 1024
+#: Documents and shingles of a chunk that are counted together.
+CHUNK_DOCS, CHUNK_SHINGLES = 4096, 1 << 20
 #: Node keys that may be broadcast (8 bytes each); beyond, they are joined by a shuffle. Rounds with representatives at most.
 KEY_BOUND, MAX_ROUNDS = 1_000_000, 12
 #: Representatives of a bucket in each round after the first, which has the least node.
@@ -65,28 +70,54 @@ def _counted(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.n
     return runs[at], np.diff(np.append(at, len(runs))), np.bincount(doc[at], minlength=len(texts))
 
 
-def _bucket(shingles: np.ndarray, bits: int) -> np.ndarray:
-    return (shingles >> U64(64 - bits)).astype(np.int64)
+class Weights:
+    """Weight of any shingle: of common ones from a table, the greatest of all others."""
 
+    def __init__(self, shingles: np.ndarray, weights: np.ndarray, temper: float = TEMPER):
+        order = np.argsort(shingles)
+        self.shingles, self.weights = shingles[order], np.append(weights[order], 1 + temper).astype(np.float32)
 
-def rarity(docs: DataFrame, width: int = WIDTH, bits: int = SKETCH_BITS, temper: float = TEMPER) -> np.ndarray:
-    """Weight of the shingles of each counter: 2**bits numbers, whatever the size of the corpus."""
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.shingles, shingles)
+        if not len(self.shingles):
+            return np.full(len(shingles), self.weights[-1])
+        known = self.shingles[np.minimum(at, len(self.shingles) - 1)] == shingles
+        return self.weights[np.where(known, at, len(self.shingles))]
+
+
+def rarity(docs: DataFrame, width: int = WIDTH, temper: float = TEMPER) -> Weights:
+    """Weights from the shares of all documents that hold a shingle.
+
+    A shingle that a share of all documents holds is held by that share of some chunk of documents at least, so each
+    chunk passes on what one in COUNTED of its documents holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << bits, np.int64), 0
+        held: list[np.ndarray] = []
+        n = size = 0
+
+        def out() -> pa.RecordBatch:
+            own, counts = np.unique(np.concatenate(held), return_counts=True)
+            often = counts * COUNTED >= n
+            return pa.RecordBatch.from_arrays([pa.array(np.append(own[often].view(np.int64), 0)), pa.array(np.append(counts[often], n)), pa.array([False] * int(often.sum()) + [True])], names=["shingle", "n", "docs"])
+
         for batch in blocks(batches):
             shingles, _, _ = _counted([t or "" for t in batch.column("text").to_pylist()], width)
-            total += np.bincount(_bucket(shingles, bits), minlength=1 << bits)
-            n += batch.num_rows
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["at", "n"])
-
-    got = docs.select("text").mapInArrow(lean(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    at, n = got.column("at").to_numpy(), got.column("n").to_numpy()
-    n_docs = max(1, int(n[at == -1].sum()))
-    df = np.ones(1 << bits)
-    df[at[at >= 0]] = np.minimum(n[at >= 0], n_docs)
-    return (1 + temper * np.log(n_docs / df) / np.log(n_docs + 1)).astype(np.float32)
+            held.append(shingles)
+            n, size = n + batch.num_rows, size + len(shingles)
+            if n >= CHUNK_DOCS or size >= CHUNK_SHINGLES:
+                yield out()
+                held, n, size = [], 0, 0
+        if n:
+            yield out()
+
+    counts = docs.select("text").mapInArrow(lean(run), "shingle long, n long, docs boolean").groupBy("docs", "shingle").agg(F.sum("n").alias("n"))
+    counts = cut(counts, "shingle-counts")
+    n_docs = (counts.where("docs").select("n").first() or [0])[0]
+    got = counts.where(~F.col("docs") & (F.col("n") * COMMON >= n_docs * (1 - COMMON / COUNTED))).select("shingle", "n").toArrow()
+    df = np.minimum(got.column("n").to_numpy(), n_docs)
+    share = np.clip(np.log(n_docs / df) / np.log(COMMON), 0, 1) if len(df) else np.zeros(0)
+    return Weights(got.column("shingle").to_numpy().view(U64), 1 + temper * share, temper)
 
 
 _QUANTILES = 1 << 16
@@ -140,12 +171,12 @@ def _words_digest(runs: np.ndarray, n: int) -> bytes:
     return hashlib.blake2b(runs.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest()
 
 
-def signatures(docs: DataFrame, weights: np.ndarray, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def signatures(docs: DataFrame, weights: Weights, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(node, digest, bands): digest is equal for equal word sequences; bands are hashes of `rows` samples each."""
-    known, bits = docs.sparkSession.sparkContext.broadcast(np.log(weights)), int(len(weights)).bit_length() - 1
+    known = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, log_idf = Sampler(bands * rows), known.value
+        sampler, weights = Sampler(bands * rows), known.value
         for batch in blocks(batches, limit=1 << 19):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             in_order, lengths = shingle_hashes(texts, width)
@@ -155,7 +186,7 @@ def signatures(docs: DataFrame, weights: np.ndarray, width: int = WIDTH, bands:
             full = np.flatnonzero(counts)
             codes = np.zeros((len(texts), bands * rows), U64)
             if len(full):
-                codes[full] = sampler.draw(shingles, log_idf[_bucket(shingles, bits)] + np.log(times).astype(np.float32), counts[full])
+                codes[full] = sampler.draw(shingles, np.log(weights.of(shingles) * times).astype(np.float32), counts[full])
             keys = np.zeros((len(texts), bands), U64)
             for k in range(rows):
                 keys = mix(keys * U64(0x9E3779B97F4A7C15) + codes[:, k::rows])
@@ -166,13 +197,12 @@ def signatures(docs: DataFrame, weights: np.ndarray, width: int = WIDTH, bands:
     return docs.select(_node().alias("node"), "text").mapInArrow(lean(run), "node long, digest binary, bands array<long>")
 
 
-def weighted_jaccard(a: list[str], b: list[str], weights: np.ndarray, width: int = WIDTH) -> np.ndarray:
+def weighted_jaccard(a: list[str], b: list[str], weights: Weights, width: int = WIDTH) -> np.ndarray:
     """Sum of the least over sum of the greatest weights of each pair of texts; two texts without words are equal."""
-    bits = int(len(weights)).bit_length() - 1
     parts = []
     for texts in (a, b):
         s, n, counts = _counted(texts, width)
-        parts.append((np.repeat(np.arange(len(texts)), counts), s, weights[_bucket(s, bits)].astype(np.float64) * n))
+        parts.append((np.repeat(np.arange(len(texts)), counts), s, weights.of(s).astype(np.float64) * n))
     pair, s, w = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((s, pair))
     pair, s, w = pair[order], s[order], w[order]
@@ -182,7 +212,7 @@ def weighted_jaccard(a: list[str], b: list[str], weights: np.ndarray, width: int
     return np.where(total > 0, shared / np.maximum(total - shared, 1e-300), 1.0)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, similarity: float, width: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: float, width: int) -> DataFrame:
     """(u, v) of the pairs that are similar enough, by their texts."""
     known = pairs.sparkSession.sparkContext.broadcast(weights)
 
@@ -195,13 +225,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, similarit
     return both.select("u", "v", "a", "b").mapInArrow(lean(run), "u long, v long")
 
 
-def leading(texts: list[str], weights: np.ndarray, similarity: float, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def leading(texts: list[str], weights: Weights, similarity: float, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(number of the text, shingle, weight of the text, weight from the shingle on) of the rarest shingles: without one in common two texts are less similar.
 
     The order is the same for all texts. A shingle leads while it and those after it hold `similarity` of the text's weight.
     """
     s, n, counts = _counted(texts, width)
-    w = weights[_bucket(s, int(len(weights)).bit_length() - 1)].astype(np.float64)
+    w = weights.of(s).astype(np.float64)
     doc = np.repeat(np.arange(len(texts)), counts)
     order = np.lexsort((s, -w, doc))
     own = (w * n)[order]
@@ -212,7 +242,7 @@ def leading(texts: list[str], weights: np.ndarray, similarity: float, width: int
     return doc[lead], s[order][lead], total[lead], (total - before)[lead]
 
 
-def _leading(texts: DataFrame, weights: np.ndarray, similarity: float, width: int) -> DataFrame:
+def _leading(texts: DataFrame, weights: Weights, similarity: float, width: int) -> DataFrame:
     """(node, shingle, total, rest) of the leading shingles of each text."""
     known = texts.sparkSession.sparkContext.broadcast(weights)
 
@@ -224,7 +254,7 @@ def _leading(texts: DataFrame, weights: np.ndarray, similarity: float, width: in
     return texts.select("node", "text").mapInArrow(lean(run), "node long, shingle long, total double, rest double")
 
 
-def _left_over(now: DataFrame, mixed: DataFrame, texts: DataFrame, weights: np.ndarray, similarity: float, width: int) -> DataFrame:
+def _left_over(now: DataFrame, mixed: DataFrame, texts: DataFrame, weights: Weights, similarity: float, width: int) -> DataFrame:
     """(u, v): every pair of members of a bucket that are in different classes and may be similar enough.
 
     now: (key, rep, label); mixed: the keys of buckets with several classes. A part is a bucket and a leading shingle;
@@ -275,9 +305,10 @@ def _relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, class_id, n_links) for every document: node is its doc_id, class_id the least node of its class.
+    """(node, class_id, n_verified) for every document: node is its doc_id, class_id the least node of its class.
 
-    n_links: verified links of the document's own text to different texts. Work on copies is done once.
+    n_verified: links to different texts that were verified on the way to the classes, not all that there are: pairs
+    within a class are not tried again. Work on copies is done once.
     """
     weights = rarity(docs, width)
     signed = cut(signatures(docs, weights, width, bands, rows), "signatures")
@@ -297,7 +328,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
         orders = [F.col("rep")] if labels is None else [F.xxhash64(F.lit(turn), F.lit(h), "key", "rep") for h in range(HUBS)]
         hubs = F.array_distinct(F.array(*[F.min_by(F.struct("rep", "label"), o) for o in orders])).alias("hubs")
         chosen = now.groupBy("key").agg(hubs, F.min("label").alias("a"), F.max("label").alias("b")).where("a != b")
-        pairs = now.join(chosen.select("key", "hubs"), "key").select("rep", "label", F.explode("hubs").alias("hub")).where("label != hub.label")
+        # written, so that a key with very many members is split in the join
+        chosen = cut(chosen.select("key", "hubs"), "hubs")
+        pairs = now.join(chosen, "key").select("rep", "label", F.explode("hubs").alias("hub")).where("label != hub.label")
         pairs = pairs.select(F.least("rep", "hub.rep").alias("u"), F.greatest("rep", "hub.rep").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
@@ -327,24 +360,25 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
                 labels = cut(_relabelled(labels, found), "classes")
     by_rep = exact.select("digest", "rep")
     if labels is not None:
-        ends = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+        ends = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_verified"))
         by_rep = by_rep.join(labels, by_rep.rep == labels.node, "left").drop("node").join(ends, by_rep.rep == ends.node, "left")
-        by_rep = by_rep.select("digest", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        by_rep = by_rep.select("digest", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
     else:
-        by_rep = by_rep.select("digest", F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return signed.select("node", "digest").join(by_rep, "digest").select("node", "class_id", "n_links")
+        by_rep = by_rep.select("digest", F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_verified"))
+    return signed.select("node", "digest").join(by_rep, "digest").select("node", "class_id", "n_verified")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One document of each class, that with the least doc_id; all columns kept. Of repeated doc_ids one row stays."""
     found = cut(classes(docs, **how), "class-rows")
     names = docs.columns
-    gone = found.where("node != class_id").select(F.col("node").alias("_node")).distinct()
+    node = unused("node", names)
+    gone = found.where("node != class_id").select(F.col("node").alias(node)).distinct()
     gone = F.broadcast(gone) if gone.count() <= KEY_BOUND else gone
-    kept = docs.withColumn("_node", _node()).join(gone, "_node", "left_anti")
-    often = found.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node").alias("_node"))
+    kept = docs.withColumn(node, _node()).join(gone, node, "left_anti")
+    often = found.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node").alias(node))
     if (n := often.count()) == 0:
         return kept.select(*names)
     often = F.broadcast(often) if n <= KEY_BOUND else often
-    once = kept.join(often, "_node", "left_anti")
-    return once.unionByName(kept.join(often, "_node", "left_semi").dropDuplicates(["_node"])).select(*names)
+    once = kept.join(often, node, "left_anti")
+    return once.unionByName(kept.join(often, node, "left_semi").dropDuplicates([node])).select(*names)

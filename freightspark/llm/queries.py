@@ -39,9 +39,9 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's class of near copies and its number of links."""
+    """Every document's class of near copies."""
     found = near_dedup.classes(table(spark, sf_dir, "documents"))
-    return found.select(F.col("node").alias("doc_id"), "class_id", "n_links")
+    return found.select(F.col("node").alias("doc_id"), "class_id", "n_verified")
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,10 +110,41 @@ FROM e GROUP BY conv_id
 """
 
 
+#: Any window of 13 aligned tokens with 10 equal ones has three equal ones in a row, and so has one of 8 with 7: pairs are
+#: found by those, without masks.
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') AS own FROM documents
+), b AS (
+  SELECT item_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> ''] AS words FROM benchmark
+), i AS (
+  SELECT DISTINCT item_id, words, least(13, len(words)) AS wide FROM b WHERE len(words) >= 8
+), dp AS (
+  SELECT doc_id, k, own[k] || ' ' || own[k + 1] || ' ' || own[k + 2] AS gram FROM (SELECT doc_id, own, unnest(range(1, len(own) - 1)) AS k FROM d)
+), ip AS (
+  SELECT item_id, words, wide, k, words[k] || ' ' || words[k + 1] || ' ' || words[k + 2] AS gram
+  FROM (SELECT *, unnest(range(1, len(words) - 1)) AS k FROM i)
+), hits AS (
+  SELECT DISTINCT doc_id, item_id, words, wide, dp.k - ip.k AS shift FROM dp JOIN ip USING (gram)
+), aligned AS (
+  SELECT doc_id, item_id, wide, greatest(shift, 0) AS doc_start, greatest(-shift, 0) AS item_start,
+    [CASE WHEN own[greatest(shift, 0) + x] = words[greatest(-shift, 0) + x] THEN 1 ELSE 0 END
+     FOR x IN range(1, 1 + least(len(own) - greatest(shift, 0), len(words) - greatest(-shift, 0)))] AS same
+  FROM hits JOIN d USING (doc_id)
+), best AS (
+  SELECT doc_id, item_id, wide, doc_start, item_start, list_max([list_sum(same[x:x + wide - 1]) FOR x IN range(1, len(same) - wide + 2)]) AS n_matches
+  FROM aligned WHERE len(same) >= wide
+)
+SELECT doc_id, item_id, CAST(doc_start AS INT) AS doc_start, CAST(item_start AS INT) AS item_start, CAST(n_matches AS INT) AS n_matches
+FROM best WHERE n_matches * 13 >= wide * 10
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matches DESC, doc_start, item_start) = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_sentencepiece, op2_toxicity, op3_lm_scoring, op4_near_dedup, op5_token_store, op6_pii, op7_line_dedup, op8_fingerprints, op9_decontamination, op10_chat)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat": OP10_SQL}
+    return {"op9_decontamination": OP9_SQL, "op10_chat": OP10_SQL}

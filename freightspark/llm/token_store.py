@@ -5,22 +5,27 @@ one row per segment, in ascending (shard, segment) order, holding whole document
 
   shard, segment  place in the order
   base            ids of the shard before this segment
-  doc_ids         little-endian signed 64-bit document ids (null: the least 64-bit integer)
+  n_null, first   documents without a doc_id, which come first; the least doc_id of the others
+  doc_ids         EliasFano.to_bytes(): the other doc_ids, less the first
   ids             all ids of the segment, little-endian unsigned, `width` bytes each (2 or 4)
   bounds          EliasFano.to_bytes(): where each document ends within `ids`
 
 A document's place in the whole output is the ids of all earlier shards (one sum per shard), plus base, plus
-the boundary before it. Boundaries take about 2 + log2(ids per document) bits each instead of 64.
+the boundary before it, which the reader gets by select. Boundaries take about 2 + log2(ids per document) bits each and
+half a bit for the samples of select, instead of 64.
 
 Defined cases: a null text is an empty text, which still has its end id; rows with equal doc_id are ordered by
-their text; an empty table writes no segment; columns other than doc_id and text are not read.
+their text; very long texts are segments of their own; an empty table writes no segment; columns other than doc_id
+and text are not read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,7 +43,10 @@ END_ID = 1
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 20, 1 << 14
 #: Distinct words whose ids a worker keeps (about 200 bytes each).
 CACHE_WORDS = 1_000_000
-NULL_ID = -(1 << 63)
+#: Bytes of text in a shard, where that makes more shards than spark.sql.shuffle.partitions.
+SHARD_BYTES = 128 << 20
+#: Texts that tell whether a tokenizer's pieces keep within words.
+PROBES = ("Hello World again", " leading and  double spaces ", "line\nbreak\ttab", "Don't stop, it's 42.5% (ok)!", "ÀÉ naïve Straße", "x  \n\n y", "a.b,c d_e f-g", "UPPER lower MiXeD", "12 345 6")
 
 
 class EliasFano:
@@ -46,10 +54,9 @@ class EliasFano:
 
     STEP = 64
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.flatnonzero(np.unpackbits(high, bitorder="little")) if n else np.zeros(0, np.int64)
-        self.samples = ones[:: self.STEP].astype(np.int64)
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
+        """samples: place of each STEP-th one of the unary part."""
+        self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -62,18 +69,20 @@ class EliasFano:
         else:
             low = np.zeros(0, np.uint8)
         unary = np.zeros(n + (top >> low_bits) + 1, np.uint8)
-        unary[(v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)] = 1
-        return cls(n, low_bits, low, np.packbits(unary, bitorder="little"))
+        ones = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
+        unary[ones] = 1
+        return cls(n, low_bits, low, np.packbits(unary, bitorder="little"), ones[:: cls.STEP].astype("<u4"))
 
     def to_bytes(self) -> bytes:
         head = np.array([self.n, self.low_bits, len(self.low), len(self.high)], "<u8")
-        return head.tobytes() + self.low.tobytes() + self.high.tobytes()
+        return head.tobytes() + self.samples.tobytes() + self.low.tobytes() + self.high.tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> EliasFano:
         n, low_bits, a, b = (int(x) for x in np.frombuffer(data, "<u8", 4))
-        raw = np.frombuffer(data, np.uint8, a + b, 32)
-        return cls(n, low_bits, raw[:a], raw[a:])
+        n_samples = -(-n // cls.STEP)
+        raw = np.frombuffer(data, np.uint8, a + b, 32 + 4 * n_samples)
+        return cls(n, low_bits, raw[:a], raw[a:], np.frombuffer(data, "<u4", n_samples, 32))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), np.int64)
@@ -114,7 +123,8 @@ class WordEncoder:
     """Ids of whole texts under a tokenizer whose pieces never cross white space; each distinct word is encoded once.
 
     Cutting at ASCII white space first is exact for such a tokenizer: its normaliser and splitter treat white
-    space as a boundary that they drop. Ids of words of Latin letters, with or without a final full stop or comma,
+    space as a boundary that they drop. Whether the file is of that kind (it folds case, and texts of all sorts
+    give the same ids in words as whole) is checked when it is loaded; any other tokenizer gets whole texts. Ids of words of Latin letters, with or without a final full stop or comma,
     come from the model alone, over the byte characters that the tokenizer gives each letter; all other words go
     through the whole tokenizer.
     """
@@ -128,11 +138,21 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if width == 2 else "I"
         self.known: dict[bytes, bytes] = {}
+        self.words = self._by_words()
+        if not self.words:
+            return
         self.tail = {"": [], **{x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in ".,"}}
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         letters = {c for c in map(chr, range(65, 0x180)) if self.PLAIN.fullmatch(c)}
         self.bytes = {ord(c): "".join(part for part, _ in split(c)) for c in {x.lower() for x in letters}}
 
+    def _by_words(self) -> bool:
+        spec = json.loads(self.tokenizer.to_str())
+        if '"Lowercase"' not in json.dumps(spec.get("normalizer")) or not spec.get("pre_tokenizer"):
+            return False
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        return all(ids(t) == [x for w in t.lower().split() for x in ids(w)] for t in PROBES)
+
     def _learn(self, words: list[bytes]) -> None:
         rest, piece, known, code = [], self.tokenizer.model.tokenize, self.known, self.code
         for w in words:
@@ -144,6 +164,9 @@ class WordEncoder:
             known[w] = array(code, e.ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.words:
+            whole = [t.decode("utf-8", "surrogatepass") for t in texts]
+            return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
         # the tokenizer folds case; doing so first saves words, but could make one of its special tokens of a text
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         distinct = set().union(*split)
@@ -160,25 +183,27 @@ def encoder(path: str, width: int) -> WordEncoder:
     return kept(("words", path, width), lambda: WordEncoder(path, width))
 
 
-STORE = "shard int, segment int, base long, n_docs int, n_ids long, width int, doc_ids binary, ids binary, bounds binary"
+STORE = "shard int, segment int, base long, n_docs int, n_ids long, width int, n_null int, first long, doc_ids binary, ids binary, bounds binary"
 
 
 def _writer(path: str, width: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, segment, base = encoder(path, width).encode, TaskContext.get().partitionId(), 0, 0
         end = array("H" if width == 2 else "I", [end_id]).tobytes()
-        docs: list[int] = []
+        docs: list[int | None] = []
         parts: list[bytes] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal segment, base, held
             ends = np.cumsum([len(p) // width for p in parts])
-            row = [shard, segment, base, len(docs), int(ends[-1]), width, np.array(docs, "<i8").tobytes(), b"".join(parts), EliasFano.encode(ends).to_bytes()]
+            known = np.array([d for d in docs if d is not None], np.int64)
+            first = int(known[0]) if len(known) else 0
+            row = [shard, segment, base, len(docs), int(ends[-1]), width, len(docs) - len(known), first, EliasFano.encode(known - first).to_bytes(), b"".join(parts), EliasFano.encode(ends).to_bytes()]
             segment, base, held = segment + 1, base + int(ends[-1]), 0
             docs.clear()
             parts.clear()
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in STORE.split(", ")])
 
         for batch in blocks(batches):
@@ -186,7 +211,7 @@ def _writer(path: str, width: int, end_id: int) -> Callable[[Iterator[pa.RecordB
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
                 if docs and (held + len(ids) // width + 1 > SEGMENT_IDS or len(docs) >= SEGMENT_DOCS):
                     yield flush()
-                docs.append(NULL_ID if doc_id is None else doc_id)
+                docs.append(doc_id)
                 parts.append(ids + end)
                 held += len(ids) // width + 1
         if docs:
@@ -199,25 +224,43 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: int, end_id: int = END_
     """Encode all documents in ascending doc_id order and write them to the shared folder; returns the segments as read back."""
     spark = docs.sparkSession
     width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return cut(ordered.mapInArrow(lean(_writer(path, width, end_id), ("words", path, width)), STORE), name)
 
 
 def with_starts(segments: DataFrame) -> DataFrame:
-    """Adds first: ids of all segments before. One row per shard goes through one task; a shard is a partition of the writer."""
+    """Adds earlier_ids: ids of all segments before. One row per shard goes through one task; a shard is a partition of the writer."""
     shards = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = shards.select("shard", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
     # one small row per partition of the writer
-    return segments.join(F.broadcast(before), "shard").withColumn("first", F.col("earlier") + F.col("base"))
+    return segments.join(F.broadcast(before), "shard").withColumn("earlier_ids", F.col("earlier") + F.col("base"))
+
+
+class Segment:
+    """The documents of a stored segment, by number."""
+
+    def __init__(self, row: dict):
+        self.n_null, self.first = row["n_null"], row["first"]
+        self.doc_ids, self.bounds = EliasFano.from_bytes(row["doc_ids"]), EliasFano.from_bytes(row["bounds"])
+        self.ids = np.frombuffer(row["ids"], "<u2" if row["width"] == 2 else "<u4")
+
+    def __len__(self) -> int:
+        return len(self.bounds)
+
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.n_null else self.first + self.doc_ids[i - self.n_null]
 
+    def document(self, i: int) -> tuple[int, np.ndarray]:
+        """(offset within the segment, ids) of document number i."""
+        a = self.bounds[i - 1] if i else 0
+        return a, self.ids[a : self.bounds[i]]
 
-def segment_documents(doc_ids: bytes, ids: bytes, bounds: bytes, width: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
-    """(doc_id, offset within the segment, ids) of each document, from the stored bytes."""
-    ends = EliasFano.from_bytes(bounds).all()
-    flat = np.frombuffer(ids, "<u2" if width == 2 else "<u4")
-    for doc_id, a, b in zip(np.frombuffer(doc_ids, "<i8").tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-        yield (None if doc_id == NULL_ID else doc_id), a, flat[a:b]
+    def find(self, doc_id: int) -> range:
+        """Numbers of the documents of that id."""
+        at = [bisect(range(len(self.doc_ids)), doc_id - self.first, key=self.doc_ids.__getitem__) for bisect in (bisect_left, bisect_right)]
+        return range(self.n_null + at[0], self.n_null + at[1])
 
 
 def read_digests(segments: DataFrame) -> DataFrame:
@@ -226,7 +269,8 @@ def read_digests(segments: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                out = [(d, row["first"] + a, len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, a, x in segment_documents(row["doc_ids"], row["ids"], row["bounds"], row["width"])]
+                own = Segment(row)
+                out = [(own.doc_id(i), row["earlier_ids"] + a, len(x), zlib.crc32(x.astype("<u4").tobytes())) for i in range(len(own)) for a, x in [own.document(i)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return with_starts(segments).select("first", "width", "doc_ids", "ids", "bounds").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return with_starts(segments).select("earlier_ids", "width", "n_null", "first", "doc_ids", "ids", "bounds").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -26,6 +26,27 @@ def test_word_encoder_is_exact():
     assert [array("H", g).tolist() for g in got] == want
 
 
+def test_other_tokenizers_get_whole_texts():
+    """One that keeps case and spaces can't be encoded word by word; loading it finds out."""
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    e = token_store.WordEncoder(path, 2)
+    assert not e.words and token_store.encoder(public.path("word_bpe_49k.json"), 2).words
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(ODD, add_special_tokens=False)]
+    assert [array("H", g).tolist() for g in e.encode([t.encode() for t in ODD])] == want
+
+
+def test_segment_finds_documents():
+    ids, ends = np.arange(40, dtype="<u2"), np.array([3, 3, 10, 30, 40])
+    own = [-5, -5, 7, 1 << 40]
+    row = {"n_null": 1, "first": -5, "width": 2, "ids": ids.tobytes(), "doc_ids": token_store.EliasFano.encode(np.array(own) + 5).to_bytes(), "bounds": token_store.EliasFano.encode(ends).to_bytes()}
+    s = token_store.Segment(row)
+    assert [s.doc_id(i) for i in range(len(s))] == [None, *own]
+    assert [(a, x.tolist()) for a, x in map(s.document, range(5))] == [(a, ids[a:b].tolist()) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    assert (s.find(-5), s.find(7), len(s.find(8)), len(s.find(-9))) == (range(1, 3), range(3, 4), 0, 0)
+
+
 def test_sentencepiece_parity_and_decoding():
     import sentencepiece
 
@@ -368,7 +389,8 @@ def test_leading_shingles_meet():
     for k in range(40):
         words = [f"w{r.randrange(400)}" for _ in range(r.randint(5, 80))] * (1 + k % 2)
         texts += [" ".join(words), " ".join(w if r.random() > 0.03 else "x" for w in words)]
-    weights = np.random.default_rng(3).uniform(1, 1.5, 1 << 10).astype(np.float32)
+    shingles = np.unique(near_dedup._counted(texts, 5)[0])[::2]
+    weights = near_dedup.Weights(shingles, np.random.default_rng(3).uniform(1, 1.5, len(shingles)))
     lead = near_dedup.leading(texts, weights, 0.8, 5)
     sets = [dict(zip(lead[1][lead[0] == i].tolist(), lead[3][lead[0] == i].tolist(), strict=True)) for i in range(len(texts))]
     total = dict(zip(lead[0].tolist(), lead[2].tolist(), strict=True))
