@@ -23,24 +23,25 @@ def eligible(points: DataFrame, mode: str) -> DataFrame:
     return points.where(rule[mode])
 
 
-def high_zones(points: DataFrame, edges: DataFrame, value: str = "weighted_rub_per_km", weight: str | None = "trip_count", zone: float = 0.35, single: float = 0.70) -> DataFrame:
-    """(slice, id, delta, candidate, cluster_id, cluster_type) of every point.
+def high_zones(points: DataFrame, edges: DataFrame, value: str = "weighted_rub_per_km", weight: str | None = "trip_count", zone: float | str = 0.35, single: float = 0.70) -> DataFrame:
+    """(slice, id, delta, candidate, cluster_id, cluster_type) of every point. zone: a number, or a column that is the same in all of a slice.
 
     A candidate exceeds the slice's mean (weighted, or plain without a weight) by `zone`. Linked candidates whose
     pooled mean still does are a zone; a lone candidate above `single` is a zone of its own. Zones count first, by
     their least id, then singletons; all other points have -1.
     """
-    if not 0 <= zone <= single:
+    if isinstance(zone, float) and not 0 <= zone <= single:
         raise ValueError("thresholds must satisfy 0 <= zone <= single")
+    limit = F.lit(zone) if isinstance(zone, float) else F.col(zone)
     mean = (lambda: weighted_mean(F.col(value), F.col(weight))) if weight else (lambda: F.avg(value))
     base = points.groupBy("slice").agg(mean().alias("base"))
-    marked = points.join(F.broadcast(base), "slice").withColumn("delta", relative_delta(F.col(value), F.col("base")))  # a row per slice
-    marked = marked.withColumn("candidate", F.coalesce(F.col("delta") >= zone, F.lit(False)))
+    marked = points.join(base, "slice").withColumn("delta", relative_delta(F.col(value), F.col("base"))).withColumn("limit", limit)
+    marked = marked.withColumn("candidate", F.coalesce(F.col("delta") >= F.col("limit"), F.lit(False)))
     chosen = marked.where("candidate")
     label = components(induced(edges, chosen))
     own = chosen.join(label, ["slice", "id"], "left")
-    pooled = own.where("component is not null").groupBy("slice", "component").agg(mean().alias("zone_mean"), F.first("base").alias("b"))
-    good = pooled.where(relative_delta(F.col("zone_mean"), F.col("b")) >= zone).select("slice", "component")
+    pooled = own.where("component is not null").groupBy("slice", "component").agg(mean().alias("zone_mean"), F.first("base").alias("b"), F.first("limit").alias("limit"))
+    good = pooled.where(relative_delta(F.col("zone_mean"), F.col("b")) >= F.col("limit")).select("slice", "component")
     zones = own.join(good, ["slice", "component"], "left_semi").select("slice", "id", F.col("component").alias("first_id"), F.lit(0).alias("kind"))
     singles = own.where(F.col("component").isNull() & (F.col("delta") >= single)).select("slice", "id", F.col("id").alias("first_id"), F.lit(1).alias("kind"))
     both = zones.unionByName(singles)
@@ -49,18 +50,34 @@ def high_zones(points: DataFrame, edges: DataFrame, value: str = "weighted_rub_p
     return marked.join(both, ["slice", "id"], "left").select("slice", "id", "delta", "candidate", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), "cluster_type")
 
 
-def threshold_sensitivity(points: DataFrame, edges: DataFrame, thresholds: tuple[float, ...] = (0.2, 0.25, 0.3, 0.35, 0.4, 0.5), **how) -> DataFrame:
-    """high_zones at each threshold, all in one pass: the threshold becomes part of the slice."""
+#: The thresholds that are compared.
+THRESHOLDS = (0.2, 0.25, 0.3, 0.35, 0.4, 0.5)
+
+
+def threshold_sensitivity(points: DataFrame, edges: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, **how) -> DataFrame:
+    """What high_zones finds at each threshold, all in one pass: the threshold becomes part of the slice. Facts only, no winner.
+
+    (slice, threshold, candidates, zones, singletons, covered_points, covered_trips, mean_zone_size, max_zone_size).
+    """
     t = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
     key = lambda df: df.select("*", t).withColumn("slice", F.concat_ws("@", "slice", F.col("threshold").cast("string")))
-    value, weight = how.get("value", "weighted_rub_per_km"), how.get("weight", "trip_count")
-    mean = weighted_mean(F.col(value), F.col(weight)) if weight else F.avg(value)
     p = key(points)
-    marked = p.join(p.groupBy("slice").agg(mean.alias("base")), "slice").withColumn("candidate", relative_delta(F.col(value), F.col("base")) >= F.col("threshold"))
-    chosen = marked.where("candidate")
-    label = components(induced(key(edges), chosen))
-    own = chosen.join(label, ["slice", "id"], "left")
-    return own.groupBy("threshold").agg(F.count("*").alias("candidates"), F.countDistinct("slice", "component").alias("linked_parts"), F.sum(F.col("component").isNull().cast("long")).alias("singles"))
+    found = high_zones(p, key(edges).drop("threshold"), zone="threshold", **how).join(p.select("slice", "id", "trip_count"), ["slice", "id"])
+    sizes = found.groupBy("slice", "cluster_id", "cluster_type").agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("trip_count"), F.lit(0)).alias("trips"), F.sum(F.col("candidate").cast("long")).alias("candidates")
+    )
+    zone, covered = F.col("cluster_type") == "zone", F.col("cluster_id") >= 0
+    out = sizes.groupBy("slice").agg(
+        F.sum("candidates").alias("candidates"),
+        F.count_if(zone).alias("zones"),
+        F.count_if(F.col("cluster_type") == "singleton").alias("singletons"),
+        F.coalesce(F.sum(F.when(covered, F.col("n"))), F.lit(0)).alias("covered_points"),
+        F.coalesce(F.sum(F.when(covered, F.col("trips"))), F.lit(0)).alias("covered_trips"),
+        F.coalesce(F.avg(F.when(zone, F.col("n"))), F.lit(0.0)).alias("mean_zone_size"),
+        F.coalesce(F.max(F.when(zone, F.col("n"))), F.lit(0)).alias("max_zone_size"),
+    )
+    name = F.split("slice", "@")
+    return out.withColumn("threshold", F.element_at(name, -1).cast("double")).withColumn("slice", F.array_join(F.slice(name, 1, F.size(name) - 1), "@"))
 
 
 def robust_scaled(points: DataFrame, columns: list[str]) -> DataFrame:
@@ -76,9 +93,9 @@ def robust_scaled(points: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def features(points: DataFrame, mode: str, geography: float = 0.7) -> DataFrame:
-    """(slice, id, f): the vector that Ward merges by. geo_cost and geo_volume weigh place against rate or volume."""
+    """(slice, id, f): the vector that Ward merges by. Geography takes metres as they are; geo_cost and geo_volume weigh scaled place against rate or volume."""
     if mode == "geography":
-        return robust_scaled(points, ["x", "y"]).select("slice", "id", F.array("s_x", "s_y").alias("f"))
+        return points.select("slice", "id", F.array("x", "y").alias("f"))
     if not 0 < geography < 1:
         raise ValueError("both weights must be positive")
     extra = F.col("weighted_rub_per_km") if mode == "geo_cost" else F.log1p(F.col("trip_count").cast("double"))
@@ -172,42 +189,87 @@ def k_range(label: DataFrame, most: int = 20) -> DataFrame:
     return s.select("slice", F.explode(ks).alias("k"))
 
 
+def _gap(x: str, y: str, u: str, v: str) -> Column:
+    return F.sqrt(F.pow(F.col(x) - F.col(u), 2) + F.pow(F.col(y) - F.col(v), 2))
+
+
+def _cluster_distances(points: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(slice, k, id, cluster_id, oc, total, n): distances of each point to all others of each cluster, summed.
+
+    A slice's partitions for its several K come from one merge log and are nested. So each pair of points meets once,
+    for the finest partition, and the sums for coarser ones are sums of those.
+    """
+    most = assigned.groupBy("slice").agg(F.max("k").alias("k"))
+    fine = cut(assigned.join(most, ["slice", "k"]).select("slice", "id", F.col("cluster_id").alias("fine")), "finest")
+    p = points.select("slice", "id", "x", "y").join(fine, ["slice", "id"])
+    other = p.select("slice", F.col("id").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"), "fine")
+    pairs = p.drop("fine").join(other, "slice").where("id != oid")
+    sums = cut(pairs.groupBy("slice", "id", "fine").agg(F.sum(_gap("x", "y", "ox", "oy")).alias("total"), F.count("*").alias("n")), "distance-sums")
+    coarse = assigned.join(fine, ["slice", "id"]).select("slice", "k", "fine", F.col("cluster_id").alias("oc")).distinct()
+    own = assigned.select("slice", "k", "id", "cluster_id")
+    return sums.join(coarse, ["slice", "fine"]).groupBy("slice", "k", "id", "oc").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).join(own, ["slice", "k", "id"])
+
+
 def partition_quality(points: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Silhouette, Calinski-Harabasz and Davies-Bouldin of each (slice, k), and size diagnostics.
+    """Silhouette, Calinski-Harabasz and Davies-Bouldin of each (slice, k), size diagnostics, radii to the medoids and the spread of a value.
 
-    The first three are null where every point is a cluster. Distances of a point to a cluster need every pair of a slice once per K; the pairs are aggregated as they are made.
+    Points may hold `value` and `weight`: mad is the mean absolute deviation of the value from its cluster's mean, both
+    weighted. The first three are null where every point is a cluster. Each pair of a slice meets once, whatever the number of K.
     """
-    p = assigned.join(points.select("slice", "id", "x", "y"), ["slice", "id"])
-    other = p.select("slice", "k", F.col("cluster_id").alias("oc"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("id").alias("oid"))
-    d = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
-    mean = p.join(other, ["slice", "k"]).where("id != oid").groupBy("slice", "k", "id", "cluster_id", "oc").agg(F.avg(d).alias("d"))
-    own = F.max(F.when(F.col("oc") == F.col("cluster_id"), F.col("d")))
-    near = F.min(F.when(F.col("oc") != F.col("cluster_id"), F.col("d")))
-    s = mean.groupBy("slice", "k", "id").agg(own.alias("a"), near.alias("b"))
+    if "value" not in points.columns:
+        points = points.withColumns({"value": F.lit(None).cast("double"), "weight": F.lit(1.0)})
+    p = cut(assigned.select("slice", "k", "id", "cluster_id").join(points.select("slice", "id", "x", "y", "value", "weight"), ["slice", "id"]), "quality-points")
+    far = cut(_cluster_distances(points, assigned), "cluster-distances")
+    mean = F.col("total") / F.col("n")
+    own, near = F.max(F.when(F.col("oc") == F.col("cluster_id"), mean)), F.min(F.when(F.col("oc") != F.col("cluster_id"), mean))
+    s = far.groupBy("slice", "k", "id").agg(own.alias("a"), near.alias("b"))
     s = s.select("slice", "k", F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"), "a")
     silhouette = s.groupBy("slice", "k").agg(F.when(F.count("a") > 0, F.avg("s")).alias("silhouette"))
-    centre = p.groupBy("slice", "k", "cluster_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count("*").alias("n"))
+    # the medoid has the least total distance in its cluster; a lone point has no pairs
+    inner = p.join(far.where("oc = cluster_id").select("slice", "k", "id", "total"), ["slice", "k", "id"], "left")
+    first = F.min(F.struct(F.coalesce("total", F.lit(0.0)).alias("total"), "id", "x", "y")).alias("m")
+    medoid = inner.groupBy("slice", "k", "cluster_id").agg(first).select("slice", "k", "cluster_id", F.col("m.x").alias("medoid_x"), F.col("m.y").alias("medoid_y"))
+    centre = p.groupBy("slice", "k", "cluster_id").agg(
+        F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count("*").alias("n"), weighted_mean(F.col("value"), F.col("weight")).alias("mean_value")
+    )
     whole = p.groupBy("slice", "k").agg(F.avg("x").alias("gx"), F.avg("y").alias("gy"), F.count("*").alias("points"))
-    r2 = F.pow(F.col("x") - F.col("mx"), 2) + F.pow(F.col("y") - F.col("my"), 2)
-    inside = p.join(centre, ["slice", "k", "cluster_id"]).groupBy("slice", "k", "cluster_id").agg(F.sum(r2).alias("w"), F.avg(F.sqrt(r2)).alias("spread"), F.percentile(F.sqrt(r2), 0.95).alias("p95"))
-    c = centre.join(inside, ["slice", "k", "cluster_id"]).join(whole, ["slice", "k"])
+    both = p.join(centre, ["slice", "k", "cluster_id"]).join(medoid, ["slice", "k", "cluster_id"])
+    r, reach = _gap("x", "y", "mx", "my"), _gap("x", "y", "medoid_x", "medoid_y")
+    both = both.withColumns({"r": r, "reach": reach, "off": F.abs(F.col("value") - F.col("mean_value"))})
+    radii = both.groupBy("slice", "k").agg(
+        F.avg("reach").alias("mean_radius_m"), F.percentile("reach", 0.95).alias("p95_radius_m"), F.max("reach").alias("max_radius_m"), weighted_mean(F.col("off"), F.col("weight")).alias("mad")
+    )
+    inside = both.groupBy("slice", "k", "cluster_id").agg(F.sum(F.col("r") * F.col("r")).alias("w"), F.avg("r").alias("spread"))
+    c = cut(centre.join(inside, ["slice", "k", "cluster_id"]).join(whole, ["slice", "k"]), "centres")
     b2 = F.col("n") * (F.pow(F.col("mx") - F.col("gx"), 2) + F.pow(F.col("my") - F.col("gy"), 2))
     sums = c.groupBy("slice", "k").agg(
-        (F.sum(b2) / (F.count("*") - 1) / (F.sum("w") / F.nullif(F.first("points") - F.count("*"), F.lit(0)))).alias("calinski_harabasz"),
-        F.max("p95").alias("p95_radius_m"),
+        (F.sum(b2) / F.nullif(F.count("*") - 1, F.lit(0)) / F.nullif(F.sum("w") / F.nullif(F.first("points") - F.count("*"), F.lit(0)), F.lit(0.0))).alias("calinski_harabasz"),
         F.sum((F.col("n") <= 2).cast("long")).alias("tiny_clusters"),
         F.avg((F.col("n") <= 2).cast("double")).alias("tiny_share"),
         (F.stddev_pop("n") / F.avg("n")).alias("size_cv"),
         F.count("*").alias("clusters"),
+        F.first("points").alias("points"),
     )
     o = c.select("slice", "k", F.col("cluster_id").alias("oc"), F.col("mx").alias("ox"), F.col("my").alias("oy"), F.col("spread").alias("os"))
-    gap = F.sqrt(F.pow(F.col("mx") - F.col("ox"), 2) + F.pow(F.col("my") - F.col("oy"), 2))
-    worst = c.join(o, ["slice", "k"]).where("cluster_id != oc").groupBy("slice", "k", "cluster_id").agg(F.max((F.col("spread") + F.col("os")) / gap).alias("r"))
+    worst = c.join(o, ["slice", "k"]).where("cluster_id != oc").groupBy("slice", "k", "cluster_id").agg(F.max((F.col("spread") + F.col("os")) / _gap("mx", "my", "ox", "oy")).alias("r"))
     db = worst.groupBy("slice", "k").agg(F.avg("r").alias("davies_bouldin"))
-    out = sums.join(silhouette, ["slice", "k"], "left").join(db, ["slice", "k"], "left")
+    out = sums.join(radii, ["slice", "k"]).join(silhouette, ["slice", "k"], "left").join(db, ["slice", "k"], "left")
     return out.withColumn("davies_bouldin", F.when(F.col("calinski_harabasz").isNotNull(), F.col("davies_bouldin")))
 
 
+def selection_score(quality: DataFrame, geography: float = 0.7) -> DataFrame:
+    """Adds selection_score: silhouette and evenness of the value, each scaled to 0..1 over a slice's K, less what many and tiny clusters cost."""
+    w = W.partitionBy("slice")
+
+    def scaled(c: str) -> Column:
+        low, high = F.min(c).over(w), F.max(c).over(w)
+        return F.when(high > low, (F.coalesce(F.col(c), F.lit(0.0)) - low) / (high - low))
+
+    good, even = F.coalesce(scaled("silhouette"), F.lit(1.0)), F.coalesce(1 - scaled("mad"), F.lit(1.0))
+    score = geography * good + (1 - geography) * even - 0.10 * F.col("k") / F.col("points") - 0.20 * F.col("tiny_share")
+    return quality.withColumn("selection_score", score)
+
+
 def select_k(quality: DataFrame, measure: str = "silhouette", tolerance: float = 0.02) -> DataFrame:
     """Adds pareto, eligible and selected: undominated on five criteria, fewest tiny clusters, near the best, least K."""
     low = lambda c: F.coalesce(F.col(c), F.lit(float("inf")))
@@ -259,6 +321,54 @@ def summarize(points: DataFrame, assigned: DataFrame) -> DataFrame:
     return out.join(total, "slice").withColumn("point_share", F.col("points") / F.col("all_points")).drop("all_points")
 
 
+def compactness(points: DataFrame, assigned: DataFrame) -> DataFrame:
+    """One row a slice: coverage, noise, distances to the medoids (plain and by trips), cluster sizes and shares of trips."""
+    trips = F.greatest(F.coalesce("trip_count", F.lit(0)), F.lit(0))
+    label = assigned.where("cluster_id >= 0").select("slice", "id", "cluster_id")
+    p = points.join(label, ["slice", "id"], "left").withColumn("t", trips)
+    table = summarize(points, assigned)
+    at = points.select("slice", F.col("id").alias("medoid"), F.col("x").alias("mx"), F.col("y").alias("my"))
+    medoid = table.select("slice", "cluster_id", "medoid").join(at, ["slice", "medoid"]).drop("medoid")
+    own = p.where("cluster_id >= 0").join(medoid, ["slice", "cluster_id"]).withColumn("d", _gap("x", "y", "mx", "my"))
+    whole = p.groupBy("slice").agg(F.count("*").alias("points"), F.count("cluster_id").alias("assigned"), F.sum("t").alias("trips"), F.sum(F.when(F.col("cluster_id") >= 0, F.col("t"))).alias("assigned_trips"))
+    reach = own.groupBy("slice").agg(
+        F.avg("d").alias("mean_m"), (F.sum(F.col("d") * F.col("t")) / F.nullif(F.sum("t"), F.lit(0))).alias("weighted_mean_m"), F.percentile("d", 0.95).alias("p95_m"), F.max("d").alias("max_m")
+    )
+    tail = weighted_percentile(own, ["slice"], "d", "t", 0.95).withColumnRenamed("weighted_percentile", "weighted_p95_m")
+    clusters = own.groupBy("slice", "cluster_id").agg(F.count("*").alias("n"), F.sum("t").alias("t")).join(whole.select("slice", "trips"), "slice")
+    clusters = clusters.withColumn("share", F.when(F.col("trips") > 0, F.col("t") / F.col("trips")).otherwise(0.0))
+    shares = clusters.groupBy("slice").agg(
+        F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.min("share").alias("min_share"), F.max("share").alias("max_share"), F.coalesce(F.stddev_pop("share") / F.nullif(F.avg("share"), F.lit(0.0)), F.lit(0.0)).alias("share_cv")
+    )
+    out = whole.join(reach, "slice", "left").join(tail, "slice", "left").join(shares, "slice", "left")
+    return out.select(
+        "slice", (100 * F.col("assigned") / F.col("points")).alias("coverage_pct"), (100 - 100 * F.col("assigned") / F.col("points")).alias("noise_pct"),
+        F.coalesce(100 * F.col("assigned_trips") / F.nullif(F.col("trips"), F.lit(0)), F.lit(0.0)).alias("trip_coverage_pct"),
+        "mean_m", "weighted_mean_m", "p95_m", "weighted_p95_m", "max_m", F.coalesce("min_size", F.lit(0)).alias("min_size"), F.coalesce("max_size", F.lit(0)).alias("max_size"),
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("min_share", "max_share", "share_cv")],
+    )
+
+
+def spread_metrics(points: DataFrame, assigned: DataFrame, value: str, weight: str | None) -> DataFrame:
+    """One row a slice: how a value spreads within and between the clusters; weighted for rates, plain for volumes.
+
+    Between clusters, deviations from the slice's mean count by the clusters' weights (each cluster once without a weight).
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    p = points.select("slice", "id", F.col(value).cast("double").alias("v"), w.alias("w"))
+    own = p.join(assigned.where("cluster_id >= 0").select("slice", "id", "cluster_id"), ["slice", "id"])
+    v, w = F.col("v"), F.col("w")
+    mean = weighted_mean(v, w)
+    clusters = own.groupBy("slice", "cluster_id").agg(mean.alias("m"), (F.sum("w") if weight else F.lit(1.0)).alias("cw"))
+    whole = p.groupBy("slice").agg(mean.alias("slice_mean"))
+    inside = own.join(clusters, ["slice", "cluster_id"]).groupBy("slice").agg(weighted_mean(F.abs(v - F.col("m")), w).alias("within_mad"), weighted_mean(F.pow(v - F.col("m"), 2), w).alias("within_variance"))
+    between = clusters.join(whole, "slice").groupBy("slice").agg(
+        weighted_mean(F.pow(F.col("m") - F.col("slice_mean"), 2), F.col("cw")).alias("between_variance"), (F.max("m") - F.min("m")).alias("spread")
+    )
+    out = whole.join(inside, "slice").join(between, "slice")
+    return out.withColumn("variance_ratio", F.when(F.col("within_variance") > 1e-9, F.col("between_variance") / F.col("within_variance")))
+
+
 def weighted_percentile(df: DataFrame, keys: list[str], value: str, weight: str, fraction: float) -> DataFrame:
     """Least value whose cumulative weight reaches the fraction of the total; positive weights only."""
     ok = df.where((F.col(weight) > 0) & F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("w"))
@@ -271,6 +381,15 @@ def point_status(assigned: Column, kind: Column, candidate: Column, isolated: Co
     return F.when(unavailable, "unavailable").when(assigned >= 0, F.coalesce(kind, F.lit("cluster"))).when(candidate, "candidate").when(isolated, "spatial_outlier").otherwise("ordinary")
 
 
+#: The codes of the warnings.
+WARNINGS = ("CONTAINS_FORECAST", "MIXED_ECONOMIC_SEGMENTS", "COORDINATE_INCOMPLETE", "ECONOMIC_UNAVAILABLE")
+
+
+def warnings(forecast: Column, mixed: Column, unresolved: Column, unavailable: Column) -> Column:
+    """Codes of what a reader of a result should know, in the order of WARNINGS."""
+    return F.array_compact(F.array(*[F.when(c, F.lit(code)) for c, code in zip((forecast, mixed, unresolved, unavailable), WARNINGS, strict=True)]))
+
+
 def membership_agreement(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Adjusted Rand index and normalised mutual information of two assignments on points that both assign."""
     both = a.where("cluster_id >= 0").select(*keys, "id", F.col("cluster_id").alias("l")).join(b.where("cluster_id >= 0").select(*keys, "id", F.col("cluster_id").alias("r")), [*keys, "id"])

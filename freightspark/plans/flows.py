@@ -64,6 +64,8 @@ MODES = ("geography", "geo_cost", "geo_volume", "bear_cost", "bear_volume")
 
 
 PARTITIONS = ("geography", "geo_cost", "geo_volume")
+#: What should be even within the clusters of a mode, and its weight.
+VALUES = {"geography": (F.lit(None), F.lit(1)), "geo_cost": (F.col("weighted_rub_per_km"), F.col("trip_count")), "geo_volume": (F.log1p(F.greatest(F.col("trip_count"), F.lit(0))), F.lit(1))}
 
 
 def partition_modes(points: DataFrame, edges: DataFrame, modes: tuple[str, ...] = PARTITIONS, k: int | None = None) -> DataFrame:
@@ -76,7 +78,9 @@ def partition_modes(points: DataFrame, edges: DataFrame, modes: tuple[str, ...]
     for mode in modes:
         name = F.concat_ws("@", F.lit(mode), "slice").alias("slice")
         p = zones.eligible(points, mode)
-        parts = (zones.features(p, mode).select(name, "id", "f"), graph.induced(edges, p).select(name, "a", "b", "distance"), p.select(name, "id", "x", "y"))
+        value, weight = VALUES[mode]
+        measured = p.select(name, "id", "x", "y", value.cast("double").alias("value"), weight.cast("double").alias("weight"))
+        parts = (zones.features(p, mode).select(name, "id", "f"), graph.induced(edges, p).select(name, "a", "b", "distance"), measured)
         feats, inner, own = parts if feats is None else tuple(x.unionByName(y) for x, y in zip((feats, inner, own), parts, strict=True))
     feats, inner, own = cut(feats, "features"), cut(inner, "induced"), cut(own, "eligible")
     label = cut(graph.components(inner), "labels")
@@ -86,7 +90,8 @@ def partition_modes(points: DataFrame, edges: DataFrame, modes: tuple[str, ...]
         parts = cut(zones.cut_partitions(log, label, every), "sweep")
         geography = F.col("slice").startswith("geography@")
         quality = cut(zones.partition_quality(own, parts), "quality")
-        picked = zones.select_k(quality.where(geography), tolerance=0.02).unionByName(zones.select_k(quality.where(~geography), tolerance=0.03))
+        scored = cut(zones.selection_score(quality), "scores")
+        picked = zones.select_k(scored.where(geography), tolerance=0.02).unionByName(zones.select_k(scored.where(~geography), "selection_score", 0.03))
         parts = parts.join(picked.where("selected").select("slice", "k"), ["slice", "k"], "left_semi")
     else:
         parts = zones.cut_partitions(log, label, every.where(F.col("k") == k))
@@ -117,6 +122,74 @@ def run(obs: DataFrame, coords: DataFrame, mode: str = "bear_cost", k: int | Non
     return own, table, points
 
 
+def point_states(obs: DataFrame, coords: DataFrame, mode: str = "bear_cost") -> DataFrame:
+    """(slice, id, cluster_id, status, warnings) of every destination, also those without coordinates or measures.
+
+    warnings are those of the slice.
+    """
+    places = cut(region_points(obs, coords), "region-points")
+    points = cut(graph_points(places), "points")
+    edges, _ = spatial_graph(points)
+    fit = zones.eligible(points, mode)
+    if mode in ("bear_cost", "bear_volume"):
+        value, weight = ("weighted_rub_per_km", "trip_count") if mode == "bear_cost" else ("trip_count", None)
+        own = zones.high_zones(fit, edges, value, weight).select("slice", "id", "cluster_id", "cluster_type", "candidate")
+    else:
+        own = assign(points, edges, mode).select("*", F.lit(False).alias("candidate"))
+    lone = graph.isolated(points, edges).withColumn("lone", F.lit(True))
+    known = fit.select("slice", "id").withColumn("fit", F.lit(True))
+    out = places.select(F.col("destination_region").alias("slice"), F.col("destination_fias").alias("id"), "resolved").where("id is not null")
+    for part in (own, lone, known):
+        out = out.join(part, ["slice", "id"], "left")
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    status = zones.point_status(F.coalesce("cluster_id", F.lit(-1)), F.col("cluster_type"), no("candidate"), no("lone"), ~no("fit"))
+    quality = economics.data_quality(places, ["destination_region"])
+    economic = mode in ("geo_cost", "bear_cost")
+    said = quality.select(
+        F.col("destination_region").alias("slice"),
+        zones.warnings(F.col("has_forecast") > 0, (F.col("mixed_periods") > 0) & F.lit(economic), F.col("resolved_points") < F.col("points"), (F.col("economic_valid") < F.col("points")) & F.lit(economic)).alias("warnings"),
+    )
+    return out.join(said, "slice", "left").select("slice", "id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), status.alias("status"), F.array_join("warnings", ",").alias("warnings"))
+
+
+#: The multipliers that are compared.
+MULTIPLIERS = (1.5, 2.0, 2.5, 3.0, 3.5, 4.0)
+
+
+def pruning_sensitivity(points: DataFrame, multipliers: tuple[float, ...] = MULTIPLIERS) -> DataFrame:
+    """Graph audit of each slice at each threshold multiplier, and the change in its number of components from one to the next.
+
+    Edges do not depend on the threshold but for their length, so they are found once, for the greatest.
+    """
+    near = cut(graph.nearest_distance(points), "nearest")
+    limit = None
+    for m in multipliers:
+        own = graph.adaptive_threshold(near, m).withColumn("multiplier", F.lit(float(m)))
+        limit = own if limit is None else limit.unionByName(own)
+    limit = cut(limit, "thresholds")
+    widest = limit.groupBy("slice").agg(F.max("threshold").alias("threshold"))
+    edges = cut(graph.delaunay_edges(points, cut(graph.pairs_within(points.join(widest, "slice"), "threshold"), "near-pairs")), "edges")
+    key = lambda df: df.withColumn("slice", F.concat_ws("@", "slice", F.col("multiplier").cast("string")))
+    kept = cut(key(edges.join(limit, "slice").where("distance <= threshold")).select("slice", "a", "b", "distance"), "kept-edges")
+    audit = graph.graph_audit(key(points.select("slice", "id").join(limit, "slice")), kept, graph.components(kept))
+    name = F.split("slice", "@")
+    audit = audit.withColumns({"multiplier": F.element_at(name, -1).cast("double"), "slice": F.array_join(F.slice(name, 1, F.size(name) - 1), "@")})
+    step = F.col("components") - F.lag("components").over(W.partitionBy("slice").orderBy("multiplier"))
+    return audit.join(limit, ["slice", "multiplier"]).select("slice", "multiplier", "threshold", "components", step.alias("components_delta"), "isolated", "edges", "mean_edge", "p95_edge", "max_edge")
+
+
+def method_comparison(points: DataFrame) -> DataFrame:
+    """Graph audits of Delaunay and mutual nearest-neighbour edges, a row each and slice."""
+    near = cut(graph.nearest_distance(points), "nearest")
+    pairs = cut(graph.pairs_within(points.join(graph.adaptive_threshold(near), "slice"), "threshold"), "near-pairs")
+    out = None
+    for method, edges in (("delaunay", graph.delaunay_edges(points, pairs)), ("mutual_knn", graph.mutual_knn_edges(pairs))):
+        edges = cut(edges, method)
+        own = graph.graph_audit(points, edges, graph.components(edges)).withColumn("method", F.lit(method))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def compare(obs: DataFrame, coords: DataFrame, k: int | None = None) -> DataFrame:
     """All five modes on one graph: clusters, assigned points and trips of each region and mode. No winner is named."""
     points = cut(graph_points(region_points(obs, coords)), "points")

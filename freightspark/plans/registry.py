@@ -116,14 +116,23 @@ add("j7_origin_coverage", lambda s, d: catalog.origin_coverage(src.observations(
 
 
 def _towns(s: SparkSession, d: str) -> DataFrame:
-    a = src.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("actual_id"), (F.col("c_custkey") % 97).cast("string").alias("town"))
-    b = src.table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("registry_id"), (F.col("s_suppkey") % 61).cast("string").alias("town"))
-    return catalog.unique_town_match(a.where("cast(actual_id as long) < 120"), b)
-
-
-add("j5_unique_town_match", _towns, """, a AS (SELECT c_custkey::VARCHAR AS actual_id, (c_custkey % 97)::VARCHAR AS town, count(*) OVER (PARTITION BY c_custkey % 97) AS na FROM customer WHERE c_custkey < 120),
-b AS (SELECT (s_suppkey % 61)::VARCHAR AS town, count(*) AS nb, min(s_suppkey::VARCHAR) AS registry_id FROM supplier GROUP BY 1)
-SELECT actual_id, town, CASE WHEN na = 1 AND nb = 1 THEN registry_id END AS registry_id, CASE WHEN na = 1 AND nb = 1 THEN 'matched' WHEN nb IS NULL THEN 'unmatched' ELSE 'ambiguous' END AS match_status FROM a LEFT JOIN b USING (town)""")
+    """Town keys of which a part stays unique at every size: every third customer and every second supplier has a town of its own."""
+    c, k = F.col("c_custkey"), F.col("s_suppkey")
+    town = lambda own, rest: F.when(own, F.concat(F.lit("t"), rest[0].cast("string"))).otherwise(F.concat(F.lit("shared"), rest[1].cast("string")))
+    a = src.table(s, d, "customer").select(c.cast("string").alias("actual_id"), town(c % 3 == 0, (c, c % 97)).alias("town"))
+    b = src.table(s, d, "supplier").select(k.cast("string").alias("registry_id"), town(k % 2 == 0, (k, k % 61)).alias("town"))
+    return catalog.unique_town_match(a, b)
+
+
+add(
+    "j5_unique_town_match",
+    _towns,
+    """, a0 AS (SELECT c_custkey::VARCHAR AS actual_id, CASE WHEN c_custkey % 3 = 0 THEN 't' || c_custkey ELSE 'shared' || (c_custkey % 97) END AS town FROM customer),
+a AS (SELECT *, count(*) OVER (PARTITION BY town) AS na FROM a0),
+b AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 't' || s_suppkey ELSE 'shared' || (s_suppkey % 61) END AS town, count(*) AS nb, min(s_suppkey::VARCHAR) AS registry_id FROM supplier GROUP BY 1)
+SELECT actual_id, town, CASE WHEN na = 1 AND nb = 1 THEN registry_id END AS registry_id,
+  CASE WHEN na = 1 AND nb = 1 THEN 'matched' WHEN nb IS NULL THEN 'unmatched' ELSE 'ambiguous' END AS match_status FROM a LEFT JOIN b USING (town)""",
+)
 add("n10_row_fingerprint", lambda s, d: src.observations(s, d).select("row_key", scalars.row_fingerprint(*[F.col(c) for c in ("origin_fias", "destination_fias", "period_id", "period_type", "trip_count")]).alias("fingerprint")), "SELECT row_key, sha256(concat(origin_fias, chr(31), coalesce(destination_fias, ''), chr(31), period_id, chr(31), period_type, chr(31), coalesce(trip_count::VARCHAR, ''))) AS fingerprint FROM obs")
 add("n16_haversine", lambda s, d: src.places(s, d).select("c_custkey", scalars.haversine_m(F.col("lat"), F.col("lon"), F.lit(55.0), F.lit(37.0)).alias("metres")), "SELECT c_custkey, 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin((radians(55.0) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(55.0)) * pow(sin(radians(37.0 - lon) / 2), 2)))) AS metres FROM geo", "metres")
 
@@ -257,7 +266,8 @@ EDGES = LIMIT + """
 third AS (SELECT c.slice, c.a, c.b, c.distance, ((g.x - (ax + bx) / 2) * (ay - by_) + (g.y - (ay + by_) / 2) * (bx - ax)) / distance AS d,
   pow(g.x - (ax + bx) / 2, 2) + pow(g.y - (ay + by_) / 2, 2) - distance * distance / 4 AS w FROM cand c JOIN gp g ON g.slice = c.slice AND g.id <> c.a AND g.id <> c.b),
 rim AS (SELECT slice, a, b, distance, max(w / (2 * d)) FILTER (d < -1e-9 * distance) AS low, min(w / (2 * d)) FILTER (d > 1e-9 * distance) AS high, min(w) FILTER (abs(d) <= 1e-9 * distance) AS flat FROM third GROUP BY 1, 2, 3, 4),
-edges AS (SELECT slice, a, b, distance FROM rim WHERE coalesce(low, '-infinity'::DOUBLE) <= coalesce(high, 'infinity'::DOUBLE) + 1e-9 * distance AND coalesce(flat, 0) >= -1e-9 * distance * distance)"""
+edges AS (SELECT slice, a, b, distance FROM rim WHERE coalesce(low, '-infinity'::DOUBLE) <= coalesce(high, 'infinity'::DOUBLE) + 1e-9 * distance AND coalesce(flat, 0) >= -1e-9 * distance * distance
+  UNION ALL SELECT slice, a, b, distance FROM cand WHERE slice IN (SELECT slice FROM gp GROUP BY 1 HAVING count(*) = 2))"""
 SPACE = (OBS, COORDINATES)
 add("j1_resolve_coordinates", lambda s, d: flows.region_points(src.observations(s, d), src.coordinates(s, d)).select("destination_region", "destination_fias", "lat", "lon", "coordinate_source", "resolved"), RESOLVED + " SELECT destination_region, destination_fias, lat, lon, coordinate_source, resolved FROM pts", "lat lon", SPACE)
 add("a27_data_quality", lambda s, d: flows.preview(src.observations(s, d), src.coordinates(s, d)), RESOLVED + """ SELECT destination_region, count(*) AS points, sum(resolved::INT)::BIGINT AS resolved_points, sum(trip_count)::BIGINT AS trips, coalesce(sum(trip_count) FILTER (resolved), 0)::BIGINT AS resolved_trips,
@@ -322,20 +332,25 @@ def _partitions(s: SparkSession, d: str) -> DataFrame:
     return table.join(bad, ["mode", "slice"], "left").na.fill(0, ["violations"])
 
 
-def _bear_sql(value: str, mean: str, pooled: str, rule: str) -> str:
+def _bear_sql(value: str, mean: str, pooled: str, rule: str, keyed: bool = False, end: str | None = None) -> str:
+    """keyed: the threshold is part of the slice. end: what to select instead of the zones of each point."""
+    eligible = f"SELECT *, 0.35 AS zone FROM gp WHERE {rule}", "SELECT * FROM edges"
+    if keyed:
+        eligible = tuple(f"SELECT x.* REPLACE (slice || '@' || t AS slice), t::DOUBLE AS zone FROM {x} x, th{' WHERE ' + rule if x == 'gp' else ''}" for x in ("gp", "edges"))
     return COMPONENTS.split(", both_ AS")[0] + f"""
-, el AS (SELECT * FROM gp WHERE {rule}), ba AS (SELECT slice, {mean} AS base FROM el GROUP BY 1),
-mk AS (SELECT el.*, CASE WHEN base > 0 THEN {value} / base - 1 END AS delta, base FROM el JOIN ba USING (slice)), ca AS (SELECT * FROM mk WHERE delta >= 0.35),
-ie AS (SELECT e.slice, e.a, e.b FROM edges e JOIN ca p ON p.slice = e.slice AND p.id = e.a JOIN ca q ON q.slice = e.slice AND q.id = e.b),
+, th AS (SELECT unnest([{', '.join(f"'{x}'" for x in zones.THRESHOLDS)}]) AS t), el AS ({eligible[0]}), ke AS ({eligible[1]}), ba AS (SELECT slice, {mean} AS base FROM el GROUP BY 1),
+mk AS (SELECT el.*, CASE WHEN base > 0 THEN {value} / base - 1 END AS delta, base FROM el JOIN ba USING (slice)), ca AS (SELECT * FROM mk WHERE delta >= zone),
+ie AS (SELECT e.slice, e.a, e.b FROM ke e JOIN ca p ON p.slice = e.slice AND p.id = e.a JOIN ca q ON q.slice = e.slice AND q.id = e.b),
 both_ AS (SELECT slice, a, b FROM ie UNION SELECT slice, b, a FROM ie),
 reach AS (SELECT DISTINCT slice, a AS id, a AS label FROM both_ UNION SELECT r.slice, e.b, r.label FROM reach r JOIN both_ e ON r.slice = e.slice AND r.id = e.a),
 comp AS (SELECT slice, id, min(label) AS component FROM reach GROUP BY 1, 2),
 own AS (SELECT ca.*, component FROM ca LEFT JOIN comp USING (slice, id)),
-zo AS (SELECT slice, component FROM own WHERE component IS NOT NULL GROUP BY 1, 2 HAVING {pooled} / any_value(base) - 1 >= 0.35),
+zo AS (SELECT slice, component FROM own WHERE component IS NOT NULL GROUP BY 1, 2 HAVING {pooled} / any_value(base) - 1 >= any_value(zone)),
 fi AS (SELECT slice, id, component AS first_id, 0 AS kind FROM own JOIN zo USING (slice, component) UNION ALL SELECT slice, id, id, 1 FROM own WHERE component IS NULL AND delta >= 0.70),
-nu AS (SELECT slice, kind, first_id, row_number() OVER (PARTITION BY slice ORDER BY kind, first_id) - 1 AS cluster_id FROM (SELECT DISTINCT slice, kind, first_id FROM fi))
-SELECT mk.slice, mk.id, mk.delta, coalesce(mk.delta >= 0.35, false) AS candidate, coalesce(nu.cluster_id, -1)::INT AS cluster_id, CASE fi.kind WHEN 0 THEN 'zone' WHEN 1 THEN 'singleton' END AS cluster_type
-FROM mk LEFT JOIN fi USING (slice, id) LEFT JOIN nu ON nu.slice = fi.slice AND nu.kind = fi.kind AND nu.first_id = fi.first_id"""
+nu AS (SELECT slice, kind, first_id, row_number() OVER (PARTITION BY slice ORDER BY kind, first_id) - 1 AS cluster_id FROM (SELECT DISTINCT slice, kind, first_id FROM fi)),
+found AS (SELECT mk.slice, mk.id, mk.trip_count, mk.delta, coalesce(mk.delta >= mk.zone, false) AS candidate, coalesce(nu.cluster_id, -1)::INT AS cluster_id, CASE fi.kind WHEN 0 THEN 'zone' WHEN 1 THEN 'singleton' END AS cluster_type
+FROM mk LEFT JOIN fi USING (slice, id) LEFT JOIN nu ON nu.slice = fi.slice AND nu.kind = fi.kind AND nu.first_id = fi.first_id)
+{end or 'SELECT slice, id, delta, candidate, cluster_id, cluster_type FROM found'}"""
 
 
 RECURSIVE = ("RECURSIVE " + OBS.strip(), COORDINATES)
@@ -346,7 +361,130 @@ c AS (SELECT slice, count(DISTINCT component) AS parts, count(*) AS linked FROM
 SELECT slice, nodes, coalesce(edges, 0) AS edges, mean_edge, p95_edge, max_edge, coalesce(parts, 0) + nodes - coalesce(linked, 0) AS components, nodes - coalesce(linked, 0) AS isolated, 2.0 * coalesce(edges, 0) / nodes AS mean_degree FROM n LEFT JOIN l USING (slice) LEFT JOIN c USING (slice)""", "mean_edge p95_edge max_edge mean_degree", RECURSIVE)
 add("c11_bear_cost_zones", _zones("bear_cost"), _bear_sql("weighted_rub_per_km", WR, WR, "trip_count > 0 AND weighted_rub_per_km IS NOT NULL"), "delta", RECURSIVE)
 add("c12_bear_volume_zones", _zones("bear_volume"), _bear_sql("trip_count", "avg(trip_count)", "avg(trip_count)", "trip_count > 0"), "delta", RECURSIVE)
-add("c13_threshold_sensitivity", _sensitivity)
+COST_RULE = "trip_count > 0 AND weighted_rub_per_km IS NOT NULL"
+add(
+    "c13_threshold_sensitivity",
+    _sensitivity,
+    _bear_sql("weighted_rub_per_km", WR, WR, COST_RULE, True, """, sz AS (SELECT slice, cluster_id, cluster_type, count(*) AS n, coalesce(sum(trip_count), 0) AS trips, sum(candidate::INT) AS cand FROM found GROUP BY 1, 2, 3)
+SELECT regexp_replace(slice, '@[^@]*$', '') AS slice, regexp_extract(slice, '@([^@]*)$', 1)::DOUBLE AS threshold, sum(cand)::BIGINT AS candidates, count(*) FILTER (cluster_type = 'zone') AS zones,
+  count(*) FILTER (cluster_type = 'singleton') AS singletons, coalesce(sum(n) FILTER (cluster_id >= 0), 0)::BIGINT AS covered_points, coalesce(sum(trips) FILTER (cluster_id >= 0), 0)::BIGINT AS covered_trips,
+  coalesce(avg(n) FILTER (cluster_type = 'zone'), 0) AS mean_zone_size, coalesce(max(n) FILTER (cluster_type = 'zone'), 0) AS max_zone_size FROM sz GROUP BY sz.slice"""),
+    "threshold mean_zone_size",
+    RECURSIVE,
+)
+add(
+    "p2_point_states",
+    lambda s, d: flows.point_states(src.observations(s, d), src.coordinates(s, d), "bear_cost"),
+    _bear_sql("weighted_rub_per_km", WR, WR, COST_RULE, False, """, dq AS (SELECT destination_region AS slice, concat_ws(',', CASE WHEN max(has_forecast) > 0 THEN 'CONTAINS_FORECAST' END, CASE WHEN max(contains(period_types, ',')::INT) > 0 THEN 'MIXED_ECONOMIC_SEGMENTS' END,
+  CASE WHEN sum(resolved::INT) < count(*) THEN 'COORDINATE_INCOMPLETE' END, CASE WHEN count(weighted_rub_per_km) < count(*) THEN 'ECONOMIC_UNAVAILABLE' END) AS warnings FROM pts GROUP BY 1),
+lone AS (SELECT slice, id FROM gp WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.slice = gp.slice AND (e.a = gp.id OR e.b = gp.id)))
+SELECT r.destination_region AS slice, r.destination_fias AS id, coalesce(f.cluster_id, -1)::INT AS cluster_id,
+  CASE WHEN f.id IS NULL THEN 'unavailable' WHEN f.cluster_id >= 0 THEN f.cluster_type WHEN f.candidate THEN 'candidate' WHEN l.id IS NOT NULL THEN 'spatial_outlier' ELSE 'ordinary' END AS status, warnings
+FROM pts r LEFT JOIN found f ON f.slice = r.destination_region AND f.id = r.destination_fias LEFT JOIN lone l ON l.slice = r.destination_region AND l.id = r.destination_fias JOIN dq ON dq.slice = r.destination_region
+WHERE r.destination_fias IS NOT NULL"""),
+    "",
+    RECURSIVE,
+)
+
+
+def _nested(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Points, and three nested partitions of them by their numbers."""
+    points = _points(s, d)
+    k = F.explode(F.array(*[F.lit(n) for n in (2, 4, 8)])).alias("k")
+    own = points.select("slice", "id", k).withColumn("cluster_id", (F.substring("id", 2, 20).cast("long") % F.col("k")).cast("int"))
+    return points.withColumns({"value": F.col("weighted_rub_per_km"), "weight": F.col("trip_count").cast("double")}), own
+
+
+QUALITY = "silhouette calinski_harabasz davies_bouldin tiny_share size_cv mean_radius_m p95_radius_m max_radius_m mad selection_score"
+add(
+    "c5_c6_partition_quality",
+    lambda s, d: zones.selection_score(cut(zones.partition_quality(*_nested(s, d)), "quality")),
+    PROJECTED + f"""
+, asg AS (SELECT gp.*, k, (substr(id, 2)::BIGINT % k)::INT AS c FROM gp, (SELECT unnest([2, 4, 8]) AS k)),
+pd AS (SELECT a.slice, a.k, a.id, a.c, b.c AS oc, sum(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS total, count(*) AS n FROM asg a JOIN asg b ON a.slice = b.slice AND a.k = b.k AND a.id <> b.id GROUP BY 1, 2, 3, 4, 5),
+ab AS (SELECT slice, k, id, max(total / n) FILTER (c = oc) AS a, min(total / n) FILTER (c <> oc) AS b FROM pd GROUP BY 1, 2, 3),
+si AS (SELECT slice, k, CASE WHEN count(a) > 0 THEN avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END) END AS silhouette FROM ab GROUP BY 1, 2),
+fa AS (SELECT asg.*, coalesce(total, 0) AS total FROM asg LEFT JOIN pd ON pd.slice = asg.slice AND pd.k = asg.k AND pd.id = asg.id AND pd.oc = asg.c),
+me AS (SELECT slice, k, c, arg_min(x, (total, id)) AS ox, arg_min(y, (total, id)) AS oy, avg(x) AS mx, avg(y) AS my, count(*) AS n, {WR} AS mv FROM fa GROUP BY 1, 2, 3),
+bo AS (SELECT fa.*, mx, my, sqrt(pow(x - mx, 2) + pow(y - my, 2)) AS r, sqrt(pow(x - ox, 2) + pow(y - oy, 2)) AS reach, abs(weighted_rub_per_km - mv) AS off_ FROM fa JOIN me USING (slice, k, c)),
+ra AS (SELECT slice, k, avg(reach) AS mean_radius_m, quantile_cont(reach, 0.95) AS p95_radius_m, max(reach) AS max_radius_m, {WMEAN.format(v='off_', w='trip_count')} AS mad, avg(x) AS gx, avg(y) AS gy, count(*) AS points FROM bo GROUP BY 1, 2),
+sp AS (SELECT slice, k, c, sum(r * r) AS w, avg(r) AS spread FROM bo GROUP BY 1, 2, 3),
+ce AS (SELECT * FROM me JOIN sp USING (slice, k, c) JOIN ra USING (slice, k)),
+su AS (SELECT slice, k, sum(n * (pow(mx - gx, 2) + pow(my - gy, 2))) / nullif(count(*) - 1, 0) / nullif(sum(w) / nullif(any_value(points) - count(*), 0), 0) AS calinski_harabasz,
+  sum((n <= 2)::INT)::BIGINT AS tiny_clusters, avg((n <= 2)::INT) AS tiny_share, stddev_pop(n) / avg(n) AS size_cv, count(*) AS clusters, any_value(points) AS points FROM ce GROUP BY 1, 2),
+wo AS (SELECT a.slice, a.k, a.c, max((a.spread + b.spread) / sqrt(pow(a.mx - b.mx, 2) + pow(a.my - b.my, 2))) AS r FROM ce a JOIN ce b ON a.slice = b.slice AND a.k = b.k AND a.c <> b.c GROUP BY 1, 2, 3),
+db AS (SELECT slice, k, avg(r) AS davies_bouldin FROM wo GROUP BY 1, 2),
+q AS (SELECT su.*, mean_radius_m, p95_radius_m, max_radius_m, mad, silhouette, CASE WHEN calinski_harabasz IS NOT NULL THEN davies_bouldin END AS davies_bouldin FROM su JOIN ra USING (slice, k) LEFT JOIN si USING (slice, k) LEFT JOIN db USING (slice, k)),
+sc AS (SELECT *, min(silhouette) OVER w AS s0, max(silhouette) OVER w AS s1, min(mad) OVER w AS m0, max(mad) OVER w AS m1 FROM q WINDOW w AS (PARTITION BY slice))
+SELECT * EXCLUDE (s0, s1, m0, m1), 0.7 * coalesce(CASE WHEN s1 > s0 THEN (coalesce(silhouette, 0) - s0) / (s1 - s0) END, 1) + (1 - 0.7) * coalesce(1 - CASE WHEN m1 > m0 THEN (coalesce(mad, 0) - m0) / (m1 - m0) END, 1) - 0.10 * k / points - 0.20 * tiny_share AS selection_score FROM sc""",
+    QUALITY,
+    SPACE,
+)
+
+
+def _quarters(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Points, and clusters by number; one in five has none."""
+    points = _points(s, d)
+    n = F.substring("id", 2, 20).cast("long")
+    return points, points.select("slice", "id", F.when(n % 5 == 0, -1).otherwise((n % 4).cast("int")).alias("cluster_id"))
+
+
+QUARTERS = PROJECTED + """
+, asg AS (SELECT *, CASE WHEN substr(id, 2)::BIGINT % 5 = 0 THEN -1 ELSE (substr(id, 2)::BIGINT % 4)::INT END AS cluster_id FROM gp)"""
+PCT = "coverage_pct noise_pct trip_coverage_pct mean_m weighted_mean_m p95_m weighted_p95_m max_m min_share max_share share_cv"
+add(
+    "c17_compactness",
+    lambda s, d: zones.compactness(*_quarters(s, d)),
+    QUARTERS + """
+, t AS (SELECT *, greatest(coalesce(trip_count, 0), 0) AS t FROM asg),
+far AS (SELECT a.slice, a.cluster_id, a.id, sum(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS far FROM asg a JOIN asg b USING (slice, cluster_id) WHERE a.cluster_id >= 0 GROUP BY 1, 2, 3),
+med AS (SELECT slice, cluster_id, arg_min(id, (far, id)) AS medoid FROM far GROUP BY 1, 2),
+ow AS (SELECT t.*, sqrt(pow(t.x - m.x, 2) + pow(t.y - m.y, 2)) AS d FROM t JOIN med USING (slice, cluster_id) JOIN gp m ON m.slice = t.slice AND m.id = medoid),
+wh AS (SELECT slice, count(*) AS points, count(*) FILTER (cluster_id >= 0) AS assigned, sum(t) AS trips, sum(t) FILTER (cluster_id >= 0) AS own_trips FROM t GROUP BY 1),
+re AS (SELECT slice, avg(d) AS mean_m, sum(d * t) / nullif(sum(t), 0) AS weighted_mean_m, quantile_cont(d, 0.95) AS p95_m, max(d) AS max_m FROM ow GROUP BY 1),
+ta AS (SELECT slice, min(d) AS weighted_p95_m FROM (SELECT slice, d, sum(t) OVER (PARTITION BY slice ORDER BY d RANGE UNBOUNDED PRECEDING) AS u, sum(t) OVER (PARTITION BY slice) AS w FROM ow WHERE t > 0) WHERE u >= 0.95 * w GROUP BY 1),
+cl AS (SELECT slice, cluster_id, count(*) AS n, CASE WHEN any_value(trips) > 0 THEN sum(t) / any_value(trips) ELSE 0 END AS share FROM ow JOIN wh USING (slice) GROUP BY 1, 2),
+sh AS (SELECT slice, min(n) AS min_size, max(n) AS max_size, min(share) AS min_share, max(share) AS max_share, coalesce(stddev_pop(share) / nullif(avg(share), 0), 0) AS share_cv FROM cl GROUP BY 1)
+SELECT slice, 100.0 * assigned / points AS coverage_pct, 100 - 100.0 * assigned / points AS noise_pct, coalesce(100.0 * own_trips / nullif(trips, 0), 0) AS trip_coverage_pct, mean_m, weighted_mean_m, p95_m, weighted_p95_m, max_m,
+  coalesce(min_size, 0) AS min_size, coalesce(max_size, 0) AS max_size, coalesce(min_share, 0) AS min_share, coalesce(max_share, 0) AS max_share, coalesce(share_cv, 0) AS share_cv FROM wh LEFT JOIN re USING (slice) LEFT JOIN ta USING (slice) LEFT JOIN sh USING (slice)""",
+    PCT,
+    SPACE,
+)
+SPREAD = "slice_mean within_mad within_variance between_variance spread variance_ratio"
+for _name, _value, _weight in (("c9_cost_spread", "weighted_rub_per_km", "trip_count"), ("c10_volume_spread", "trip_count", None)):
+    _w = _weight or "1"
+    add(
+        _name,
+        lambda s, d, v=_value, w=_weight: zones.spread_metrics(*_quarters(s, d), v, w),
+        QUARTERS + f"""
+, p AS (SELECT slice, cluster_id, ({_value})::DOUBLE AS v, ({_w})::DOUBLE AS w FROM asg),
+cl AS (SELECT slice, cluster_id, {WMEAN.format(v='v', w='w')} AS m, {'sum(w)' if _weight else '1.0'} AS cw FROM p WHERE cluster_id >= 0 GROUP BY 1, 2),
+wh AS (SELECT slice, {WMEAN.format(v='v', w='w')} AS slice_mean FROM p GROUP BY 1),
+i AS (SELECT p.slice, {WMEAN.format(v='abs(v - m)', w='w')} AS within_mad, {WMEAN.format(v='pow(v - m, 2)', w='w')} AS within_variance FROM p JOIN cl USING (slice, cluster_id) GROUP BY 1),
+b AS (SELECT slice, {WMEAN.format(v='pow(m - slice_mean, 2)', w='cw')} AS between_variance, max(m) - min(m) AS spread FROM cl JOIN wh USING (slice) GROUP BY 1)
+SELECT slice, slice_mean, within_mad, within_variance, between_variance, spread, CASE WHEN within_variance > 1e-9 THEN between_variance / within_variance END AS variance_ratio FROM wh JOIN i USING (slice) JOIN b USING (slice)""",
+        SPREAD,
+        SPACE,
+    )
+SWEEP = LIMIT.split(",\nlim AS")[0] + f""", mu AS (SELECT unnest([{', '.join(f"'{m}'" for m in flows.MULTIPLIERS)}]) AS mt),
+lims AS (SELECT slice, mt, mt::DOUBLE AS multiplier, CASE WHEN mad > 0 THEN m + mt::DOUBLE * 1.4826 * mad ELSE mt::DOUBLE * m END AS threshold FROM mad, mu),
+lim AS (SELECT slice, max(threshold) AS threshold FROM lims GROUP BY 1)""" + EDGES.split("AS threshold FROM mad)")[1]
+add(
+    "g10_pruning_sensitivity",
+    lambda s, d: flows.pruning_sensitivity(_points(s, d)),
+    SWEEP + """, kept AS (SELECT e.slice || '@' || mt AS slice, a, b, distance FROM edges e JOIN lims USING (slice) WHERE distance <= lims.threshold),
+both_ AS (SELECT slice, a, b FROM kept UNION SELECT slice, b, a FROM kept),
+reach AS (SELECT DISTINCT slice, a AS id, a AS label FROM both_ UNION SELECT r.slice, e.b, r.label FROM reach r JOIN both_ e ON r.slice = e.slice AND r.id = e.a),
+comp AS (SELECT slice, id, min(label) AS component FROM reach GROUP BY 1, 2),
+n AS (SELECT slice, mt, multiplier, threshold, slice || '@' || mt AS key, count(*) AS nodes FROM gp JOIN lims USING (slice) GROUP BY 1, 2, 3, 4),
+l AS (SELECT slice AS key, count(*) AS edges, avg(distance) AS mean_edge, quantile_cont(distance, 0.95) AS p95_edge, max(distance) AS max_edge FROM kept GROUP BY 1),
+c AS (SELECT slice AS key, count(DISTINCT component) AS parts, count(*) AS linked FROM comp GROUP BY 1),
+au AS (SELECT slice, multiplier, threshold, coalesce(parts, 0) + nodes - coalesce(linked, 0) AS components, nodes - coalesce(linked, 0) AS isolated, coalesce(edges, 0) AS edges, mean_edge, p95_edge, max_edge FROM n LEFT JOIN l USING (key) LEFT JOIN c USING (key))
+SELECT *, components - lag(components) OVER (PARTITION BY slice ORDER BY multiplier) AS components_delta FROM au""",
+    "multiplier threshold mean_edge p95_edge max_edge",
+    RECURSIVE,
+)
+add("g11_method_comparison", lambda s, d: flows.method_comparison(_points(s, d)))
 add("c8_c9_c10_partition_modes", _partitions)
 add("p3_compare", lambda s, d: flows.compare(src.observations(s, d), src.coordinates(s, d)))
 

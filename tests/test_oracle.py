@@ -6,9 +6,6 @@ import pytest
 
 from freightspark.plans import registry
 
-HEAVY = {"c8_c9_c10_partition_modes", "p3_compare"}
-
-
 def plain(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 6)
@@ -29,7 +26,7 @@ def test_equals_sql(name, spark, sf, duck):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - HEAVY))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(name, spark, sf):
     assert registry.queries()[name](spark, sf).count() >= 1
 
