@@ -137,10 +137,10 @@ def _instance_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 u, v = p["at"], end[p["at"]]
                 before = units.before(i, u) if p["first"] or u not in ends else []
                 after = units.after(i, v) if p["first"] or v not in listed else []
-                rows.append((doc_id, tag, u, v, units.bytes_of(i, u, v), before, after))
+                rows.append((doc_id, tag, u, v, p["first"], units.bytes_of(i, u, v), before, after))
         if rows:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "tag", "at", "upto", "chunk", "before", "after"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "tag", "at", "upto", "first", "chunk", "before", "after"])
 
 
 def _to_docs(lists: DataFrame, column: str) -> DataFrame:
@@ -155,22 +155,25 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     chunks = cut(keyed.mapInArrow(lean(_chunk_rows), "h long, id long, tag long, at int"), "chunks")
     # written, so that both sides of the join are plain shuffles and a very common chunk's rows can be split
     here = F.struct("id", "tag", "at")
-    often = cut(chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(here).alias("one")).where("n > 1").select("h", "one"), "chunk-hashes")
+    often = cut(chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "chunk-hashes")
+    repeated = cut(chunks.join(often, "h"), "chunk-repeats")
+    ones = cut(repeated.groupBy("h").agg(F.min(here).alias("one")), "chunk-ones")
     places = F.sort_array(F.collect_set(F.struct("at", (here == F.col("one")).alias("first"))))
-    lists = cut(chunks.join(often, "h").groupBy("id", "tag").agg(places.alias("places")), "chunk-places")
+    lists = cut(repeated.join(ones, "h").groupBy("id", "tag").agg(places.alias("places")), "chunk-places")
     found = keyed.join(_to_docs(lists, "places"), ["id", "tag"])
-    found = cut(found.mapInArrow(lean(_instance_rows), "id long, tag long, at int, upto int, chunk binary, before array<binary>, after array<binary>"), "chunk-bytes")
+    found = cut(found.mapInArrow(lean(_instance_rows), "id long, tag long, at int, upto int, first boolean, chunk binary, before array<binary>, after array<binary>"), "chunk-bytes")
     # equal bytes, not only equal hashes: the first of each chunk, then all others beside it
     key = F.xxhash64("chunk")
     first = found.groupBy(key.alias("k"), "chunk").agg(F.count("*").alias("n"), F.min(here).alias("one")).where("n > 1").select("k", "chunk", "one")
     first = cut(first, "chunk-firsts")
-    edges = found.select(here.alias("one"), F.col("before").alias("first_before"), F.col("after").alias("first_after"))
-    first = cut(first.join(edges, "one"), "chunk-edges")
-    others = found.withColumn("k", key).join(first, ["k", "chunk"]).where("struct(id, tag, at) > one")
+    # the first of a hash is the first of its bytes; where two texts share a hash, one of them has no units around it
+    edges = found.where("first").select(here.alias("one"), F.col("before").alias("first_before"), F.col("after").alias("first_after"))
+    first = cut(first.join(edges, "one", "left"), "chunk-edges")
+    others = found.where("not first").withColumn("k", key).join(first, ["k", "chunk"]).where("struct(id, tag, at) > one")
 
     def alike(a: str) -> Column:
         """How many units, from the chunk outwards, equal those around the first."""
-        same = F.zip_with(a, f"first_{a}", lambda x, y: F.coalesce(x == y, F.lit(False)))
+        same = F.zip_with(a, F.coalesce(f"first_{a}", F.array().cast("array<binary>")), lambda x, y: F.coalesce(x == y, F.lit(False)))
         wrong = F.array_position(same, F.lit(False)).cast("int")
         return F.when(wrong > 0, wrong - 1).otherwise(F.size(same))
 
