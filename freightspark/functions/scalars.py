@@ -100,6 +100,11 @@ def row_fingerprint(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns]), 256)
 
 
+def source_row_id(snapshot: Column, row: Column) -> Column:
+    """16 hexadecimal digits that name a row of a snapshot: the row's number is assigned once, when the snapshot is read."""
+    return F.substring(F.sha2(F.concat(snapshot.cast("string"), F.lit(":"), row.cast("string")), 256), 1, 16)
+
+
 def stable_origin_id(name: Column) -> Column:
     return F.concat(F.lit("actual_"), F.substring(F.sha2(F.trim(name), 256), 1, 24))
 

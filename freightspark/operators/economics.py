@@ -18,11 +18,9 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 
 def modal(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """The most frequent value of each group (ties: the least); two map-side combined counts, no group is gathered."""
+    """The most frequent value of each group (ties: the least); two map-side combined aggregates, no group is gathered."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    best = counts.groupBy(*keys).agg(F.max_by(value, F.struct("n")).alias("_"), F.max("n").alias("m"))
-    top = counts.join(best.select(*keys, "m"), keys).where("n = m").groupBy(*keys).agg(F.min(value).alias(name))
-    return top
+    return counts.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(value).alias("v")))["v"].alias(name))
 
 
 def slice_filter(obs: DataFrame, origins: list[str] | None = None, region: str | None = None, **choices: list[str]) -> DataFrame:
@@ -153,6 +151,25 @@ def data_quality(points: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumns({"point_coverage_pct": pct(F.col("resolved_points"), F.col("points")), "trip_coverage_pct": pct(F.col("resolved_trips"), F.col("trips"))})
 
 
+def baseline_filter(obs: DataFrame, region: str | None = None, origin: str | None = None, period_type: str | None = None, price_type: str | None = None) -> DataFrame:
+    """Rows of a baseline: each choice that is given holds exactly."""
+    for column, value in (("destination_region", region), ("origin_fias", origin), ("period_type", period_type), ("price_type", price_type)):
+        if value is not None:
+            obs = obs.where(F.col(column) == value)
+    return obs
+
+
+def data_audit(routes: DataFrame, keys: list[str], thresholds: tuple[float, ...] = (0.2, 0.25, 0.3, 0.35, 0.4, 0.5)) -> DataFrame:
+    """Trips and rates of the routes of each group: spread, mean rate by trips, routes above it by each threshold, and routes without a weight or a rate."""
+    t, r = F.col("trip_count").cast("double"), F.col("weighted_rub_per_km")
+    base = routes.groupBy(*keys).agg(weighted_mean(r, F.col("trip_count")).alias("mean_rate"))
+    delta = F.when(F.col("mean_rate") > 0, r / F.col("mean_rate") - 1)
+    spread = lambda c, n: [F.min(c).alias(f"{n}_least"), *[F.percentile(c, q).alias(f"{n}_p{round(100 * q)}") for q in (0.5, 0.75, 0.95, 0.99)], F.max(c).alias(f"{n}_greatest")]
+    above = [F.count_if(F.coalesce(delta, F.lit(0.0)) >= x).alias(f"above_{round(100 * x)}") for x in thresholds]
+    none = [F.count_if(F.coalesce(t, F.lit(0.0)) <= 0).alias("without_trips"), F.count_if(r.isNull()).alias("without_rate")]
+    return routes.join(base, keys).groupBy(*keys, "mean_rate").agg(F.sum(t).alias("trips"), *spread(t, "trips"), *spread(r, "rate"), *above, *none)
+
+
 #: Columns a cluster table may be sorted by.
 SORTABLE = ("cluster_id", "points", "trips", "trip_share", "weighted_route_length", "price_min", "price_median", "weighted_price", "price_max", "rate_min", "rate_median", "weighted_rub_per_km", "rate_max", "economic_coverage_pct")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from freightspark.functions.scalars import auction_bin
+from freightspark.functions.shared import cut
 
 KEY = ["shipment_month", "actual_origin_id", "destination_region"]
 #: Columns that come from the realised price itself: never features.
@@ -62,6 +63,18 @@ def ground_truth(snapshots: DataFrame) -> DataFrame:
     return out.withColumn("truth_status", F.when(F.col("actual_price").isNull(), "missing").when(h < 0, "final_post_shipment").when(h == 0, "m0_only").otherwise("pre_shipment_only"))
 
 
+def origin_match_summary(mapping: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: origins by match status, and the shares of quantity and of cells that belong to matched origins."""
+    status = F.col("match_status")
+    by_origin = truth.groupBy("actual_origin_id").agg(F.sum(F.greatest(F.coalesce("qty", F.lit(0.0)), F.lit(0.0))).alias("qty"), F.count("*").alias("cells"))
+    matched = mapping.where(status == "matched").select("actual_origin_id").distinct().withColumn("hit", F.lit(True))
+    own = by_origin.join(matched, "actual_origin_id", "left")
+    share = lambda c: F.coalesce(F.sum(F.when(F.col("hit"), F.col(c))) / F.nullif(F.sum(c), F.lit(0)), F.lit(0.0))
+    cover = own.agg(share("qty").alias("matched_qty"), share("cells").alias("matched_cells"))
+    counts = mapping.agg(F.count("*").alias("origins"), *[F.count_if(status == x).alias(x) for x in ("matched", "ambiguous", "unmatched")])
+    return counts.crossJoin(cover)  # one row each
+
+
 def revision_report(snapshots: DataFrame) -> DataFrame:
     """How much each measure moved from the first to the last snapshot of a key."""
     fields = ("fact_rub_per_item", "market_rub_per_item", "qty_total", "auction_percent")
@@ -193,9 +206,14 @@ def quartile_thresholds(p: DataFrame) -> DataFrame:
     place = [n // 4, n // 2, 3 * n // 4]
     if not n:
         return keys.sparkSession.createDataFrame([], "t1 double, t2 double, t3 double")
-    # the k-th least value: cumulative counts over distinct quantities instead of one sort of all rows
-    counts = keys.groupBy("q").agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(W.orderBy("q").rowsBetween(W.unboundedPreceding, 0)))
+    # the k-th least value: ranges of distinct quantities, the counts before each range, and running counts within it
+    counts = keys.groupBy("q").agg(F.count("*").alias("c")).repartitionByRange("q").withColumn("part", F.spark_partition_id())
+    counts = cut(counts, "quantities")
+    parts = counts.groupBy("part").agg(F.sum("c").alias("s"))
+    # one row a range
+    before = parts.select("part", F.coalesce(F.sum("s").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    running = F.sum("c").over(W.partitionBy("part").orderBy("q").rowsBetween(W.unboundedPreceding, 0))
+    upto = counts.join(before, "part").withColumn("upto", F.col("before") + running)
     return upto.agg(*[F.min(F.when(F.col("upto") > k, F.col("q"))).alias(f"t{i}") for i, k in enumerate(place, 1)])
 
 

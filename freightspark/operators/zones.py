@@ -390,9 +390,37 @@ def warnings(forecast: Column, mixed: Column, unresolved: Column, unavailable: C
     return F.array_compact(F.array(*[F.when(c, F.lit(code)) for c, code in zip((forecast, mixed, unresolved, unavailable), WARNINGS, strict=True)]))
 
 
+def assignment_coverage(points: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Per slice: points without an assignment and assignments without a point; both must be none."""
+    p, a = (df.select("slice", "id").distinct() for df in (points, assigned))
+    gone = p.join(a, ["slice", "id"], "left_anti").select("slice", F.lit(1).alias("missing"), F.lit(0).alias("extra"))
+    more = a.join(p, ["slice", "id"], "left_anti").select("slice", F.lit(0).alias("missing"), F.lit(1).alias("extra"))
+    every = p.select("slice").union(a.select("slice")).distinct().select("slice", F.lit(0).alias("missing"), F.lit(0).alias("extra"))
+    return gone.union(more).union(every).groupBy("slice").agg(F.sum("missing").alias("missing"), F.sum("extra").alias("extra"))
+
+
+def slice_stability(assigned: DataFrame) -> DataFrame:
+    """Agreement of each pair of slices, by mode, on the points that both assign. assigned: (mode, slice, id, cluster_id)."""
+    own = assigned.where("cluster_id >= 0")
+    left = own.select("mode", F.col("slice").alias("left_slice"), "id", F.col("cluster_id").alias("l"))
+    right = own.select("mode", F.col("slice").alias("right_slice"), "id", F.col("cluster_id").alias("r"))
+    return _agreement(left.join(right, ["mode", "id"]).where("left_slice < right_slice"), ["mode", "left_slice", "right_slice"])
+
+
+def candidate_recurrence(assigned: DataFrame) -> DataFrame:
+    """(mode, id, share): in which share of a mode's slices a point lies in a zone or is a singleton."""
+    total = assigned.groupBy("mode").agg(F.countDistinct("slice").alias("slices"))
+    own = assigned.where("cluster_id >= 0").groupBy("mode", "id").agg(F.countDistinct("slice").alias("n"))
+    return own.join(total, "mode").select("mode", "id", (F.col("n") / F.col("slices")).alias("share"))
+
+
 def membership_agreement(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Adjusted Rand index and normalised mutual information of two assignments on points that both assign."""
-    both = a.where("cluster_id >= 0").select(*keys, "id", F.col("cluster_id").alias("l")).join(b.where("cluster_id >= 0").select(*keys, "id", F.col("cluster_id").alias("r")), [*keys, "id"])
+    own = lambda df, name: df.where("cluster_id >= 0").select(*keys, "id", F.col("cluster_id").alias(name))
+    return _agreement(own(a, "l").join(own(b, "r"), [*keys, "id"]), keys)
+
+
+def _agreement(both: DataFrame, keys: list[str]) -> DataFrame:
     cells = both.groupBy(*keys, "l", "r").agg(F.count("*").cast("double").alias("n"))
     pair = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
     log = lambda c: F.sum(F.col(c) * F.log(c))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from freightspark.functions import scalars
 from freightspark.functions.shared import cut
-from freightspark.operators import catalog, economics, evaluation, graph, zones
+from freightspark.operators import catalog, economics, evaluation, graph, townmap, zones
 from freightspark.plans import flows
 from freightspark.plans.oracle_tables import ACTUAL, COORDINATES, MAPPING, OBS
 from freightspark.sources import standins as src
@@ -173,7 +173,30 @@ def _predictions(s: SparkSession, d: str) -> DataFrame:
     return evaluation.predictions(_rows(s, d))
 
 
-add("s4_snapshot_rejects", lambda s, d: evaluation.check_snapshots(src.actual_snapshots(s, d))[1].groupBy(F.array_join("errors", ",").alias("errors")).agg(F.count("*").alias("n")), "SELECT 'auction_percent_scale' AS errors, count(*) AS n FROM act WHERE auction_percent < 0 OR auction_percent > 1 HAVING count(*) > 0", ctes=ACT)
+def _flawed(s: SparkSession, d: str) -> DataFrame:
+    """Snapshots of which some break a rule, some two, and some stand there twice."""
+    rows = src.actual_snapshots(s, d)
+    h, q = F.col("horizon"), F.col("qty_total")
+    broken = rows.withColumns({
+        "auction_percent": F.when(h == 3, 1.5).otherwise(F.col("auction_percent")),
+        "market_rub_per_item": F.when(h.isin(2, 3), -F.col("market_rub_per_item")).otherwise(F.col("market_rub_per_item")),
+        "fact_rub_per_item": F.when(h == -1, F.col("fact_rub_per_item") * 1.2).otherwise(F.col("fact_rub_per_item")),
+    })
+    return broken.union(broken.where((h == 0) & (q > 0)))
+
+
+add(
+    "s4_snapshot_rejects",
+    lambda s, d: evaluation.check_snapshots(_flawed(s, d))[1].groupBy(F.array_join("errors", ",").alias("errors")).agg(F.count("*").alias("n")),
+    """, b AS (SELECT snapshot_month, shipment_month, actual_origin_id, destination_region, horizon, qty_total, fact_rub_total, CASE WHEN horizon = 3 THEN 1.5 ELSE auction_percent END AS ap,
+  CASE WHEN horizon IN (2, 3) THEN -market_rub_per_item ELSE market_rub_per_item END AS mk, CASE WHEN horizon = -1 THEN fact_rub_per_item * 1.2 ELSE fact_rub_per_item END AS f FROM act),
+w AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE horizon = 0 AND qty_total > 0),
+e AS (SELECT concat_ws(',', CASE WHEN f < 0 THEN 'negative_fact_rub_per_item' END, CASE WHEN mk < 0 THEN 'negative_market_rub_per_item' END, CASE WHEN ap < 0 OR ap > 1 THEN 'auction_percent_scale' END,
+  CASE WHEN qty_total > 0 AND f > 0 AND abs(fact_rub_total / qty_total - f) / f > 0.05 THEN 'price_mismatch' END,
+  CASE WHEN count(*) OVER (PARTITION BY snapshot_month, shipment_month, actual_origin_id, destination_region) > 1 THEN 'duplicate_key' END) AS errors FROM w)
+SELECT errors, count(*) AS n FROM e WHERE errors <> '' GROUP BY 1""",
+    ctes=ACT,
+)
 add("f11_as_of", lambda s, d: evaluation.as_of(src.actual_snapshots(s, d), "1997-06").groupBy("snapshot_month").agg(F.count("*").alias("n")), "SELECT snapshot_month, count(*) AS n FROM act WHERE snapshot_month <= '1997-06' GROUP BY 1", ctes=ACT)
 add("a16_ground_truth", lambda s, d: evaluation.ground_truth(src.actual_snapshots(s, d)).select(*evaluation.KEY, "snapshot_month", "horizon", "qty", "actual_price", "truth_status"), TRUTH + " SELECT shipment_month, actual_origin_id, destination_region, snapshot_month, horizon, qty_total AS qty, fact_rub_per_item AS actual_price, truth_status FROM truth", "qty actual_price", ACT)
 REV = " UNION ALL ".join(f"SELECT '{c}' AS metric, arg_min({{'x': {c}}}, snapshot_month).x AS a, arg_max({{'x': {c}}}, snapshot_month).x AS b FROM act GROUP BY shipment_month, actual_origin_id, destination_region" for c in ("fact_rub_per_item", "market_rub_per_item", "qty_total", "auction_percent"))
@@ -505,6 +528,126 @@ add("w2_weighted_percentile", lambda s, d: zones.weighted_percentile(src.observa
 u AS (SELECT *, sum(w) OVER (PARTITION BY destination_region ORDER BY price) AS u, sum(w) OVER (PARTITION BY destination_region) AS t FROM g) SELECT destination_region, min(price) AS weighted_percentile FROM u WHERE u >= 0.9 * t GROUP BY 1""", "weighted_percentile")
 
 
+def _centres(s: SparkSession, d: str) -> DataFrame:
+    """Centres of the regions whose name has an even length; the others have none."""
+    return src.places(s, d).where(F.length("destination_region") % 2 == 0).groupBy(F.col("destination_region").alias("region")).agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
+
+
+CENTRES = """, cent AS (SELECT destination_region AS region, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM geo WHERE length(destination_region) % 2 = 0 GROUP BY 1)"""
+TOWNS = """, sides AS (SELECT DISTINCT 'origin' AS side, origin_name AS town, origin_region AS region FROM obs UNION SELECT DISTINCT 'destination', destination_name, destination_region FROM obs WHERE destination_name IS NOT NULL),
+towns AS (SELECT DISTINCT town, region, CASE WHEN starts_with(town, 'г ') THEN substr(town, 3) ELSE town END AS short FROM sides)"""
+LOCATED = CENTRES + TOWNS + """
+, loc AS (SELECT t.town, t.region, CASE WHEN e.name IS NOT NULL THEN coalesce(e.lat, c.lat) WHEN n.name IS NOT NULL THEN coalesce(n.lat, c.lat) ELSE c.lat END AS lat,
+  CASE WHEN e.name IS NOT NULL THEN coalesce(e.lon, c.lon) WHEN n.name IS NOT NULL THEN coalesce(n.lon, c.lon) ELSE c.lon END AS lon,
+  CASE WHEN e.lat IS NOT NULL THEN 'exact' WHEN e.name IS NULL AND n.lat IS NOT NULL THEN 'normalized' WHEN c.lat IS NOT NULL THEN 'centre' ELSE 'missing' END AS source
+  FROM towns t LEFT JOIN coords e ON e.name = t.town AND e.region = t.region LEFT JOIN coords n ON n.name = t.short AND n.region = t.region LEFT JOIN cent c ON c.region = t.region)"""
+
+
+def _towns_of(s: SparkSession, d: str) -> DataFrame:
+    return townmap.towns_of(src.observations(s, d)).select("town", "region").distinct()
+
+
+add("j2_centre_fallback", lambda s, d: townmap.resolve_with_centre(_towns_of(s, d), src.coordinates(s, d), _centres(s, d)), LOCATED + " SELECT town, region, lat, lon, source FROM loc", "lat lon", SPACE)
+add(
+    "a30_town_coverage",
+    lambda s, d: townmap.town_coverage(src.observations(s, d), src.coordinates(s, d), _centres(s, d)),
+    LOCATED + """ SELECT count(*) AS towns, count(lat) AS geocoded, count(*) - count(lat) AS missing, (SELECT count(*) FROM sides WHERE side = 'origin') AS origin_towns, (SELECT count(*) FROM sides WHERE side = 'destination') AS destination_towns FROM loc""",
+    "",
+    SPACE,
+)
+FROM_TO = (["FRANCE", "BRAZIL", "CHINA", "NATION_1", "NATION_2", "NATION_3"], ["GERMANY", "INDIA", "PERU", "NATION_4", "NATION_5", "NATION_6", "NATION_7"])
+_in = lambda names: ", ".join(f"'{x}'" for x in names)
+add(
+    "f3_map_points",
+    lambda s, d: townmap.map_points(src.observations(s, d), *FROM_TO),
+    f", r AS (SELECT * FROM obs WHERE origin_region IN ({_in(FROM_TO[0])}) AND destination_region IN ({_in(FROM_TO[1])})) SELECT 'origin' AS side, origin_name AS town, origin_region AS region, {MEASURES} FROM r GROUP BY 2, 3 UNION ALL SELECT 'destination', destination_name, destination_region, {MEASURES} FROM r GROUP BY 2, 3",
+    THREE,
+)
+add(
+    "f4_town_records",
+    lambda s, d: townmap.town_records(src.observations(s, d), "destination", "Customer#000000001", src.places(s, d).where("c_custkey = 1").first().destination_region, period_type=["Retro", "CURRENT"]).select("row_key", "origin_fias", "period_type", "price"),
+    "SELECT row_key, origin_fias, period_type, price FROM obs WHERE destination_name = 'Customer#000000001' AND destination_region = (SELECT destination_region FROM geo WHERE c_custkey = 1) AND period_type IN ('retro', 'current')",
+    "price",
+)
+
+
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """Stored coordinates, of which some villages have their region's centre."""
+    p = src.places(s, d).join(_centres(s, d).select(F.col("region").alias("destination_region"), F.col("lat").alias("clat"), F.col("lon").alias("clon")), "destination_region", "left")
+    k, village = F.col("c_custkey"), F.col("c_custkey") % 5 == 0
+    at = lambda c: F.when(k % 10 < 6, F.col(f"c{c}")).otherwise(F.col(c)).alias(c)
+    return p.select(F.when(village, F.concat(F.lit("с "), F.col("c_name"))).otherwise(F.col("c_name")).alias("name"), F.col("destination_region").alias("region"), at("lat"), at("lon"))
+
+
+add(
+    "f12_without_centres",
+    lambda s, d: townmap.without_centre_coordinates(_stored(s, d), _centres(s, d)),
+    CENTRES + """, st AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'с ' || c_name ELSE c_name END AS name, destination_region AS region, CASE WHEN c_custkey % 10 < 6 THEN cent.lat ELSE geo.lat END AS lat, CASE WHEN c_custkey % 10 < 6 THEN cent.lon ELSE geo.lon END AS lon
+  FROM geo LEFT JOIN cent ON cent.region = destination_region)
+SELECT * FROM st WHERE NOT (starts_with(name, 'с ') AND EXISTS (SELECT 1 FROM cent WHERE cent.lat = st.lat AND cent.lon = st.lon))""",
+    "lat lon",
+)
+add(
+    "f13_backfilled_keys",
+    lambda s, d: townmap.backfill_keys(_towns_of(s, d), src.coordinates(s, d), src.places(s, d).where("c_custkey % 3 != 0").select(F.col("c_name").alias("name"), "lat", "lon")),
+    TOWNS + """, old AS (SELECT c_name AS name, lat, lon FROM geo WHERE c_custkey % 3 <> 0)
+SELECT t.town, t.region, coalesce(a.lat, b.lat) AS lat, coalesce(a.lon, b.lon) AS lon FROM towns t LEFT JOIN old a ON a.name = t.town LEFT JOIN old b ON b.name = t.short
+WHERE NOT EXISTS (SELECT 1 FROM coords c WHERE c.name = t.town AND c.region = t.region) AND coalesce(a.lat, b.lat) IS NOT NULL""",
+    "lat lon",
+    SPACE,
+)
+add("f2_baseline_filter", lambda s, d: economics.baseline_filter(src.observations(s, d), period_type="current", price_type="tender").groupBy("origin_fias").agg(*economics.metric_aggregates()), f"SELECT origin_fias, {MEASURES} FROM obs WHERE period_type = 'current' AND price_type = 'tender' GROUP BY 1", THREE)
+add("n15_source_row_id", lambda s, d: src.observations(s, d).select("row_key", scalars.source_row_id(F.lit("2024-01"), F.col("row_key")).alias("source_row_id")), "SELECT row_key, substr(sha256('2024-01:' || row_key), 1, 16) AS source_row_id FROM obs")
+_spread = lambda c, n: f"min({c}) AS {n}_least, " + ", ".join(f"quantile_cont({c}, {q}) AS {n}_p{round(100 * q)}" for q in (0.5, 0.75, 0.95, 0.99)) + f", max({c}) AS {n}_greatest"
+add(
+    "a15_data_audit",
+    lambda s, d: economics.data_audit(economics.destination_economics(src.observations(s, d), ["destination_region"]), ["destination_region"]),
+    f""", routes AS ({destinations_sql('destination_region')}), m AS (SELECT destination_region, {WMEAN.format(v='weighted_rub_per_km', w='trip_count')} AS mean_rate FROM routes GROUP BY 1)
+SELECT destination_region, mean_rate, sum(trip_count)::DOUBLE AS trips, {_spread('trip_count::DOUBLE', 'trips')}, {_spread('weighted_rub_per_km', 'rate')},
+  {', '.join(f'count(*) FILTER (coalesce(CASE WHEN mean_rate > 0 THEN weighted_rub_per_km / mean_rate - 1 END, 0) >= {x}) AS above_{round(100 * x)}' for x in (0.2, 0.25, 0.3, 0.35, 0.4, 0.5))},
+  count(*) FILTER (coalesce(trip_count, 0) <= 0) AS without_trips, count(*) FILTER (weighted_rub_per_km IS NULL) AS without_rate FROM routes JOIN m USING (destination_region) GROUP BY 1, 2""",
+    "mean_rate trips " + " ".join(f"{n}_{x}" for n in ("trips", "rate") for x in ("least", "p50", "p75", "p95", "p99", "greatest")),
+)
+add(
+    "a29_origin_match_summary",
+    lambda s, d: evaluation.origin_match_summary(src.origin_mapping(s, d), evaluation.ground_truth(src.actual_snapshots(s, d))),
+    TRUTH + """, o AS (SELECT actual_origin_id, sum(greatest(coalesce(qty_total, 0), 0)) AS q, count(*) AS n FROM truth GROUP BY 1), h AS (SELECT o.*, coalesce(match_status = 'matched', false) AS hit FROM o LEFT JOIN mapping USING (actual_origin_id)),
+c AS (SELECT coalesce(sum(q) FILTER (hit) / sum(q), 0) AS matched_qty, coalesce(sum(n) FILTER (hit) / sum(n), 0) AS matched_cells FROM h)
+SELECT count(*) AS origins, count(*) FILTER (match_status = 'matched') AS matched, count(*) FILTER (match_status = 'ambiguous') AS ambiguous, count(*) FILTER (match_status = 'unmatched') AS unmatched, any_value(matched_qty) AS matched_qty, any_value(matched_cells) AS matched_cells FROM mapping, c""",
+    "matched_qty matched_cells",
+    EVAL,
+)
+add(
+    "u3_assignment_coverage",
+    lambda s, d: zones.assignment_coverage(_points(s, d).where(F.length("id") != 3), _points(s, d).where("id not like '%7'")),
+    PROJECTED + " SELECT slice, (count(*) FILTER (length(id) <> 3 AND id LIKE '%7'))::BIGINT AS missing, (count(*) FILTER (length(id) = 3 AND id NOT LIKE '%7'))::BIGINT AS extra FROM gp WHERE length(id) <> 3 OR id NOT LIKE '%7' GROUP BY 1",
+    "",
+    SPACE,
+)
+
+
+def _by_period(s: SparkSession, d: str) -> DataFrame:
+    """Destinations of each kind of period, in classes by their rate and by their trips."""
+    rows = economics.destination_economics(src.observations(s, d), ["period_type"])
+    rate, trips = F.floor(F.col("weighted_rub_per_km") / 40).cast("int"), (F.col("trip_count") % 3).cast("int")
+    own = [rows.select(F.lit(m).alias("mode"), F.col("period_type").alias("slice"), F.col("destination_fias").alias("id"), F.coalesce(c, F.lit(-1)).alias("cluster_id")) for m, c in (("rate", rate), ("trips", trips))]
+    return own[0].union(own[1])
+
+
+PERIODS = f""", routes AS ({destinations_sql('period_type')}), asg AS (SELECT 'rate' AS mode, period_type AS slice, destination_fias AS id, coalesce(floor(weighted_rub_per_km / 40)::INT, -1) AS c FROM routes UNION ALL SELECT 'trips', period_type, destination_fias, (trip_count % 3)::INT FROM routes)"""
+add(
+    "c21_slice_stability",
+    lambda s, d: zones.slice_stability(_by_period(s, d)),
+    PERIODS + """, b AS (SELECT x.mode, x.slice AS left_slice, y.slice AS right_slice, x.c AS l, y.c AS r FROM asg x JOIN asg y ON x.mode = y.mode AND x.id = y.id AND x.slice < y.slice WHERE x.c >= 0 AND y.c >= 0),
+ce AS (SELECT mode, left_slice, right_slice, l, r, count(*)::DOUBLE AS n FROM b GROUP BY ALL), le AS (SELECT mode, left_slice, right_slice, l, sum(n) AS n FROM ce GROUP BY ALL), ri AS (SELECT mode, left_slice, right_slice, r, sum(n) AS n FROM ce GROUP BY ALL),
+a AS (SELECT mode, left_slice, right_slice, sum(n) AS n, sum(n * (n - 1) / 2) AS p, sum(n * ln(n)) AS e FROM ce GROUP BY ALL), la AS (SELECT mode, left_slice, right_slice, sum(n * (n - 1) / 2) AS pl, sum(n * ln(n)) AS el FROM le GROUP BY ALL), ra AS (SELECT mode, left_slice, right_slice, sum(n * (n - 1) / 2) AS pr, sum(n * ln(n)) AS er FROM ri GROUP BY ALL),
+f AS (SELECT *, pl * pr / (n * (n - 1) / 2) AS ex, (pl + pr) / 2 AS best, ln(n) - el / n AS hl, ln(n) - er / n AS hr, ln(n) - e / n AS h FROM a JOIN la USING (mode, left_slice, right_slice) JOIN ra USING (mode, left_slice, right_slice))
+SELECT mode, left_slice, right_slice, n AS points, CASE WHEN best = ex THEN 1.0 ELSE (p - ex) / (best - ex) END AS ari, CASE WHEN (hl + hr) / 2 <= 1e-12 THEN 1.0 ELSE (hl + hr - h) / ((hl + hr) / 2) END AS nmi FROM f""",
+    "points ari nmi",
+)
+add("c21_candidate_recurrence", lambda s, d: zones.candidate_recurrence(_by_period(s, d)), PERIODS + ", t AS (SELECT mode, count(DISTINCT slice) AS s FROM asg GROUP BY 1) SELECT mode, id, count(DISTINCT slice) / any_value(s) AS share FROM asg JOIN t USING (mode) WHERE c >= 0 GROUP BY 1, 2", "share")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.run for name, q in QUERIES.items()}
 
