@@ -201,10 +201,10 @@ def compare(obs: DataFrame, coords: DataFrame, k: int | None = None) -> DataFram
     return own.groupBy("mode", "slice").agg(F.countDistinct("cluster_id").alias("clusters"), F.count("*").alias("points"), F.sum("trip_count").alias("trips"))
 
 
-def evaluation_rows(obs: DataFrame, snapshots: DataFrame, mapping: DataFrame, distances: DataFrame, month: str | None = None) -> DataFrame:
-    """Ground truth joined with price cells, distances and the market's history."""
+def evaluation_rows(obs: DataFrame, snapshots: DataFrame, mapping: DataFrame, distances: DataFrame, month: str | None = None, assignments: DataFrame | None = None) -> DataFrame:
+    """Ground truth joined with price cells, distances, clusters and the market's history."""
     seen = evaluation.as_of(snapshots, month)
-    rows = evaluation.evaluation_dataset(evaluation.ground_truth(seen), mapping, evaluation.price_cells(obs), distances)
+    rows = evaluation.evaluation_dataset(evaluation.ground_truth(seen), mapping, evaluation.price_cells(obs), distances, assignments)
     return rows.join(evaluation.market_history(seen), evaluation.KEY, "left")
 
 

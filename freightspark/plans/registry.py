@@ -528,6 +528,19 @@ add("w2_weighted_percentile", lambda s, d: zones.weighted_percentile(src.observa
 u AS (SELECT *, sum(w) OVER (PARTITION BY destination_region ORDER BY price) AS u, sum(w) OVER (PARTITION BY destination_region) AS t FROM g) SELECT destination_region, min(price) AS weighted_percentile FROM u WHERE u >= 0.9 * t GROUP BY 1""", "weighted_percentile")
 
 
+def _clustered(s: SparkSession, d: str) -> DataFrame:
+    return flows.evaluation_rows(src.observations(s, d), src.actual_snapshots(s, d), src.origin_mapping(s, d), src.distances(s, d), None, src.assignments(s, d))
+
+
+CLUSTERED = DATASET + """
+, asg AS (SELECT DISTINCT shipment_month, actual_origin_id, destination_region, substr(actual_origin_id, 2)::INT AS n, substr(shipment_month, 6, 2)::INT AS mo FROM act WHERE substr(actual_origin_id, 2)::INT % 3 <> 0),
+cv AS (SELECT ev.*, asg.n IS NOT NULL AS clustered, CASE WHEN (asg.n + mo) % 5 <> 0 THEN 900.0 + 10 * mo + asg.n END AS e2, CASE WHEN (asg.n + mo) % 5 <> 0 THEN (1.5 + mo / 10.0) * distance_km END AS e3 FROM ev LEFT JOIN asg USING (shipment_month, actual_origin_id, destination_region)),
+pred AS (SELECT shipment_month, actual_origin_id, destination_region, actual_price, qty, unnest([{'v': 'E0', 'p': pulse_price}, {'v': 'E1', 'p': pulse_rub_per_km * distance_km}, {'v': 'E2', 'p': e2}, {'v': 'E3', 'p': e3}], recursive := true) FROM cv),
+ok AS (SELECT *, v AS variant, p AS predicted, 100 * abs(p - actual_price) / actual_price AS ape FROM pred WHERE actual_price > 0 AND qty > 0 AND p IS NOT NULL)"""
+add("e1_cluster_variants", lambda s, d: evaluation.metrics(evaluation.predictions(_clustered(s, d)).where(F.col("variant").isin("E0", "E1", "E2", "E3")), ["variant"]), CLUSTERED + f" SELECT variant, {METRICS} FROM ok GROUP BY 1", MD, EVAL)
+add("j3_clustered_dataset", lambda s, d: _clustered(s, d).groupBy("cluster_status", "origin_status").agg(F.count("*").alias("cells"), F.countDistinct("cluster_id").alias("clusters")), CLUSTERED + " SELECT CASE WHEN clustered THEN 'matched' ELSE 'missing' END AS cluster_status, origin_status, count(*) AS cells, count(DISTINCT CASE WHEN clustered THEN (SELECT mo % 4 FROM asg a WHERE a.shipment_month = cv.shipment_month AND a.actual_origin_id = cv.actual_origin_id AND a.destination_region = cv.destination_region) END) AS clusters FROM cv GROUP BY 1, 2", "", EVAL)
+
+
 def _centres(s: SparkSession, d: str) -> DataFrame:
     """Centres of the regions whose name has an even length; the others have none."""
     return src.places(s, d).where(F.length("destination_region") % 2 == 0).groupBy(F.col("destination_region").alias("region")).agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))

@@ -82,6 +82,28 @@ def _unique(df: DataFrame, key: list[str]) -> DataFrame:
     return df
 
 
+#: Columns of the snapshot file that are read, in order.
+SNAPSHOT_COLUMNS = (
+    "current_month", "shipment_date_month", "month_label", "shipment_point_name", "shipment_point_name_town", "delivery_point_name", "qty_total", "net_weight_total", "qty_auction",
+    "auction_percent", "fact_rub_total", "fact_rub_per_item", "market_rub_total", "market_rub_per_item", "market_spread", "tech_load_ts", "filename", "tech_load_ts_core",
+)
+
+
+def scan_actual_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Typed snapshots of realised prices; label_ok: the month's label is that of the horizon. Rules are evaluation.check_snapshots."""
+    df = read_text_table(spark, path, set(SNAPSHOT_COLUMNS[:3]) | {"shipment_point_name", "delivery_point_name"})
+    have = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    text, number = (lambda c: s.clean_text(have(c))), (lambda c: s.parse_float(have(c)))
+    months = df.select("*", s.parse_month(have("current_month")).alias("snapshot_month"), s.parse_month(have("shipment_date_month")).alias("shipment_month"))
+    horizon = s.month_difference(F.col("shipment_month"), F.col("snapshot_month"))
+    return months.select(
+        "snapshot_month", "shipment_month", horizon.alias("horizon"), (F.coalesce(text("month_label"), F.lit("")) == s.month_label(horizon)).alias("label_ok"),
+        s.stable_origin_id(text("shipment_point_name")).alias("actual_origin_id"), text("shipment_point_name").alias("origin_name"), text("shipment_point_name_town").alias("origin_town"),
+        s.normalize_region(have("delivery_point_name")).alias("destination_region"), *[number(c).alias(c) for c in SNAPSHOT_COLUMNS[6:15]],
+        text("tech_load_ts").alias("tech_load_ts"), text("filename").alias("source_filename"), text("tech_load_ts_core").alias("source_loaded_at"),
+    )
+
+
 def scan_origin_mapping(spark: SparkSession, path: str) -> DataFrame:
     df = read_text_table(spark, path, {"actual_origin_id", "pulse_origin_fias"})
     default = lambda c, v: F.coalesce(s.clean_text(F.col(c)) if c in df.columns else F.lit(None), F.lit(v)).alias(c)

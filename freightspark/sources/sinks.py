@@ -30,3 +30,27 @@ def write_with_report(df: DataFrame, report: DataFrame, path: str, form: str = "
     """A table and its audit report side by side."""
     write_table(df, f"{path}/table", form)
     write_table(report, f"{path}/report", "json")
+
+
+def baseline_rows(baseline: DataFrame) -> DataFrame:
+    """Grouping-set rows as long rows of one dimension each: overall, period, origin or destination, and its value."""
+    sides = ("period_id", "origin_fias", "destination_fias")
+    dimension = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(n)) for c, n in zip(sides, ("period", "origin", "destination"), strict=True)], F.lit("overall"))
+    return baseline.select(dimension.alias("dimension"), F.coalesce(*sides, F.lit("all")).alias("value"), *[c for c in baseline.columns if c not in sides])
+
+
+#: The columns of the evaluation file in order.
+EVALUATION_COLUMNS = (
+    "shipment_month", "actual_origin_id", "destination_region", "actual_price", "qty", "horizon", "auction_percent", "truth_status", "origin_status", "origin_fias", "pulse_price",
+    "pulse_trip_weighted_price", "price_status", "distance_km", "distance_status", "cluster_id", "cluster_status",
+)
+
+
+def write_baseline(baseline: DataFrame, path: str) -> None:
+    write_table(baseline_rows(baseline), path, "csv")
+
+
+def write_evaluation(rows: DataFrame, predictions: DataFrame, leaderboard: DataFrame, horizons: DataFrame, path: str) -> None:
+    """Four CSV tables below the path: rows, predictions, leaderboard and by_horizon."""
+    for name, df in (("rows", rows.select(*EVALUATION_COLUMNS)), ("predictions", predictions), ("leaderboard", leaderboard), ("by_horizon", horizons)):
+        write_table(df, f"{path}/{name}", "csv")

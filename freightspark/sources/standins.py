@@ -114,3 +114,14 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = lambda month, km: F.struct(F.lit(month).cast("string").alias("shipment_month"), km.cast("double").alias("distance_km"))
     each = F.array_compact(F.array(row(None, 500 + 10 * n), F.when(n % 7 == 0, row(None, 510 + 10 * n)), row("1997-01", 490 + 10 * n)))
     return every.select("origin_fias", "destination_region", F.inline(each))
+
+
+def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of the keys of two nations in three, with the cluster's price and rate; one key in five has no destination."""
+    keys = actual_snapshots(spark, sf_dir).select("shipment_month", "actual_origin_id", "destination_region").distinct()
+    n, month = F.substring("actual_origin_id", 2, 9).cast("int"), F.substring("shipment_month", 6, 2).cast("int")
+    own = keys.where(n % 3 != 0)
+    return own.select(
+        *keys.columns, F.when((n + month) % 5 != 0, F.lit("c1")).alias("destination_fias"), (month % 4).alias("cluster_id"),
+        (F.lit(900.0) + 10 * month + n).alias("cluster_price"), (F.lit(1.5) + month / F.lit(10.0)).alias("cluster_rub_per_km"),
+    )

@@ -46,3 +46,26 @@ def test_coordinates_and_boundary(spark, tmp_path):
         scans.scan_boundary(spark, path)
     with pytest.raises(ValueError):
         scans.scan_boundary(spark, path, "three")
+
+
+def test_snapshots_and_their_sinks(spark, tmp_path):
+    from freightspark.operators import economics, evaluation
+    from freightspark.sources import sinks
+
+    names = scans.SNAPSHOT_COLUMNS
+    good = dict.fromkeys(names, "") | {"current_month": "2026-01", "shipment_date_month": "202603", "month_label": "M2", "shipment_point_name": "A", "delivery_point_name": "B", "qty_total": "4", "fact_rub_total": "40", "fact_rub_per_item": "10", "auction_percent": "0.5"}
+    bad = good | {"current_month": "2026-02", "auction_percent": "1.5", "month_label": "M9", "fact_rub_per_item": "20"}
+    path = write(tmp_path, "s.csv", "\n".join([",".join(names), *(",".join(r[c] for c in names) for r in (good, bad))]))
+    rows = scans.scan_actual_snapshots(spark, path)
+    a, b = rows.orderBy("snapshot_month").collect()
+    assert (a.horizon, a.label_ok, a.qty_total, a.market_rub_per_item) == (2, True, 4.0, None) and (b.horizon, b.label_ok) == (1, False)
+    kept, rejected = evaluation.check_snapshots(rows)
+    assert kept.count() == 1 and rejected.first().errors == ["auction_percent_scale", "price_mismatch"]
+    obs = spark.createDataFrame([("202601", "o1", "d1", 10.0, 2.0, 3), ("202602", "o1", None, 20.0, 4.0, 1)], "period_id string, origin_fias string, destination_fias string, price double, route_length double, trip_count long")
+    sinks.write_baseline(economics.rate_baseline(obs), str(tmp_path / "base"))
+    got = spark.read.option("header", True).csv(str(tmp_path / "base"))
+    assert {(r.dimension, r.value, r.n_rows) for r in got.collect()} == {("overall", "all", "2"), ("period", "202601", "1"), ("period", "202602", "1"), ("origin", "o1", "2"), ("destination", "d1", "1"), ("destination", "<missing>", "1")}
+    one = spark.range(1).select("id")
+    filled = one.select(*[one.id.cast("string").alias(c) for c in sinks.EVALUATION_COLUMNS])
+    sinks.write_evaluation(filled, one, one, one, str(tmp_path / "eval"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "eval/rows")).columns == list(sinks.EVALUATION_COLUMNS)
