@@ -64,8 +64,8 @@ MODES = ("geography", "geo_cost", "geo_volume", "bear_cost", "bear_volume")
 
 
 PARTITIONS = ("geography", "geo_cost", "geo_volume")
-#: What should be even within the clusters of a mode, and its weight.
-VALUES = {"geography": (F.lit(None), F.lit(1)), "geo_cost": (F.col("weighted_rub_per_km"), F.col("trip_count")), "geo_volume": (F.log1p(F.greatest(F.col("trip_count"), F.lit(0))), F.lit(1))}
+#: What should be even within the clusters of a mode, and its weight, as SQL.
+VALUES = {"geography": ("null", "1"), "geo_cost": ("weighted_rub_per_km", "trip_count"), "geo_volume": ("log1p(greatest(trip_count, 0))", "1")}
 
 
 def partition_modes(points: DataFrame, edges: DataFrame, modes: tuple[str, ...] = PARTITIONS, k: int | None = None) -> DataFrame:
@@ -79,7 +79,7 @@ def partition_modes(points: DataFrame, edges: DataFrame, modes: tuple[str, ...]
         name = F.concat_ws("@", F.lit(mode), "slice").alias("slice")
         p = zones.eligible(points, mode)
         value, weight = VALUES[mode]
-        measured = p.select(name, "id", "x", "y", value.cast("double").alias("value"), weight.cast("double").alias("weight"))
+        measured = p.select(name, "id", "x", "y", F.expr(value).cast("double").alias("value"), F.expr(weight).cast("double").alias("weight"))
         parts = (zones.features(p, mode).select(name, "id", "f"), graph.induced(edges, p).select(name, "a", "b", "distance"), measured)
         feats, inner, own = parts if feats is None else tuple(x.unionByName(y) for x, y in zip((feats, inner, own), parts, strict=True))
     feats, inner, own = cut(feats, "features"), cut(inner, "induced"), cut(own, "eligible")
