@@ -29,8 +29,9 @@ from freightspark.llm.common import U64, blocks, lean, mix, run_hashes, span_has
 
 LONG_WORDS, WORD_IN = 24, 4
 MIN_UNITS, MAX_UNITS, MIN_WORDS, ONE_IN = 2, 12, 10, 2
-#: Bytes of lists of places that may be broadcast; beyond, they are joined by a shuffle.
-LIST_BYTES = 32 << 20
+#: Bytes of lists that may be broadcast, and beyond that the ids of the documents that have lists: only these are then
+#: shuffled to their lists. Beyond both bounds all documents are.
+LIST_BYTES, KEY_BOUND = 96 << 20, 4_000_000
 BLOCK = 1 << 19
 NULL_ID = -(1 << 63)
 
@@ -143,10 +144,20 @@ def _instance_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "tag", "at", "upto", "first", "chunk", "before", "after"])
 
 
-def _to_docs(lists: DataFrame, column: str) -> DataFrame:
-    """Broadcast if the lists are small: 64 bytes a row and 16 an element are more than they take."""
-    size = lists.agg(F.coalesce(F.sum(F.lit(64) + 16 * F.size(column)), F.lit(0))).first()[0]
-    return F.broadcast(lists) if size <= LIST_BYTES else lists
+def _with_lists(docs: DataFrame, lists: DataFrame, key: list[str], column: str, how: str) -> DataFrame:
+    """docs joined with their lists (id, tag, array). A list of structs of two takes less than 96 bytes and 40 an element."""
+    size = lists.agg(F.coalesce(F.sum(F.lit(96) + 40 * F.size(column)), F.lit(0))).first()[0]
+    if size <= LIST_BYTES:
+        return docs.join(F.broadcast(lists), key, how)
+    ids = lists.select(key[0]).distinct()
+    if ids.count() > KEY_BOUND:
+        return docs.join(lists, key, how)
+    ids = F.broadcast(ids)
+    touched = docs.join(ids, key[0], "left_semi").join(lists, key, how)
+    if how == "inner":
+        return touched
+    rest = docs.join(ids, key[0], "left_anti").withColumn(column, F.lit(None).cast(lists.schema[column].dataType))
+    return touched.unionByName(rest)
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -160,7 +171,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     ones = cut(repeated.groupBy("h").agg(F.min(here).alias("one")), "chunk-ones")
     places = F.sort_array(F.collect_set(F.struct("at", (here == F.col("one")).alias("first"))))
     lists = cut(repeated.join(ones, "h").groupBy("id", "tag").agg(places.alias("places")), "chunk-places")
-    found = keyed.join(_to_docs(lists, "places"), ["id", "tag"])
+    found = _with_lists(keyed, lists, ["id", "tag"], "places", "inner")
     found = cut(found.mapInArrow(lean(_instance_rows), "id long, tag long, at int, upto int, first boolean, chunk binary, before array<binary>, after array<binary>"), "chunk-bytes")
     # equal bytes, not only equal hashes: the first of each chunk, then all others beside it
     key = F.xxhash64("chunk")
@@ -188,7 +199,7 @@ def remove_repeats(docs: DataFrame, spans: bool = False) -> DataFrame:
     names = docs.columns
     own_id, own_tag, own_ranges, removed = (unused(n, names) for n in ("id", "tag", "ranges", "removed"))
     ranges = cut(ranges.select(F.col("id").alias(own_id), F.col("tag").alias(own_tag), F.col("ranges").alias(own_ranges)), "chunk-ranges")
-    joined = docs.withColumns({own_id: _id(), own_tag: _tag()}).join(_to_docs(ranges, own_ranges), [own_id, own_tag], "left").select(*names, own_ranges)
+    joined = _with_lists(docs.withColumns({own_id: _id(), own_tag: _tag()}), ranges, [own_id, own_tag], own_ranges, "left").select(*names, own_ranges)
     schema = docs.schema if not spans else docs.select("*", F.expr("cast(null as array<struct<start: int, end: int>>)").alias(removed)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

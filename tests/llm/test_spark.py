@@ -169,9 +169,13 @@ def test_line_dedup_equals_brute_force(spark):
         parts = [prose(2000 + i, r.randint(5, 60)), r.choice(passages), prose(3000 + i, r.randint(5, 40)), r.choice(passages)]
         rows.append((i, r.choice([" ", "\n"]).join(parts[: r.randint(1, 4)])))
     rows += [(100, rows[0][1]), (101, rows[1][1] + " more words"), (102, "same words " * 200), (103, "é ß " * 90), (None, rows[2][1])]
-    got = {x.doc_id: x.text for x in line_dedup.remove_repeats(frame(spark, rows)).collect()}
     want = plain_removal(rows)
-    assert [got[i] for i, _ in rows] == want
+    for size, keys in ((1 << 30, 1 << 20), (0, 1 << 20), (0, 0)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(line_dedup, "LIST_BYTES", size)
+            m.setattr(line_dedup, "KEY_BOUND", keys)
+            got = {x.doc_id: x.text for x in line_dedup.remove_repeats(frame(spark, rows)).collect()}
+        assert [got[i] for i, _ in rows] == want
     assert sum(map(len, want)) < 0.7 * sum(len(t) for _, t in rows)
 
 
