@@ -43,7 +43,7 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> Da
     e = cut(e.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     state = _state(e)
     for _ in range(MAX_ROUNDS):
-        e = cut(_small_star(_large_star(e)), "cc")
+        e = cut(_small_star(_large_star(e)), "cc", replaces=e)
         before, state = state, _state(e)
         if before == state:
             break

@@ -19,9 +19,24 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and it is computed once."""
+def cut(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there and it is computed once.
+
+    replaces: a table from here that nothing else reads; it is deleted once the new one is complete.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/freightspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if replaces is not None:
+        discard(replaces)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that cut() has written."""
+    if path := getattr(df, "_cut_path", None):
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -138,10 +138,11 @@ def ward_merges(feats: DataFrame, edges: DataFrame) -> DataFrame:
         )
         merged = grouped.join(own, ["slice", "id"], "left")
         f = F.array_compact(F.array("f0", "f1", "f2"))
-        state = cut(merged.select("slice", "component", "id", f.alias("f"), "n", F.greatest("h", F.coalesce("height", F.lit(0.0))).alias("h")), "ward-state")
+        state = cut(merged.select("slice", "component", "id", f.alias("f"), "n", F.greatest("h", F.coalesce("height", F.lit(0.0))).alias("h")), "ward-state", replaces=state)
+        before = link
         for e in ("a", "b"):
             link = link.join(to.select("slice", F.col("id").alias(e), F.col("into").alias(f"i{e}")), ["slice", e], "left").withColumn(e, F.coalesce(f"i{e}", e)).drop(f"i{e}")
-        link = cut(link.where("a != b").select("slice", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ward-link")
+        link = cut(link.where("a != b").select("slice", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ward-link", replaces=before)
     else:
         raise RuntimeError("Ward merging did not end")
     if log is None:
