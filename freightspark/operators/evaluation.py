@@ -252,27 +252,42 @@ def by_horizon(rows: DataFrame) -> DataFrame:
     return metrics(long, ["h"])
 
 
-def paired_bootstrap(p: DataFrame, variant: str, base: str = "E0", iterations: int = 200, seed: int = 42) -> DataFrame:
-    """Resampled difference of WAPE over keys that both predict: mean and the 2.5 and 97.5 per cent order statistics.
+def _poisson_steps() -> list[float]:
+    """Cumulative probabilities of a Poisson(1) draw of 0 to 7."""
+    steps, term, total = [], 0.36787944117144233, 0.0
+    for k in range(8):
+        total += term
+        steps.append(total)
+        term /= k + 1
+    return steps
+
+
+POISSON_STEPS = tuple(_poisson_steps())
 
-    Each key's weight in an iteration is a Poisson(1) draw from a hash of key and iteration, so the resample needs
+
+def paired_bootstrap(p: DataFrame, variant: str, base: str = "E0", iterations: int = 1000, seed: int = 42) -> DataFrame:
+    """Difference of WAPE over keys that both predict, and the resampled 2.5 and 97.5 per cent order statistics.
+
+    Each key's weight in an iteration is a Poisson(1) draw from a digest of key and iteration, so the resample needs
     no shuffle of keys; sums are combined map-side.
     """
     ok = comparable(p)
     a = ok.where(F.col("variant") == variant).select(*KEY, "actual_price", "qty", F.col("predicted").alias("pa"))
     pair = a.join(ok.where(F.col("variant") == base).select(*KEY, F.col("predicted").alias("pb")), KEY)
-    it = pair.select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("i"))
-    u = (F.xxhash64(F.lit(seed), "i", *KEY).bitwiseAND((1 << 53) - 1).cast("double") + 0.5) / float(1 << 53)
-    cdf, term, n = [], 0.36787944117144233, 0.0
-    for k in range(8):
-        n += term
-        cdf.append(n)
-        term /= k + 1
-    w = sum((u > c).cast("int") for c in cdf)
+    # iteration -1 is the sample as it is
+    it = pair.select("*", F.explode(F.sequence(F.lit(-1), F.lit(iterations - 1))).alias("i"))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("i").cast("string"), *KEY))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    w = F.when(F.col("i") < 0, 1).otherwise(sum((u > c).cast("int") for c in POISSON_STEPS))
     q = F.col("qty") * w
-    sums = it.groupBy("i").agg(F.sum(q * F.abs(F.col("pa") - F.col("actual_price"))).alias("ea"), F.sum(q * F.abs(F.col("pb") - F.col("actual_price"))).alias("eb"), F.sum(q * F.col("actual_price")).alias("t"))
-    d = sums.where("t > 0").select((100 * (F.col("ea") - F.col("eb")) / F.col("t")).alias("delta"))
-    return d.agg(F.count("*").alias("iterations"), F.avg("delta").alias("mean_delta"), F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"))
+    error = lambda c: F.sum(q * F.abs(F.col(c) - F.col("actual_price")))
+    sums = it.groupBy("i").agg(F.count("*").alias("pairs"), error("pa").alias("ea"), error("pb").alias("eb"), F.sum(q * F.col("actual_price")).alias("t"))
+    d = sums.where("t > 0").select("i", "pairs", (100 * (F.col("ea") - F.col("eb")) / F.col("t")).alias("delta"))
+    drawn = F.col("i") >= 0
+    at = lambda x: F.get("deltas", F.floor(x * (F.size("deltas") - 1)).cast("int"))
+    # one number an iteration
+    out = d.agg(F.max("pairs").alias("pairs"), F.count_if(drawn).alias("iterations"), F.max(F.when(~drawn, F.col("delta"))).alias("delta_wape_pct"), F.array_sort(F.collect_list(F.when(drawn, F.col("delta")))).alias("deltas"))
+    return out.select(F.coalesce("pairs", F.lit(0)).alias("pairs"), "iterations", "delta_wape_pct", at(0.025).alias("ci_low"), at(0.975).alias("ci_high"))
 
 
 def success_gate(p: DataFrame, variant: str, base: str = "E0") -> DataFrame:

@@ -227,8 +227,29 @@ add("e3_leaderboard", lambda s, d: evaluation.leaderboard(_predictions(s, d)), P
 w AS (SELECT variant, 100 * sum(qty * abs(bp - actual_price)) / sum(qty * actual_price) AS bw FROM c GROUP BY 1)
 SELECT variant, {METRICS}, 'all_available' AS scope, NULL::DOUBLE AS gain_pct FROM ok GROUP BY 1
 UNION ALL SELECT x.* EXCLUDE (bw), CASE WHEN bw > 0 THEN 100 * (bw - wape_pct) / bw END FROM (SELECT variant, {METRICS}, 'common_with_base' AS scope FROM c GROUP BY 1) x JOIN w USING (variant)""".replace("x.* EXCLUDE (bw)", "x.*"), MD + " gain_pct", EVAL)
-add("e4_paired_bootstrap", lambda s, d: evaluation.paired_bootstrap(cut(_predictions(s, d), "predictions"), "ATI_REF"))
-add("e5_success_gate", lambda s, d: evaluation.success_gate(cut(_predictions(s, d), "predictions"), "ATI_REF"))
+PAIRS = """, pr AS (SELECT a.shipment_month, a.actual_origin_id, a.destination_region, a.actual_price, a.qty, a.p AS pa, b.p AS pb FROM (SELECT * FROM ok WHERE v = 'ATI_REF') a JOIN (SELECT * FROM ok WHERE v = 'E0') b USING (shipment_month, actual_origin_id, destination_region))"""
+add(
+    "e4_paired_bootstrap",
+    lambda s, d: evaluation.paired_bootstrap(cut(_predictions(s, d), "predictions"), "ATI_REF"),
+    PRED + PAIRS + f""", it AS (SELECT pr.*, i, (('0x' || substr(md5(concat_ws('|', '42', i::VARCHAR, shipment_month, actual_origin_id, destination_region)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM pr, (SELECT unnest(range(-1, 1000)) AS i)),
+w AS (SELECT *, qty * CASE WHEN i < 0 THEN 1 ELSE {' + '.join(f'(u > {c!r}::DOUBLE)::INT' for c in evaluation.POISSON_STEPS)} END AS q FROM it),
+d AS (SELECT i, count(*) AS pairs, 100 * (sum(q * abs(pa - actual_price)) - sum(q * abs(pb - actual_price))) / sum(q * actual_price) AS delta FROM w GROUP BY 1 HAVING sum(q * actual_price) > 0),
+l AS (SELECT list(delta ORDER BY delta) FILTER (i >= 0) AS ds, max(pairs) AS pairs, count(*) FILTER (i >= 0) AS iterations, max(delta) FILTER (i < 0) AS delta_wape_pct FROM d)
+SELECT pairs, iterations, delta_wape_pct, ds[1 + floor(0.025 * (len(ds) - 1))::INT] AS ci_low, ds[1 + floor(0.975 * (len(ds) - 1))::INT] AS ci_high FROM l""",
+    "delta_wape_pct ci_low ci_high",
+    EVAL,
+)
+_wape = lambda c: f"100 * sum(qty * abs({c} - actual_price)) / sum(qty * actual_price)"
+add(
+    "e5_success_gate",
+    lambda s, d: evaluation.success_gate(cut(_predictions(s, d), "predictions"), "ATI_REF"),
+    PRED + PAIRS + f""", wh AS (SELECT {_wape('pa')} AS vw, {_wape('pb')} AS bw, {_wape('pa').replace('abs', '')} AS v_bias, {_wape('pb').replace('abs', '')} AS b_bias FROM pr),
+mo AS (SELECT count(*) AS months, coalesce(sum((v < b)::INT), 0)::BIGINT AS improved FROM (SELECT {_wape('pa')} AS v, {_wape('pb')} AS b FROM pr GROUP BY shipment_month)),
+g AS (SELECT *, CASE WHEN bw > 0 THEN 100 * (bw - vw) / bw END AS gain_pct FROM wh, mo)
+SELECT gain_pct, v_bias, b_bias, months, improved, coalesce(gain_pct >= 5 AND abs(v_bias) <= abs(b_bias) + 1 AND improved >= greatest(2, ceil(months / 2.0)), false) AS passed FROM g""",
+    "gain_pct v_bias b_bias",
+    EVAL,
+)
 add("e6_decision_gate", lambda s, d: evaluation.decision_gate(evaluation.coverage_report(_rows(s, d))), DATASET + f", r AS (SELECT {COVER} FROM ev) SELECT truth_qty >= 0.9 AND origin_qty >= 0.9 AS ready, distance_qty >= 0.8 AS distance_ready, cluster_qty >= 0.8 AS cluster_ready FROM r", "", EVAL)
 add("j6_common_keys", lambda s, d: evaluation.common_keys(_predictions(s, d), ["E0", "E1", "ATI_REF"]), PRED + " SELECT shipment_month, actual_origin_id, destination_region FROM pred WHERE v IN ('E0', 'E1', 'ATI_REF') AND p IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT v) = 3", "", EVAL)
 
