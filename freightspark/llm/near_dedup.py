@@ -93,23 +93,26 @@ def rarity(docs: DataFrame, width: int = WIDTH, temper: float = TEMPER) -> Weigh
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full: list[np.ndarray] = []
         held: list[np.ndarray] = []
-        n = size = 0
+        n_full = n = size = 0
 
-        def out() -> pa.RecordBatch:
-            own, counts = np.unique(np.concatenate(held), return_counts=True)
+        def out(own: list[np.ndarray], n: int) -> pa.RecordBatch:
+            shingles, counts = np.unique(np.concatenate(own), return_counts=True)
             often = counts * COUNTED >= n
-            return pa.RecordBatch.from_arrays([pa.array(np.append(own[often].view(np.int64), 0)), pa.array(np.append(counts[often], n)), pa.array([False] * int(often.sum()) + [True])], names=["shingle", "n", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array(np.append(shingles[often].view(np.int64), 0)), pa.array(np.append(counts[often], n)), pa.array([False] * int(often.sum()) + [True])], names=["shingle", "n", "docs"])
 
         for batch in blocks(batches):
             shingles, _, _ = _counted([t or "" for t in batch.column("text").to_pylist()], width)
             held.append(shingles)
             n, size = n + batch.num_rows, size + len(shingles)
             if n >= CHUNK_DOCS or size >= CHUNK_SHINGLES:
-                yield out()
-                held, n, size = [], 0, 0
-        if n:
-            yield out()
+                if full:
+                    yield out(full, n_full)
+                full, n_full, held, n, size = held, n, [], 0, 0
+        # a rest of few documents would pass on all its shingles: it belongs to the chunk before
+        if n_full + n:
+            yield out(full + held, n_full + n)
 
     counts = docs.select("text").mapInArrow(lean(run), "shingle long, n long, docs boolean").groupBy("docs", "shingle").agg(F.sum("n").alias("n"))
     counts = cut(counts, "shingle-counts")
