@@ -184,3 +184,34 @@ def test_partitions_of_many_components_and_of_two_points(spark):
     got = flows.partition_modes(points, edges, ("geography",)).collect()
     assert len(got) == 44 and min(r.cluster_id for r in got) == 0
     assert {(s, len({r.cluster_id for r in got if r.slice == s})) for s in ("many", "two")} == {("many", 21), ("two", 2)}
+
+
+def test_selected_k_equals_plain_rules(spark):
+    """Undominated, fewest tiny clusters, near the best measure, least K: on random tables with ties and nulls."""
+    r, rows = random.Random(5), []
+    for s in range(30):
+        for k in range(2, 2 + r.randint(1, 8)):
+            silhouette = None if r.random() < 0.1 else round(r.uniform(-0.2, 0.8), 2)
+            rows.append((f"s{s}", k, silhouette, float(r.randint(1, 4)), round(r.choice([0.0, 0.1, 0.3]), 1), round(r.choice([0.2, 0.5, 0.9]), 1), r.randint(0, 2), 40, float(r.randint(0, 5))))
+    names = ["slice", "k", "silhouette", "p95_radius_m", "tiny_share", "size_cv", "tiny_clusters", "points", "mad"]
+    df = spark.createDataFrame(rows, "slice string, k int, silhouette double, p95_radius_m double, tiny_share double, size_cv double, tiny_clusters long, points long, mad double")
+    scored = zones.selection_score(df)
+    got = {name: {(x.slice, x.k) for x in zones.select_k(scored, name, tolerance).where("selected").collect()} for name, tolerance in (("silhouette", 0.02), ("selection_score", 0.03))}
+    want = {name: set() for name in got}
+    for s in {x[0] for x in rows}:
+        own = [dict(zip(names, x, strict=True)) for x in rows if x[0] == s]
+        for name in ("silhouette", "mad"):
+            values = [x[name] for x in own if x[name] is not None]
+            for x in own:
+                x[f"n_{name}"] = ((x[name] or 0) - min(values)) / (max(values) - min(values)) if len(set(values)) > 1 else None
+        for x in own:
+            good, even = x["n_silhouette"], x["n_mad"]
+            x["selection_score"] = 0.7 * (1.0 if good is None else good) + 0.3 * (1.0 if even is None else 1 - even) - 0.1 * x["k"] / x["points"] - 0.2 * x["tiny_share"]
+            x["c"] = (-x["silhouette"] if x["silhouette"] is not None else float("inf"), x["p95_radius_m"], x["tiny_share"], x["size_cv"], x["k"])
+        front = [x for x in own if not any(all(a <= b for a, b in zip(y["c"], x["c"], strict=True)) and y["c"] != x["c"] for y in own)]
+        sane = [x for x in front if x["tiny_clusters"] == min(y["tiny_clusters"] for y in front)]
+        for name, tolerance in (("silhouette", 0.02), ("selection_score", 0.03)):
+            best = max((x[name] for x in sane if x[name] is not None), default=None)
+            near = sane if best is None else [x for x in sane if x[name] is not None and x[name] >= best - tolerance]
+            want[name].add((s, min(x["k"] for x in near)))
+    assert got == want
