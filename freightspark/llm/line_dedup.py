@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freightspark.functions.shared import cut
+from freightspark.functions.shared import cut, discard
 from freightspark.llm.common import U64, blocks, lean, mix, run_hashes, span_hashes, unused
 
 LONG_WORDS, WORD_IN = 24, 4
@@ -126,26 +126,39 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("id").take(take), batch.column("tag").take(take), pa.array(u.astype(np.int32))], names=["h", "id", "tag", "at"])
 
 
+_INSTANCE = "id long, tag long, at int, upto int, chunk binary, before array<binary>, after array<binary>"
+
+
 def _instance_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The listed chunks of each text: their bytes, and the units around those that are the first of their hash or end a run of listed chunks."""
+    """The listed chunks of each text: their bytes, and the units around a run of listed chunks, as its last ones hold."""
     for batch in blocks(batches, limit=BLOCK):
         units, rows = Units(_binary(batch)), []
         for i, (doc_id, tag, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "places")), strict=True)):
             end = dict(units.chunks(i))
-            listed = {p["at"] for p in places}
+            listed = set(places)
             ends = {end[u] for u in listed}
-            for p in places:
-                u, v = p["at"], end[p["at"]]
-                before = units.before(i, u) if p["first"] or u not in ends else []
-                after = units.after(i, v) if p["first"] or v not in listed else []
-                rows.append((doc_id, tag, u, v, p["first"], units.bytes_of(i, u, v), before, after))
+            for u in places:
+                v = end[u]
+                rows.append((doc_id, tag, u, v, units.bytes_of(i, u, v), [] if u in ends else units.before(i, u), [] if v in listed else units.after(i, v)))
         if rows:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "tag", "at", "upto", "first", "chunk", "before", "after"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _INSTANCE.split(", ")])
+
+
+def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The units around the listed chunks of each text, whatever stands there."""
+    for batch in blocks(batches, limit=BLOCK):
+        units, rows = Units(_binary(batch)), []
+        for i, (doc_id, tag, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "places")), strict=True)):
+            end = dict(units.chunks(i))
+            rows += [(doc_id, tag, u, units.before(i, u), units.after(i, end[u])) for u in places]
+        if rows:
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "tag", "at", "before", "after"])
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame, key: list[str], column: str, how: str) -> DataFrame:
-    """docs joined with their lists (id, tag, array). A list of structs of two takes less than 96 bytes and 40 an element."""
+    """docs joined with their lists (id, tag, array). A list takes less than 96 bytes and 40 an element."""
     size = lists.agg(F.coalesce(F.sum(F.lit(96) + 40 * F.size(column)), F.lit(0))).first()[0]
     if size <= LIST_BYTES:
         return docs.join(F.broadcast(lists), key, how)
@@ -160,35 +173,41 @@ def _with_lists(docs: DataFrame, lists: DataFrame, key: list[str], column: str,
     return touched.unionByName(rest)
 
 
+def _places(rows: DataFrame) -> DataFrame:
+    return cut(rows.groupBy("id", "tag").agg(F.sort_array(F.collect_set("at")).alias("places")), "chunk-places")
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(id, tag, at, upto): unit ranges to remove; id and tag name the document (see _keyed)."""
     keyed = _keyed(docs)
     chunks = cut(keyed.mapInArrow(lean(_chunk_rows), "h long, id long, tag long, at int"), "chunks")
     # written, so that both sides of the join are plain shuffles and a very common chunk's rows can be split
-    here = F.struct("id", "tag", "at")
     often = cut(chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "chunk-hashes")
-    repeated = cut(chunks.join(often, "h"), "chunk-repeats")
-    ones = cut(repeated.groupBy("h").agg(F.min(here).alias("one")), "chunk-ones")
-    places = F.sort_array(F.collect_set(F.struct("at", (here == F.col("one")).alias("first"))))
-    lists = cut(repeated.join(ones, "h").groupBy("id", "tag").agg(places.alias("places")), "chunk-places")
-    found = _with_lists(keyed, lists, ["id", "tag"], "places", "inner")
-    found = cut(found.mapInArrow(lean(_instance_rows), "id long, tag long, at int, upto int, first boolean, chunk binary, before array<binary>, after array<binary>"), "chunk-bytes")
+    lists = _places(chunks.join(often, "h"))
+    for done in (chunks, often):
+        discard(done)
+    found = cut(_with_lists(keyed, lists, ["id", "tag"], "places", "inner").mapInArrow(lean(_instance_rows), _INSTANCE), "chunk-bytes")
     # equal bytes, not only equal hashes: the first of each chunk, then all others beside it
-    key = F.xxhash64("chunk")
+    key, here = F.xxhash64("chunk"), F.struct("id", "tag", "at")
     first = found.groupBy(key.alias("k"), "chunk").agg(F.count("*").alias("n"), F.min(here).alias("one")).where("n > 1").select("k", "chunk", "one")
     first = cut(first, "chunk-firsts")
-    # the first of a hash is the first of its bytes; where two texts share a hash, one of them has no units around it
-    edges = found.where("first").select(here.alias("one"), F.col("before").alias("first_before"), F.col("after").alias("first_after"))
-    first = cut(first.join(edges, "one", "left"), "chunk-edges")
-    others = found.where("not first").withColumn("k", key).join(first, ["k", "chunk"]).where("struct(id, tag, at) > one")
+    others = found.withColumn("k", key).join(first, ["k", "chunk"]).where("struct(id, tag, at) > one").drop("k", "chunk")
+    others = cut(others, "chunk-others", replaces=found)
+    discard(first)
+    # what stands around the firsts is read only where it is compared
+    outer = others.where("size(before) + size(after) > 0")
+    asked = _places(outer.select("one.*").distinct())
+    edges = _with_lists(keyed, asked, ["id", "tag"], "places", "inner").mapInArrow(lean(_edge_rows), "id long, tag long, at int, before array<binary>, after array<binary>")
+    edges = cut(edges.select(here.alias("one"), F.col("before").alias("first_before"), F.col("after").alias("first_after")), "chunk-edges")
 
     def alike(a: str) -> Column:
         """How many units, from the chunk outwards, equal those around the first."""
-        same = F.zip_with(a, F.coalesce(f"first_{a}", F.array().cast("array<binary>")), lambda x, y: F.coalesce(x == y, F.lit(False)))
+        same = F.zip_with(a, f"first_{a}", lambda x, y: F.coalesce(x == y, F.lit(False)))
         wrong = F.array_position(same, F.lit(False)).cast("int")
         return F.when(wrong > 0, wrong - 1).otherwise(F.size(same))
 
-    return others.select("id", "tag", (F.col("at") - alike("before")).alias("at"), (F.col("upto") + alike("after")).alias("upto"))
+    wide = outer.join(edges, "one").select("id", "tag", (F.col("at") - alike("before")).alias("at"), (F.col("upto") + alike("after")).alias("upto"))
+    return others.where("size(before) + size(after) = 0").select("id", "tag", "at", "upto").union(wide)
 
 
 def remove_repeats(docs: DataFrame, spans: bool = False) -> DataFrame:
