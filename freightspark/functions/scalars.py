@@ -20,6 +20,7 @@ REGION_ALIASES = {
 #: Settlement prefixes; the first that fits goes.
 LOCATION_PREFIXES = ("городской поселок ", "рабочий поселок ", "деревня ", "посёлок ", "поселок ", "станица ", "слобода ", "город ", "село ", "г. ", "г ", "с. ", "с ", "д. ", "д ", "п. ", "п ")
 LEGACY_PREFIXES = ("г ", "гп ", "г. ", "гп. ", "с ", "д ", "п ", "пгт ", "пос ")
+#: Settlement prefixes of origins, month names, metres of the mean radius of the earth.
 ORIGIN_PREFIX = "(?iu)^(?:г(?:ород)?|г\\.|п(?:ос(?:елок)?)?|п\\.|пос\\.|рп\\.|гп\\.)\\s+"
 MONTHS = ("Янв", "Фев", "Мар", "Апр", "Май", "Июн", "Июл", "Авг", "Сен", "Окт", "Ноя", "Дек")
 EARTH_M = 6_371_008.8

@@ -56,7 +56,7 @@ def territory_grid(boundary: DataFrame, medoids: DataFrame, cells: int = 50) ->
     own = covered(grid, boundary).where("inside")
     m = medoids.select("region", "cluster_id", F.col("lon").alias("mx"), F.col("lat").alias("my"))
     d = F.pow((F.col("lon") - F.col("mx")) * F.cos(F.radians("lat")), 2) + F.pow(F.col("lat") - F.col("my"), 2)
-    return own.join(F.broadcast(m), "region").groupBy("region", "gx", "gy").agg(F.min(F.struct(d.alias("d"), "cluster_id")).alias("b")).select("region", "gx", "gy", F.col("b.cluster_id").alias("cluster_id"))
+    return own.join(m, "region").groupBy("region", "gx", "gy").agg(F.min(F.struct(d.alias("d"), "cluster_id")).alias("b")).select("region", "gx", "gy", F.col("b.cluster_id").alias("cluster_id"))
 
 
 def kmeans_baseline(points: DataFrame, k: int, seeds: tuple[int, ...] = (1, 2, 3), weight: str | None = None) -> DataFrame:

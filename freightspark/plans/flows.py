@@ -56,7 +56,7 @@ def spatial_graph(points: DataFrame, multiplier: float = graph.MULTIPLIER) -> tu
     """(edges, thresholds): Delaunay edges up to the slice's adaptive threshold."""
     near = cut(graph.nearest_distance(points), "nearest")
     threshold = cut(graph.adaptive_threshold(near, multiplier), "thresholds")
-    pairs = cut(graph.pairs_within(points.join(F.broadcast(threshold), "slice"), "threshold"), "near-pairs")  # a row per slice
+    pairs = cut(graph.pairs_within(points.join(threshold, "slice"), "threshold"), "near-pairs")
     return cut(graph.delaunay_edges(points, pairs), "edges"), threshold
 
 
