@@ -274,8 +274,9 @@ def paired_bootstrap(p: DataFrame, variant: str, base: str = "E0", iterations: i
     ok = comparable(p)
     a = ok.where(F.col("variant") == variant).select(*KEY, "actual_price", "qty", F.col("predicted").alias("pa"))
     pair = a.join(ok.where(F.col("variant") == base).select(*KEY, F.col("predicted").alias("pb")), KEY)
-    # iteration -1 is the sample as it is
-    it = pair.select("*", F.explode(F.sequence(F.lit(-1), F.lit(iterations - 1))).alias("i"))
+    # few rows that become many: dealt out first. Iteration -1 is the sample as it is
+    n = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    it = pair.repartition(n, *KEY).select("*", F.explode(F.sequence(F.lit(-1), F.lit(iterations - 1))).alias("i"))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("i").cast("string"), *KEY))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     w = F.when(F.col("i") < 0, 1).otherwise(sum((u > c).cast("int") for c in POISSON_STEPS))
