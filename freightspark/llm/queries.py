@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightspark.llm import chat, decontamination, fingerprints, line_dedup, lm_scoring, near_dedup, pii, sentencepiece_codec, token_store, toxicity
+from freightspark.llm import centroids, chat, decontamination, fingerprints, line_dedup, lm_scoring, mixing, near_dedup, pii, sentencepiece_codec, token_store, toxicity, whitening
 from freightspark.llm.common import remainder, table
 
 #: The conversation that every result holds besides the table's own (fixed values).
@@ -141,10 +141,79 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matches DESC,
 """
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of 64 components with its cluster, after three rounds of exact integer k-means."""
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that the mix takes; documents of more letters come sooner."""
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.letter_share())
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql() -> str:
+    """Rounds spelled out: assign, then move the centroids."""
+    assign = """a{k} AS (
+  SELECT nr, any_value(vec_id) AS vec_id, any_value(v.x) AS x,
+    min(struct_pack(d := list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v.x, c.x)]), k := k)) AS best
+  FROM v, c{k} c GROUP BY nr
+)"""
+    move = """c{after} AS (
+  SELECT k, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN (
+    SELECT k, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS x
+    FROM (SELECT best.k AS k, i, sum(CAST(x[i] AS DOUBLE)) AS total, count(*) AS n FROM a{k}, range(1, 65) r(i) GROUP BY ALL) GROUP BY k
+  ) m USING (k)
+)"""
+    parts = [assign.format(k=k) + (",\n" + move.format(k=k, after=k + 1) if k < centroids.ROUNDS else "") for k in range(centroids.ROUNDS + 1)]
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER () AS nr, vec_id, [CAST(floor({centroids.SCALE} * CAST(e AS DOUBLE)) AS BIGINT) FOR e IN embedding] AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len([e FOR e IN embedding IF e IS NOT NULL AND isfinite(e)]) = 64
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS k, x FROM v QUALIFY k < {centroids.CENTROIDS}
+), {", ".join(parts)}
+SELECT vec_id, CAST(best.k AS INT) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} JOIN c{centroids.ROUNDS} c ON c.k = best.k
+"""
+
+
+#: Levels are tried from the least ratio of limit to weight on: the first that caps exactly the sources before it holds.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS digest,
+    coalesce(0.05::DOUBLE + length(regexp_replace(text, '\P{L}+', '', 'g'))::DOUBLE / nullif(length(text), 0), 0.05::DOUBLE) AS q
+  FROM documents
+), keyed AS (
+  SELECT *, -ln((CAST('0x' || substr(digest, 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / q AS key FROM d
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM d GROUP BY source
+), tried AS (
+  SELECT (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER w, 0))::DOUBLE / sum(weight) OVER (ORDER BY 3 * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, weight, source_size
+  FROM s WHERE source_size > 0 WINDOW w AS (ORDER BY 3 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), plan AS (
+  SELECT source, source_size, least(weight * coalesce((SELECT arg_min(level, 3 * t.source_size / t.weight) FROM tried t WHERE t.level * t.weight <= 3 * t.source_size), 0), (3 * source_size)::DOUBLE) AS target FROM s
+), rests AS (
+  SELECT *, coalesce(least(floor(target / nullif(source_size, 0) + 0.000001::DOUBLE), 3), 0) AS epochs FROM plan
+), ordered AS (
+  SELECT k.doc_id, k.source, k.size, source_size, target, epochs, greatest(target - epochs * source_size, 0) AS rest,
+    sum(size) OVER (PARTITION BY k.source ORDER BY key, digest ROWS UNBOUNDED PRECEDING) AS upto
+  FROM keyed k JOIN rests r ON k.source IS NOT DISTINCT FROM r.source
+)
+SELECT doc_id, source, size, source_size, target, CAST(size * (epochs + CASE WHEN upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM ordered
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sentencepiece, op2_toxicity, op3_lm_scoring, op4_near_dedup, op5_token_store, op6_pii, op7_line_dedup, op8_fingerprints, op9_decontamination, op10_chat)
+    own = (op1_sentencepiece, op2_toxicity, op3_lm_scoring, op4_near_dedup, op5_token_store, op6_pii, op7_line_dedup, op8_fingerprints, op9_decontamination, op10_chat, op11_centroids, op12_mixing, op13_whitening)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": OP9_SQL, "op10_chat": OP10_SQL}
+    return {"op9_decontamination": OP9_SQL, "op10_chat": OP10_SQL, "op11_centroids": _op11_sql(), "op12_mixing": OP12_SQL}
