@@ -8,10 +8,11 @@ the texts, and linked nodes become classes. Buckets whose members are still in s
 further rounds, with HUBS other representatives each, while these link many of the pairs they try. Work per round is
 linear in the members.
 
-What is left then is compared in full: each bucket that still has several classes is split by the rarest shingles
-of its members, and all pairs of a part that are in different classes and not tried yet are verified. The split loses
-no pair: two texts are similar enough only if they share one of the shingles that precede, from the rarest on, the
-last `similarity` of their weight. So in the end no bucket has a pair of similar texts in different classes.
+What is left then is compared in full: the members of buckets that still have several classes are dealt out by their
+rarest shingles, as counted among these members, and the pairs of such a part that are in different classes, not tried yet and
+may still be similar enough are verified. No such pair is lost: two texts are similar enough only if they share one of the shingles
+that precede, from the rarest on, the last `similarity` of their weight, and only if few bits of their bitmaps differ. So in the
+end no bucket has a pair of similar texts in different classes.
 
 Inverse document frequency is measured from one in COMMON documents on: a rarer shingle weighs 1 + TEMPER, one that
 all documents have weighs 1, and in between the weight falls with the logarithm of the frequency. Without tempering
@@ -20,9 +21,10 @@ lossy counting over all documents: they are short by at most one in COUNTED docu
 most COMMON shingles for each shingle of a mean document. Two texts always weigh a shingle alike.
 
 Defined cases: null and empty texts, and texts without words, are one class; texts of fewer than five words have
-one shingle, all their words; rows with equal doc_id are one document and share a class; a null doc_id takes part
-under a hash of its text; very long texts are sampled and compared whole; an empty table
-gives an empty result. The kept document of a class has its least doc_id; equal sample values take the least shingle.
+one shingle, all their words; rows of one doc_id whose texts differ are different documents, each with the class of
+its own text (two classes then may bear one number, but keep_one goes by rows); a null doc_id takes part under a hash of
+its text; very long texts are sampled and compared whole; an empty table gives an empty result. The kept row of a class
+has its least doc_id, then the least text; equal sample values take the least shingle.
 Columns of any name are kept.
 """
 
@@ -34,9 +36,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from freightspark.functions.components import connected_components
-from freightspark.functions.shared import cut
+from freightspark.functions.shared import cut, discard
 from freightspark.llm.common import U64, blocks, lean, mix, shingle_hashes, unused
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -54,6 +57,10 @@ HUBS = 8
 YIELD = 0.1
 #: Members of a block in the full comparison, and pairs verified at once (or as many as there are texts, if that is more).
 BLOCK, PAIR_BOUND = 512, 100_000
+#: Texts that must hold a shingle for it to count as frequent, and the entries of the table of those (8 bytes each).
+LEAST_SHARED, TABLE = 4, 2_000_000
+#: Bits of a text's bitmap, and the number of bitmaps that may be broadcast (528 bytes each).
+BITS, BITMAP_BOUND = 4096, 50_000
 #: Bounds are taken wider by this share, since sums of weights are rounded.
 SLACK = 1e-6
 
@@ -228,53 +235,127 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity:
     return both.select("u", "v", "a", "b").mapInArrow(lean(run), "u long, v long")
 
 
-def leading(texts: list[str], weights: Weights, similarity: float, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the text, shingle, weight of the text, weight from the shingle on) of the rarest shingles: without one in common two texts are less similar.
+class Frequent:
+    """How many of the compared texts hold a shingle, by 32 bits of it: 0 if they are too few for the table."""
 
-    The order is the same for all texts. A shingle leads while it and those after it hold `similarity` of the text's weight.
+    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+        order = np.argsort(ids)
+        self.ids, self.counts = np.append(ids[order], np.uint32(0xFFFFFFFF)), np.append(counts[order], 0)
+
+    @staticmethod
+    def fold(shingles: np.ndarray) -> np.ndarray:
+        return (shingles >> U64(32)).astype(np.uint32)
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        ids = self.fold(shingles)
+        at = np.searchsorted(self.ids[:-1], ids)
+        return np.where(self.ids[at] == ids, self.counts[at], 0)
+
+
+def frequent(texts: DataFrame, width: int) -> Frequent:
+    """The shingles that at least LEAST_SHARED texts hold; if these are more than TABLE, those of the most texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, limit=CHUNK_SHINGLES * 8):
+            ids, n = np.unique(Frequent.fold(_counted(batch.column("text").to_pylist(), width)[0]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int32)), pa.array(n.astype(np.int32))], names=["id", "n"])
+
+    counts = texts.select("text").mapInArrow(lean(run), "id int, n int").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_SHARED)
+    counts = cut(counts, "frequent")
+    sizes = {r[0]: r[1] for r in counts.groupBy(F.floor(F.log2("n")).cast("int")).count().collect()}
+    power = max(sizes, default=0)
+    while power - 1 in sizes and sum(n for p, n in sizes.items() if p >= power - 1) <= TABLE:
+        power -= 1
+    got = counts.where(F.col("n") >= 1 << power).toArrow()
+    discard(counts)
+    return Frequent(got.column("id").to_numpy().view(np.uint32), got.column("n").to_numpy())
+
+
+def leading(texts: list[str], weights: Weights, often: Frequent, similarity: float, width: int) -> tuple[np.ndarray, ...]:
+    """(number of the text, shingle, weight of the text, weight from the shingle on, shingle before it or 0) of the rarest shingles.
+
+    Without one in common two texts are less similar. The order is the same for all texts. A shingle leads while it and those after
+    it hold `similarity` of the text's weight.
     """
     s, n, counts = _counted(texts, width)
     w = weights.of(s).astype(np.float64)
     doc = np.repeat(np.arange(len(texts)), counts)
-    order = np.lexsort((s, -w, doc))
+    order = np.lexsort((s, -w, often.of(s), doc))
     own = (w * n)[order]
     total = np.bincount(doc, own, minlength=len(texts))[doc]
     before, full = np.cumsum(own) - own, counts > 0
     before -= np.repeat(before[(np.cumsum(counts) - counts)[full]], counts[full])
     lead = total - before >= similarity * total * (1 - SLACK)
-    return doc[lead], s[order][lead], total[lead], (total - before)[lead]
+    s = s[order]
+    previous = np.append(U64(0), s[:-1])[: len(s)]
+    previous[(np.cumsum(counts) - counts)[full]] = 0
+    return doc[lead], s[lead], total[lead], (total - before)[lead], previous[lead]
 
 
-def _leading(texts: DataFrame, weights: Weights, similarity: float, width: int) -> DataFrame:
-    """(node, shingle, total, rest) of the leading shingles of each text."""
+def _leading(texts: DataFrame, weights: Weights, often: Frequent, similarity: float, width: int) -> DataFrame:
+    """(node, shingle, total, rest, previous) of the leading shingles of each text."""
+    known = texts.sparkSession.sparkContext.broadcast((weights, often))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            at, shingles, total, rest, previous = leading(batch.column("text").to_pylist(), *known.value, similarity, width)
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at)), pa.array(shingles.view(np.int64)), pa.array(total), pa.array(rest), pa.array(previous.view(np.int64))], names=["node", "shingle", "total", "rest", "previous"])
+
+    return texts.select("node", "text").mapInArrow(lean(run), "node long, shingle long, total double, rest double, previous long")
+
+
+def bitmaps(texts: list[str], weights: Weights, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weight of each text, BITS bits of it as words): a set bit for each of its shingles of the greatest weight."""
+    s, n, counts = _counted(texts, width)
+    w, doc = weights.of(s), np.repeat(np.arange(len(texts)), counts)
+    rare = w == weights.weights[-1]
+    bits = np.zeros((len(texts), BITS), np.uint8)
+    bits[doc[rare], (s[rare] >> U64(8)).astype(np.int64) % BITS] = 1
+    return np.bincount(doc, w.astype(np.float64) * n, minlength=len(texts)), np.packbits(bits, axis=1).view(U64)
+
+
+def _bitmaps(texts: DataFrame, weights: Weights, width: int) -> DataFrame:
+    """(node, total, bits)."""
     known = texts.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            at, shingles, total, rest = leading(batch.column("text").to_pylist(), known.value, similarity, width)
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at)), pa.array(shingles.view(np.int64)), pa.array(total), pa.array(rest)], names=["node", "shingle", "total", "rest"])
+            total, bits = bitmaps(batch.column("text").to_pylist(), known.value, width)
+            packed = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(total), packed], names=["node", "total", "bits"])
 
-    return texts.select("node", "text").mapInArrow(lean(run), "node long, shingle long, total double, rest double")
+    return texts.select("node", "text").mapInArrow(lean(run), "node long, total double, bits array<long>")
 
 
 def _left_over(now: DataFrame, mixed: DataFrame, texts: DataFrame, weights: Weights, similarity: float, width: int) -> DataFrame:
-    """(u, v): every pair of members of a bucket that are in different classes and may be similar enough.
+    """(u, v): every pair of texts of mixed buckets that are in different classes and may be similar enough.
 
-    now: (key, rep, label); mixed: the keys of buckets with several classes. A part is a bucket and a leading shingle;
-    its members are dealt to blocks, and each pair of blocks is a group of its own.
+    now: (key, rep, label); mixed: the keys of buckets with several classes. A part is a leading shingle; its texts
+    are dealt to blocks, and each pair of blocks is a group of its own. Pairs whose bitmaps differ by more than similar
+    texts of their weights can are left out: every bit in which two bitmaps differ is a shingle that only one of the texts has.
     """
-    own = cut(now.join(mixed, "key"), "mixed")
-    lead = _leading(texts.join(own.select(F.col("rep").alias("node")).distinct(), "node", "left_semi"), weights, similarity, width)
-    rows = lead.join(own, lead.node == own.rep).select(F.xxhash64("key", "shingle").alias("part"), "rep", "label", "total", "rest")
-    rows = cut(rows, "parts")
+    own = cut(now.join(mixed, "key").select("rep", "label").distinct(), "mixed")
+    compared = cut(texts.join(own.select(F.col("rep").alias("node")), "node", "left_semi"), "compared")
+    lead = _leading(compared, weights, frequent(compared, width), similarity, width)
+    rows = cut(lead.join(own, lead.node == own.rep).select(F.col("shingle").alias("part"), "rep", "label", "total", "rest", "previous"), "parts")
     size = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a != b")
-    rows = rows.join(size.select("part", F.ceil(F.col("n") / BLOCK).cast("int").alias("n")), "part")
+    dealt = rows.join(size.select("part", F.ceil(F.col("n") / BLOCK).cast("int").alias("n")), "part")
     every, mine = F.explode(F.sequence(F.lit(0), F.col("n") - 1)), F.pmod(F.xxhash64("rep"), F.col("n").cast("long")).cast("int")
-    left = rows.select("part", mine.alias("i"), every.alias("j"), F.col("rep").alias("u"), F.col("label").alias("lu"), F.col("total").alias("tu"), F.col("rest").alias("ru"))
-    right = rows.select("part", every.alias("i"), mine.alias("j"), F.col("rep").alias("v"), F.col("label").alias("lv"), F.col("total").alias("tv"), F.col("rest").alias("rv"))
+    end = lambda e, i, j: dealt.select("part", i.alias("i"), j.alias("j"), *[F.col(c).alias(f"{c[0]}{e}") for c in ("rep", "label", "total")], F.col("rest").alias(f"after{e}"), F.col("previous").alias(f"previous{e}"))
     # all that two texts share lies from their first common shingle on, and later ones have less after them
-    near = F.least("ru", "rv") >= similarity / (1 + similarity) * (1 - SLACK) * (F.col("tu") + F.col("tv"))
-    return left.join(right, ["part", "i", "j"]).where((F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & near).select("u", "v").distinct()
+    near = F.least("afteru", "afterv") >= similarity / (1 + similarity) * (1 - SLACK) * (F.col("tu") + F.col("tv"))
+    first = (F.col("previousu") != F.col("previousv")) | (F.col("previousu") == 0)
+    met = end("u", mine, every).join(end("v", every, mine), ["part", "i", "j"]).where((F.col("ru") < F.col("rv")) & (F.col("lu") != F.col("lv")) & near & first)
+    pairs = cut(met.select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct(), "left-over")
+    bits = cut(_bitmaps(compared, weights, width), "bitmaps")
+    known = F.broadcast(bits) if bits.count() <= BITMAP_BOUND else bits
+    for e in ("u", "v"):
+        pairs = pairs.join(known.select(F.col("node").alias(e), F.col("total").alias(f"t{e}"), F.col("bits").alias(f"b{e}")), e)
+    differ = F.aggregate(F.zip_with("bu", "bv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
+    found = cut(pairs.where(differ * float(weights.weights[-1]) <= (1 - similarity) / (1 + similarity) * (1 + SLACK) * (F.col("tu") + F.col("tv"))).select("u", "v"), "near-enough")
+    for used in (own, compared, rows, bits):
+        discard(used)
+    return found
 
 
 def _labelled(member: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -307,25 +388,48 @@ def _relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     return moved.union(fresh)
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, class_id, n_verified) for every document: node is its doc_id, class_id the least node of its class.
+def _digested(docs: DataFrame, width: int) -> DataFrame:
+    """(node, digest, text): the digests of signatures(), for some of the texts."""
 
-    n_verified: links to different texts that were verified on the way to the classes, not all that there are: pairs
-    within a class are not tried again. Work on copies is done once.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            runs, lengths = shingle_hashes(batch.column("text").to_pylist(), width)
+            ends = np.cumsum(lengths)
+            digests = [_words_digest(runs[a:b], b - a) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(digests, pa.binary()), batch.column("text")], names=["node", "digest", "text"])
+
+    return docs.mapInArrow(lean(run), "node long, digest binary, text string")
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= KEY_BOUND else keys
+
+
+def class_rows(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(node, digest, class_id, first, n_verified) for every row: `first` is the digest of the text that stays for the class.
+
+    Texts are told apart by their digests and numbered, so rows of one doc_id with different texts are different
+    documents. The text that stays has the least doc_id of the class, then the least digest. Work on copies is done once.
     """
     weights = rarity(docs, width)
     signed = cut(signatures(docs, weights, width, bands, rows), "signatures")
     # one node for all rows of a word sequence
-    exact = signed.groupBy("digest").agg(F.min("node").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("n"))
-    exact = cut(exact, "texts")
+    exact = signed.groupBy("digest").agg(F.min("node").alias("doc"), F.first("bands").alias("bands"))
+    exact = cut(exact.withColumn("rep", F.monotonically_increasing_id()), "texts")
     member = exact.select("rep", F.explode("bands").alias("key"))
     shared = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     member = cut(member.join(shared, "key").distinct(), "members")
-    reps = member.select("rep").distinct().withColumnRenamed("rep", "node")
-    near = F.broadcast(reps) if reps.count() <= KEY_BOUND else reps
-    texts = docs.select(_node().alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(near, "node", "left_semi")
-    texts = cut(texts.groupBy("node").agg(F.min("text").alias("text")), "candidate-texts")
+    reps = exact.select("rep", "doc", "digest").join(member.select("rep").distinct(), "rep", "left_semi")
+    own = docs.select(_node().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    own = _digested(own.join(_few(reps.select(F.col("doc").alias("node")).distinct()), "node", "left_semi"), width)
+    texts = own.join(reps.withColumnRenamed("doc", "node"), ["node", "digest"]).groupBy(F.col("rep").alias("node")).agg(F.min("text").alias("text"))
+    texts = cut(texts, "candidate-texts")
     links = tried = labels = None
+    used = [signed, exact, member, texts]
+
+    def merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+        return cut(_relabelled(labels, found), "classes", replaces=labels)
+
     for turn in range(MAX_ROUNDS):
         now = _labelled(member, labels)
         orders = [F.col("rep")] if labels is None else [F.xxhash64(F.lit(turn), F.lit(h), "key", "rep") for h in range(HUBS)]
@@ -337,51 +441,75 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
         pairs = pairs.select(F.least("rep", "hub.rep").alias("u"), F.greatest("rep", "hub.rep").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = cut(pairs, "pairs")
+        pairs = cut(pairs, "pairs", replaces=chosen)
+        used.append(pairs)
         n_pairs = pairs.count()
         if not n_pairs:
             break
         found = cut(_verified(pairs, texts, weights, similarity, width), "links")
+        used.append(found)
         tried = pairs if tried is None else tried.union(pairs)
         if n_found := found.count():
             links = found if links is None else links.union(found)
-            labels = cut(_relabelled(labels, found), "classes")
+            labels = merged(labels, found)
         if turn and n_found < YIELD * n_pairs:
             break
     now = _labelled(member, labels)
     mixed = cut(now.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key"), "mixed-keys")
+    used.append(mixed)
     if not mixed.isEmpty():
-        rest = _left_over(now, mixed, texts, weights, similarity, width)
-        rest = cut(rest if tried is None else rest.join(tried, ["u", "v"], "left_anti"), "rest")
+        left = _left_over(now, mixed, texts, weights, similarity, width)
+        rest = cut(left if tried is None else left.join(tried, ["u", "v"], "left_anti"), "rest", replaces=left)
+        used.append(rest)
         n_parts = -(-rest.count() // max(PAIR_BOUND, texts.count()))
         for k in range(n_parts):
             # what the parts before have linked is not compared again
             part = _apart(rest.where(F.pmod(F.xxhash64("u", "v"), F.lit(n_parts)) == k), labels)
             found = cut(_verified(part, texts, weights, similarity, width), "links")
+            used.append(found)
             if not found.isEmpty():
                 links = found if links is None else links.union(found)
-                labels = cut(_relabelled(labels, found), "classes")
-    by_rep = exact.select("digest", "rep")
+                labels = merged(labels, found)
+    by_text = exact.select("digest", "rep", "doc")
     if labels is not None:
-        ends = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_verified"))
-        by_rep = by_rep.join(labels, by_rep.rep == labels.node, "left").drop("node").join(ends, by_rep.rep == ends.node, "left")
-        by_rep = by_rep.select("digest", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
+        ends = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_verified"))
+        linked = by_text.join(labels.withColumnRenamed("node", "rep"), "rep")
+        firsts = linked.groupBy("component").agg(F.min(F.struct("doc", "digest")).alias("first"))
+        linked = linked.join(firsts, "component").join(ends, "rep", "left").select("rep", "first", "n_verified")
+        by_text = by_text.join(linked, "rep", "left").select("digest", F.coalesce("first.doc", "doc").alias("class_id"), F.coalesce("first.digest", "digest").alias("first"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
     else:
-        by_rep = by_rep.select("digest", F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_verified"))
-    return signed.select("node", "digest").join(by_rep, "digest").select("node", "class_id", "n_verified")
-
-
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """One document of each class, that with the least doc_id; all columns kept. Of repeated doc_ids one row stays."""
-    found = cut(classes(docs, **how), "class-rows")
-    names = docs.columns
-    node = unused("node", names)
-    gone = found.where("node != class_id").select(F.col("node").alias(node)).distinct()
-    gone = F.broadcast(gone) if gone.count() <= KEY_BOUND else gone
-    kept = docs.withColumn(node, _node()).join(gone, node, "left_anti")
-    often = found.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node").alias(node))
-    if (n := often.count()) == 0:
-        return kept.select(*names)
-    often = F.broadcast(often) if n <= KEY_BOUND else often
-    once = kept.join(often, node, "left_anti")
-    return once.unionByName(kept.join(often, node, "left_semi").dropDuplicates([node])).select(*names)
+        by_text = by_text.select("digest", F.col("doc").alias("class_id"), F.col("digest").alias("first"), F.lit(0).cast("long").alias("n_verified"))
+    out = cut(signed.select("node", "digest").join(by_text, "digest").select("node", "digest", "class_id", "first", "n_verified"), "class-rows")
+    for table in [*used, *([labels] if labels is not None else [])]:
+        discard(table)
+    return out
+
+
+def classes(docs: DataFrame, **how) -> DataFrame:
+    """(node, class_id, n_verified) for every row: node is its doc_id, class_id the least doc_id of its class.
+
+    n_verified: links to different texts that were verified on the way to the classes, not all that there are: pairs
+    within a class are not tried again.
+    """
+    return class_rows(docs, **how).select("node", "class_id", "n_verified")
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, **how) -> DataFrame:
+    """One row of each class; all columns kept: that with the least doc_id, then the least digest, then the least text and other columns."""
+    found = class_rows(docs, width=width, **how)
+    names, orders = docs.columns, [f.name for f in docs.schema if not isinstance(f.dataType, T.MapType | T.VariantType)]
+    node, digest = unused("node", names), unused("digest", names)
+    stays = (F.col("node") == F.col("class_id")) & (F.col("digest") == F.col("first"))
+    by_node = cut(found.groupBy(F.col("node").alias(node)).agg(F.count("*").alias("n"), F.max(stays).alias("stays")).where("n > 1 or not stays"), "node-rows")
+    rows = docs.withColumn(node, _node())
+    once = rows.join(_few(by_node.select(node)), node, "left_anti").select(*names)
+    # rows that share their doc_id with others are told apart by their texts
+    often = _few(by_node.where("n > 1 and stays").select(node))
+    some = rows.join(often, node, "left_semi")
+    keys = found.where(stays).join(often, found.node == often[node], "left_semi").select(F.col("node").alias(node), F.col("digest").alias(digest)).distinct()
+    digests = _digested(some.select(F.col(node).alias("node"), F.coalesce("text", F.lit("")).alias("text")).distinct(), width)
+    kept = digests.select(F.col("node").alias(node), F.col("digest").alias(digest), F.col("text").alias("kept_text")).join(keys, [node, digest], "left_semi")
+    kept = kept.groupBy(node, digest).agg(F.min("kept_text").alias("kept_text")).select(F.col(node).alias("kept_node"), "kept_text")
+    least = some.join(kept, (F.col(node) == F.col("kept_node")) & (F.coalesce(some["text"], F.lit("")) == F.col("kept_text")), "inner")
+    least = least.groupBy("kept_node", "kept_text").agg(F.min_by(F.struct(*[some[c] for c in names]), F.struct(*[some[c] for c in orders])).alias("row"))
+    return once.unionByName(least.select("row.*"))

@@ -345,7 +345,7 @@ def test_weighted_jaccard_and_samples():
     r = random.Random(10)
     base = [str(r.randrange(10**6)) for _ in range(400)]
     texts = [" ".join(base), " ".join(base[:30] + ["x"] + base[31:200] + ["y"] + base[201:])]
-    weights = np.ones(1 << near_dedup.SKETCH_BITS, np.float32)
+    weights = near_dedup.Weights(np.zeros(0, np.uint64), np.zeros(0))
     a, b = (brute_shingles(t) for t in texts)
     want = len(set(a) & set(b)) / len(set(a) | set(b))
     assert near_dedup.weighted_jaccard(texts[:1], texts[1:], weights)[0] == pytest.approx(want)
@@ -391,7 +391,10 @@ def test_leading_shingles_meet():
         texts += [" ".join(words), " ".join(w if r.random() > 0.03 else "x" for w in words)]
     shingles = np.unique(near_dedup._counted(texts, 5)[0])[::2]
     weights = near_dedup.Weights(shingles, np.random.default_rng(3).uniform(1, 1.5, len(shingles)))
-    lead = near_dedup.leading(texts, weights, 0.8, 5)
+    ids, n = np.unique(near_dedup.Frequent.fold(near_dedup._counted(texts, 5)[0]), return_counts=True)
+    often = near_dedup.Frequent(ids[n > 1], n[n > 1])
+    assert (often.of(near_dedup._counted(texts[:1], 5)[0]) <= 2).all()
+    lead = near_dedup.leading(texts, weights, often, 0.8, 5)
     sets = [dict(zip(lead[1][lead[0] == i].tolist(), lead[3][lead[0] == i].tolist(), strict=True)) for i in range(len(texts))]
     total = dict(zip(lead[0].tolist(), lead[2].tolist(), strict=True))
     pairs = list(itertools.combinations(range(len(texts)), 2))
@@ -400,3 +403,12 @@ def test_leading_shingles_meet():
     most = lambda a, b: max(min(sets[a][x], sets[b][x]) for x in sets[a].keys() & sets[b].keys())
     assert all(most(a, b) >= 0.8 / 1.8 * (1 - 1e-6) * (total[a] + total[b]) for (a, b), s in zip(pairs, same, strict=True) if s)
     assert sum(map(len, sets)) < 0.5 * len(near_dedup._counted(texts, 5)[0])
+    # of shingles that follow one another in both texts' orders the first is enough
+    order = {i: list(zip(lead[1][lead[0] == i].tolist(), lead[4][lead[0] == i].tolist(), strict=True)) for i in range(len(texts))}
+    starts = lambda a, b: [x for x, p in order[a] if (q := dict(order[b]).get(x)) is not None and (p != q or p == 0)]
+    first = lambda a, b: next(x for x, _ in order[a] if x in sets[b])
+    assert all(first(a, b) in starts(a, b) for (a, b), s in zip(pairs, same, strict=True) if s)
+    # bitmaps of similar texts differ in few bits
+    weight, bits = near_dedup.bitmaps(texts, weights, 5)
+    differ = [int(np.bitwise_count(bits[a] ^ bits[b]).sum()) * 1.5 <= 0.2 / 1.8 * (1 + 1e-6) * (weight[a] + weight[b]) for a, b in pairs]
+    assert all(d for d, s in zip(differ, same, strict=True) if s) and sum(differ) < 3 * same.sum()

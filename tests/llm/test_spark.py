@@ -222,6 +222,37 @@ def test_near_dedup_equals_brute_force(spark, odd, none):
     assert near_dedup.classes(none).count() == 0 and near_dedup.keep_one(none).count() == 0
 
 
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    a, b, c, d = (prose(700 + k) for k in range(4))
+    rows = [(2, a), (4, a.upper()), (4, b), (7, c), (9, d), (9, d), (9, c), (None, b), (None, d)]
+    docs = frame(spark, rows)
+    got = {(r.node, r.class_id) for r in near_dedup.classes(docs).collect()}
+    assert {(2, 2), (4, 2), (4, 4), (7, 7), (9, 9), (9, 7)} <= got
+    nulls = {n: k for n, k in got if n not in (2, 4, 7, 9)}
+    classes = {frozenset(i for i, t in rows if t and t.lower() == x.lower()) for x in (a, b, c, d)}
+    assert len(classes) == 4 and set(nulls.values()) <= {*nulls, 4, 9}
+    kept = sorted(r.text.lower() for r in near_dedup.keep_one(docs).collect())
+    assert kept == sorted(t.lower() for t in (a, b, c, d))
+
+
+def test_near_dedup_recall_on_given_texts(spark, sf):
+    """Pairs of different texts that share shingles, by brute force over all documents: none is left apart."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    weights = near_dedup.rarity(docs)
+    sets = [set(near_dedup._counted([t], 5)[0].tolist()) for _, t in rows]
+    holders = {}
+    for k, own in enumerate(sets):
+        for x in own:
+            holders.setdefault(x, []).append(k)
+    pairs = sorted({p for ks in holders.values() for p in itertools.combinations(ks, 2)})
+    same = near_dedup.weighted_jaccard([rows[a][1] for a, _ in pairs], [rows[b][1] for _, b in pairs], weights) >= near_dedup.SIMILARITY
+    found = {r.node: r.class_id for r in near_dedup.classes(docs).collect()}
+    links = [(rows[a][0], rows[b][0]) for (a, b), s in zip(pairs, same, strict=True) if s]
+    together = sum(found[a] == found[b] for a, b in links)
+    assert len(links) >= 5 and together >= 0.98 * len(links)
+
+
 def test_near_dedup_compares_a_large_bucket_in_full(spark):
     """Many families of two that share one long passage: one band puts most of them into one bucket."""
     passage = prose(31, 90)
