@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from freightspark.functions.order_statistics import placed_values, quantiles_of
 from freightspark.functions.scalars import normalize_name
 from freightspark.operators.economics import MISSING, modal
 
@@ -100,8 +103,26 @@ def unique_town_match(actual: DataFrame, registry: DataFrame) -> DataFrame:
 def distribution(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, beside count, least, greatest and mean."""
     shares = (("p01", 0.01), ("p05", 0.05), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95), ("p99", 0.99))
-    out = df.groupBy(*(keys or [])).agg(F.count(column).alias("n"), F.min(column).alias("least"), F.max(column).alias("greatest"), F.avg(column).alias("mean"), F.percentile(column, [s for _, s in shares]).alias("q"))
-    return out.select(*(keys or []), "n", "least", *[F.col("q")[i].alias(n) for i, (n, _) in enumerate(shares)], "greatest", "mean")
+    keys = keys or []
+    placed = placed_values(df, keys, F.col(column))
+    value, n = F.col("value"), F.col("n")
+    whole = placed.groupBy("g").agg(F.sum("n").alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"), (F.sum(value * n) / F.sum("n")).alias("mean"))
+    whole = whole.select(*[F.col("g")[c].alias(c) for c in keys], "n", "least", "greatest", "mean")
+    spread = quantiles_of(placed, keys, dict(shares))
+    # a group without values has no quantiles but is there
+    groups = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    out = groups
+    for part in (whole, spread):
+        out = _beside(out, part, keys)
+    return out.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), "least", *[k for k, _ in shares], "greatest", "mean")
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys that may be null; without keys both have one row at most."""
+    if not keys:
+        return left.join(F.broadcast(right), F.lit(True), "left")
+    other = right.select(*[F.col(c).alias(f"r_{c}") if c in keys else c for c in right.columns])
+    return left.join(other, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in keys]), "left").drop(*[f"r_{c}" for c in keys])
 
 
 def null_profile(obs: DataFrame, columns: list[str]) -> DataFrame:

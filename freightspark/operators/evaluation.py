@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from freightspark.functions.order_statistics import placed_values, quantiles_of, values_at
 from freightspark.functions.scalars import auction_bin
-from freightspark.functions.shared import cut
 
 KEY = ["shipment_month", "actual_origin_id", "destination_region"]
 #: Columns that come from the realised price itself: never features.
@@ -176,20 +176,25 @@ def comparable(p: DataFrame) -> DataFrame:
 
 
 def metrics(p: DataFrame, by: list[str]) -> DataFrame:
-    """Weighted error metrics per group over comparable rows."""
+    """Weighted error metrics per group over comparable rows: one pass adds up by group and relative error, the median is counted out of that."""
     q, a, e = F.col("qty"), F.col("actual_price"), F.col("predicted") - F.col("actual_price")
     ape = 100 * F.abs(e) / a
-    within = lambda x: 100 * F.sum(F.when(ape <= x, q).otherwise(0.0)) / F.sum(q)
-    return comparable(p).groupBy(*by).agg(
-        F.count("*").alias("cells"),
-        F.sum(q).alias("qty"),
-        (100 * F.sum(q * F.abs(e)) / F.sum(q * a)).alias("wape_pct"),
-        (F.sum(q * F.abs(e)) / F.sum(q)).alias("weighted_mae"),
-        F.median(ape).alias("mdape_pct"),
-        (100 * F.sum(q * e) / F.sum(q * a)).alias("bias_pct"),
+    sums = {"qty": F.sum(q), "error": F.sum(q * F.abs(e)), "bias": F.sum(q * e), "value": F.sum(q * a)}
+    placed = placed_values(comparable(p), by, ape, {f"sum_{k}": c for k, c in sums.items()})
+    add = {k: F.sum(f"sum_{k}") for k in sums}
+    within = lambda x: 100 * F.sum(F.when(F.col("value") <= x, F.col("sum_qty")).otherwise(0.0)) / add["qty"]
+    whole = placed.groupBy("g").agg(
+        F.sum("n").alias("cells"),
+        add["qty"].alias("qty"),
+        (100 * add["error"] / add["value"]).alias("wape_pct"),
+        (add["error"] / add["qty"]).alias("weighted_mae"),
+        (100 * add["bias"] / add["value"]).alias("bias_pct"),
         within(10).alias("within_10_pct"),
         within(20).alias("within_20_pct"),
     )
+    middle = quantiles_of(placed, by, {"mdape_pct": 0.5}).select(F.struct(*by).alias("g"), "mdape_pct")
+    out = whole.join(middle, "g")
+    return out.select(*[F.col("g")[c].alias(c) for c in by], "cells", "qty", "wape_pct", "weighted_mae", "mdape_pct", "bias_pct", "within_10_pct", "within_20_pct")
 
 
 def coverage(p: DataFrame) -> DataFrame:
@@ -200,21 +205,9 @@ def coverage(p: DataFrame) -> DataFrame:
 
 
 def quartile_thresholds(p: DataFrame) -> DataFrame:
-    """Quantities at places n/4, n/2 and 3n/4 (counted from 0) of the ascending quantities of the keys."""
+    """Quantities at places n/4, n/2 and 3n/4 (counted from 0) of the ascending quantities of the keys; no row without keys."""
     keys = p.select(*KEY, F.coalesce("qty", F.lit(0.0)).alias("q")).distinct()
-    n = keys.count()
-    place = [n // 4, n // 2, 3 * n // 4]
-    if not n:
-        return keys.sparkSession.createDataFrame([], "t1 double, t2 double, t3 double")
-    # the k-th least value: ranges of distinct quantities, the counts before each range, and running counts within it
-    counts = keys.groupBy("q").agg(F.count("*").alias("c")).repartitionByRange("q").withColumn("part", F.spark_partition_id())
-    counts = cut(counts, "quantities")
-    parts = counts.groupBy("part").agg(F.sum("c").alias("s"))
-    # one row a range
-    before = parts.select("part", F.coalesce(F.sum("s").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    running = F.sum("c").over(W.partitionBy("part").orderBy("q").rowsBetween(W.unboundedPreceding, 0))
-    upto = counts.join(before, "part").withColumn("upto", F.col("before") + running)
-    return upto.agg(*[F.min(F.when(F.col("upto") > k, F.col("q"))).alias(f"t{i}") for i, k in enumerate(place, 1)])
+    return values_at(keys, [], F.col("q"), {f"t{i}": F.floor(F.col("n") * i / 4) for i in (1, 2, 3)})
 
 
 def segment_metrics(p: DataFrame) -> DataFrame:
@@ -337,8 +330,9 @@ def distance_hypothesis(trips: DataFrame, cells: DataFrame) -> DataFrame:
     ok = (F.col("reference_price") > 0) & (F.col("trip_count") > 0)
     e = F.abs(F.col("predicted") - F.col("reference_price"))
     good = ok & F.col("predicted").isNotNull()
-    return long.groupBy("variant").agg(
-        F.avg(good.cast("double")).alias("coverage"),
-        (100 * F.sum(F.when(good, F.col("trip_count") * e)) / F.sum(F.when(good, F.col("trip_count") * F.col("reference_price")))).alias("wape_pct"),
-        F.median(F.when(good, 100 * e / F.col("reference_price"))).alias("mdape_pct"),
-    )
+    t, ape = F.col("trip_count"), 100 * e / F.col("reference_price")
+    shares = long.groupBy("variant").agg(F.avg(good.cast("double")).alias("coverage"))
+    placed = placed_values(long.where(good), ["variant"], ape, {"error": F.sum(t * e), "total": F.sum(t * F.col("reference_price"))})
+    whole = placed.groupBy(F.col("g.variant").alias("variant")).agg((100 * F.sum("error") / F.sum("total")).alias("wape_pct"))
+    middle = quantiles_of(placed, ["variant"], {"mdape_pct": 0.5})
+    return shares.join(whole, "variant", "left").join(middle, "variant", "left").select("variant", "coverage", "wape_pct", "mdape_pct")

@@ -6,6 +6,8 @@ so a point meets the points of nine cells and never its whole slice.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -62,33 +64,78 @@ def adaptive_threshold(nearest: DataFrame, multiplier: float = MULTIPLIER, max_e
     return spread.select("slice", (t if max_edge is None else F.least(t, F.lit(max_edge))).alias("threshold"))
 
 
-def delaunay_edges(points: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs through which some circle holds no other point of the slice.
+#: A level's cells are so many times as wide as those of the level before.
+WIDEN = 4
+
+
+def third_points(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Each pair with the points of the nine cells about its middle, on the grid of its level: all within `size` of the middle are there.
 
-    For a pair and any third point the centres of circles through the pair that leave the point out are a half line
-    on the bisector; the pair is an edge if the half lines of all third points meet. Both diagonals of four points
-    on one circle stay. Third points are those of the pair's slice.
+    pairs: (slice, a, b, distance, ax, ay, bx, by, level, size), size being that of the level's cells; points also have
+    `levels`, an array of (level, size). A pair without any such point has one row with nulls.
     """
-    end = lambda s: points.select("slice", F.col("id").alias(s), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))
-    p = pairs.join(end("a"), ["slice", "a"]).join(end("b"), ["slice", "b"])
-    third = points.select("slice", F.col("id").alias("c"), F.col("x").alias("cx"), F.col("y").alias("cy"))
-    t = p.join(third, "slice").where("c != a and c != b")
+    cell = lambda c, by: F.floor(c / F.col(by))
+    mx, my = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2
+    near = F.explode(F.array(*[F.struct((cell(mx, "size") + i).alias("gx"), (cell(my, "size") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    around = pairs.select("*", near.alias("g")).select("*", "g.gx", "g.gy").drop("g")
+    placed = points.select("slice", F.col("id").alias("c"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.inline("levels"))
+    placed = placed.select("slice", "c", "cx", "cy", "level", cell(F.col("cx"), "size").alias("gx"), cell(F.col("cy"), "size").alias("gy"))
+    return around.join(placed, ["slice", "level", "gx", "gy"], "left")
+
+
+def _rims(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs through which some circle holds none of the points met, with the bounds on its centre.
+
+    For a pair and any third point the centres of circles through the pair that leave the point out are a half line on the
+    bisector. low and high bound what all half lines have in common, as signed distances from the middle; reach is how far from the
+    middle a point may be that narrows it still.
+    """
+    t = third_points(pairs, points)
+    other = F.col("c").isNotNull() & (F.col("c") != F.col("a")) & (F.col("c") != F.col("b"))
     mx, my = F.col("cx") - (F.col("ax") + F.col("bx")) / 2, F.col("cy") - (F.col("ay") + F.col("by")) / 2
     d = (mx * (F.col("ay") - F.col("by")) + my * (F.col("bx") - F.col("ax"))) / F.col("distance")
     w = mx * mx + my * my - F.col("distance") * F.col("distance") / 4
-    t = t.withColumns({"d": d, "w": w})
+    t = t.withColumns({"d": F.when(other, d), "w": F.when(other, w)})
     side = F.abs("d") > 1e-9 * F.col("distance")
     bound = F.col("w") / (2 * F.col("d"))
-    rim = t.groupBy("slice", "a", "b", "distance").agg(
+    ends = ["ax", "ay", "bx", "by"]
+    rim = t.groupBy("slice", "a", "b", "distance", *ends).agg(
         F.max(F.when(side & (F.col("d") < 0), bound)).alias("low"),
         F.min(F.when(side & (F.col("d") > 0), bound)).alias("high"),
         F.min(F.when(~side, F.col("w"))).alias("between"),
     )
-    slack = 1e-9 * F.col("distance")
-    ok = (F.coalesce("low", F.lit(float("-inf"))) <= F.coalesce("high", F.lit(float("inf"))) + slack) & (F.coalesce("between", F.lit(0.0)) >= -1e-9 * F.col("distance") * F.col("distance"))
-    kept = rim.where(ok).select("slice", "a", "b", "distance")
-    lone = pairs.join(points.groupBy("slice").agg(F.count("*").alias("n")).where("n = 2").select("slice"), "slice", "left_semi")
-    return kept.unionByName(lone.select("slice", "a", "b", "distance"))
+    low, high = F.coalesce("low", F.lit(float("-inf"))), F.coalesce("high", F.lit(float("inf")))
+    ok = (low <= high + 1e-9 * F.col("distance")) & (F.coalesce("between", F.lit(0.0)) >= -1e-9 * F.col("distance") * F.col("distance"))
+    reach = lambda t: F.abs(t) + F.sqrt(t * t + F.col("distance") * F.col("distance") / 4)
+    return rim.where(ok).select("slice", "a", "b", "distance", *ends, ((1 + 1e-9) * F.greatest(reach(low), reach(high))).alias("reach"))
+
+
+def delaunay_edges(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs through which some circle holds no other point of the slice.
+
+    Most pairs are refused, and most others settled, by points as near as the longest pair of the slice. For the rest the bounds
+    found so far say how far a point may be that still matters: they are tested once more on wider cells, and what is then left once more,
+    each on cells as wide as it needs; only pairs with an empty side, on the rim of the slice, need all of it. Both diagonals of four
+    points on one circle stay.
+    """
+    end = lambda s: points.select("slice", F.col("id").alias(s), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))
+    box = points.groupBy("slice").agg((F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("across"))
+    grid = pairs.groupBy("slice").agg(F.max("distance").alias("cell")).join(box, "slice")
+    # at the top level the whole slice lies within the nine cells
+    levels = lambda ratio: F.ceil(F.log(ratio) / F.log(F.lit(float(WIDEN)))).cast("int")
+    grid = cut(grid.select("slice", "cell", F.greatest(F.lit(2), levels(F.col("across") / F.col("cell")) + 1).alias("top")), "grids")
+    size = lambda level: F.col("cell") * F.pow(F.lit(float(WIDEN)), level)
+    put = points.select("slice", "id", "x", "y").join(grid, "slice")
+    left = pairs.select("slice", "a", "b", "distance").join(end("a"), ["slice", "a"]).join(end("b"), ["slice", "b"])
+    needed = F.when(F.col("reach") >= size(F.col("top")), F.col("top")).otherwise(F.greatest(F.lit(2), levels(F.col("reach") / F.col("cell"))))
+    out = []
+    for level, used in ((F.lit(0), F.array(F.lit(0))), (F.lit(1), F.array(F.lit(1))), (needed, F.sequence(F.lit(2), F.col("top")))):
+        tested = left.join(grid, "slice").withColumn("level", level).withColumn("size", size(F.col("level")))
+        here = put.withColumn("levels", F.transform(used, lambda n: F.struct(n.alias("level"), size(n).alias("size"))))
+        rims = cut(_rims(tested, here).join(grid, "slice").withColumn("settled", F.col("reach") <= size(level)).drop("cell", "top"), "rims")
+        out.append(rims.where("settled") if len(out) < 2 else rims)
+        left = rims.where(~F.col("settled"))
+    return reduce(DataFrame.union, [x.select("slice", "a", "b", "distance") for x in out])
 
 
 def mutual_knn_edges(pairs: DataFrame, k: int = 5) -> DataFrame:

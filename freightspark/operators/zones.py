@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from freightspark.functions.order_statistics import least_reaching
 from freightspark.functions.scalars import relative_delta
 from freightspark.functions.shared import cut
 from freightspark.operators.economics import weighted_mean
@@ -372,10 +373,7 @@ def spread_metrics(points: DataFrame, assigned: DataFrame, value: str, weight: s
 
 def weighted_percentile(df: DataFrame, keys: list[str], value: str, weight: str, fraction: float) -> DataFrame:
     """Least value whose cumulative weight reaches the fraction of the total; positive weights only."""
-    ok = df.where((F.col(weight) > 0) & F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("w"))
-    upto = F.sum("w").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    total = F.sum("w").over(W.partitionBy(*keys))
-    return ok.select(*keys, value, upto.alias("u"), total.alias("t")).where(F.col("u") >= fraction * F.col("t")).groupBy(*keys).agg(F.min(value).alias("weighted_percentile"))
+    return least_reaching(df, keys, F.col(value), F.col(weight), fraction, "weighted_percentile")
 
 
 def point_status(assigned: Column, kind: Column, candidate: Column, isolated: Column, unavailable: Column) -> Column:
