@@ -11,7 +11,7 @@ linear in the members.
 What is left then is compared in full: the members of buckets that still have several classes are dealt out by their
 rarest shingles, as counted among these members, and the pairs of such a part that are in different classes, not tried yet and
 may still be similar enough are verified. No such pair is lost: two texts are similar enough only if they share one of the shingles
-that precede, from the rarest on, the last `similarity` of their weight, and only if few bits of their bitmaps differ. So in the
+that precede, from the rarest on, the last `similarity` of their weight, and only if few of their parity bits differ. So in the
 end no bucket has a pair of similar texts in different classes.
 
 Inverse document frequency is measured from one in COMMON documents on: a rarer shingle weighs 1 + TEMPER, one that
@@ -31,6 +31,7 @@ Columns of any name are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +60,8 @@ YIELD = 0.1
 BLOCK, PAIR_BOUND = 512, 100_000
 #: Texts that must hold a shingle for it to count as frequent, and the entries of the table of those (8 bytes each).
 LEAST_SHARED, TABLE = 4, 2_000_000
-#: Bits of a text's bitmap, and the number of bitmaps that may be broadcast (528 bytes each).
-BITS, BITMAP_BOUND = 4096, 50_000
+#: Bits of a text where it meets others and afterwards, and the number of texts whose bits may be broadcast (528 bytes each).
+FEW_BITS, BITS, BITMAP_BOUND = 1024, 4096, 50_000
 #: Bounds are taken wider by this share, since sums of weights are rounded.
 SLACK = 1e-6
 
@@ -235,6 +236,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity:
     return both.select("u", "v", "a", "b").mapInArrow(lean(run), "u long, v long")
 
 
+def parities(counted: tuple[np.ndarray, np.ndarray, np.ndarray], weights: Weights, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weight of each text, `bits` bits of it as words): how many of its shingles of the greatest weight fall on a bit, odd or even.
+
+    Every bit in which two texts differ is at least one shingle that only one of them has.
+    """
+    s, n, counts = counted
+    w, doc = weights.of(s), np.repeat(np.arange(len(counts)), counts)
+    rare = w == weights.weights[-1]
+    odd = np.bincount(doc[rare] * bits + (s[rare] >> U64(8)).astype(np.int64) % bits, minlength=len(counts) * bits).astype(np.uint8) & 1
+    return np.bincount(doc, w.astype(np.float64) * n, minlength=len(counts)), np.packbits(odd.reshape(len(counts), bits), axis=1).view(U64)
+
+
+def _lists(words: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * words.shape[1]), pa.array(np.ascontiguousarray(words).view(np.int64).ravel()))
+
+
 class Frequent:
     """How many of the compared texts hold a shingle, by 32 bits of it: 0 if they are too few for the table."""
 
@@ -293,25 +310,17 @@ def leading(texts: list[str], weights: Weights, often: Frequent, similarity: flo
 
 
 def _leading(texts: DataFrame, weights: Weights, often: Frequent, similarity: float, width: int) -> DataFrame:
-    """(node, shingle, total, rest, previous) of the leading shingles of each text."""
+    """(node, shingle, total, rest, previous, bits) of the leading shingles of each text."""
     known = texts.sparkSession.sparkContext.broadcast((weights, often))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            at, shingles, total, rest, previous = leading(batch.column("text").to_pylist(), *known.value, similarity, width)
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at)), pa.array(shingles.view(np.int64)), pa.array(total), pa.array(rest), pa.array(previous.view(np.int64))], names=["node", "shingle", "total", "rest", "previous"])
-
-    return texts.select("node", "text").mapInArrow(lean(run), "node long, shingle long, total double, rest double, previous long")
-
+            texts = batch.column("text").to_pylist()
+            bits = parities(_counted(texts, width), known.value[0], FEW_BITS)[1]
+            at, shingles, total, rest, previous = leading(texts, *known.value, similarity, width)
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at)), pa.array(shingles.view(np.int64)), pa.array(total), pa.array(rest), pa.array(previous.view(np.int64)), _lists(bits[at])], names=["node", "shingle", "total", "rest", "previous", "bits"])
 
-def bitmaps(texts: list[str], weights: Weights, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(weight of each text, BITS bits of it as words): a set bit for each of its shingles of the greatest weight."""
-    s, n, counts = _counted(texts, width)
-    w, doc = weights.of(s), np.repeat(np.arange(len(texts)), counts)
-    rare = w == weights.weights[-1]
-    bits = np.zeros((len(texts), BITS), np.uint8)
-    bits[doc[rare], (s[rare] >> U64(8)).astype(np.int64) % BITS] = 1
-    return np.bincount(doc, w.astype(np.float64) * n, minlength=len(texts)), np.packbits(bits, axis=1).view(U64)
+    return texts.select("node", "text").mapInArrow(lean(run), "node long, shingle long, total double, rest double, previous long, bits array<long>")
 
 
 def _bitmaps(texts: DataFrame, weights: Weights, width: int) -> DataFrame:
@@ -320,9 +329,8 @@ def _bitmaps(texts: DataFrame, weights: Weights, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            total, bits = bitmaps(batch.column("text").to_pylist(), known.value, width)
-            packed = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(total), packed], names=["node", "total", "bits"])
+            total, bits = parities(_counted(batch.column("text").to_pylist(), width), known.value, BITS)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(total), _lists(bits)], names=["node", "total", "bits"])
 
     return texts.select("node", "text").mapInArrow(lean(run), "node long, total double, bits array<long>")
 
@@ -331,28 +339,31 @@ def _left_over(now: DataFrame, mixed: DataFrame, texts: DataFrame, weights: Weig
     """(u, v): every pair of texts of mixed buckets that are in different classes and may be similar enough.
 
     now: (key, rep, label); mixed: the keys of buckets with several classes. A part is a leading shingle; its texts
-    are dealt to blocks, and each pair of blocks is a group of its own. Pairs whose bitmaps differ by more than similar
-    texts of their weights can are left out: every bit in which two bitmaps differ is a shingle that only one of the texts has.
+    are dealt to blocks, and each pair of blocks is a group of its own. Pairs whose bits differ by more than those of similar
+    texts of their weights can are left out, by few bits where they meet and by more bits afterwards.
     """
     own = cut(now.join(mixed, "key").select("rep", "label").distinct(), "mixed")
     compared = cut(texts.join(own.select(F.col("rep").alias("node")), "node", "left_semi"), "compared")
     lead = _leading(compared, weights, frequent(compared, width), similarity, width)
-    rows = cut(lead.join(own, lead.node == own.rep).select(F.col("shingle").alias("part"), "rep", "label", "total", "rest", "previous"), "parts")
+    rows = cut(lead.join(own, lead.node == own.rep).select(F.col("shingle").alias("part"), "rep", "label", "total", "rest", "previous", "bits"), "parts")
     size = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a != b")
     dealt = rows.join(size.select("part", F.ceil(F.col("n") / BLOCK).cast("int").alias("n")), "part")
     every, mine = F.explode(F.sequence(F.lit(0), F.col("n") - 1)), F.pmod(F.xxhash64("rep"), F.col("n").cast("long")).cast("int")
-    end = lambda e, i, j: dealt.select("part", i.alias("i"), j.alias("j"), *[F.col(c).alias(f"{c[0]}{e}") for c in ("rep", "label", "total")], F.col("rest").alias(f"after{e}"), F.col("previous").alias(f"previous{e}"))
+    end = lambda e, i, j: dealt.select("part", i.alias("i"), j.alias("j"), *[F.col(c).alias(f"{c[0]}{e}") for c in ("rep", "label", "total")], F.col("rest").alias(f"after{e}"), F.col("previous").alias(f"previous{e}"), F.col("bits").alias(f"bits{e}"))
     # all that two texts share lies from their first common shingle on, and later ones have less after them
     near = F.least("afteru", "afterv") >= similarity / (1 + similarity) * (1 - SLACK) * (F.col("tu") + F.col("tv"))
     first = (F.col("previousu") != F.col("previousv")) | (F.col("previousu") == 0)
-    met = end("u", mine, every).join(end("v", every, mine), ["part", "i", "j"]).where((F.col("ru") < F.col("rv")) & (F.col("lu") != F.col("lv")) & near & first)
+    # what only one of two similar texts has weighs no more than this
+    most = (1 - similarity) / (1 + similarity) * (1 + SLACK) * (F.col("tu") + F.col("tv"))
+    alike = float(weights.weights[-1]) * reduce(Column.__add__, [F.bit_count(F.col("bitsu")[k].bitwiseXOR(F.col("bitsv")[k])) for k in range(FEW_BITS // 64)]) <= most
+    met = end("u", mine, every).join(end("v", every, mine), ["part", "i", "j"]).where((F.col("ru") < F.col("rv")) & (F.col("lu") != F.col("lv")) & near & first & alike)
     pairs = cut(met.select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct(), "left-over")
     bits = cut(_bitmaps(compared, weights, width), "bitmaps")
     known = F.broadcast(bits) if bits.count() <= BITMAP_BOUND else bits
     for e in ("u", "v"):
         pairs = pairs.join(known.select(F.col("node").alias(e), F.col("total").alias(f"t{e}"), F.col("bits").alias(f"b{e}")), e)
     differ = F.aggregate(F.zip_with("bu", "bv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
-    found = cut(pairs.where(differ * float(weights.weights[-1]) <= (1 - similarity) / (1 + similarity) * (1 + SLACK) * (F.col("tu") + F.col("tv"))).select("u", "v"), "near-enough")
+    found = cut(pairs.where(differ * float(weights.weights[-1]) <= most).select("u", "v"), "near-enough")
     for used in (own, compared, rows, bits):
         discard(used)
     return found

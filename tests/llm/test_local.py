@@ -408,7 +408,7 @@ def test_leading_shingles_meet():
     starts = lambda a, b: [x for x, p in order[a] if (q := dict(order[b]).get(x)) is not None and (p != q or p == 0)]
     first = lambda a, b: next(x for x, _ in order[a] if x in sets[b])
     assert all(first(a, b) in starts(a, b) for (a, b), s in zip(pairs, same, strict=True) if s)
-    # bitmaps of similar texts differ in few bits
-    weight, bits = near_dedup.bitmaps(texts, weights, 5)
+    # similar texts differ in few bits
+    weight, bits = near_dedup.parities(near_dedup._counted(texts, 5), weights, 256)
     differ = [int(np.bitwise_count(bits[a] ^ bits[b]).sum()) * 1.5 <= 0.2 / 1.8 * (1 + 1e-6) * (weight[a] + weight[b]) for a, b in pairs]
     assert all(d for d, s in zip(differ, same, strict=True) if s) and sum(differ) < 3 * same.sum()
