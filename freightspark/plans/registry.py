@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from freightspark.functions import scalars
 from freightspark.functions.shared import cut
-from freightspark.operators import catalog, economics, evaluation, graph, townmap, zones
+from freightspark.operators import catalog, economics, evaluation, graph, kmeans, territory, townmap, zones
 from freightspark.plans import flows
 from freightspark.plans.oracle_tables import ACTUAL, COORDINATES, MAPPING, OBS
 from freightspark.sources import standins as src
@@ -494,6 +494,101 @@ SELECT slice, 100.0 * assigned / points AS coverage_pct, 100 - 100.0 * assigned
     PCT,
     SPACE,
 )
+
+
+# k-means over all combinations at once
+KMEANS = {"ks": (2, 3, 4, 5, 6), "seeds": (42, 43, 44), "starts": 2}
+
+
+def _sweep(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    points = _points(s, d)
+    return points, cut(kmeans.fits(points, **KMEANS), "kmeans-fits")
+
+
+add(
+    "c14_kmeans_fits",
+    lambda s, d: kmeans.fit_check(*_sweep(s, d)),
+    # whatever the starts: a fit for each combination with enough points, in which no point is nearer to another cluster's mean
+    PROJECTED + f"""
+, wp AS (SELECT slice, weights, CASE WHEN weights = 'none' THEN 1 ELSE greatest(coalesce(trip_count, 0), 0) END AS w FROM gp, (VALUES ('none'), ('shipment_count')) v(weights)),
+size AS (SELECT slice, weights, count(*) AS points, count(*) FILTER (w > 0) AS heavy FROM wp GROUP BY 1, 2)
+SELECT slice, CAST(k AS INT) AS k, weights, CAST(seed AS INT) AS seed, points, 0::BIGINT AS not_nearest
+FROM size, unnest({list(KMEANS["ks"])}) a(k), unnest({list(KMEANS["seeds"])}) b(seed) WHERE heavy >= k""",
+    "",
+    SPACE,
+)
+add("c15_kmeans_sweep", lambda s, d: kmeans.leaderboard(*_sweep(s, d)))
+
+
+# boundaries
+def _places(s: SparkSession, d: str) -> DataFrame:
+    return src.places(s, d).select(F.col("destination_region").alias("region"), F.col("destination_fias").alias("id"), "lon", "lat")
+
+
+def _trips(s: SparkSession, d: str) -> DataFrame:
+    trips = src.observations(s, d).where("destination_fias is not null").groupBy(F.col("destination_fias").alias("id")).agg(F.sum("trip_count").alias("trip_count"))
+    return cut(_places(s, d).join(trips, "id", "left").withColumn("trip_count", F.coalesce("trip_count", F.lit(0))), "places")
+
+
+OUTLINE = """
+pl AS (SELECT destination_region AS region, destination_fias AS id, lon, lat FROM geo),
+me AS (SELECT region, avg(lon) AS mx, avg(lat) AS my FROM pl GROUP BY 1),
+se AS (SELECT region, CAST(floor((atan2(lat - my, lon - mx) + pi()) * 72 / (2 * pi())) AS INT) AS seq, lon, lat, (lon - mx) * (lon - mx) + (lat - my) * (lat - my) AS r FROM pl JOIN me USING (region)),
+vx AS (SELECT region, seq, arg_max(lon, r) AS lon, arg_max(lat, r) AS lat FROM se GROUP BY 1, 2)"""
+#: All edges of a region with all of its points.
+INSIDE = """
+ed AS (SELECT region, lon AS x1, lat AS y1, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS x2, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS y2 FROM vx WINDOW w AS (PARTITION BY region ORDER BY seq)),
+hit AS (SELECT p.region, p.id, sum(((y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1))::INT) % 2 = 1 AS odd,
+  bool_or(abs((lon - x1) * (y2 - y1) - (lat - y1) * (x2 - x1)) < 1e-12 AND lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2)) AS edge
+  FROM pl p JOIN ed USING (region) GROUP BY 1, 2),
+ins AS (SELECT region, id, odd OR edge AS inside FROM hit)"""
+add("j9_point_in_boundary", lambda s, d: territory.covered(_places(s, d), src.outline(_places(s, d))).select("region", "id", "inside"), f", {OUTLINE.strip()}, {INSIDE.strip()} SELECT region, id, inside FROM ins")
+add(
+    "c23_boundary_audit",
+    lambda s, d: territory.boundary_audit(_trips(s, d), src.outline(_places(s, d))),
+    f""", {OUTLINE.strip()}, {INSIDE.strip()}
+, tr AS (SELECT id, inside, region, coalesce(t, 0) AS t FROM ins LEFT JOIN (SELECT destination_fias AS id, sum(trip_count) AS t FROM obs GROUP BY 1) USING (id)),
+ar AS (SELECT region, abs(sum(radians(x2 - x1) * (2 + sin(radians(y1)) + sin(radians(y2))))) * 6371008.8 * 6371008.8 / 2 / 1e6 AS area_km2 FROM ed GROUP BY 1),
+bo AS (SELECT region, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM vx GROUP BY 1)
+SELECT region, west, south, east, north, area_km2, count(*) AS points, sum(inside::INT)::BIGINT AS points_inside, 100.0 * sum(CASE WHEN inside THEN t ELSE 0 END) / nullif(sum(t), 0) AS trips_inside_pct
+FROM tr JOIN ar USING (region) JOIN bo USING (region) GROUP BY 1, 2, 3, 4, 5, 6""",
+    "west south east north area_km2 trips_inside_pct",
+)
+CELL = 40_000.0
+
+
+def _territory(s: SparkSession, d: str) -> DataFrame:
+    points, own = _quarters(s, d)
+    ring = cut(src.outline(points.select(F.col("slice").alias("region"), F.col("x").alias("lon"), F.col("y").alias("lat"))), "outline")
+    table = zones.summarize(points, own).select("slice", "cluster_id", F.col("medoid").alias("id"))
+    medoids = table.join(points.select("slice", "id", "x", "y"), ["slice", "id"]).select(F.col("slice").alias("region"), "cluster_id", F.col("x").alias("lon"), F.col("y").alias("lat"))
+    return territory.territory_metrics(ring, cut(territory.territory_grid(ring, medoids, CELL), "territory"), CELL)
+
+
+add(
+    "c22_territory",
+    _territory,
+    QUARTERS + f"""
+, far AS (SELECT a.slice, a.cluster_id, a.id, sum(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS far FROM asg a JOIN asg b USING (slice, cluster_id) WHERE a.cluster_id >= 0 GROUP BY 1, 2, 3),
+med AS (SELECT f.slice, f.cluster_id, any_value(g.x) AS mx, any_value(g.y) AS my FROM (SELECT slice, cluster_id, arg_min(id, (far, id)) AS id FROM far GROUP BY 1, 2) f JOIN gp g USING (slice, id) GROUP BY 1, 2),
+p0 AS (SELECT slice AS region, x AS lon, y AS lat FROM gp), me AS (SELECT region, avg(lon) AS mx, avg(lat) AS my FROM p0 GROUP BY 1),
+se AS (SELECT region, CAST(floor((atan2(lat - my, lon - mx) + pi()) * 72 / (2 * pi())) AS INT) AS seq, lon, lat, (lon - mx) * (lon - mx) + (lat - my) * (lat - my) AS r FROM p0 JOIN me USING (region)),
+vx AS (SELECT region, seq, arg_max(lon, r) AS lon, arg_max(lat, r) AS lat FROM se GROUP BY 1, 2),
+bx AS (SELECT region, min(lon) AS w, min(lat) AS s, greatest(1, ceil((max(lon) - min(lon)) / {CELL})) AS nx, greatest(1, ceil((max(lat) - min(lat)) / {CELL})) AS ny FROM vx GROUP BY 1),
+g1 AS (SELECT *, unnest(range(0, nx::INT)) AS gx FROM bx), g2 AS (SELECT *, unnest(range(0, ny::INT)) AS gy FROM g1),
+pl AS (SELECT region, gx || ':' || gy AS id, gx, gy, w + (gx + 0.5::DOUBLE) * {CELL} AS lon, s + (gy + 0.5::DOUBLE) * {CELL} AS lat FROM g2), {INSIDE.strip()},
+cd AS (SELECT region, gx, gy, cluster_id, pow(lon - mx, 2) + pow(lat - my, 2) AS d FROM ins JOIN pl USING (region, id) JOIN med ON med.slice = region WHERE inside),
+ce AS (SELECT region, gx, gy, arg_min(cluster_id, (d, cluster_id)) AS cluster_id FROM cd GROUP BY 1, 2, 3),
+reach AS (SELECT region, cluster_id, gx, gy, gx AS rx, gy AS ry FROM ce UNION SELECT r.region, r.cluster_id, c.gx, c.gy, r.rx, r.ry FROM reach r JOIN ce c ON c.region = r.region AND c.cluster_id = r.cluster_id AND abs(c.gx - r.gx) + abs(c.gy - r.gy) = 1),
+lab AS (SELECT region, cluster_id, gx, gy, min((rx, ry)) AS part FROM reach GROUP BY 1, 2, 3, 4),
+zo AS (SELECT region, cluster_id, count(DISTINCT part) AS parts, count(*) AS cells FROM lab GROUP BY 1, 2),
+zs AS (SELECT region, count(*) AS zone_count, max(parts) AS max_connected_components, count(*) FILTER (parts > 1) AS fragmented_zone_count, sum(cells) AS cells FROM zo GROUP BY 1),
+ar AS (SELECT region, abs(sum(x1 * y2 - x2 * y1) / 2) AS area FROM ed GROUP BY 1)
+SELECT region, 100.0 * coalesce(cells, 0) * {CELL} * {CELL} / nullif(area, 0) AS coverage_pct, 0.0::DOUBLE AS overlap_pct, coalesce(zone_count, 0) AS zone_count, coalesce(max_connected_components, 0) AS max_connected_components,
+  coalesce(fragmented_zone_count, 0) AS fragmented_zone_count FROM ar LEFT JOIN zs USING (region)""",
+    "coverage_pct overlap_pct",
+    RECURSIVE,
+)
 SPREAD = "slice_mean within_mad within_variance between_variance spread variance_ratio"
 for _name, _value, _weight in (("c9_cost_spread", "weighted_rub_per_km", "trip_count"), ("c10_volume_spread", "trip_count", None)):
     _w = _weight or "1"

@@ -125,3 +125,12 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
         *keys.columns, F.when((n + month) % 5 != 0, F.lit("c1")).alias("destination_fias"), (month % 4).alias("cluster_id"),
         (F.lit(900.0) + 10 * month + n).alias("cluster_price"), (F.lit(1.5) + month / F.lit(10.0)).alias("cluster_rub_per_km"),
     )
+
+
+def outline(points: DataFrame, sectors: int = 72) -> DataFrame:
+    """(region, ring, seq, lon, lat) about (region, lon, lat): the farthest point of each sector about the mean, in order."""
+    centre = points.groupBy("region").agg(F.avg("lon").alias("mx"), F.avg("lat").alias("my"))
+    dx, dy = F.col("lon") - F.col("mx"), F.col("lat") - F.col("my")
+    sector = F.floor((F.atan2(dy, dx) + F.pi()) * sectors / (2 * F.pi())).cast("int")
+    far = points.join(centre, "region").groupBy("region", sector.alias("seq")).agg(F.max_by(F.struct("lon", "lat"), dx * dx + dy * dy).alias("p"))
+    return far.select("region", F.lit("outer").alias("ring"), "seq", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"))

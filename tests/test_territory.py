@@ -24,14 +24,40 @@ def test_covered(spark, boundary):
 
 def test_grid(spark, boundary):
     m = spark.createDataFrame([("r", 0, 0.0, 2.0), ("r", 1, 4.0, 2.0)], "region string, cluster_id int, lon double, lat double")
-    rows = territory.territory_grid(boundary, m, cells=4).collect()
+    cells = territory.territory_grid(boundary, m, 1.0)
+    rows = cells.collect()
     assert len(rows) == 15 and all(r.cluster_id == (r.gx >= 2) for r in rows)
+    r = territory.territory_metrics(boundary, cells, 1.0).collect()[0]
+    assert (r.zone_count, r.max_connected_components, r.fragmented_zone_count, r.overlap_pct) == (2, 1, 0, 0)
+    with pytest.raises(ValueError):
+        territory.territory_grid(boundary, m, 0.0)
 
 
-def test_kmeans(spark):
-    p = spark.createDataFrame([("s", f"{g}{k}", 100.0 * g + k, 0.0) for g in range(3) for k in range(4)], "slice string, id string, x double, y double")
-    label = {r.id: r.cluster_id for r in territory.kmeans_baseline(p, 3).collect()}
-    assert len({frozenset(i for i in label if label[i] == c) for c in label.values()}) == 3 and label["00"] == label["03"] != label["10"]
+def test_territory_of_a_rectangle_is_whole(spark):
+    """All of the boundary belongs to the zones, without overlap; noise has none."""
+    ring = spark.createDataFrame([("r", "o", k, x, y) for k, (x, y) in enumerate([(0.0, 0.0), (20.0, 0.0), (20.0, 10.0), (0.0, 10.0)])], "region string, ring string, seq int, lon double, lat double")
+    for medoids in ([("r", 0, 3.0, 5.0), ("r", 1, 17.0, 5.0)], [("r", 4, 3.0, 5.0)]):
+        m = spark.createDataFrame(medoids, "region string, cluster_id int, lon double, lat double")
+        r = territory.territory_metrics(ring, territory.territory_grid(ring, m, 2.0), 2.0).collect()[0]
+        assert (r.coverage_pct, r.overlap_pct, r.zone_count) == (pytest.approx(100), 0, len(medoids))
+
+
+def test_parts_of_zones(spark):
+    cells = spark.createDataFrame([("r", x, y, c) for x, y, c in ((0, 0, 1), (1, 0, 1), (3, 0, 1), (2, 1, 1), (0, 1, 2), (1, 1, 2), (0, 2, 2), (9, 9, 3))], "region string, gx int, gy int, cluster_id int")
+    assert {(r.cluster_id, r.cells, r.parts) for r in territory.zone_parts(cells).collect()} == {(1, 4, 3), (2, 3, 1), (3, 1, 1)}
+
+
+def test_points_meet_few_edges(spark):
+    """A ring of 4 000 edges: a point meets those of its band, and the answer is that of the circle."""
+    import math
+
+    n = 4000
+    ring = spark.createDataFrame([("r", "o", k, math.cos(2 * math.pi * k / n), math.sin(2 * math.pi * k / n)) for k in range(n)], "region string, ring string, seq int, lon double, lat double")
+    rows = [("r", f"p{k}", 1.2 * math.cos(k) * (k % 97) / 97, 1.2 * math.sin(k) * (k % 97) / 97) for k in range(1, 500)] + [("r", "far", 5.0, 9.0), ("other", "x", 0.0, 0.0)]
+    p = spark.createDataFrame(rows, "region string, id string, lon double, lat double")
+    got = {(r.region, r.id): r.inside for r in territory.covered(p, ring).collect()}
+    assert got == {(g, i): g == "r" and math.hypot(x, y) < 1 for g, i, x, y in rows}
+    assert territory.edges_met(p, ring).count() < 60 * len(rows)
 
 
 def test_sinks(spark, tmp_path):
