@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from freightspark.functions.order_statistics import placed_values, quantiles_of
 from freightspark.functions.scalars import normalize_name
@@ -151,7 +150,3 @@ def route_history(obs: DataFrame) -> DataFrame:
 
 def region_profile(obs: DataFrame) -> DataFrame:
     return obs.groupBy("destination_region").agg(F.count("*").alias("n_rows"), F.countDistinct("destination_fias").alias("destinations"))
-
-
-def rank_in_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)

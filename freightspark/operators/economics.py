@@ -188,8 +188,13 @@ def cluster_table(points: DataFrame, keys: list[str]) -> DataFrame:
         weighted_mean(F.col("weighted_rub_per_km"), F.col("rate_trips")).alias("weighted_rub_per_km"), F.max("weighted_rub_per_km").alias("rate_max"),
         F.when(F.sum(t) > 0, 100.0 * F.sum("rate_trips") / F.sum(t)).alias("economic_coverage_pct"),
     )
-    total = F.sum("trips").over(W.partitionBy(*keys))
-    return out.withColumn("trip_share", F.when(total > 0, F.col("trips") / total))
+    return share_of_total(out, keys, "trips", "trip_share")
+
+
+def share_of_total(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Adds a value's share of its group's total; null where that is not positive. Groups are small tables: clusters of a slice."""
+    total = F.sum(value).over(W.partitionBy(*keys))
+    return df.withColumn(name, F.when(total > 0, F.col(value) / total))
 
 
 def sort_table(table: DataFrame, column: str, descending: bool = False) -> DataFrame:

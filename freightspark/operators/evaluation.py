@@ -33,15 +33,29 @@ def snapshot_errors(df: DataFrame, tolerance: float = 0.05) -> Column:
             *negative,
             F.when((F.col("auction_percent") < 0) | (F.col("auction_percent") > 1), "auction_percent_scale"),
             F.when(usable & apart, "price_mismatch"),
+            *[F.when(~F.col(c), "month_label_mismatch") for c in ("label_ok",) if c in df.columns],
         )
     )
 
 
-def check_snapshots(df: DataFrame, mode: str = "split", tolerance: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with errors). Repeated natural keys are rejected too. mode='fail' raises on any reject."""
+#: The rules of a snapshot row.
+SNAPSHOT_RULES = (
+    *[f"missing_{c}" for c in ("snapshot_month", "shipment_month", "actual_origin_id", "destination_region")],
+    *[f"negative_{c}" for c in ("qty_total", "fact_rub_total", "fact_rub_per_item", "market_rub_per_item")],
+    "auction_percent_scale", "price_mismatch", "month_label_mismatch", "duplicate_key",
+)
+
+
+def marked_snapshots(df: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """The rows with their errors; repeated natural keys are errors too."""
     key = ["snapshot_month", *KEY]
     marked = df.withColumn("errors", snapshot_errors(df, tolerance)).withColumn("_n", F.count("*").over(W.partitionBy(*key)))
-    marked = marked.withColumn("errors", F.when(F.col("_n") > 1, F.array_append("errors", F.lit("duplicate_key"))).otherwise(F.col("errors"))).drop("_n")
+    return marked.withColumn("errors", F.when(F.col("_n") > 1, F.array_append("errors", F.lit("duplicate_key"))).otherwise(F.col("errors"))).drop("_n")
+
+
+def check_snapshots(df: DataFrame, mode: str = "split", tolerance: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with errors). Repeated natural keys are rejected too. mode='fail' raises on any reject."""
+    marked = marked_snapshots(df, tolerance)
     rejected = marked.where(F.size("errors") > 0)
     if mode == "fail" and (n := rejected.count()):
         raise ValueError(f"{n} snapshot rows break a rule")
@@ -113,6 +127,14 @@ def price_cells(obs: DataFrame, region: str = "continent") -> DataFrame:
     return out
 
 
+def temporal_status(period_types: str = "period_types") -> Column:
+    """What the periods of a price cell are to the realised price; `period_types` is their comma-joined set."""
+    p = F.col(period_types)
+    named = {"current": "contemporaneous", "retro": "retrospective_diagnostic", "forecast": "forecast_with_realized_actual"}
+    known = [F.when(p == k, v) for k, v in named.items()]
+    return F.coalesce(*known, F.when(F.coalesce(p, F.lit("")) == "", "missing"), F.lit("mixed_period_types"))
+
+
 def matched_distance(cells: DataFrame, distances: DataFrame) -> DataFrame:
     """Distance of each (origin_fias, destination_region, shipment_month): month-exact candidates, else those without a month."""
     n = [F.count("*").alias("n"), F.first("distance_km").alias("km")]
@@ -130,7 +152,7 @@ def evaluation_dataset(truth: DataFrame, mapping: DataFrame, cells: DataFrame, d
     rows = rows.withColumn("origin_status", F.coalesce("match_status", F.lit("unmatched"))).withColumn("origin_fias", F.when(F.col("match_status") == "matched", F.col("origin_fias"))).drop("match_status")
     rows = rows.withColumn("period_id", F.replace("shipment_month", F.lit("-"), F.lit("")))
     rows = rows.join(cells, ["origin_fias", "destination_region", "period_id"], "left")
-    rows = rows.withColumn("price_status", F.when(F.col("pulse_price").isNotNull(), "matched").otherwise("missing"))
+    rows = rows.withColumns({"price_status": F.when(F.col("pulse_price").isNotNull(), "matched").otherwise("missing"), "temporal_status": temporal_status()})
     rows = matched_distance(rows, distances)
     if assignments is not None:
         rows = rows.join(assignments, KEY, "left")

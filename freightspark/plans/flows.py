@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 from freightspark.functions.scalars import aeqd, strip_location_prefix
 from freightspark.functions.shared import cut
 from freightspark.operators import economics, evaluation, graph, zones
+from freightspark.sources.sinks import staged
 
 
 def resolve_coordinates(routes: DataFrame, coords: DataFrame) -> DataFrame:
@@ -208,21 +209,41 @@ def evaluation_rows(obs: DataFrame, snapshots: DataFrame, mapping: DataFrame, di
     return rows.join(evaluation.market_history(seen), evaluation.KEY, "left")
 
 
-def export_saved(obs: DataFrame, own: DataFrame, path: str) -> dict[str, int]:
-    """Source rows of all assigned points, partitioned by origin region and cluster; refused unless the rows reconcile.
+def saved_rows(obs: DataFrame, own: DataFrame) -> DataFrame:
+    """Source rows of all assigned points, with their cluster."""
+    label = own.where("cluster_id >= 0").select(F.col("slice").alias("destination_region"), F.col("id").alias("destination_fias"), "cluster_id")
+    return obs.join(label, ["destination_region", "destination_fias"])
+
+
+TOTALS = ("rows", "points", "trips")
+
+
+def _totals(rows: DataFrame) -> dict[str, int]:
+    trips = F.sum(F.greatest(F.coalesce("trip_count", F.lit(0)), F.lit(0)))
+    points = F.countDistinct("destination_region", "destination_fias")
+    return dict(zip(TOTALS, map(int, rows.agg(F.count("*"), points, F.coalesce(trips, F.lit(0))).first()), strict=True))
 
-    Trips of the exported rows must equal those of the assigned points' observations.
+
+def export_saved(obs: DataFrame, own: DataFrame, points: DataFrame, path: str, context: dict[str, str] | None = None, sort: str = "cluster_id", descending: bool = False, rows_a_file: int = 1_000_000) -> dict[str, int]:
+    """Three tables below the path: `rows`, source rows of all assigned points by origin region and cluster, `clusters`, the cluster
+    table in the given order, and `facts`, the context and the totals.
+
+    All is written beside the path first. Rows, points and trips as written must equal those of the assigned points, trips also
+    those of the cluster table; if not, nothing is left. A file has at most rows_a_file rows.
     """
-    label = own.where("cluster_id >= 0").select(F.col("slice").alias("destination_region"), F.col("id").alias("destination_fias"), "cluster_id")
-    rows = obs.join(label, ["destination_region", "destination_fias"])
-    rows.write.mode("errorifexists").partitionBy("origin_region", "cluster_id").parquet(path)
-    got = obs.sparkSession.read.parquet(path).agg(F.count("*").alias("n"), F.countDistinct("destination_fias").alias("p")).first()
-    want = obs.join(label, ["destination_region", "destination_fias"], "left_semi").agg(F.count("*").alias("n"), F.countDistinct("destination_fias").alias("p")).first()
-    if (got.n, got.p) != (want.n, want.p):
-        raise ValueError(f"export has {got.n} rows of {got.p} points, the source {want.n} of {want.p}")
-    return {"rows": got.n, "points": got.p}
-
-
-def share_of_total(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    total = F.sum(value).over(W.partitionBy(*keys))
-    return df.withColumn(name, F.when(total > 0, F.col(value) / total))
+    spark = obs.sparkSession
+    label = own.where("cluster_id >= 0")
+    table = economics.cluster_table(points.join(own, ["slice", "id"]), ["slice"])
+    ordered = economics.sort_table(table, sort, descending)
+    want = points.join(label, ["slice", "id"]).agg(F.count("*").alias("points"), F.coalesce(F.sum("trip_count"), F.lit(0)).alias("trips")).first()
+    with staged(spark, path) as work:
+        writer = saved_rows(obs, own).write.option("maxRecordsPerFile", rows_a_file)
+        writer.partitionBy("origin_region", "cluster_id").parquet(f"{work}/rows")
+        ordered.write.parquet(f"{work}/clusters")
+        got = _totals(spark.read.parquet(f"{work}/rows"))
+        listed = spark.read.parquet(f"{work}/clusters").agg(F.coalesce(F.sum("trips"), F.lit(0))).first()[0]
+        if (got["points"], got["trips"], int(listed)) != (want.points, int(want.trips), int(want.trips)):
+            raise ValueError(f"the export has {got['points']} points and {got['trips']} trips, its clusters {listed}; assigned are {want.points} and {want.trips}")
+        facts = {**(context or {}), **{k: str(v) for k, v in got.items()}}
+        spark.createDataFrame(sorted(facts.items()), "fact string, value string").coalesce(1).write.json(f"{work}/facts")
+    return got

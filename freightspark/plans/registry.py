@@ -17,6 +17,7 @@ from freightspark.functions.shared import cut
 from freightspark.operators import catalog, economics, evaluation, graph, kmeans, territory, townmap, zones
 from freightspark.plans import flows
 from freightspark.plans.oracle_tables import ACTUAL, COORDINATES, MAPPING, OBS
+from freightspark.sources import scans
 from freightspark.sources import standins as src
 
 PLACES = 4
@@ -520,6 +521,16 @@ FROM size, unnest({list(KMEANS["ks"])}) a(k), unnest({list(KMEANS["seeds"])}) b(
 add("c15_kmeans_sweep", lambda s, d: kmeans.leaderboard(*_sweep(s, d)))
 
 
+HASHED = ("row_key", "origin_fias", "destination_fias", "period_id", "period_type", "price_type", "trip_count")
+add(
+    "s17_dataset_hash",
+    lambda s, d: scans.dataset_hash(src.observations(s, d), ["destination_region"], list(HASHED)),
+    f""", h AS (SELECT destination_region, sha256(concat_ws('|', {", ".join(f"coalesce({c}::VARCHAR, chr(92) || 'N')" for c in HASHED)})) AS h FROM obs),
+p AS (SELECT destination_region, count(*) AS n, {", ".join(f"sum(CAST('0x' || substr(h, {15 * k + 1}, 15) AS BIGINT)) AS p{k}" for k in range(4))} FROM h GROUP BY 1)
+SELECT destination_region, n AS n_rows, sha256(concat_ws(':', n, p0, p1, p2, p3)) AS dataset_hash FROM p""",
+)
+
+
 # boundaries
 def _places(s: SparkSession, d: str) -> DataFrame:
     return src.places(s, d).select(F.col("destination_region").alias("region"), F.col("destination_fias").alias("id"), "lon", "lat")

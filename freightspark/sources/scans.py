@@ -7,7 +7,7 @@ to Parquet and work from there.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freightspark.functions import scalars as s
@@ -82,16 +82,16 @@ def _unique(df: DataFrame, key: list[str]) -> DataFrame:
     return df
 
 
-#: Columns of the snapshot file that are read, in order.
+#: Columns of the snapshot file in order; all are required.
 SNAPSHOT_COLUMNS = (
     "current_month", "shipment_date_month", "month_label", "shipment_point_name", "shipment_point_name_town", "delivery_point_name", "qty_total", "net_weight_total", "qty_auction",
-    "auction_percent", "fact_rub_total", "fact_rub_per_item", "market_rub_total", "market_rub_per_item", "market_spread", "tech_load_ts", "filename", "tech_load_ts_core",
+    "auction_percent", "fact_rub_total", "market_rub_total", "fact_rub_per_item", "market_rub_per_item", "market_spread", "tech_load_ts", "filename", "tech_load_ts_core",
 )
 
 
 def scan_actual_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Typed snapshots of realised prices; label_ok: the month's label is that of the horizon. Rules are evaluation.check_snapshots."""
-    df = read_text_table(spark, path, set(SNAPSHOT_COLUMNS[:3]) | {"shipment_point_name", "delivery_point_name"})
+    df = read_text_table(spark, path, set(SNAPSHOT_COLUMNS))
     have = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     text, number = (lambda c: s.clean_text(have(c))), (lambda c: s.parse_float(have(c)))
     months = df.select("*", s.parse_month(have("current_month")).alias("snapshot_month"), s.parse_month(have("shipment_date_month")).alias("shipment_month"))
@@ -130,7 +130,11 @@ def scan_coordinates(spark: SparkSession, path: str) -> DataFrame:
 GEOMETRY = "struct<type: string, coordinates: string>"
 
 
-def scan_boundary(spark: SparkSession, path: str, region: str | None = None, fields: tuple[str, ...] = ("name", "region", "NAME_1")) -> DataFrame:
+#: Properties that may name a feature, in order.
+NAME_FIELDS = ("name", "NAME", "region", "region_name", "subject", "subject_name")
+
+
+def scan_boundary(spark: SparkSession, path: str, region: str | None = None, fields: tuple[str, ...] = NAME_FIELDS) -> DataFrame:
     """(region, ring, seq, lon, lat) vertices of a GeoJSON boundary; all parts of the matching features make one region.
 
     A file of several features needs a region, matched by normalised name over the given properties.
@@ -143,8 +147,8 @@ def scan_boundary(spark: SparkSession, path: str, region: str | None = None, fie
     if rows.count() > 1 and region is None:
         raise ValueError("the file has several features: name one")
     if region is not None:
-        named = F.coalesce(*[s.normalize_name(F.col("f.properties")[c]) for c in fields])
-        rows = rows.where(named == s.normalize_name(F.lit(region)))
+        named = F.array(*[s.normalize_name(F.col("f.properties")[c]) for c in fields])
+        rows = rows.where(F.array_contains(F.array_compact(named), s.normalize_name(F.lit(region))))
     single, several = "array<array<array<double>>>", "array<array<array<array<double>>>>"
     rings = F.when(F.col("f.geometry.type") == "Polygon", F.from_json("f.geometry.coordinates", single)).otherwise(F.flatten(F.from_json("f.geometry.coordinates", several)))
     parts = rows.select(F.monotonically_increasing_id().alias("part"), F.posexplode(rings).alias("k", "ring"))
@@ -156,7 +160,54 @@ def scan_boundary(spark: SparkSession, path: str, region: str | None = None, fie
     return out
 
 
+def rows_digest(columns: list[Column]) -> list[Column]:
+    """Aggregates (n, part1..part4) over rows that do not depend on their order: sums of the parts of each row's digest."""
+    row = F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in columns]), 256)
+    part = lambda k: F.conv(F.substring(row, 15 * k + 1, 15), 16, 10).cast("decimal(38,0)")
+    return [F.count("*").alias("n"), *[F.sum(part(k)).alias(f"part{k + 1}") for k in range(4)]]
+
+
+def dataset_hash(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by..., n_rows, dataset_hash): equal for the same rows in any order and partitioning, repeated rows counted."""
+    parts = df.groupBy(*by).agg(*rows_digest([F.col(c) for c in columns]))
+    text = F.concat_ws(":", *[F.col(c).cast("string") for c in ("n", "part1", "part2", "part3", "part4")])
+    return parts.select(*by, F.col("n").alias("n_rows"), F.sha2(text, 256).alias("dataset_hash"))
+
+
+def data_snapshot(df: DataFrame) -> str:
+    """A token of the files that a table is read from: paths, sizes and times as the reader itself sees them, no content."""
+    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return dataset_hash(files, [], ["file_path", "file_size", "file_modification_time"]).first()["dataset_hash"]
+
+
+def demand_snapshot(df: DataFrame, token: str) -> DataFrame:
+    """The table, refused if its files are not those that the token was taken from."""
+    if (now := data_snapshot(df)) != token:
+        raise ValueError(f"the data has changed: snapshot {now[:12]} instead of {token[:12]}")
+    return df
+
+
 def input_provenance(spark: SparkSession, path: str) -> DataFrame:
-    """Digest, size and time of each input file, and one token over path, size and time."""
+    """Digest, size and time of each input file. Contents are read: a file is one row of a task."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"), F.sha2(F.concat_ws("|", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string")), 256).alias("token"))
+    return files.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
+
+
+#: Entries of a boundary's manifest that must be there, and that may be.
+MANIFEST_REQUIRED = ("region", "authority", "source_type", "retrieved_at", "crs", "sha256")
+
+
+def scan_manifest(spark: SparkSession, path: str, boundary_path: str, require_official: bool = False) -> dict[str, object]:
+    """The boundary's manifest (one small JSON object), refused unless its digest is that of the boundary file."""
+    fields = (*MANIFEST_REQUIRED, "effective_date", "status")
+    schema = ", ".join(f"{c} string" for c in fields) + ", official boolean"
+    found = spark.read.schema(schema).json(path, multiLine=True).first()
+    if found is None or (missing := [c for c in MANIFEST_REQUIRED if not found[c]]):
+        raise ValueError(f"the manifest lacks {', '.join(MANIFEST_REQUIRED if found is None else missing)}")
+    own = input_provenance(spark, boundary_path).select("sha256").first()[0]
+    if found["sha256"].lower() != own:
+        raise ValueError("the manifest is of another boundary file")
+    official = bool(found["official"])
+    if require_official and not official:
+        raise ValueError("the boundary is not official")
+    return found.asDict() | {"official": official}
