@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freightspark.functions.order_statistics import placed_values, quantiles_of
-from freightspark.functions.scalars import normalize_name
+from freightspark.functions.scalars import normalize_name, row_fingerprint
 from freightspark.operators.economics import MISSING, modal
 
 FACETS = ("period_type", "price_type", "vehicle_type", "tonnage_id")
@@ -130,6 +130,41 @@ def null_profile(obs: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"n_{c}").alias("nulls"), F.col(f"d_{c}").alias("n_distinct")) for c in columns])))
 
 
+def field_profile(obs: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, n_rows, nulls, null_pct, n_distinct) of all fields: values are counted first, by field, then the counts are added up.
+
+    One pass; no expansion of the rows for each distinct count.
+    """
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields]))
+    values = obs.select(each).groupBy("field", "value").agg(F.count("*").alias("n"))
+    missing = F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0))
+    out = values.groupBy("field").agg(F.sum("n").alias("n_rows"), missing.alias("nulls"), F.count("value").alias("n_distinct"))
+    return out.select("field", "n_rows", "nulls", (100.0 * F.col("nulls") / F.col("n_rows")).alias("null_pct"), "n_distinct")
+
+
+#: The fields of the candidate business key.
+BUSINESS_KEY = ("origin_fias", "destination_fias", "period_id", "period_type", "price_type", "route_type", "tonnage_id", "vehicle_type", "currency")
+
+
+def audit_counts(obs: DataFrame, fields: list[str]) -> DataFrame:
+    """(section, name, n): rows, repeated rows by the digest of the given fields, repeated business keys, invalid values and parse errors."""
+    rows = F.struct(F.lit("rows").alias("section"), F.lit("total").alias("name"))
+    whole = obs.agg(F.count("*").alias("n")).select(rows.alias("k"), "n")
+
+    def repeats(columns: list[Column], name: str) -> DataFrame:
+        groups = obs.groupBy(*columns).agg(F.count("*").alias("n"))
+        return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).select(F.struct(F.lit("rows").alias("section"), F.lit(name).alias("name")).alias("k"), "n")
+
+    known = [F.col(c) for c in BUSINESS_KEY if c in obs.columns]
+    faults = {"price_negative": "price < 0", "route_length_zero": "route_length = 0", "route_length_negative": "route_length < 0", "trip_count_lt_zero": "trip_count < 0"}
+    found = [F.array_compact(F.array(*[F.when(F.expr(test), F.struct(F.lit("invalid_values").alias("section"), F.lit(n).alias("name"))) for n, test in faults.items()]))]
+    if "validation_errors" in obs.columns:
+        found.append(F.transform("validation_errors", lambda e: F.struct(F.lit("parse_errors").alias("section"), e.alias("name"))))
+    faulty = obs.select(F.explode(F.concat(*found)).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    parts = [whole, repeats([row_fingerprint(*[F.col(c) for c in fields]).alias("digest")], "duplicates"), repeats(known, "duplicate_business_keys"), faulty]
+    return reduce(DataFrame.union, parts).select("k.section", "k.name", "n")
+
+
 def value_counts(obs: DataFrame, columns: list[str]) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns]))
     return obs.select(pairs.alias("f")).groupBy("f.field", "f.value").agg(F.count("*").alias("n"))

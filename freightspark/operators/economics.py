@@ -109,6 +109,51 @@ def paired_rate(price: Column, length: Column) -> Column:
     return F.coalesce(F.sum(F.when(ok, price)) / F.sum(F.when(ok, length)), F.lit(0.0))
 
 
+PERIODS, PRICES = ("retro", "current", "forecast"), ("spot", "tender")
+
+
+def _top(rows: DataFrame, keys: list[str], region: str, name: str, n: int = 5) -> DataFrame:
+    """The n most frequent regions of each group as text "region:count" (ties: by name)."""
+    counts = rows.where(F.col(region).isNotNull()).groupBy(*keys, region).agg(F.count("*").alias("n"))
+    ranked = counts.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("n"), region))).where(F.col("r") <= n)
+    text = F.transform(F.sort_array(F.collect_list(F.struct("r", region, "n"))), lambda x: F.concat_ws(":", x[region], x["n"].cast("string")))
+    return ranked.groupBy(*keys).agg(F.array_join(text, ",").alias(name))
+
+
+def direction_dashboard(obs: DataFrame, side: str = "origin", period_types: list[str] | None = None, price_types: list[str] | None = None) -> DataFrame:
+    """Everything that the dashboard shows of each town of one side (name and region), after its filters.
+
+    Prices and lengths average over positive values, with 0 for none; splits by period and price type have their own counts, averages and
+    paired rate; the five most frequent regions of either end; the modal confidence, "—" for none.
+    """
+    if side not in ("origin", "destination"):
+        raise ValueError(f"no side {side}")
+    rows = slice_filter(obs, None, None, period_type=period_types or [], price_type=price_types or [])
+    towns = rows.select(F.col(f"{side}_name").alias("town"), F.col(f"{side}_region").alias("region"), "origin_region", "destination_region", "price", "route_length", "trip_count", "period_type", "price_type", "confidence")
+    keys = ["town", "region"]
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    positive = lambda c, when: F.when(when & (F.col(c) > 0), F.col(c))
+
+    def split(kind: str, value: str, rate: bool) -> list[Column]:
+        own = F.col(kind) == value
+        out = [F.count_if(own).alias(f"n_{value}"), zero(F.avg(positive("price", own))).alias(f"avg_price_{value}"), zero(F.avg(positive("route_length", own))).alias(f"avg_length_{value}")]
+        return [*out, paired_rate(F.when(own, F.col("price")), F.when(own, F.col("route_length"))).alias(f"rate_{value}")] if rate else out
+
+    every = F.lit(True)
+    p, length = positive("price", every), positive("route_length", every)
+    texts = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",").alias(f"{c}s")
+    base = towns.groupBy(*keys).agg(
+        F.count("*").alias("n_rows"), zero(F.avg(p)).alias("avg_price"), zero(F.min(p)).alias("min_price"), zero(F.max(p)).alias("max_price"),
+        zero(F.avg(length)).alias("avg_length"), zero(F.min(length)).alias("min_length"), zero(F.max(length)).alias("max_length"), zero(F.avg("trip_count")).alias("avg_bids"),
+        paired_rate(F.col("price"), F.col("route_length")).alias("rate"), texts("period_type"), texts("price_type"),
+        *[c for v in PERIODS for c in split("period_type", v, True)], *[c for v in PRICES for c in split("price_type", v, False)],
+    )
+    out = base
+    for part in (_top(towns, keys, "origin_region", "top_origin_regions"), _top(towns, keys, "destination_region", "top_destination_regions"), modal(towns.where("confidence != '—'"), keys, "confidence", "confidence")):
+        out = out.join(part, keys, "left")
+    return out.withColumn("confidence", F.coalesce("confidence", F.lit("—")))
+
+
 def town_dashboard(obs: DataFrame) -> DataFrame:
     """Per town (name, region): counts, positive-only averages with 0 for none, the paired rate, splits and the top regions."""
     towns = obs.select(F.col("destination_name").alias("town"), F.col("destination_region").alias("region"), "origin_region", "price", "route_length", "trip_count", "period_type", "price_type")

@@ -209,6 +209,18 @@ def evaluation_rows(obs: DataFrame, snapshots: DataFrame, mapping: DataFrame, di
     return rows.join(evaluation.market_history(seen), evaluation.KEY, "left")
 
 
+def dashboard(obs: DataFrame, from_regions: list[str] | None = None, to_regions: list[str] | None = None, period_types: list[str] | None = None, price_types: list[str] | None = None) -> DataFrame:
+    """Both directions of the dashboard: a row for each town that sends or receives, with its `side`.
+
+    Routes are those from and to the given regions; no list means all.
+    """
+    rows = obs
+    for side, regions in (("origin", from_regions), ("destination", to_regions)):
+        rows = rows.where(F.col(f"{side}_region").isin(*regions)) if regions else rows
+    sides = [economics.direction_dashboard(rows, side, period_types, price_types).withColumn("side", F.lit(side)) for side in ("origin", "destination")]
+    return sides[0].unionByName(sides[1])
+
+
 def saved_rows(obs: DataFrame, own: DataFrame) -> DataFrame:
     """Source rows of all assigned points, with their cluster."""
     label = own.where("cluster_id >= 0").select(F.col("slice").alias("destination_region"), F.col("id").alias("destination_fias"), "cluster_id")

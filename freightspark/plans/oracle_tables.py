@@ -18,7 +18,8 @@ obs AS (
     CASE WHEN l_partkey % 41 = 0 THEN NULL WHEN l_partkey % 43 = 0 THEN 0.0::DOUBLE ELSE l_extendedprice END AS price,
     CASE WHEN l_orderkey % 37 = 0 THEN NULL WHEN l_orderkey % 59 = 0 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE + 120.0::DOUBLE * ((lat - 50) + (lon - 30) / 2.0::DOUBLE) END AS route_length,
     CASE WHEN l_orderkey % 31 = 0 THEN NULL WHEN l_orderkey % 61 = 0 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS trip_count,
-    ['tent', 'ref', 'open'][l_linenumber % 3 + 1] AS vehicle_type, l_linenumber::VARCHAR AS tonnage_id, o_orderdate AS tech_ts
+    ['tent', 'ref', 'open'][l_linenumber % 3 + 1] AS vehicle_type, l_linenumber::VARCHAR AS tonnage_id, o_orderdate AS tech_ts,
+    CASE WHEN l_partkey % 29 <> 0 THEN ['high', 'medium', 'low'][(l_orderkey + l_linenumber) % 3 + 1] END AS confidence
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN geo g ON o_custkey = g.c_custkey
     JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey
 )"""

@@ -87,6 +87,42 @@ add("a6_town_dashboard", lambda s, d: economics.town_dashboard(src.observations(
   FROM obs GROUP BY 1, 2),
 t AS (SELECT destination_name AS town, destination_region AS region, origin_region, row_number() OVER (PARTITION BY destination_name, destination_region ORDER BY count(*) DESC, origin_region) AS r FROM obs GROUP BY 1, 2, 3)
 SELECT b.*, top_regions FROM b JOIN (SELECT town, region, string_agg(origin_region, ',' ORDER BY r) AS top_regions FROM t WHERE r <= 5 GROUP BY 1, 2) USING (town, region)""", "avg_price min_price max_price avg_length avg_bids rate rate_retro rate_current rate_forecast rate_spot rate_tender")
+
+
+def _direction_sql(side: str, where: str = "true") -> str:
+    def split(kind: str, v: str, rate: bool) -> str:
+        own = f"{kind} = '{v}'"
+        out = f"""count(*) FILTER ({own}) AS n_{v}, coalesce(avg(price) FILTER ({own} AND price > 0), 0) AS avg_price_{v}, coalesce(avg(route_length) FILTER ({own} AND route_length > 0), 0) AS avg_length_{v}"""
+        return out + (f", {PAIRED.format(x=f' AND {own}')} AS rate_{v}" if rate else "")
+
+    top = lambda c: f"""SELECT town, region, string_agg(x || ':' || n, ',' ORDER BY n DESC, x) AS top FROM (
+      SELECT town, region, {c} AS x, count(*) AS n FROM dir WHERE {c} IS NOT NULL GROUP BY 1, 2, 3
+      QUALIFY row_number() OVER (PARTITION BY town, region ORDER BY count(*) DESC, {c}) <= 5) GROUP BY 1, 2"""
+    splits = ", ".join([split("period_type", v, True) for v in economics.PERIODS] + [split("price_type", v, False) for v in economics.PRICES])
+    return f"""
+WITH dir AS (SELECT {side}_name AS town, {side}_region AS region, * FROM obs WHERE {where}),
+base AS (
+  SELECT town, region, count(*) AS n_rows, coalesce(avg(price) FILTER (price > 0), 0) AS avg_price, coalesce(min(price) FILTER (price > 0), 0) AS min_price, coalesce(max(price) FILTER (price > 0), 0) AS max_price,
+    coalesce(avg(route_length) FILTER (route_length > 0), 0) AS avg_length, coalesce(min(route_length) FILTER (route_length > 0), 0) AS min_length, coalesce(max(route_length) FILTER (route_length > 0), 0) AS max_length,
+    coalesce(avg(trip_count), 0) AS avg_bids, {PAIRED.format(x='')} AS rate, string_agg(DISTINCT period_type, ',' ORDER BY period_type) AS period_types, string_agg(DISTINCT price_type, ',' ORDER BY price_type) AS price_types,
+    {splits}
+  FROM dir GROUP BY 1, 2
+),
+conf AS (SELECT town, region, confidence FROM (SELECT town, region, confidence, count(*) AS n FROM dir WHERE confidence IS NOT NULL GROUP BY 1, 2, 3)
+  QUALIFY row_number() OVER (PARTITION BY town, region ORDER BY n DESC, confidence) = 1)
+SELECT base.*, o.top AS top_origin_regions, d.top AS top_destination_regions, coalesce(confidence, '—') AS confidence, '{side}' AS side
+FROM base LEFT JOIN ({top("origin_region")}) o USING (town, region) LEFT JOIN ({top("destination_region")}) d USING (town, region) LEFT JOIN conf USING (town, region)"""
+
+
+DASH = "avg_price min_price max_price avg_length min_length max_length avg_bids rate " + " ".join(f"avg_price_{v} avg_length_{v}" for v in (*economics.PERIODS, *economics.PRICES)) + " " + " ".join(f"rate_{v}" for v in economics.PERIODS)
+add("a6_origin_dashboard", lambda s, d: economics.direction_dashboard(src.observations(s, d), "origin"), f"SELECT * EXCLUDE (side) FROM ({_direction_sql('origin')})", DASH)
+FROM, TO = [f"NATION_{k}" for k in range(0, 25, 2)], [f"NATION_{k}" for k in range(0, 25, 3)]
+add(
+    "p10_dashboard",
+    lambda s, d: flows.dashboard(src.observations(s, d), FROM, TO, ["current", "retro"], ["spot", "tender"]),
+    " UNION ALL BY NAME ".join(f"SELECT * FROM ({_direction_sql(side, f"origin_region IN {tuple(FROM)} AND destination_region IN {tuple(TO)} AND period_type IN ('current', 'retro')")})" for side in ("origin", "destination")),
+    DASH,
+)
 add("a7_region_lists", lambda s, d: catalog.region_lists(src.observations(s, d)), "SELECT DISTINCT 'origin' AS side, origin_region AS region FROM obs UNION SELECT DISTINCT 'destination', destination_region FROM obs")
 add("a7_stats", lambda s, d: catalog.stats(src.observations(s, d)), "SELECT count(DISTINCT (destination_name, destination_region)) AS destination_towns, count(DISTINCT destination_region) AS destination_regions, count(DISTINCT origin_fias) AS origins, count(DISTINCT origin_region) AS origin_regions FROM obs")
 add("a8_origin_catalog", lambda s, d: catalog.origin_catalog(src.observations(s, d)), "SELECT origin_fias, min(origin_name) AS origin_name, min(origin_region) AS origin_region, coalesce(sum(greatest(trip_count, 0)), 0)::BIGINT AS trips FROM obs GROUP BY 1")
@@ -97,6 +133,26 @@ SELECT origin_fias, origin_name, origin_region, row_key, filled FROM f QUALIFY r
 add("a11_origin_id_candidates", lambda s, d: catalog.origin_id_candidates(src.observations(s, d)), """SELECT lower(origin_region) AS town, string_agg(DISTINCT origin_name, ' | ' ORDER BY origin_name) AS names, string_agg(DISTINCT origin_fias, ' | ' ORDER BY origin_fias) AS ids,
   count(DISTINCT origin_fias) AS candidate_count, coalesce(sum(trip_count) FILTER (trip_count > 0), 0)::BIGINT AS trips, count(DISTINCT origin_fias) = 1 AS auto_unique FROM obs WHERE period_type <> 'forecast' GROUP BY 1""")
 add("a12_null_profile", lambda s, d: catalog.null_profile(src.observations(s, d), ["origin_fias", "destination_fias", "price", "route_length", "trip_count", "period_id"]), " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_distinct FROM obs" for c in ("origin_fias", "destination_fias", "price", "route_length", "trip_count", "period_id")))
+FIELDS = (
+    "row_key", "origin_fias", "origin_name", "origin_region", "origin_nation", "destination_fias", "destination_name", "destination_region", "continent", "period_id", "period_type",
+    "price_type", "price", "route_length", "trip_count", "vehicle_type", "tonnage_id", "tech_ts", "confidence",
+)
+add(
+    "a12_field_profile",
+    lambda s, d: catalog.field_profile(src.observations(s, d), list(FIELDS)),
+    " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) AS n_rows, count(*) - count({c}) AS nulls, 100.0 * (count(*) - count({c})) / count(*) AS null_pct, count(DISTINCT {c}) AS n_distinct FROM obs" for c in FIELDS),
+    "null_pct",
+)
+DIGESTED = [c for c in FIELDS if c not in ("row_key", "tech_ts", "tonnage_id", "price", "origin_name")]
+add(
+    "a12_audit_counts",
+    lambda s, d: catalog.audit_counts(src.observations(s, d), DIGESTED),
+    f"""SELECT 'rows' AS section, 'total' AS name, count(*) AS n FROM obs
+UNION ALL SELECT 'rows', 'duplicates', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM obs GROUP BY {", ".join(f"coalesce({c}::VARCHAR, '')" for c in DIGESTED)})
+UNION ALL SELECT 'rows', 'duplicate_business_keys', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM obs GROUP BY origin_fias, destination_fias, period_id, period_type, price_type, tonnage_id, vehicle_type)
+UNION ALL SELECT 'invalid_values', 'route_length_zero', n FROM (SELECT count(*) AS n FROM obs WHERE route_length = 0) WHERE n > 0
+UNION ALL SELECT 'invalid_values', 'price_negative', n FROM (SELECT count(*) AS n FROM obs WHERE price < 0) WHERE n > 0""",
+)
 add("a12_value_counts", lambda s, d: catalog.value_counts(src.observations(s, d), ["period_type", "price_type", "vehicle_type"]), " UNION ALL ".join(f"SELECT '{c}' AS field, {c} AS value, count(*) AS n FROM obs GROUP BY 2" for c in ("period_type", "price_type", "vehicle_type")))
 add("a12_duplicates", lambda s, d: catalog.duplicates(src.observations(s, d), ["origin_fias", "destination_fias", "period_id", "price_type"]), "SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_keys, sum(n - 1)::BIGINT AS duplicates FROM (SELECT count(*) AS n FROM obs GROUP BY origin_fias, destination_fias, period_id, price_type)")
 add("a12_region_profile", lambda s, d: catalog.region_profile(src.observations(s, d)), "SELECT destination_region, count(*) AS n_rows, count(DISTINCT destination_fias) AS destinations FROM obs GROUP BY 1")
@@ -112,8 +168,8 @@ add("f7_origin_search", lambda s, d: catalog.origin_search(catalog.origin_catalo
 PAGE = "row_key origin_fias destination_fias period_id price total has_more".split()
 add("f8_point_rows", lambda s, d: catalog.point_rows(src.observations(s, d), "c1", 5, 20).select(*PAGE), """SELECT row_key, origin_fias, destination_fias, period_id, price, (SELECT count(*) FROM obs WHERE destination_fias = 'c1') AS total, (SELECT count(*) FROM obs WHERE destination_fias = 'c1') > 25 AS has_more
   FROM obs WHERE destination_fias = 'c1' ORDER BY period_id DESC, tech_ts DESC, row_key DESC LIMIT 20 OFFSET 5""", "price")
-add("j7_origin_coverage", lambda s, d: catalog.origin_coverage(src.observations(s, d).where("destination_region = 'FRANCE'"), src.table(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("origin_fias"))), """SELECT 's' || s_suppkey AS origin_fias, count(o.row_key) AS n_rows, coalesce(sum(trip_count) FILTER (trip_count > 0), 0)::BIGINT AS trips, count(o.row_key) = 0 AS zero_match
-  FROM supplier LEFT JOIN (SELECT * FROM obs WHERE destination_region = 'FRANCE') o ON o.origin_fias = 's' || s_suppkey GROUP BY 1""")
+add("j7_origin_coverage", lambda s, d: catalog.origin_coverage(src.observations(s, d).where("destination_region = 'NATION_3'"), src.table(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("origin_fias"))), """SELECT 's' || s_suppkey AS origin_fias, count(o.row_key) AS n_rows, coalesce(sum(trip_count) FILTER (trip_count > 0), 0)::BIGINT AS trips, count(o.row_key) = 0 AS zero_match
+  FROM supplier LEFT JOIN (SELECT * FROM obs WHERE destination_region = 'NATION_3') o ON o.origin_fias = 's' || s_suppkey GROUP BY 1""")
 
 
 def _towns(s: SparkSession, d: str) -> DataFrame:

@@ -56,6 +56,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(F.lit("tent"), F.lit("ref"), F.lit("open")), (F.col("l_linenumber") % 3 + 1).cast("int")).alias("vehicle_type"),
         F.col("l_linenumber").cast("string").alias("tonnage_id"),
         F.col("o_orderdate").alias("tech_ts"),
+        F.when(pk % 29 != 0, F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), ((ok + F.col("l_linenumber")) % 3 + 1).cast("int"))).alias("confidence"),
     )
 
 

@@ -215,3 +215,32 @@ def test_selected_k_equals_plain_rules(spark):
             near = sane if best is None else [x for x in sane if x[name] is not None and x[name] >= best - tolerance]
             want[name].add((s, min(x["k"] for x in near)))
     assert got == want
+
+
+def test_dashboard_of_both_sides(spark):
+    from freightspark.plans import flows
+
+    rows = [("A", "X", "B", "Y", "retro", "spot", 100.0, 10.0, 2, "high"), ("A", "X", "B", "Z", "current", "spot", 0.0, 20.0, 4, "low"), ("A", "X", "C", "Z", "current", "tender", 300.0, None, None, "low"), ("D", "W", "C", "Z", "forecast", "tender", -5.0, 0.0, 1, None)]
+    obs = spark.createDataFrame(rows, "origin_name string, origin_region string, destination_name string, destination_region string, period_type string, price_type string, price double, route_length double, trip_count long, confidence string")
+    got = {(r.side, r.town, r.region): r for r in flows.dashboard(obs).collect()}
+    assert set(got) == {("origin", "A", "X"), ("origin", "D", "W"), ("destination", "B", "Y"), ("destination", "B", "Z"), ("destination", "C", "Z")}
+    a, d = got["origin", "A", "X"], got["origin", "D", "W"]
+    assert (a.n_rows, a.avg_price, a.min_price, a.max_price, a.avg_length, a.min_length, a.max_length, a.avg_bids, a.rate) == (3, 200, 100, 300, 15, 10, 20, 3, 10)
+    assert (a.n_current, a.avg_price_current, a.avg_length_current, a.rate_current, a.n_tender, a.avg_price_tender) == (2, 300, 20, 0, 1, 300)
+    assert (a.top_destination_regions, a.top_origin_regions, a.confidence, a.period_types) == ("Z:2,Y:1", "X:3", "low", "current,retro")
+    assert (d.avg_price, d.rate, d.confidence) == (0, 0, "—")
+    assert {r.town for r in flows.dashboard(obs, from_regions=["X"], to_regions=["Z"], period_types=["current"]).where("side = 'destination'").collect()} == {"B", "C"}
+
+
+def test_audit_counts_errors_and_repeats(spark):
+    from freightspark.operators import catalog
+
+    rows = [("a", -1.0, 0.0, 1, ["invalid_units"]), ("a", -1.0, 0.0, 1, []), ("b", 2.0, -3.0, -1, ["invalid_units", "invalid_nanos"]), (None, None, None, None, [])]
+    obs = spark.createDataFrame(rows, "origin_fias string, price double, route_length double, trip_count long, validation_errors array<string>")
+    got = {(r.section, r.name): r.n for r in catalog.audit_counts(obs, ["origin_fias", "price", "route_length", "trip_count"]).collect()}
+    assert got == {
+        ("rows", "total"): 4, ("rows", "duplicates"): 1, ("rows", "duplicate_business_keys"): 1, ("invalid_values", "price_negative"): 2, ("invalid_values", "route_length_zero"): 2,
+        ("invalid_values", "route_length_negative"): 1, ("invalid_values", "trip_count_lt_zero"): 1, ("parse_errors", "invalid_units"): 2, ("parse_errors", "invalid_nanos"): 1,
+    }
+    profile = {r.field: (r.nulls, r.n_distinct, r.null_pct) for r in catalog.field_profile(obs, ["origin_fias", "price"]).collect()}
+    assert profile == {"origin_fias": (1, 2, 25.0), "price": (1, 2, 25.0)}
