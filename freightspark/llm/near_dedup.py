@@ -53,7 +53,7 @@ CHUNK_DOCS, CHUNK_SHINGLES = 4096, 1 << 20
 #: Node keys that may be broadcast (8 bytes each); beyond, they are joined by a shuffle. Rounds with representatives at most.
 KEY_BOUND, MAX_ROUNDS = 1_000_000, 12
 #: Representatives of a bucket in each round after the first, which has the least node.
-HUBS = 8
+HUBS = 2
 #: When a round links less than this share of its pairs, the rest is compared in full.
 YIELD = 0.1
 #: Members of a block in the full comparison, and pairs verified at once (or as many as there are texts, if that is more).
