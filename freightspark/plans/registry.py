@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from freightspark.functions import scalars
 from freightspark.functions.shared import cut
 from freightspark.operators import catalog, economics, evaluation, graph, kmeans, territory, townmap, zones
-from freightspark.plans import flows
+from freightspark.plans import flows, pilots
 from freightspark.plans.oracle_tables import ACTUAL, COORDINATES, MAPPING, OBS
 from freightspark.sources import scans
 from freightspark.sources import standins as src
@@ -587,6 +587,34 @@ SELECT destination_region, n AS n_rows, sha256(concat_ws(':', n, p0, p1, p2, p3)
 )
 
 
+
+# overlapping profiles
+PROFILES = [
+    pilots.Profile("all of 1", "NATION_1"),
+    pilots.Profile("spot of 1", "NATION_1", price_type=("spot",)),
+    pilots.Profile("two origins to 1", "NATION_1", ("s1", "s2"), ("retro", "current")),
+    pilots.Profile("tents to 2", "NATION_2", vehicle_type=("tent",), tonnage_id=("1", "2", "4")),
+    pilots.Profile("forecasts for 3", "NATION_3", period_type=("forecast",)),
+    pilots.Profile("one origin to 3", "NATION_3", ("s3",)),
+    pilots.Profile("nowhere", "NATION_99"),
+]
+
+
+def _profile_sql(p: pilots.Profile) -> str:
+    one_of = lambda c, values: f"{c} IN ({', '.join(repr(v) for v in values)})"
+    tests = [f"destination_region = '{p.region}'", "destination_fias IS NOT NULL", *([one_of("origin_fias", p.origins)] if p.origins else []), *[one_of(f, getattr(p, f)) for f in pilots.FILTERS if getattr(p, f)]]
+    return f"SELECT '{p.name}' AS slice, destination_fias, {MEASURES} FROM obs WHERE {' AND '.join(tests)} GROUP BY destination_fias"
+
+
+add(
+    "p5_pilot_economics",
+    lambda s, d: pilots.merged_economics(pilots.partial_states(src.observations(s, d)), pilots.membership(s, PROFILES)).drop("destination_region", "destination_name"),
+    " UNION ALL BY NAME ".join(map(_profile_sql, PROFILES)),
+    THREE,
+)
+add("p5_pilots", lambda s, d: pilots.pilots(src.observations(s, d), src.coordinates(s, d), PROFILES))
+
+
 # boundaries
 def _places(s: SparkSession, d: str) -> DataFrame:
     return src.places(s, d).select(F.col("destination_region").alias("region"), F.col("destination_fias").alias("id"), "lon", "lat")
