@@ -47,8 +47,8 @@ def parse_datetime(c: Column) -> Column:
 
 
 def normalize_name(c: Column) -> Column:
-    """Case, ё, dashes and spaces made uniform. Compatibility characters: full-width forms and ligatures are rare in
-    the feed and are left as they are; all else of NFKC that occurs (no-break and thin spaces) is a space here."""
+    """Case, ё, dashes and spaces made uniform. Of compatibility characters only spaces and dashes are folded here;
+    names.with_normal_name does the rest."""
     t = F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, "[\\u00A0\\u2000-\\u200A\\u202F\\u3000]", " "))), "ё", "е")
     t = F.regexp_replace(F.regexp_replace(t, "[\\u2010-\\u2015\\u2212]+", "-"), "\\s+", " ")
     return F.nullif(t, F.lit(""))

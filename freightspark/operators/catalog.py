@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freightspark.functions.names import with_normal_name
 from freightspark.functions.order_statistics import placed_values, quantiles_of
-from freightspark.functions.scalars import normalize_name, row_fingerprint
+from freightspark.functions.scalars import row_fingerprint
 from freightspark.operators.economics import MISSING, modal
 
 FACETS = ("period_type", "price_type", "vehicle_type", "tonnage_id")
@@ -81,7 +82,7 @@ def origin_registry(obs: DataFrame) -> DataFrame:
 
 def origin_id_candidates(obs: DataFrame) -> DataFrame:
     """Per normalised origin town: names, ids and trips; unique iff there is one id. Forecast rows don't count."""
-    rows = obs.where("period_type in ('current', 'retro')").withColumn("town", normalize_name(F.col("origin_region")))
+    rows = with_normal_name(obs.where("period_type in ('current', 'retro')"), "origin_region", "town")
     return rows.groupBy("town").agg(
         F.array_join(F.sort_array(F.collect_set("origin_name")), " | ").alias("names"),
         F.array_join(F.sort_array(F.collect_set("origin_fias")), " | ").alias("ids"),
