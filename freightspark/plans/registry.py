@@ -718,7 +718,51 @@ SELECT *, components - lag(components) OVER (PARTITION BY slice ORDER BY multipl
     "multiplier threshold mean_edge p95_edge max_edge",
     RECURSIVE,
 )
-add("g11_method_comparison", lambda s, d: flows.method_comparison(_points(s, d)))
+add(
+    "g11_method_comparison",
+    lambda s, d: flows.method_comparison(_points(s, d)),
+    EDGES + """
+, near AS (SELECT slice, a, b, distance FROM pw JOIN lim USING (slice) WHERE distance > 0 AND distance <= threshold),
+rk AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY slice, a ORDER BY distance, b) <= 5),
+kept AS (SELECT 'delaunay' AS method, slice, a, b, distance FROM edges
+  UNION ALL SELECT 'mutual_knn', x.slice, x.a, x.b, x.distance FROM rk x JOIN rk y ON x.slice = y.slice AND x.a = y.b AND x.b = y.a WHERE x.a < x.b),
+both_ AS (SELECT method, slice, a, b FROM kept UNION SELECT method, slice, b, a FROM kept),
+reach AS (SELECT DISTINCT method, slice, a AS id, a AS label FROM both_ UNION SELECT r.method, r.slice, e.b, r.label FROM reach r JOIN both_ e ON r.method = e.method AND r.slice = e.slice AND r.id = e.a),
+comp AS (SELECT method, slice, id, min(label) AS component FROM reach GROUP BY 1, 2, 3),
+n AS (SELECT method, slice, count(*) AS nodes FROM gp, (VALUES ('delaunay'), ('mutual_knn')) v(method) GROUP BY 1, 2),
+l AS (SELECT method, slice, count(*) AS edges, avg(distance) AS mean_edge, quantile_cont(distance, 0.95) AS p95_edge, max(distance) AS max_edge FROM kept GROUP BY 1, 2),
+c AS (SELECT method, slice, count(DISTINCT component) AS parts, count(*) AS linked FROM comp GROUP BY 1, 2)
+SELECT method, slice, nodes, coalesce(edges, 0) AS edges, mean_edge, p95_edge, max_edge, coalesce(parts, 0) + nodes - coalesce(linked, 0) AS components, nodes - coalesce(linked, 0) AS isolated,
+  2.0 * coalesce(edges, 0) / nodes AS mean_degree FROM n LEFT JOIN l USING (method, slice) LEFT JOIN c USING (method, slice)""",
+    "mean_edge p95_edge max_edge mean_degree",
+    RECURSIVE,
+)
+
+
+def _partition_checks(s: SparkSession, d: str) -> DataFrame:
+    """Per mode and region: eligible points, those in a cluster, and clusters that do not hang together on the eligible points' graph."""
+    points, edges, _ = _edges(s, d)
+    found = cut(flows.partition_modes(points, edges), "partitions")
+    key = F.concat_ws("@", "mode", "slice").alias("slice")
+    links = edges.crossJoin(F.broadcast(found.select("mode").distinct()))  # three modes
+    torn = graph.connectivity_violations(links.select(key, "a", "b", "distance"), found.select(key, "id", "cluster_id"))
+    torn = torn.groupBy(F.col("slice").alias("run")).agg(F.count("*").alias("violations"))
+    out = found.groupBy("mode", "slice").agg(F.count("*").alias("points"), F.count_if(F.col("cluster_id") >= 0).alias("clustered"))
+    return out.join(torn, F.concat_ws("@", "mode", "slice") == F.col("run"), "left").select("mode", "slice", "points", "clustered", F.coalesce("violations", F.lit(0).cast("long")).alias("violations"))
+
+
+add(
+    "c8_partition_checks",
+    _partition_checks,
+    # whatever K is chosen: a point is in a cluster if and only if it has an edge to an eligible one, and every cluster hangs together
+    EDGES + """
+, el AS (SELECT mode, slice, id FROM gp, (VALUES ('geography'), ('geo_cost'), ('geo_volume')) v(mode) WHERE mode <> 'geo_cost' OR (trip_count > 0 AND weighted_price IS NOT NULL AND weighted_rub_per_km IS NOT NULL)),
+ie AS (SELECT x.mode, x.slice, e.a, e.b FROM edges e JOIN el x ON x.slice = e.slice AND x.id = e.a JOIN el y ON y.mode = x.mode AND y.slice = e.slice AND y.id = e.b),
+lk AS (SELECT mode, slice, a AS id FROM ie UNION SELECT mode, slice, b FROM ie)
+SELECT mode, slice, count(*) AS points, count(lk.id) AS clustered, 0::BIGINT AS violations FROM el LEFT JOIN lk USING (mode, slice, id) GROUP BY 1, 2""",
+    "",
+    SPACE,
+)
 add("c8_c9_c10_partition_modes", _partitions)
 add("p3_compare", lambda s, d: flows.compare(src.observations(s, d), src.coordinates(s, d)))
 
