@@ -97,12 +97,12 @@ def zone_parts(cells: DataFrame) -> DataFrame:
 
 
 def territory_metrics(boundary: DataFrame, cells: DataFrame, cell: float) -> DataFrame:
-    """Per region: area of the cells as a share of the boundary's, share of cells with several zones, zones, most parts of a zone, zones in parts."""
+    """Per region: area of the cells as a share of the boundary's, share of cells with several zones, zones, most parts of a zone, zones in parts. Shares of a boundary without area are 0."""
     # rings within others are holes and run the other way round, or lie beside each other
     area = ring_edges(boundary).groupBy("region").agg((F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))) / 2).alias("area"))
     places = cells.groupBy("region", "gx", "gy").agg(F.count("*").alias("n")).groupBy("region").agg(F.count("*").alias("cells"), F.count_if(F.col("n") > 1).alias("shared"))
     zones = zone_parts(cells).groupBy("region").agg(F.count("*").alias("zone_count"), F.max("parts").alias("max_connected_components"), F.count_if(F.col("parts") > 1).alias("fragmented_zone_count"))
-    share = lambda c: 100.0 * F.coalesce(F.col(c), F.lit(0)) * cell * cell / F.nullif(F.col("area"), F.lit(0.0))
+    share = lambda c: F.coalesce(100.0 * F.coalesce(F.col(c), F.lit(0)) * cell * cell / F.nullif(F.col("area"), F.lit(0.0)), F.lit(0.0))
     out = area.join(places, "region", "left").join(zones, "region", "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     return out.select("region", share("cells").alias("coverage_pct"), share("shared").alias("overlap_pct"), none("zone_count"), none("max_connected_components"), none("fragmented_zone_count"))

@@ -679,7 +679,7 @@ lab AS (SELECT region, cluster_id, gx, gy, min((rx, ry)) AS part FROM reach GROU
 zo AS (SELECT region, cluster_id, count(DISTINCT part) AS parts, count(*) AS cells FROM lab GROUP BY 1, 2),
 zs AS (SELECT region, count(*) AS zone_count, max(parts) AS max_connected_components, count(*) FILTER (parts > 1) AS fragmented_zone_count, sum(cells) AS cells FROM zo GROUP BY 1),
 ar AS (SELECT region, abs(sum(x1 * y2 - x2 * y1) / 2) AS area FROM ed GROUP BY 1)
-SELECT region, 100.0 * coalesce(cells, 0) * {CELL} * {CELL} / nullif(area, 0) AS coverage_pct, 0.0::DOUBLE AS overlap_pct, coalesce(zone_count, 0) AS zone_count, coalesce(max_connected_components, 0) AS max_connected_components,
+SELECT region, coalesce(100.0 * coalesce(cells, 0) * {CELL} * {CELL} / nullif(area, 0), 0) AS coverage_pct, 0.0::DOUBLE AS overlap_pct, coalesce(zone_count, 0) AS zone_count, coalesce(max_connected_components, 0) AS max_connected_components,
   coalesce(fragmented_zone_count, 0) AS fragmented_zone_count FROM ar LEFT JOIN zs USING (region)""",
     "coverage_pct overlap_pct",
     RECURSIVE,
