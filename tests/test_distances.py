@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from freightspark.functions import distances
@@ -32,3 +34,39 @@ def test_equals_all_pairs(spark, block):
         assert total == pytest.approx(sum(inside))
         assert a == (pytest.approx(sum(inside) / len(inside)) if inside else None)
         assert b == (pytest.approx(min(others)) if others else None)
+
+
+@pytest.mark.parametrize("nested", [True, False])
+def test_many_clusters_and_partitions_that_are_not_nested(spark, nested):
+    draw = random.Random(4)
+    points = {f"p{i}": (draw.random() * 500, draw.random() * 500) for i in range(40)}
+    label = {(k, i): int(i[1:]) // 2 if k == 2 else int(i[1:]) % 3 for k in ((2,) if nested else (2, 3)) for i in points}
+    got = distances.cluster_distances(
+        spark.createDataFrame([("s", i, *at) for i, at in points.items()], "slice string, id string, x double, y double"),
+        spark.createDataFrame([("s", k, i, c) for (k, i), c in label.items()], "slice string, k int, id string, cluster_id int"),
+        block=8, nested=nested, few=3,
+    )
+    got = {(r.k, r.id): (r.total, r.a, r.b) for r in got.collect()}
+    assert set(got) == set(label)
+    for (k, i), c in label.items():
+        far: dict = {}
+        for (m, j), d in label.items():
+            if m == k and j != i:
+                far.setdefault(d, []).append(math.dist(points[i], points[j]))
+        inside = far.pop(c)
+        assert got[(k, i)] == (pytest.approx(sum(inside)), pytest.approx(sum(inside) / len(inside)), pytest.approx(min(sum(v) / len(v) for v in far.values())))
+
+
+def test_sums_of_a_bucket_are_let_go():
+    """A task never holds a sum for each of a slice's clusters, however many there are."""
+    n = 3000
+    nest = {"k": np.full(n, 1), "fine": np.arange(n), "cluster": np.arange(n)}
+    own = distances._Own("s", pa.array(["a"]), np.zeros(1), np.zeros(1), np.zeros(1, np.int64), nest)
+    most = 0
+    for bucket in range(30):
+        at = np.arange(bucket, n, 30)
+        own.meet(bucket, at.astype(float), np.zeros(len(at)), at)
+        most = max(most, own.total.size)
+    assert most == 100
+    row = next(own.results()).to_pylist()[0]
+    assert (row["total"], row["a"], row["b"]) == (0.0, None, 1.0)
