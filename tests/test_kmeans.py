@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from freightspark.operators import kmeans
@@ -93,3 +94,11 @@ def test_leaderboard(spark):
         assert r.pareto_shortlist != beaten
     three = [r for r in rows if r.k == 3]
     assert all(r.silhouette > 0.8 and r.stability_min_ari == pytest.approx(1) and r.weighted_p95_radius_km < 2 for r in three)
+
+
+def test_a_block_goes_through_all_runs_without_a_row_for_each_point():
+    """Sums of a block come out by run and centre; ties go to the smaller number, points of no weight add nothing."""
+    runs = [{"k": 2, "seed": 1, "start": 0, "centres": [{"x": 0.0, "y": 0.0}, {"x": 4.0, "y": 0.0}]}, {"k": 1, "seed": 1, "start": 0, "centres": [{"x": 1.0, "y": 0.0}]}]
+    row = {"slice": "s", "weights": "none", "ids": ["a", "b", "c"], "x": [0.0, 2.0, 5.0], "y": [0.0, 0.0, 0.0], "w": [1.0, 2.0, 0.0], "runs": runs}
+    got = [r for b in kmeans._centre_sums(iter([pa.RecordBatch.from_pylist([row])])) for r in b.to_pylist()]
+    assert [(r["k"], r["c"], r["sx"], r["sw"], r["cost"]) for r in got] == [(2, 0, 4.0, 3.0, 8.0), (2, 1, 0.0, 0.0, 0.0), (1, 0, 4.0, 3.0, 3.0)]
