@@ -4,16 +4,15 @@ A text is scored as its token sequence: A-Z lower-cased, words joined by one spa
 byte is a few binary decisions, those of a Huffman code of the training bytes. The context of a decision is the
 decisions before it in its byte and up to DEPTH bytes before that (line breaks stand before the start). Contexts
 hold counts of both outcomes; their Krichevsky-Trofimov estimates are mixed over all depths by the weights of
-context-tree weighting. A context belongs to the tree if training has it at least sqrt(training bytes) / SPARSE
-times; the rarer ones below a context share one leaf, so no count is dropped. The tree thus grows with the corpus:
-a depth has as many contexts as training repeats, at most SPARSE * sqrt(training bytes).
+context-tree weighting. A context belongs to the tree if training has it at least LEAST times, whatever the size of the corpus; the
+rarer ones below a context share one leaf, so no count is dropped.
 
-The byte runs of the training texts are dealt by their nearest CUT bytes: a task holds whole subtrees (of at most
+The byte runs of all texts, with their counts in training, are dealt by their nearest CUT bytes: a task holds whole subtrees (of at most
 256**(DEPTH - CUT) contexts below each root), and only the contexts of fewer bytes, 1 + 256 + 256**2 at most, go
-through the driver. The result is a table of the log probabilities of the bytes seen in each context; a byte that
+through the driver. There each run gets its log probability, from the longest of its contexts in the tree; a byte that
 was not seen there costs the context's escape, which shares out the rest of its probability as the context one
-byte shorter does. The table is broadcast if it has at most TABLE_BOUND entries; otherwise in parts of that size,
-by the nearest two bytes, and the texts are gone through once for each part.
+byte shorter does. Runs that make up at least 1 / HOT_RUNS of all bytes, so at most HOT_RUNS, are looked up in the tasks; all rarer ones meet
+their values in a join by run. Which way a run goes changes no score beyond the rounding of sums.
 
 Words with at least 1 / HOT_WORDS of all tokens, so at most HOT_WORDS, are looked up in the tasks; all rarer ones
 meet their counts in a join by word.
@@ -40,11 +39,11 @@ from pyspark.sql import functions as F
 from freightspark.functions.shared import cut
 from freightspark.llm.common import blocks, lean, remainder
 
-DEPTH, CUT, HOT_WORDS, SPARSE = 5, 3, 100_000, 400
+DEPTH, CUT, HOT_WORDS, LEAST = 5, 3, 100_000, 2
 #: Distinct words or byte runs that a task holds before it passes its counts on, and rows of a block of subtrees.
 HELD_WORDS, HELD_RUNS, BLOCK_ROWS = 150_000, 1 << 20, 1 << 17
-#: Entries of the table that a task holds (about 24 bytes each), and bytes of text scored at once.
-TABLE_BOUND, PIECE = 4_000_000, 1 << 18
+#: Runs that a task looks up at most (about 24 bytes each), and bytes of text scored at once.
+HOT_RUNS, PIECE = 4_000_000, 1 << 18
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -91,26 +90,33 @@ def streams(words: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]
 
 
 def _run_counts(docs: DataFrame) -> DataFrame:
-    """(code, n): byte runs of all texts."""
+    """(code, n, every): byte runs of all texts, with their counts in those of the training fold and in all. docs: (text, train)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            codes, inverse = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return codes, np.bincount(inverse, np.concatenate([n for _, n in held])).astype(np.int64)
+        def merged() -> tuple[np.ndarray, ...]:
+            codes, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return codes, *(np.bincount(inverse, np.concatenate([h[i] for h in held])).astype(np.int64) for i in (1, 2))
+
+        def out(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["code", "n", "every"])
 
         for batch in blocks(batches):
-            for code, _ in streams([words_of(t) for t in batch.column("text").to_pylist()]):
-                held.append(np.unique(code, return_counts=True))
-            if sum(len(c) for c, _ in held) > HELD_RUNS:
+            train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
+            texts = batch.column("text").to_pylist()
+            for fold in (True, False):
+                for code, _ in streams([words_of(texts[i]) for i in np.flatnonzero(train == fold)]):
+                    codes, n = np.unique(code, return_counts=True)
+                    held.append((codes, n * fold, n))
+            if sum(len(h[0]) for h in held) > HELD_RUNS:
                 held = [merged()]
                 if len(held[0][0]) > HELD_RUNS // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["code", "n"])
+                    yield out(held.pop())
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["code", "n"])
+            yield out(merged())
 
-    return docs.select("text").mapInArrow(lean(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select("text", "train").mapInArrow(lean(run), "code long, n long, every long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -284,79 +290,80 @@ class Table:
             found[todo] = self.keys[at[todo]] == keys[todo]
         return found, np.where(found, self.values[at], np.float32(0))
 
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of each byte in its context of DEPTH bytes, from the longest context in the tree."""
+    def log10(self, codes: np.ndarray, above: Table | None = None) -> np.ndarray:
+        """log10 of each byte in its context of DEPTH bytes, from the longest context in the tree. above: what has the contexts below CUT bytes."""
         out, todo = np.zeros(len(codes)), np.arange(len(codes))
         for d in range(DEPTH, -1, -1):
+            at = self if above is None or d >= CUT else above
             own = short(codes[todo], d)
-            found, value = self.find(own | d << _DEPTH_BIT)
+            found, value = at.find(own | d << _DEPTH_BIT)
             out[todo] += value
             todo, own = todo[~found], own[~found]
             if not len(todo):
                 break
-            out[todo] += self.find(own >> 8 | d << _DEPTH_BIT | 1 << _ESCAPE_BIT)[1]
+            out[todo] += at.find(own >> 8 | d << _DEPTH_BIT | 1 << _ESCAPE_BIT)[1]
         return out
 
 
-def _subtree_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(codes, counts) of whole subtrees, about BLOCK_ROWS at once."""
+def _subtree_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(codes, counts in training, counts in all texts) of whole subtrees, about BLOCK_ROWS at once."""
     held: list[np.ndarray] = []
     size = 0
     for batch in batches:
-        held.append(np.stack([batch.column(c).to_numpy() for c in ("root", "code", "n")]))
+        held.append(np.stack([batch.column(c).to_numpy() for c in ("root", "code", "n", "every")]))
         size += batch.num_rows
         if size >= BLOCK_ROWS:
             rows = np.concatenate(held, 1)
             start = int(np.searchsorted(rows[0], rows[0, -1]))
             if start:
-                yield rows[1, :start], rows[2, :start]
+                yield rows[1, :start], rows[2, :start], rows[3, :start]
             # what is kept doesn't count, so that a large subtree isn't gone through for every batch
             held, size = [rows[:, start:]], 0
     if held:
         rows = np.concatenate(held, 1)
-        yield rows[1], rows[2]
+        yield rows[1], rows[2], rows[3]
 
 
 def _dealt(runs: DataFrame) -> DataFrame:
     root = F.shiftright("code", 8).bitwiseAND((1 << (8 * CUT)) - 1).alias("root")
-    return runs.select(root, "code", "n").repartition("root").sortWithinPartitions("root")
+    return runs.select(root, "code", "n", "every").repartition("root").sortWithinPartitions("root")
 
 
-def fit(train: DataFrame, sparse: float = SPARSE) -> DataFrame:
-    """(key, value): the table of the tree of the training texts, in the shared folder."""
-    spark = train.sparkSession
-    runs = cut(_run_counts(train), "byte-runs")
+def fit(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """(code, every, value): the log10 of every byte run of the texts under the tree of those in the training fold, and how often all texts have it. docs: (text, train)."""
+    spark = docs.sparkSession
+    runs = cut(_run_counts(docs), "byte-runs")
+    learned = runs.where("n > 0")
     # at most 256**CUT rows
-    near = runs.groupBy(F.col("code").bitwiseAND((1 << (8 * CUT)) - 1).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    near = learned.groupBy(F.col("code").bitwiseAND((1 << (8 * CUT)) - 1).alias("code")).agg(F.sum("n").alias("n")).toArrow()
     codes, n = near.column("code").to_numpy(), near.column("n").to_numpy()
     how = Decisions.of(np.bincount(codes & 255, n, minlength=256))
-    least = max(2.0, float(n.sum()) ** 0.5 / sparse)
     depths = range(CUT, DEPTH + 1)
 
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codes, n in _subtree_blocks(batches):
+        for codes, n, _ in _subtree_blocks(batches):
             root = tree(codes, n, how, least, depths)[0]
             nodes, of = np.unique(root.parents(), return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), *(pa.array(np.bincount(of, x, minlength=len(nodes))) for x in (root.log, root.zeros, root.ones))], names=["node", "log", "zeros", "ones"])
 
-    sums = _dealt(runs).mapInArrow(lean(up), "node long, log double, zeros double, ones double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("log", "zeros", "ones")])
+    sums = _dealt(learned).mapInArrow(lean(up), "node long, log double, zeros double, ones double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("log", "zeros", "ones")])
     sums = sums.toArrow()
     top = tree(codes, n, how, least, range(CUT), tuple(sums.column(c).to_numpy() for c in ("node", "log", "zeros", "ones")))
     for above, level in zip([None, *top], top, strict=False):
         level.mix(above)
-    known = spark.sparkContext.broadcast((how, top[-1]))
+    known = spark.sparkContext.broadcast((how, top[-1], Table(*entries(top, None, how))))
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        how, last = known.value
-        for codes, n in _subtree_blocks(batches):
-            levels = tree(codes, n, how, least, depths)
+        how, last, first = known.value
+        for codes, n, every in _subtree_blocks(batches):
+            in_training = n > 0
+            levels = tree(codes[in_training], n[in_training], how, least, depths) if in_training.any() else []
             for above, level in zip([last, *levels], levels, strict=False):
                 level.mix(above)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in entries(levels, last, how)], names=["key", "value"])
+            own = Table(*entries(levels, last, how))
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(every), pa.array(own.log10(codes, first))], names=["code", "every", "value"])
 
-    deep = _dealt(runs).mapInArrow(lean(down), "key long, value double")
-    first = spark.createDataFrame(pa.table(dict(zip(("key", "value"), entries(top, None, how), strict=True))))
-    return cut(deep.union(first), "tree")
+    return cut(_dealt(runs).mapInArrow(lean(down), "code long, every long, value double"), "run-values")
 
 
 def _part_of(codes: np.ndarray, n_parts: int) -> np.ndarray:
@@ -364,19 +371,8 @@ def _part_of(codes: np.ndarray, n_parts: int) -> np.ndarray:
     return ((codes >> 8) & 0xFFFF) * 40503 % 65521 % n_parts
 
 
-def _parts(table: DataFrame, bound: int) -> Iterator[tuple[int, Table]]:
-    """The table in parts; entries of contexts below two bytes are in each."""
-    n_parts = max(1, -(-table.count() // bound))
-    depth = F.shiftright("key", _DEPTH_BIT).bitwiseAND(15)
-    context = F.when(F.shiftright("key", _ESCAPE_BIT) == 1, F.col("key")).otherwise(F.shiftright("key", 8)).bitwiseAND(0xFFFF)
-    part = (context * 40503) % 65521 % n_parts
-    for k in range(n_parts):
-        own = (table if n_parts == 1 else table.where((depth < 2) | (part == k))).toArrow()
-        yield n_parts, Table(own.column("key").to_numpy(), own.column("value").to_numpy())
-
-
 def text_scores(table: Table, words: list[list[bytes]], part: int = 0, n_parts: int = 1) -> np.ndarray:
-    """log10 of each text, of the bytes that belong to the part."""
+    """log10 of each text from the entries of a tree, of the bytes that belong to the part: what the values of its runs add up to."""
     out = np.zeros(len(words))
     for codes, of in streams(words):
         if n_parts > 1:
@@ -386,11 +382,39 @@ def text_scores(table: Table, words: list[list[bytes]], part: int = 0, n_parts:
     return out
 
 
+#: Before the eight bytes of a run, where words and runs are keys of one join: no word has a space.
+RUN_MARK = b"  "
+
+
+def _run_keys(codes: np.ndarray) -> pa.Array:
+    """The runs as keys."""
+    size = len(RUN_MARK) + 8
+    data = np.empty((len(codes), size), np.uint8)
+    data[:, : len(RUN_MARK)] = np.frombuffer(RUN_MARK, np.uint8)
+    data[:, len(RUN_MARK) :] = codes.astype(">i8").view(np.uint8).reshape(-1, 8)
+    return pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(np.arange(0, size * len(codes) + 1, size, dtype=np.int32)), pa.py_buffer(data)])
+
+
+def _hot_scores(table: Table, words: list[list[bytes]]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(log10 of the runs of each text that the table has, (text, run, times) of the others). table: values of whole runs."""
+    out, rest = np.zeros(len(words)), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+    for codes, of in streams(words):
+        found, value = table.find(codes)
+        out += np.bincount(of, value, minlength=len(words))
+        of, codes = of[~found], codes[~found]
+        if len(of):
+            order = np.lexsort((codes, of))
+            of, codes = of[order], codes[order]
+            first = np.flatnonzero(np.append(True, (np.diff(of) != 0) | (np.diff(codes) != 0)))
+            rest.append((of[first], codes[first], np.diff(np.append(first, len(of))).astype(np.int32)))
+    return out, tuple(np.concatenate(x) for x in zip(*rest, strict=True))
+
+
 def _tags(batch: pa.RecordBatch) -> pa.Array:
     return pa.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) - (1 << 31) for t in batch.column("text").to_pylist()], pa.int32())
 
 
-def score(docs: DataFrame, fold: int = 7, held: int = 2, hot_words: int = HOT_WORDS, sparse: float = SPARSE, table_bound: int = TABLE_BOUND) -> DataFrame:
+def score(docs: DataFrame, fold: int = 7, held: int = 2, hot_words: int = HOT_WORDS, hot_runs: int = HOT_RUNS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every document; see the module."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -405,46 +429,47 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, hot_words: int = HOT_WO
     head_kind = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("n_bytes", pa.int64())])
     schema = "doc_id long, tag int, word binary, k int, lm double, head struct<n_tokens: long, n_known: long, base: double, n_bytes: long>"
 
-    def reader(part: int, n_parts: int, known):
-        """Rows of a part: all words and heads with the first, sums alone with the others."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table, hot = known.value, hot_logs.value
-            for batch in blocks(batches):
-                words = [words_of(t) for t in batch.column("text").to_pylist()]
-                lms = text_scores(table, words, part, n_parts)
-                rows, keys, times, heads = list(range(len(words))), [None] * len(words), [0] * len(words), [None] * len(words)
-                for row, own in enumerate(words if part == 0 else []):
-                    n_hot, base = int(n_docs > 0), end
-                    for w, k in Counter(own).items():
-                        if (v := hot.get(w)) is not None:
-                            n_hot += k
-                            base += k * v
-                        else:
-                            rows.append(row)
-                            keys.append(w)
-                            times.append(k)
-                    # a key that no word can have, so that these rows don't meet in one task
-                    keys[row] = b" %d" % row
-                    heads[row] = {"n_tokens": len(own) + 1, "n_known": n_hot, "base": base, "n_bytes": sum(map(len, own)) + max(1, len(own))}
-                of, none = pa.array(rows), len(rows) - len(words)
-                columns = [batch.column("doc_id").cast(pa.int64()).take(of), _tags(batch).take(of), pa.array(keys, pa.binary()), pa.array(times, pa.int32())]
-                columns += [pa.array(np.append(lms, np.zeros(none))), pa.array(heads + [None] * none, head_kind)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "word", "k", "lm", "head"])
-
-        return run
-
-    rows = None
-    for part, (n_parts, table) in enumerate(_parts(fit(train, sparse), table_bound)):
-        own = docs.mapInArrow(lean(reader(part, n_parts, spark.sparkContext.broadcast(table))), schema)
-        rows = own if rows is None else rows.union(own)
-    rows = rows.join(counts.where(F.col("c") * hot_words < total), "word", "left")
+    values = fit(docs.select("text", (remainder("doc_id", fold) != held).alias("train")))
+    n_bytes = values.agg(F.coalesce(F.sum("every"), F.lit(0))).first()[0]
+    # at most hot_runs rows
+    near = values.where(F.col("every") * hot_runs >= n_bytes).select("code", "value").toArrow()
+    known = spark.sparkContext.broadcast(Table(near.column("code").to_numpy(), near.column("value").to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, hot = known.value, hot_logs.value
+        for batch in blocks(batches):
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
+            lms, rare = _hot_scores(table, words)
+            rows, keys, times, heads = list(range(len(words))), [None] * len(words), [0] * len(words), [None] * len(words)
+            for row, own in enumerate(words):
+                n_hot, base = int(n_docs > 0), end
+                for w, k in Counter(own).items():
+                    if (v := hot.get(w)) is not None:
+                        n_hot += k
+                        base += k * v
+                    else:
+                        rows.append(row)
+                        keys.append(w)
+                        times.append(k)
+                # a key that no word can have, so that these rows don't meet in one task
+                keys[row] = b" %d" % row
+                heads[row] = {"n_tokens": len(own) + 1, "n_known": n_hot, "base": base, "n_bytes": sum(map(len, own)) + max(1, len(own))}
+            none = len(rows) - len(words) + len(rare[0])
+            of = pa.array(np.concatenate([np.array(rows, np.int64), rare[0]]))
+            columns = [batch.column("doc_id").cast(pa.int64()).take(of), _tags(batch).take(of), pa.concat_arrays([pa.array(keys, pa.binary()), _run_keys(rare[1])]), pa.array(np.concatenate([np.array(times, np.int32), rare[2]]))]
+            columns += [pa.array(np.append(lms, np.zeros(none))), pa.array(heads + [None] * none, head_kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "word", "k", "lm", "head"])
+
+    # a word's count or a run's value
+    rare_runs = values.where(F.col("every") * hot_runs < n_bytes).select(F.concat(F.lit(RUN_MARK), F.unhex(F.lpad(F.hex("code"), 16, "0"))).alias("word"), F.lit(None).cast("long").alias("c"), "value")
+    rare_words = counts.where(F.col("c") * hot_words < total).withColumn("value", F.lit(None).cast("double"))
+    rows = docs.mapInArrow(lean(run), schema).join(rare_words.unionByName(rare_runs), "word", "left")
     sums = rows.groupBy("doc_id", "tag").agg(
         F.count("head").alias("m"),
         F.first("head", ignorenulls=True).alias("h"),
         F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("k"))), F.lit(0)).alias("n_rare"),
         F.coalesce(F.sum(F.col("k") * F.log10(F.col("c") + 1)), F.lit(0.0)).alias("base"),
-        F.sum("lm").alias("lm"),
+        F.sum(F.col("lm") + F.coalesce(F.col("k") * F.col("value"), F.lit(0.0))).alias("lm"),
     )
     spread = float(np.log10(total + distinct + 1))
     once = sums.select(

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 public = pytest.importorskip("public_tokenizers")
 
@@ -408,6 +409,30 @@ def test_lm_scoring(spark, odd, none):
     assert lm_scoring.score(none).count() == 0
 
 
+def test_lm_scoring_has_one_tree_whatever_the_size_and_the_way_of_a_run(spark):
+    texts = ["ab " * 300_000, "xyzqw uvxyzqw", "yzqv", "xyzqw quv", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = F.col("doc_id") != 3
+    got = {r.code: (r.every, r.value) for r in lm_scoring.fit(docs.select("text", train.alias("train"))).collect()}
+
+    def runs(own):
+        each = np.concatenate([c for c, _ in lm_scoring.streams([lm_scoring.words_of(t) for t in own])])
+        return np.unique(each, return_counts=True)
+
+    codes, n = runs([t for i, t in enumerate(texts) if i != 3])
+    how = lm_scoring.Decisions.of(np.bincount(codes & 255, n, minlength=256))
+    levels = lm_scoring.tree(codes, n, how, 2, range(lm_scoring.DEPTH + 1))
+    for above, level in zip([None, *levels], levels, strict=False):
+        level.mix(above)
+    every, times = runs(texts)
+    want = lm_scoring.Table(*lm_scoring.entries(levels, None, how)).log10(every)
+    assert set(got) == set(every.tolist())
+    for code, k, value in zip(every.tolist(), times.tolist(), want.tolist(), strict=True):
+        assert got[code] == (k, pytest.approx(value, rel=1e-4, abs=1e-4))
+    far, near = ({r.doc_id: r.score for r in lm_scoring.score(docs, hot_runs=h).collect()} for h in (1, 4_000_000))
+    assert far == {i: pytest.approx(v, rel=1e-5) for i, v in near.items()}
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
