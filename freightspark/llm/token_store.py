@@ -49,6 +49,11 @@ SHARD_BYTES = 128 << 20
 PROBES = ("Hello World again", " leading and  double spaces ", "line\nbreak\ttab", "Don't stop, it's 42.5% (ok)!", "ÀÉ naïve Straße", "x  \n\n y", "a.b,c d_e f-g", "UPPER lower MiXeD", "12 345 6")
 
 
+#: Ones of each byte, and the place of its k-th one.
+_ONES = np.array([x.bit_count() for x in range(256)])
+_PLACE = np.array([([k for k in range(8) if x >> k & 1] + [0] * 8)[:8] for x in range(256)])
+
+
 class EliasFano:
     """A non-decreasing sequence of integers below 2**63: low bits packed, high bits in unary, sampled select."""
 
@@ -103,6 +108,23 @@ class EliasFano:
             word &= word - 1
         return byte * 8 + (word & -word).bit_length() - 1
 
+    def selects(self, i: np.ndarray) -> np.ndarray:
+        """select of many at once: from the sample before each, a byte further in every step for those that are not there yet."""
+        at = self.samples[i // self.STEP].astype(np.int64)
+        left, byte = i % self.STEP, at >> 3
+        word = self.high[byte] >> (at & 7) << (at & 7)
+        todo = np.flatnonzero(_ONES[word] <= left)
+        while len(todo):
+            left[todo] -= _ONES[word[todo]]
+            byte[todo] += 1
+            word[todo] = self.high[byte[todo]]
+            todo = todo[_ONES[word[todo]] <= left[todo]]
+        return byte * 8 + _PLACE[word, left]
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The i-th integers."""
+        return (self.selects(i) - i) << self.low_bits | self._low(i)
+
     def __len__(self) -> int:
         return self.n
 
@@ -257,6 +279,10 @@ class Segment:
         a = self.bounds[i - 1] if i else 0
         return a, self.ids[a : self.bounds[i]]
 
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """(doc_ids without the null ones, ends within the segment) of all documents, by select."""
+        return self.first + self.doc_ids.at(np.arange(len(self.doc_ids))), self.bounds.at(np.arange(len(self)))
+
     def find(self, doc_id: int) -> range:
         """Numbers of the documents of that id."""
         at = [bisect(range(len(self.doc_ids)), doc_id - self.first, key=self.doc_ids.__getitem__) for bisect in (bisect_left, bisect_right)]
@@ -270,7 +296,13 @@ def read_digests(segments: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 own = Segment(row)
-                out = [(own.doc_id(i), row["earlier_ids"] + a, len(x), zlib.crc32(x.astype("<u4").tobytes())) for i in range(len(own)) for a, x in [own.document(i)]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                known, ends = own.places()
+                starts = np.append(0, ends[:-1])
+                # four bytes for each id, whatever the width in the file
+                ids = memoryview(own.ids.astype("<u4")).cast("B")
+                crcs = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                doc_ids = pa.concat_arrays([pa.nulls(own.n_null, pa.int64()), pa.array(known, pa.int64())])
+                columns = [doc_ids, pa.array(row["earlier_ids"] + starts), pa.array(ends - starts), pa.array(crcs, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return with_starts(segments).select("earlier_ids", "width", "n_null", "first", "doc_ids", "ids", "bounds").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
