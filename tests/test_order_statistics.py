@@ -91,3 +91,20 @@ def test_metrics_medians_and_quartiles(spark):
         assert x.wape_pct == pytest.approx(100 * sum(q.qty * abs(q.predicted - q.actual_price) for q in own) / sum(q.qty * q.actual_price for q in own))
     quantities = sorted(q.qty for q in rows)
     assert list(evaluation.quartile_thresholds(p).first()) == [quantities[75], quantities[150], quantities[225]]
+
+
+def test_narrowed_quantiles_equal_sorted_lists(spark, ranges):
+    r = random.Random(9)
+    inf = float("inf")
+    nested = [2.0**-k for k in range(60)] + [1 + 2.0**-k for k in range(1, 52)]  # each split leaves most of them in one part
+    rows = [("wide", r.gauss(0, 100)) for _ in range(400)] + [("tight", 50 + r.random() * 1e-9) for _ in range(300)] + [("hot", r.randrange(3) / 4) for _ in range(500)]
+    rows += [("nested", v) for v in nested] + [("signs", v) for v in (-inf, -1e308, -5e-324, 0.0, 5e-324, 1e308, inf)] + [(None, 1.0), (None, 4.0), ("one", 7.0), ("empty", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    shares = {"a": 0.0, "b": 0.31, "c": 0.5, "d": 1.0}
+    got = {x.k: [x.a, x.b, x.c, x.d] for x in order.narrowed_quantiles(df, ["k"], F.col("v"), shares).collect()}
+    want = {x.k: [x.a, x.b, x.c, x.d] for x in order.quantiles(df, ["k"], F.col("v"), shares).collect()}
+    assert repr(got.pop("signs")) == repr(want.pop("signs")) and got.keys() == want.keys() and "empty" not in got
+    assert got == want and got["tight"][2] == linear([v for k, v in rows if k == "tight"], 0.5)
+    nan = spark.createDataFrame([("x", 1.0), ("x", float("nan")), ("x", 3.0)], "k string, v double")
+    assert order.narrowed_quantiles(nan, ["k"], F.col("v"), {"m": 0.5}).first().m == 3.0
+    assert order.narrowed_quantiles(nan.where("v < 0"), ["k"], F.col("v"), {"m": 0.5}).count() == 0
