@@ -1,8 +1,8 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified, grouped.
 
 Texts with equal words in equal order are one node from the start. A node's shingles are runs of five folded
-words, weighed by term frequency and a tempered inverse document frequency. BANDS * ROWS weighted samples are
-drawn per node; nodes that agree in all samples of a band share a bucket. Within a bucket nobody is paired with
+words, weighed by term frequency times inverse document frequency, 1 + ln(documents / documents with the shingle). BANDS * ROWS
+weighted samples are drawn per node; nodes that agree in all samples of a band share a bucket. Within a bucket nobody is paired with
 everybody: each member is paired with one representative, pairs are verified by weighted Jaccard similarity on
 the texts, and linked nodes become classes. Buckets whose members are still in several classes go through
 further rounds, with HUBS other representatives each, while these link many of the pairs they try. Work per round is
@@ -14,11 +14,12 @@ may still be similar enough are verified. No such pair is lost: two texts are si
 that precede, from the rarest on, the last `similarity` of their weight, and only if few of their parity bits differ. So in the
 end no bucket has a pair of similar texts in different classes.
 
-Inverse document frequency is measured from one in COMMON documents on: a rarer shingle weighs 1 + TEMPER, one that
-all documents have weighs 1, and in between the weight falls with the logarithm of the frequency. Without tempering
-the changed words of a text that thousands of others copy would outweigh all that they share. Frequencies come from
+Samples are drawn by the whole inverse document frequency, down to one in RARE documents: rarer shingles weigh as those. The pairs
+that they bring together are verified by a tempered one, from one in COMMON documents on: a rarer shingle weighs 1 + TEMPER, one that
+all documents have weighs 1, and in between the weight falls with the logarithm of the frequency. Untempered, the changed words of a
+text that thousands of others copy would outweigh all that they share, and such copies would not count as similar. Frequencies come from
 lossy counting over all documents: they are short by at most one in COUNTED documents, at every size, and there are at
-most COMMON shingles for each shingle of a mean document. Two texts always weigh a shingle alike.
+most RARE shingles for each shingle of a mean document. Two texts always weigh a shingle alike.
 
 Defined cases: null and empty texts, and texts without words, are one class; texts of fewer than five words have
 one shingle, all their words; rows of one doc_id whose texts differ are different documents, each with the class of
@@ -46,8 +47,10 @@ from freightspark.llm.common import U64, blocks, lean, mix, shingle_hashes, unus
 WIDTH, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 misses all bands with probability (1 - 0.8**4)**12 = 0.2 %.
 BANDS, ROWS = 12, 4
-#: How much rarity weighs, the share of documents (one in so many) from which a shingle is common, and that by which counts may be short.
+#: How much rarity weighs where pairs are verified, the share of documents (one in so many) from which a shingle is common there, and that by which counts may be short.
 TEMPER, COMMON, COUNTED = 0.5, 128, 1024
+#: The share of documents (one in so many) down to which inverse document frequency is told apart in the samples.
+RARE = 512
 #: Documents and shingles of a chunk that are counted together.
 CHUNK_DOCS, CHUNK_SHINGLES = 4096, 1 << 20
 #: Node keys that may be broadcast (8 bytes each); beyond, they are joined by a shuffle. Rounds with representatives at most.
@@ -79,18 +82,25 @@ def _counted(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 class Weights:
-    """Weight of any shingle: of common ones from a table, the greatest of all others."""
+    """Weights of any shingle: of common ones from a table, the greatest of all others. `of` is for similarities, `idf` for samples."""
 
-    def __init__(self, shingles: np.ndarray, weights: np.ndarray, temper: float = TEMPER):
+    def __init__(self, shingles: np.ndarray, weights: np.ndarray, temper: float = TEMPER, idf: np.ndarray | None = None):
         order = np.argsort(shingles)
         self.shingles, self.weights = shingles[order], np.append(weights[order], 1 + temper).astype(np.float32)
+        self.idfs = self.weights if idf is None else np.append(idf[order], 1 + np.log(RARE)).astype(np.float32)
 
-    def of(self, shingles: np.ndarray) -> np.ndarray:
+    def _from(self, table: np.ndarray, shingles: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.shingles, shingles)
         if not len(self.shingles):
-            return np.full(len(shingles), self.weights[-1])
+            return np.full(len(shingles), table[-1])
         known = self.shingles[np.minimum(at, len(self.shingles) - 1)] == shingles
-        return self.weights[np.where(known, at, len(self.shingles))]
+        return table[np.where(known, at, len(self.shingles))]
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        return self._from(self.weights, shingles)
+
+    def idf(self, shingles: np.ndarray) -> np.ndarray:
+        return self._from(self.idfs, shingles)
 
 
 def rarity(docs: DataFrame, width: int = WIDTH, temper: float = TEMPER) -> Weights:
@@ -125,10 +135,10 @@ def rarity(docs: DataFrame, width: int = WIDTH, temper: float = TEMPER) -> Weigh
     counts = docs.select("text").mapInArrow(lean(run), "shingle long, n long, docs boolean").groupBy("docs", "shingle").agg(F.sum("n").alias("n"))
     counts = cut(counts, "shingle-counts")
     n_docs = (counts.where("docs").select("n").first() or [0])[0]
-    got = counts.where(~F.col("docs") & (F.col("n") * COMMON >= n_docs * (1 - COMMON / COUNTED))).select("shingle", "n").toArrow()
-    df = np.minimum(got.column("n").to_numpy(), n_docs)
-    share = np.clip(np.log(n_docs / df) / np.log(COMMON), 0, 1) if len(df) else np.zeros(0)
-    return Weights(got.column("shingle").to_numpy().view(U64), 1 + temper * share, temper)
+    # all others weigh as one in RARE
+    got = counts.where(~F.col("docs") & (F.col("n") * RARE > n_docs)).select("shingle", "n").toArrow()
+    logs = np.log(n_docs / np.minimum(got.column("n").to_numpy(), n_docs)) if got.num_rows else np.zeros(0)
+    return Weights(got.column("shingle").to_numpy().view(U64), 1 + temper * np.clip(logs / np.log(COMMON), 0, 1), temper, 1 + logs)
 
 
 _QUANTILES = 1 << 16
@@ -197,7 +207,7 @@ def signatures(docs: DataFrame, weights: Weights, width: int = WIDTH, bands: int
             full = np.flatnonzero(counts)
             codes = np.zeros((len(texts), bands * rows), U64)
             if len(full):
-                codes[full] = sampler.draw(shingles, np.log(weights.of(shingles) * times).astype(np.float32), counts[full])
+                codes[full] = sampler.draw(shingles, np.log(weights.idf(shingles) * times).astype(np.float32), counts[full])
             keys = np.zeros((len(texts), bands), U64)
             for k in range(rows):
                 keys = mix(keys * U64(0x9E3779B97F4A7C15) + codes[:, k::rows])

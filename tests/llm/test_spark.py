@@ -1,6 +1,7 @@
 """Each operator on nulls, empty and repeated rows, empty tables and extra columns; results against brute force."""
 
 import hashlib
+import collections
 import itertools
 import random
 import zlib
@@ -274,6 +275,27 @@ def test_near_dedup_compares_a_large_bucket_in_full(spark):
             assert {r.node: r.class_id for r in near_dedup.classes(docs, bands=1, rows=1).collect()} == want
 
 
+def test_near_dedup_samples_by_inverse_document_frequency(spark):
+    """Texts that share a passage of all documents agree in as many samples as their weighted Jaccard similarity by tf * (1 + ln(N / df))."""
+    passage = prose(41, 60)
+    rows = [(i, f"{passage} {prose(2000 + i // 4, 30)} {prose(3000 + i, 30)}") for i in range(200)]
+    docs = frame(spark, rows)
+    weights = near_dedup.rarity(docs)
+    signed = {r.node: np.array(r.bands) for r in near_dedup.signatures(docs, weights, bands=300, rows=1).collect()}
+    sets = [collections.Counter(near_dedup.shingle_hashes([t], 5)[0].tolist()) for _, t in rows]
+    df = collections.Counter(x for s in sets for x in s)
+    idf = lambda x: 1 + np.log(len(rows) / df[x])
+    assert weights.idf(np.array(list(df), np.uint64)) == pytest.approx([idf(x) for x in df], rel=1e-5)
+
+    def similarity(a, b):
+        return sum(n * idf(x) for x, n in (sets[a] & sets[b]).items()) / sum(n * idf(x) for x, n in (sets[a] | sets[b]).items())
+
+    for step in (1, 4):  # of one family of four, of different ones
+        pairs = [(a, a + step) for a in range(0, 196, 4)]
+        got, want = (np.mean([f(a, b) for a, b in pairs]) for f in (lambda a, b: np.mean(signed[a] == signed[b]), similarity))
+        assert got == pytest.approx(want, abs=0.03)
+
+
 def test_decontamination_finds_each_fourth_token_replaced(spark):
     words = [f"tok{k}" for k in range(40)]
     bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(f"short{k}" for k in range(8)))], "item_id long, text string")
