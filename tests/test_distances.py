@@ -70,3 +70,32 @@ def test_sums_of_a_bucket_are_let_go():
     assert most == 100
     row = next(own.results()).to_pylist()[0]
     assert (row["total"], row["a"], row["b"]) == (0.0, None, 1.0)
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e-3, 0.0])
+def test_far_boxes_meet_by_few_points(monkeypatch, spread):
+    """Sums are those of all pairs, though only boxes near each other meet point by point."""
+    draw = np.random.default_rng(6)
+    n = 16000
+    x, y = draw.random(n) * 1e5, spread * draw.random(n) * 1e5
+    fine = np.sort(draw.integers(0, 9, n))
+    nest = {"k": np.full(9, 1), "fine": np.arange(9), "cluster": np.arange(9)}
+    pairs, each = [], distances._Own._each
+    monkeypatch.setattr(distances, "LEAF", 400)
+    monkeypatch.setattr(distances._Own, "_each", lambda own, rows, x, *rest: pairs.append((rows.stop - rows.start) * len(x)) or each(own, rows, x, *rest))
+    own = distances._Own("s", pa.array([str(i) for i in range(n)]), x, y, fine, nest)
+    own.meet(0, x, y, fine)
+    assert sum(pairs) < 0.7 * n * n
+    at = np.array(own.ids.to_pylist(), int)
+    assert (own.x == x[at]).all() and (own.fine == fine[at]).all()
+    some = np.arange(0, n, 37)
+    d = np.hypot(own.x[some, None] - x, own.y[some, None] - y)
+    want = np.stack([d[:, fine == c].sum(1) for c in range(9)], 1)
+    assert own.total[some] == pytest.approx(want, rel=1e-9)
+    facts = [r for b in own.facts() for r in b.to_pylist()]
+    rows = {r["id"]: r for b in own.results() for r in b.to_pylist()}
+    for f in facts:
+        mine = {i: r for i, r in rows.items() if fine[int(i)] == f["cluster_id"]}
+        assert (f["n"], f["near"], f["told"]) == (len(mine),) * 3
+        assert f["total"] == min(r["total"] for r in mine.values()) == rows[f["id"]]["total"]
+        assert f["s"] == pytest.approx(sum((r["b"] - r["a"]) / max(r["a"], r["b"]) for r in mine.values()))
