@@ -84,3 +84,16 @@ def test_work_on_one_large_slice_follows_its_points(spark, monkeypatch):
         found[n] = graph.delaunay_edges(p.repartition(8), pairs).count()
     assert met[1] < 6 * met[0] and met[1] < 1000 * 20_000
     assert 2 * 20_000 < found[20_000] < 3 * 20_000
+
+
+def test_pairs_on_the_rim_settle_at_once(spark, monkeypatch):
+    """A pair with an empty side meets no more points for it: only thin corners need wider cells."""
+    whole, met = graph.third_points, []
+    monkeypatch.setattr(graph, "third_points", lambda pairs, points: met.append(pairs.count()) or whole(pairs, points))
+    r = random.Random(2)
+    points = [("s", f"p{i}", r.uniform(0, 40), r.uniform(0, 40)) for i in range(1500)]
+    p, pairs = frames(spark, points, 3.0)
+    got = {(x.slice, x.a, x.b) for x in graph.delaunay_edges(p, pairs).collect()}
+    assert got == brute(points, [(x.slice, x.a, x.b, x.distance) for x in pairs.collect()])
+    # before, all pairs of the rim went on to the second and third test
+    assert met[1] < 0.02 * met[0] and met[2] < 0.01 * met[0]

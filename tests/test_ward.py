@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from freightspark.operators import zones
@@ -46,3 +48,14 @@ def test_slices_without_a_choice_meet_no_pairs(spark, monkeypatch):
     # a table in which no slice has a choice
     got = flows.partition_modes(points.where("slice = 'many'"), spark.createDataFrame(edges, EDGES), ("geography",))
     assert got.where("cluster_id >= 0").select("cluster_id").distinct().count() == 22
+
+
+def test_a_task_takes_texts_and_vectors_as_arrays():
+    """Clusters of several slices, vectors of two and three numbers; only names that are merged become texts again."""
+    rows = [("s", "c1", "c1", "c10", [0.0, 1.0], [2.0, 1.0]), ("s", "c1", "c10", "c9", [2.0, 1.0], [9.0, 1.0]), ("t", "c9", "c9", "x", [1.0, 2.0, 3.0], [1.0, 2.0, 5.0])]
+    links = pa.table({"slice": [r[0] for r in rows], "component": [r[1] for r in rows], "a": [r[2] for r in rows], "b": [r[3] for r in rows], "fa": [r[4] for r in rows], "fb": [r[5] for r in rows], **{c: [1.0 if c[0] == "n" else 0.0] * 3 for c in ("na", "nb", "ha", "hb")}})
+    names, a, b, f, _, _ = zones._ends(links)
+    assert [n.to_pylist() for n in names] == [["s", "s", "s", "t", "t"], ["c1", "c10", "c9", "c9", "x"]]
+    assert (a.tolist(), b.tolist(), f[4].tolist(), f[2].tolist()) == ([0, 1, 3], [1, 2, 4], [1.0, 2.0, 5.0], [9.0, 1.0, 0.0])
+    got = sorted(tuple(r.values()) for x in zones._merge_rounds(links, 4) for r in x.to_pylist())
+    assert got == [("s", "c1", "c1", "c10", 2.0, 4), ("s", "c1", "c1", "c9", pytest.approx(2 / 3 * 64), 5), ("t", "c9", "c9", "x", 2.0, 4)]
