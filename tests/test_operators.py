@@ -244,3 +244,20 @@ def test_audit_counts_errors_and_repeats(spark):
     }
     profile = {r.field: (r.nulls, r.n_distinct, r.null_pct) for r in catalog.field_profile(obs, ["origin_fias", "price"]).collect()}
     assert profile == {"origin_fias": (1, 2, 25.0), "price": (1, 2, 25.0)}
+
+
+def test_measures_are_those_of_the_whole_economics(spark):
+    """Several names, some equally frequent or missing, gaps and zeros; no text is gathered by row."""
+    rows = [("r", d, n, t, p, x) for d, n, t, p, x in (
+        ("a", "n2", 3, 10.0, 5.0), ("a", "n1", 2, None, 4.0), ("a", None, 4, 7.0, 0.0), ("a", None, 1, 1.0, 1.0), ("a", None, None, 2.0, 2.0),
+        ("b", None, 0, 10.0, 2.0), ("c", "z", 5, 0.0, 9.0), ("c", "z", 1, 8.0, 2.0), ("c", "y", 1, 8.0, 2.0), (None, "q", 1, 1.0, 1.0))]
+    obs = spark.createDataFrame(rows, "destination_region string, destination_fias string, destination_name string, trip_count long, price double, route_length double")
+    for c in ("period_type", "price_type", "vehicle_type", "tonnage_id", "period_id"):
+        obs = obs.withColumn(c, F.lit("x"))
+    got = economics.destination_measures(obs, ["destination_region"])
+    want = economics.destination_economics(obs, ["destination_region"]).select(*got.columns)
+    assert dict(got.dtypes) == dict(want.dtypes)
+    key = lambda r: r.destination_fias
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "mode(" not in plan
